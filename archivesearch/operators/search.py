@@ -228,7 +228,7 @@ def match_all_hits(match_all: DataFrame, docs: DataFrame) -> DataFrame:
     qids = [r["qid"] for r in match_all.select("qid").collect()]
     if not qids:
         return docs.sparkSession.createDataFrame([], "qid long, doc_id string, score double")
-    return docs.select(F.explode(F.array(*[F.lit(q) for q in qids])).cast("long").alias("qid"),
+    return docs.select(F.explode(F.array(*[F.lit(q).cast("long") for q in qids])).alias("qid"),
                        F.col("id").alias("doc_id"), F.lit(0.0).alias("score"))
 
 
