@@ -25,7 +25,7 @@ from archivesearch.functions import urls as U
 from archivesearch.operators import filters as FL
 from archivesearch.operators.docs import oldest_version
 from archivesearch.operators.index import Index
-from archivesearch.session import broadcast_if_small
+from archivesearch.session import broadcast_if_small, cut_lineage
 
 # Fixed values of the query model.
 DEFAULT_MAX_ITEMS = 50
@@ -387,7 +387,7 @@ def present_results(results: DataFrame, docs: DataFrame, aq: DataFrame,
 
 
 def page_search(queries: DataFrame, docs: DataFrame, index: Index,
-                cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame]:
+                cfg: SearchConfig = SearchConfig(), materialize: bool = True) -> tuple[DataFrame, DataFrame]:
     """A batch of text searches -> ``(results, summary)``.
 
     Order as in the reference: analyse -> match -> exclude -> score -> coarse filters ->
@@ -395,6 +395,8 @@ def page_search(queries: DataFrame, docs: DataFrame, index: Index,
     With ``cfg.strict`` the exact version filter runs before the collapse.
     """
     aq = analyze_queries(normalize_queries(queries), cfg.max_terms)
+    if materialize:  # the (small) analysed batch feeds every branch below
+        aq = cut_lineage(aq)
     hits = candidates(aq, docs, index, cfg)
     filtered = apply_filters(hits, docs, aq)
     if cfg.strict:

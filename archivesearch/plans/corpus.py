@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from archivesearch.functions import urls as U
 from archivesearch.operators.docs import version_docs
 from archivesearch.operators.index import Index, build_index
+from archivesearch.session import cut_lineage
 from archivesearch.sources import tables as TB
 
 
@@ -17,6 +18,15 @@ def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("site", U.url_host("urlOldest"))
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Index]:
+def corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> tuple[DataFrame, Index]:
+    """Documents and index. With ``materialize`` both are checkpointed (reliable, into the
+    session's ``spark.checkpoint.dir``): every search reads them several times, and later
+    plans start from the stored rows instead of re-deriving them."""
     docs = corpus_docs(spark, sf_dir)
-    return docs, build_index(docs)
+    if materialize:
+        docs = cut_lineage(docs)
+    idx = build_index(docs)
+    if materialize:
+        idx = Index(cut_lineage(idx.postings), cut_lineage(idx.doc_stats),
+                    cut_lineage(idx.term_stats), cut_lineage(idx.field_stats))
+    return docs, idx
