@@ -256,13 +256,17 @@ def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
         r = r.withColumn("tstamp", digits_only("record_date"))
     if "collection" not in r.columns:
         r = r.withColumn("collection", F.lit(collection or ""))
+    if "html" not in r.columns and "payload" in r.columns:
+        from archivesearch.sources.archive import decode_records
+        r = decode_records(r)
+    body = F.col("payload") if "payload" in r.columns else F.col("html")
     accepted = with_disposition(r, cfg).filter(F.col("disposition") == "accepted").drop("disposition")
     prepared = accepted.select(
         "*",
         U.canonical_url("url").alias("c_url"),
         T.served_type("content_type").alias("type_full"),
-        F.octet_length("html").cast("long").alias("content_length"),
-        H.payload_digest("html", cfg.digest).alias("digest"),
+        F.octet_length(body).cast("long").alias("content_length"),
+        H.payload_digest(body, cfg.digest).alias("digest"),
     )
     ex = extract_pages(prepared, text_col="html", type_col="type_full", cfg=cfg)
     content = T.clean_whitespace("raw_content")
@@ -272,6 +276,8 @@ def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
         "raw_links",
         lambda l: F.struct(U.canonical_url(U.resolve_link(F.col("c_url"), l["href"])).alias("to_url"),
                            F.coalesce(T.clean_whitespace(l["text"]), F.lit("")).alias("anchor")))
+    if "payload" in ex.columns:
+        ex = ex.drop("payload")
     return ex.select(
         H.page_id("tstamp", "c_url").alias("id"),
         F.coalesce(F.col("raw_title"), F.lit("")).alias("title"),

@@ -36,7 +36,7 @@ DEFAULT_DEDUP_FIELD = "site"
 DEDUP_KEYS = {"site": "surtOldest", "surt": "surtOldest", "mimetype": "type", "type": "type",
               "collection": "collection", "title": "titleString"}
 # A query that is itself a URL is rejected.
-URL_QUERY_RE = r"^\s*(https?://)?[a-zA-Z0-9][-\w.]+\.[a-z.]{2,6}(/\S*)?\s*$"
+URL_QUERY_RE = r"^\s*(((http|https)://)?([a-zA-Z\d][-\w.]*)\.([a-zA-Z.]{2,6})([-/\w\p{L}.~,;:%&=?!+$#*@()]*)/?)\s*$"
 
 
 @dataclass(frozen=True)
