@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivesearch.llm import license_scan as licenses
-from archivesearch.llm import quality, simhash
+from archivesearch.llm import line_dedup, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.license_scan(docs).select(
@@ -31,9 +37,28 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op4_license_scan": op4_license_scan,
     "op5_simhash": op5_simhash,
     "op6_compression_bands": op6_compression_bands,
 }
 
-ORACLES: dict[str, str] = {}
+_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": f"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos
+  from documents),
+keyed as (select doc_id, pos, line, {_KEY} as k from lines),
+repeated as (
+  select k, max(doc_id) as owner from keyed
+  where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
+marked as (
+  select keyed.*, coalesce(keyed.doc_id <> owner, false) as gone
+  from keyed left join repeated on keyed.k = repeated.k)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id""",
+}
