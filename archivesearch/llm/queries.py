@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from archivesearch.llm import license_scan as licenses
-from archivesearch.llm import line_dedup, quality, simhash
+from archivesearch.llm import line_dedup, packing, quality, simhash, token_store, warc
+from archivesearch.llm.shared import shared_path
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +24,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_path(spark, "token_store")
+    token_store.write_store(docs, path, TOKENIZER, end_id=2)
+    return token_store.digest(spark, path)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.license_scan(docs).select(
@@ -36,11 +48,25 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs).select("doc_id", *quality.COLUMNS)
 
 
+def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.digest(packing.pack(docs, TOKENIZER, end_id=1, max_length=2048))
+
+
+def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.digest(warc.assemble(warc.read_archives(spark, path)))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_token_store": op3_token_store,
     "op4_license_scan": op4_license_scan,
     "op5_simhash": op5_simhash,
     "op6_compression_bands": op6_compression_bands,
+    "op7_binary_packing": op7_binary_packing,
+    "op9_warc_transactions": op9_warc_transactions,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -61,4 +87,11 @@ marked as (
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id""",
+    "op9_warc_transactions": """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+q as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
+from q""",
 }
