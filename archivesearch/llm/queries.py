@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from archivesearch.llm import license_scan as licenses
-from archivesearch.llm import line_dedup, packing, quality, simhash, token_store, warc
+from archivesearch.llm import line_dedup, packing, quality, simhash, token_store, url_filter, warc
 from archivesearch.llm.shared import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,45 @@ def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.assemble(warc.read_archives(spark, path)))
 
 
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with a fetch day within four years, dealt out by page_id."""
+    day = F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(1461)).cast("int"))
+    return _table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched"))
+
+
+def _list_entries(captures: DataFrame) -> DataFrame:
+    """Dated entries of three lists, made from the hosts of the captures by a hash of the value:
+    domains blocked for a while (some again later), hosts allowed, language folders blocked."""
+    hosts = captures.select(url_filter.host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    domains = hosts.select(F.expr("substring_index(host, '.', -3)").alias("value")).distinct()
+    folders = hosts.select(F.explode(F.array(*[F.concat("host", F.lit(f"/{x}")) for x in ("en", "de")])).alias("value"))
+
+    def h(salt: str):
+        return F.conv(F.substring(F.md5(F.concat(F.lit(salt), "value").cast("binary")), 1, 6), 16, 10).cast("int")
+
+    def entry(rows: DataFrame, name: str, action: str, kind: str, event: str, days, where) -> DataFrame:
+        day = F.date_add(F.lit("2020-01-01").cast("date"), days.cast("int"))
+        return rows.filter(where).select(F.lit(name).alias("list_name"), F.lit(action).alias("action"), F.lit(kind).alias("kind"),
+                                         "value", F.lit(event).alias("event"), day.alias("day"))
+
+    begin, stay = h("d") % 700, 200 + h("s") % 300
+    parts = [entry(domains, "ads", "block", "domain", "add", begin, h("a") % 3 == 0),
+             entry(domains, "ads", "block", "domain", "remove", begin + stay, h("a") % 3 == 0),
+             entry(domains, "ads", "block", "domain", "add", begin + stay + 150, h("a") % 6 == 0),
+             entry(domains, "spam", "block", "domain", "add", begin + 60, h("a") % 2 == 0),
+             entry(hosts.withColumnRenamed("host", "value"), "partners", "allow", "host", "add", h("p") % 900, h("q") % 4 == 0),
+             entry(folders, "folders", "block", "prefix", "add", h("f") % 1000, h("g") % 5 == 0)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = _captures(spark, sf_dir)
+    return url_filter.filter_urls(captures, _list_entries(captures)).withColumn("fetched", F.col("fetched").cast("string"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_store": op3_token_store,
@@ -67,6 +106,7 @@ QUERIES = {
     "op6_compression_bands": op6_compression_bands,
     "op7_binary_packing": op7_binary_packing,
     "op9_warc_transactions": op9_warc_transactions,
+    "op10_url_filters": op10_url_filters,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,4 +134,40 @@ select page_id, payload_bytes, payload_digest,
        case when payload_bytes >= 100 and page_id <> first_id then 'revisit' else 'response' end as record_type,
        case when payload_bytes >= 100 and page_id <> first_id then first_id end as refers_to
 from q""",
+    "op10_url_filters": r"""
+with c as (
+  select page_id, url, date '2020-01-01' + cast((page_id * 37) % 1461 as integer) as fetched,
+         nullif(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), '\.*(:[0-9]*)?$', ''), '') as host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as path
+  from pages),
+hosts as (select distinct host as value from c where host is not null),
+domains as (select distinct array_to_string(list_slice(string_split(value, '.'), -3, -1), '.') as value from hosts),
+folders as (select value || f as value from hosts, (values ('/en'), ('/de')) t(f)),
+src as (select 'domain' as kind, value from domains union all select 'host', value from hosts union all select 'prefix', value from folders),
+hashed as (
+  select kind, value, cast('0x' || substr(md5('a' || value), 1, 6) as integer) as a, cast('0x' || substr(md5('d' || value), 1, 6) as integer) as d,
+         cast('0x' || substr(md5('s' || value), 1, 6) as integer) as s, cast('0x' || substr(md5('p' || value), 1, 6) as integer) as p,
+         cast('0x' || substr(md5('q' || value), 1, 6) as integer) as q, cast('0x' || substr(md5('f' || value), 1, 6) as integer) as f,
+         cast('0x' || substr(md5('g' || value), 1, 6) as integer) as g
+  from src),
+valid as (
+  select 'ads' as list_name, 'block' as action, kind, value, d % 700 as lo, d % 700 + 200 + s % 300 as hi from hashed where kind = 'domain' and a % 3 = 0
+  union all select 'ads', 'block', kind, value, d % 700 + 350 + s % 300, null from hashed where kind = 'domain' and a % 6 = 0
+  union all select 'spam', 'block', kind, value, d % 700 + 60, null from hashed where kind = 'domain' and a % 2 = 0
+  union all select 'partners', 'allow', kind, value, p % 900, null from hashed where kind = 'host' and q % 4 = 0
+  union all select 'folders', 'block', kind, value, f % 1000, null from hashed where kind = 'prefix' and g % 5 = 0),
+hits as (
+  select c.page_id, c.url, c.fetched, v.*
+  from c join valid v on (c.host = v.value and v.kind in ('host', 'domain') or v.kind = 'domain' and ends_with(c.host, '.' || v.value)
+                          or v.kind = 'prefix' and starts_with(c.host || rtrim(c.path, '/') || '/', v.value || '/'))
+  where c.fetched - date '2020-01-01' >= v.lo and (v.hi is null or c.fetched - date '2020-01-01' < v.hi)),
+grouped as (
+  select page_id, kind, value, action, string_agg(distinct list_name, ',' order by list_name) as lists
+  from hits group by all),
+best as (
+  select *, row_number() over (partition by page_id order by case kind when 'prefix' then 3 when 'host' then 2 else 1 end desc,
+                               length(value) desc, action) as r
+  from grouped)
+select c.page_id, c.url, cast(c.fetched as varchar) as fetched, coalesce(b.action, 'allow') as verdict, b.kind as matched_kind, b.value as matched_value, b.lists as matched_lists
+from c left join best b on b.page_id = c.page_id and b.r = 1""",
 }
