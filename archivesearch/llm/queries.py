@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from archivesearch.llm import license_scan as licenses
-from archivesearch.llm import line_dedup, packing, quality, simhash, token_store, url_filter, warc
+from archivesearch.llm import decontaminate, line_dedup, packing, quality, simhash, token_store, url_filter, warc
 from archivesearch.llm.shared import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,6 +24,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = shared_path(spark, "token_store")
@@ -100,6 +105,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_token_store": op3_token_store,
     "op4_license_scan": op4_license_scan,
     "op5_simhash": op5_simhash,
