@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from archivesearch.llm import license_scan as licenses
-from archivesearch.llm import decontaminate, line_dedup, packing, quality, simhash, token_store, url_filter, warc
+from archivesearch.llm import decontaminate, line_dedup, packing, quality, simhash, token_store, toxicity, url_filter, warc
 from archivesearch.llm.shared import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,6 +58,13 @@ def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs, TOKENIZER, end_id=1, max_length=2048))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "spans")
+
+
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -111,6 +118,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_compression_bands": op6_compression_bands,
     "op7_binary_packing": op7_binary_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_warc_transactions": op9_warc_transactions,
     "op10_url_filters": op10_url_filters,
 }
