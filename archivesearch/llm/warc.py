@@ -13,8 +13,8 @@ Defined results: null html is an empty payload; a null page_id or url is absent
 and null when read; line breaks, spaces and control characters in a url are percent-encoded. Rows that repeat
 a page_id are captures of their own; of equal ones with one page_id the first read is the
 response. Records that no response answers for are captures without a response. A response
-record that occurs twice makes two captures, each with the members. Over ``MAX_MEMBERS`` members
-of a capture go to further rows with ``part`` 1, 2, ... A damaged archive ends at its damage and
+record that occurs twice makes two captures, each with the members. The members of
+a capture that has over ``MAX_MEMBERS`` are dealt to several rows, told apart by ``part``. A damaged archive ends at its damage and
 its last record has type ``error``; the records before it count. No pages give no archive records.
 """
 
