@@ -49,11 +49,6 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(col_of(text)), F.lit("(" + TOKEN_RE + ")"), 1)
 
 
-def first_distinct_tokens(text, n: int) -> Column:
-    """The first ``n`` distinct tokens, in order of first appearance."""
-    return F.slice(F.array_distinct(tokens(text)), 1, n)
-
-
 def query_phrases(q) -> Column:
     """quoted phrases of a query, each as its token array."""
     raw = F.regexp_extract_all(col_of(q), F.lit(PHRASE_RE), 1)
@@ -70,8 +65,7 @@ def query_excludes(q) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, lambda w: tokens(w))))
 
 
-def query_terms(q, max_terms: int | None = None) -> Column:
-    """plain terms = tokens outside phrases and exclusions (T7 cap optional)."""
+def query_terms(q) -> Column:
+    """plain terms = tokens outside phrases and exclusions."""
     rest = F.regexp_replace(_outside_phrases(q), EXCLUDE_STRIP_RE, "$1 ")
-    t = F.array_distinct(tokens(rest))
-    return F.slice(t, 1, max_terms) if max_terms else t
+    return F.array_distinct(tokens(rest))

@@ -5,7 +5,7 @@ Everything here builds Catalyst expressions; nothing calls Python per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivesearch.functions._util import col_of, let
@@ -120,6 +120,15 @@ def surt(u) -> Column:
     return surt_from_stripped(strip_protocol_www(canonical_url(u)))
 
 
+def with_surt(df: DataFrame, url: str, out: str) -> DataFrame:
+    """``df`` with the SURT of its column ``url`` as ``out``, computed once per distinct URL and
+    joined back. The rules are interpreted expressions, and links repeat their targets a lot;
+    adaptive execution broadcasts the distinct URLs or splits a URL that very many rows have."""
+    known = df.select(F.col(url).alias("_url")).filter("_url is not null").distinct()
+    known = known.select("_url", surt("_url").alias(out))
+    return df.join(known, df[url] == known["_url"], "left").drop("_url")
+
+
 def surt_to_url(s) -> Column:
     """SURT back to an ``https://`` URL; anything else is treated as a URL."""
     return let(col_of(s), _surt_to_url)

@@ -1,7 +1,7 @@
 """Capture (CDX) lists: completeness, identity, URL history, closest capture.
 
-Requests are rows too, so a batch of URL lookups is one equi-join on the SURT key
-(the request side is broadcast behind a size check) followed by windows per request.
+Requests are rows too, so a batch of URL lookups is one equi-join on the SURT key followed by
+aggregates and windows per request; adaptive execution broadcasts a small batch.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
 from archivesearch.functions._util import col_of
-from archivesearch.session import broadcast_if_small
 
 CDX_FIELDS = ["url", "timestamp", "digest", "mime", "status", "filename", "length", "offset"]
 
@@ -58,40 +57,54 @@ def cdx_bound(b, pad: str) -> Column:
 def version_history(requests: DataFrame, captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """T5 + P19 (Q2): captures of each requested URL, newest first, sliced ``[start, start+limit)``.
 
-    ``requests``: ``req_id, url, from, to, start, limit``. Returns ``(rows, totals)``;
-    totals count every match. The window has a constant limit (deepest slice in the batch)
-    so a URL with very many captures is cut map-side before the shuffle.
+    ``requests``: ``req_id, url, from, to, start, limit``; a null ``limit`` asks for all. Returns
+    ``(rows, totals)``; totals count every match. If every request has a limit, the window gets
+    the deepest slice of the batch as a constant bound, so a URL with very many captures is cut
+    map-side before the shuffle.
     """
     req = requests.select("req_id", U.surt("url").alias("surt"),
                           cdx_bound(F.col("from"), "0").alias("lo"), cdx_bound(F.col("to"), "9").alias("hi"),
-                          F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("limit", F.lit(1 << 30)).alias("limit"))
+                          F.coalesce("start", F.lit(0)).alias("start"), "limit")
     caps = captures.withColumn("surt", U.surt("url"))
-    m = caps.join(broadcast_if_small(req), "surt").filter(
+    m = caps.join(req, "surt").filter(
         (F.col("lo").isNull() | (F.col("timestamp") >= F.col("lo")))
         & (F.col("hi").isNull() | (F.col("timestamp") <= F.col("hi"))))
     totals = m.groupBy("req_id").agg(F.count(F.lit(1)).alias("total"))
-    depth = requests.agg(F.max(F.coalesce("start", F.lit(0)) + F.coalesce("limit", F.lit(0)))).first()[0] or 0
+    end = F.coalesce("start", F.lit(0)).cast("long") + F.col("limit")
+    depth, unbounded = requests.agg(F.max(end), F.max(F.col("limit").isNull())).first()
     w = Window.partitionBy("req_id").orderBy(F.desc("timestamp"), F.asc("digest"), F.asc("offset"))
-    ranked = m.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= F.lit(int(depth)))
-    rows = ranked.filter((F.col("pos") > F.col("start")) & (F.col("pos") <= F.col("start") + F.col("limit")))
+    ranked = m.withColumn("pos", F.row_number().over(w))
+    if not unbounded:
+        ranked = ranked.filter(F.col("pos") <= F.lit(int(depth or 0)))
+    rows = ranked.filter((F.col("pos") > F.col("start")) & (
+        F.col("limit").isNull() | (F.col("pos") <= F.col("start").cast("long") + F.col("limit"))))
     return rows, totals
 
 
 def closest_capture(requests: DataFrame, captures: DataFrame) -> DataFrame:
     """Per request ``(req_id, url, tstamp)``, the capture of that URL nearest in time.
 
-    Ties go to the earlier capture, then the smaller digest. A hash aggregate
-    (``min_by``) with partial aggregation, not a sort of all captures of a URL.
+    Ties go to the earlier capture, then the smaller digest. One partial minimum per request,
+    not a sort of all captures of a URL. Times are compared by their digit fields, so days that
+    no calendar has (30 February, which canonical times may hold) count on from their month.
     """
     req = requests.select("req_id", U.surt("url").alias("surt"), F.col("tstamp").alias("target"))
     caps = captures.withColumn("surt", U.surt("url"))
-    j = caps.join(broadcast_if_small(req), "surt")
-    diff = F.abs(F.timestamp_diff("SECOND", F.to_timestamp_ntz("target", F.lit("yyyyMMddHHmmss")),
-                                  F.to_timestamp_ntz("timestamp", F.lit("yyyyMMddHHmmss"))))
-    j = j.withColumn("diff_seconds", diff)
-    best = F.min_by(F.struct("timestamp", "digest", "url", "diff_seconds"),
-                    F.struct("diff_seconds", "timestamp", "digest"))
-    return j.groupBy("req_id").agg(best.alias("b")).select("req_id", "b.*")
+    j = caps.join(req, "surt").withColumn("diff_seconds", F.abs(seconds("target") - seconds("timestamp")))
+    best = F.min(F.struct("diff_seconds", "timestamp", "digest", "url"))
+    return (j.filter("diff_seconds is not null").groupBy("req_id").agg(best.alias("b"))
+            .select("req_id", "b.timestamp", "b.digest", "b.url", "b.diff_seconds"))
+
+
+def seconds(t) -> Column:
+    """Seconds of a 14-digit time from its fields: whole days to the first of its month, then
+    days, hours, minutes and seconds as they stand. Null if the month is none."""
+    c = col_of(t)
+    field = lambda at, n: F.substring(c, at, n).try_cast("int")
+    year, month = field(1, 4), field(5, 2)
+    first = F.when(month.between(1, 12) & year.between(1, 9999), F.make_date(year, month, F.lit(1)))
+    days = F.unix_date(first).cast("long") + field(7, 2) - 1
+    return ((days * 24 + field(9, 2)) * 60 + field(11, 2)) * 60 + field(13, 2)
 
 
 def expand_url_requests(requests: DataFrame, url: str = "url") -> DataFrame:

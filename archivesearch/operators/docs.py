@@ -1,7 +1,9 @@
 """Page documents and version documents.
 
 ``join_inlinks`` builds the one-JSON-per-page export of the indexer; ``version_docs``
-folds repeated captures of the same content into one searchable document.
+folds repeated captures of the same content into one searchable document, and
+``document_versions`` keeps its captures as rows: a content captured millions of times (an
+empty page, an error page) is millions of rows there, never one array.
 """
 
 from __future__ import annotations
@@ -12,30 +14,32 @@ from pyspark.sql import functions as F
 from archivesearch.functions.timestamps import solr_date, time_slice
 from archivesearch.operators.links import EDGE_KEY, inlink_summary
 
-# Salt buckets for the two-phase version list of one (possibly hot) digest.
-VERSION_SALT = 32
-
 # Names and order of the exported page document (S7); transient fields are not exported.
 PAGE_DOC_FIELDS = ["id", "title", "anchor", "collection", "content", "content_length", "digest",
                    "tstamp", "site", "url", "surt_url", "inlinks", "outlinks", "type",
                    "primary_type", "sub_type", "encoding", "warc_name", "warc_offset"]
+PAGE_ORDER = ["tstamp", "warc_name", "warc_offset"]
+# The one order of versions, used wherever the oldest is asked for.
+VERSION_ORDER = ["tstamp", "collection", "surt"]
 
 
 def latest_per_key(pages: DataFrame, policy: str = "none", keep: str = "latest",
                    surt_col: str = "surt_url") -> DataFrame:
     """One page per ``(surt, time_slice)``: the max ``(tstamp, warc_name, warc_offset)``.
 
-    A hash aggregate (``max_by``) with partial aggregation, so a key captured very many
-    times is reduced on the map side. ``keep="all"`` returns every page with its key.
+    The aggregate carries only that key (partial on the map side); the one page is joined
+    back by it, on all key columns, so a URL captured very many times spreads.
+    ``keep="all"`` returns every page with its key.
     """
     keyed = pages.withColumn("surt", F.col(surt_col)).withColumn("time_slice", time_slice("tstamp", policy))
     if keep == "all":
         return keyed
     if keep != "latest":
         raise ValueError("keep must be 'latest' or 'all'")
-    cols = [c for c in keyed.columns if c not in EDGE_KEY]
-    best = F.max_by(F.struct(*cols), F.struct("tstamp", "warc_name", "warc_offset"))
-    return keyed.groupBy(*EDGE_KEY).agg(best.alias("p")).select(*EDGE_KEY, "p.*")
+    best = keyed.groupBy(*EDGE_KEY).agg(F.max(F.struct(*PAGE_ORDER)).alias("k")).select(*EDGE_KEY, "k.*")
+    on = EDGE_KEY + PAGE_ORDER
+    matches = [keyed[c].eqNullSafe(best[c]) for c in on]
+    return keyed.join(best, matches, "left_semi").dropDuplicates(on)
 
 
 def join_inlinks(pages: DataFrame, inlinks: DataFrame, policy: str = "none",
@@ -43,7 +47,7 @@ def join_inlinks(pages: DataFrame, inlinks: DataFrame, policy: str = "none",
     """Pages left-joined to their inlink anchors and counts on ``(surt, time_slice)``.
 
     Inlinks whose target was never captured are dropped (left join from pages). Several
-    pages of one key share the key's anchors, as in the reference.
+    pages of one key (``latest_per_key`` with ``keep="all"``) share the key's anchors.
     """
     summary = inlink_summary(inlinks)
     keyed = pages.withColumn("surt", F.col(surt_col)).withColumn("time_slice", time_slice("tstamp", policy))
@@ -60,48 +64,50 @@ def page_documents(pages_with_inlinks: DataFrame) -> DataFrame:
     return pages_with_inlinks.select(*[c for c in PAGE_DOC_FIELDS if c in pages_with_inlinks.columns])
 
 
-def version_docs(captures: DataFrame, salt: int = VERSION_SALT) -> DataFrame:
-    """Captures grouped by content digest into versioned documents.
+def document_versions(captures: DataFrame) -> DataFrame:
+    """The distinct versions of each document as rows ``(doc_id, collection, tstamp, surt)``."""
+    return captures.select(F.col("digest").alias("doc_id"), "collection", "tstamp", "surt").distinct()
+
+
+def version_docs(captures: DataFrame) -> DataFrame:
+    """Captures grouped by content digest into one document each.
 
-    Input columns: ``digest, url, surt, tstamp, collection, title, content, type``.
-    The oldest capture is the min of ``tstamp || url`` (fixed-width time first).
-    Distinct versions are gathered in two phases (salted partials, then one merge).
+    Input columns: ``digest, url, surt, tstamp, collection, title, content, type``. The
+    document shows its oldest capture, the min of ``VERSION_ORDER`` (then url, type). Only
+    that key is aggregated; the row with the texts is joined back by all of it, so a digest
+    with very many captures spreads over tasks.
     """
     c = captures.select("digest", "url", "surt", "tstamp", "collection", "title", "content", "type")
-    order = F.concat("tstamp", "url")
-    oldest = F.min_by(F.struct("title", "content", "type", "surt", "collection", "url", "tstamp"), order)
+    order = [*VERSION_ORDER, "url", "type"]
     head = c.groupBy("digest").agg(
-        oldest.alias("o"),
-        F.min("tstamp").alias("tstampOldest"),
-        F.max("tstamp").alias("tstampLatest"),
-        F.count(F.lit(1)).alias("captures"),
-    )
-    v = c.select("digest", F.struct("collection", "tstamp", "surt").alias("v"))
-    part = (v.withColumn("_salt", F.abs(F.hash("v")) % salt)
-            .groupBy("digest", "_salt").agg(F.collect_set("v").alias("vs")))
-    versions = part.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))).alias("versions"))
-    return head.join(versions, "digest").select(
+        F.min(F.struct(*order)).alias("o"), F.max("tstamp").alias("tstampLatest"),
+        F.count(F.lit(1)).alias("captures")).select("digest", "o.*", "tstampLatest", "captures")
+    on = ["digest", *order]
+    one = c.join(head, on).dropDuplicates(on)
+    return one.select(
         F.col("digest").alias("id"),
-        F.col("o.title").alias("title"),
-        F.col("o.title").alias("titleString"),
-        F.col("o.content").alias("content"),
-        F.col("o.type").alias("type"),
-        "versions",
-        F.array_sort(F.array_distinct(F.transform("versions", lambda x: x["collection"]))).alias("collections"),
-        F.array_sort(F.array_distinct(F.transform("versions", lambda x: x["surt"]))).alias("surts"),
-        "tstampOldest", "tstampLatest",
-        solr_date("tstampOldest").alias("dateOldest"),
+        "title",
+        F.col("title").alias("titleString"),
+        "content", "type",
+        F.col("tstamp").alias("tstampOldest"), "tstampLatest",
+        solr_date("tstamp").alias("dateOldest"),
         solr_date("tstampLatest").alias("dateLatest"),
-        F.col("o.surt").alias("surtOldest"),
-        F.col("o.collection").alias("collectionOldest"),
-        F.col("o.collection").alias("collection"),
-        F.col("o.url").alias("urlOldest"),
+        F.col("surt").alias("surtOldest"),
+        F.col("collection").alias("collectionOldest"),
+        "collection",
+        F.col("url").alias("urlOldest"),
         "captures",
     )
 
 
-def oldest_version(versions) -> "F.Column":
-    """Smallest ``(tstamp, collection, surt)`` of a version array (null when empty)."""
-    m = F.array_min(F.transform(versions, lambda v: F.struct(
-        v["tstamp"].alias("tstamp"), v["collection"].alias("collection"), v["surt"].alias("surt"))))
-    return m
+def oldest_version(versions: DataFrame, by: list[str]) -> DataFrame:
+    """The smallest ``(tstamp, collection, surt)`` of each group of version rows, as a
+    struct ``oldest``; a partial minimum, so long histories are reduced on the map side."""
+    return versions.groupBy(*by).agg(F.min(F.struct(*VERSION_ORDER)).alias("oldest"))
+
+
+def version_strings(versions: DataFrame, by: str = "doc_id") -> DataFrame:
+    """Export form of a document's versions: sorted ``collection/tstamp/surt`` words in one
+    string. Only the export needs it; operators work on the rows."""
+    word = F.concat_ws("/", "collection", "tstamp", "surt")
+    return versions.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(word)), " ").alias("versions"))

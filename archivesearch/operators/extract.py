@@ -1,13 +1,13 @@
 """Record filtering and page extraction.
 
-Native filters decide each record's disposition first, so only accepted rows reach the
-Python HTML parser (``mapInPandas``, Arrow batches). Everything after the parser (URL
+Native filters decide each record's disposition first, so only accepted rows reach Python
+(``mapInPandas``, Arrow batches), which decodes the body and parses it. Everything after the parser (URL
 canonicalisation, link resolution, whitespace clean-up, digests) is native again.
 """
 
 from __future__ import annotations
 
-import html as _html
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 from html.parser import HTMLParser
@@ -32,10 +32,10 @@ class ExtractConfig:
     status_prefixes: tuple[str, ...] = ("2",)
     primary_types: tuple[str, ...] = ("text", "application")
     excluded_subtypes: tuple[str, ...] = ("xml", "css", "javascript", "x-javascript", "json")
-    max_outlinks: int = 1000
-    max_content_chars: int | None = None   # T9 option; None keeps whole texts
+    index_all: bool = False         # P24: any content type (unparsed types keep metadata only)
+    index_redirects: bool = False   # P24: 30x records too
     digest: str = "md5"
-    parsers: dict = field(default_factory=dict)  # extra {mime: fn(bytes_or_str) -> (title, text, links)}
+    parsers: dict = field(default_factory=dict)  # {mime: fn(str) -> (title, text, [(href, text)])}, by MIME type
 
 
 def record_type_ok(record_type, cfg: ExtractConfig = ExtractConfig()) -> Column:
@@ -47,12 +47,15 @@ def record_type_ok(record_type, cfg: ExtractConfig = ExtractConfig()) -> Column:
 def status_ok(status, cfg: ExtractConfig = ExtractConfig()) -> Column:
     """The status string starts with one of the configured prefixes."""
     c = col_of(status)
-    return reduce(or_, [c.startswith(p) for p in cfg.status_prefixes])
+    prefixes = (*cfg.status_prefixes, *(("30",) if cfg.index_redirects else ()))
+    return reduce(or_, [c.startswith(p) for p in prefixes])
 
 
 def mime_ok(content_type, cfg: ExtractConfig = ExtractConfig()) -> Column:
     """Primary type included (ignoring case), sub-type before ``;`` not excluded."""
     c = col_of(content_type)
+    if cfg.index_all:
+        return c.isNotNull()
     primary = F.lower(F.split_part(c, F.lit("/"), F.lit(1)))
     sub = F.lower(F.split_part(F.split_part(c, F.lit("/"), F.lit(2)), F.lit(";"), F.lit(1)))
     return primary.isin(*cfg.primary_types) & ~sub.isin(*cfg.excluded_subtypes)
@@ -67,9 +70,12 @@ def mime_parse_fails(content_type) -> Column:
 def disposition(df: DataFrame, cfg: ExtractConfig = ExtractConfig(), url: str = "url",
                 record_type: str = "record_type", status: str = "status",
                 content_type: str = "content_type") -> Column:
-    """P5: ``accepted`` / ``discarded`` / ``error`` per record, in the reference's order."""
+    """P5: ``accepted`` / ``discarded`` / ``error`` per record, in the reference's order; a record
+    that could not be read (column ``error``) is an error whatever else it has."""
     canon = U.canonical_url(url)
-    return (F.when(~record_type_ok(record_type, cfg), F.lit("discarded"))
+    unread = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
+    return (F.when(unread, F.lit("error"))
+            .when(~record_type_ok(record_type, cfg), F.lit("discarded"))
             .when(F.col(url).isNull(), F.lit("discarded"))
             .when(~F.coalesce(canon.startswith("http"), F.lit(False)), F.lit("error"))
             .when(F.col(status).isNull(), F.lit("error"))
@@ -89,11 +95,6 @@ def disposition_counts(records: DataFrame, cfg: ExtractConfig = ExtractConfig())
             .agg(F.count(F.lit(1)).alias("records")))
 
 
-def status_from_line(line) -> Column:
-    """status code of an HTTP status line (``''`` when the line is not HTTP)."""
-    return F.regexp_extract(col_of(line), r"^HTTP\S* +(\S+)", 1)
-
-
 # ---------------------------------------------------------------- HTML extraction
 
 # Elements whose text is skipped, link-bearing elements and their attribute.
@@ -189,6 +190,12 @@ def parse_html(doc: str | None) -> tuple[str | None, str, list[tuple[str, str]]]
     return (title if has_title else None), body, links
 
 
+def declared_charset(content_type: str | None) -> str | None:
+    """Charset parameter of a content type."""
+    found = re.search(r"(?i)charset=[\"']?([^;\s\"']+)", content_type or "")
+    return found.group(1) if found else None
+
+
 def decode_payload(payload: bytes | None, charset: str | None) -> str:
     """Decode with the declared charset, else UTF-8, else Latin-1."""
     if payload is None:
@@ -210,12 +217,17 @@ EXTRACTED_FIELDS = [
 ]
 
 
-def _extract_batches(batches, text_col: str, type_col: str, max_links: int, keep: list[str]):
+def _extract_batches(batches, text_col: str, type_col: str, parsers: dict, keep: list[str]):
     for pdf in batches:
         titles, bodies, links = [], [], []
         for doc, mime in zip(pdf[text_col], pdf[type_col]):
             m = (mime or "").lower()
-            if m.startswith("text/plain"):
+            if isinstance(doc, (bytes, bytearray)):
+                doc = decode_payload(bytes(doc), declared_charset(mime))
+            own = parsers.get(m.split(";", 1)[0].strip())
+            if own:
+                t, b, ls = own(doc or "")
+            elif m.startswith("text/plain"):
                 t, b, ls = None, doc or "", []          # E3: plain text as is
             elif "html" in m or m == "" or m.startswith("application/xhtml"):
                 t, b, ls = parse_html(doc)
@@ -223,7 +235,7 @@ def _extract_batches(batches, text_col: str, type_col: str, max_links: int, keep
                 t, b, ls = None, "", []
             titles.append(t)
             bodies.append(b)
-            links.append([{"href": h, "text": x} for h, x in ls[:max_links]])
+            links.append([{"href": h, "text": x} for h, x in ls])
         out = pdf[keep].copy()
         out["raw_title"] = titles
         out["raw_content"] = bodies
@@ -233,7 +245,8 @@ def _extract_batches(batches, text_col: str, type_col: str, max_links: int, keep
 
 def extract_pages(df: DataFrame, text_col: str = "html", type_col: str = "type",
                   cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """Title, body text and outlinks of decoded documents.
+    """Title, body text and outlinks of documents, given as text or as payload bytes
+    (decoded here record by record, so one malformed text cannot stop the job).
 
     A narrow per-partition stage: every column except the text passes through, and the
     three extracted columns are appended (no shuffle, no join back).
@@ -241,7 +254,7 @@ def extract_pages(df: DataFrame, text_col: str = "html", type_col: str = "type",
     keep = [c for c in df.columns if c != text_col]
     schema = TT.StructType([f for f in df.schema.fields if f.name != text_col] + EXTRACTED_FIELDS)
     return df.mapInPandas(
-        lambda it: _extract_batches(it, text_col, type_col, cfg.max_outlinks, keep), schema)
+        lambda it: _extract_batches(it, text_col, type_col, cfg.parsers, keep), schema)
 
 
 def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
@@ -256,28 +269,22 @@ def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
         r = r.withColumn("tstamp", digits_only("record_date"))
     if "collection" not in r.columns:
         r = r.withColumn("collection", F.lit(collection or ""))
-    if "html" not in r.columns and "payload" in r.columns:
-        from archivesearch.sources.archive import decode_records
-        r = decode_records(r)
-    body = F.col("payload") if "payload" in r.columns else F.col("html")
-    accepted = with_disposition(r, cfg).filter(F.col("disposition") == "accepted").drop("disposition")
+    body = "payload" if "payload" in r.columns else "html"
+    accepted = with_disposition(r, cfg).filter(F.col("disposition") == "accepted")
+    # Only what the page needs goes through Python, the body once.
     prepared = accepted.select(
-        "*",
+        "tstamp", "collection", "warc_name", "warc_offset", body,
         U.canonical_url("url").alias("c_url"),
         T.served_type("content_type").alias("type_full"),
         F.octet_length(body).cast("long").alias("content_length"),
-        H.payload_digest(body, cfg.digest).alias("digest"),
+        H.payload_digest(F.col(body), cfg.digest).alias("digest"),
     )
-    ex = extract_pages(prepared, text_col="html", type_col="type_full", cfg=cfg)
+    ex = extract_pages(prepared, text_col=body, type_col="type_full", cfg=cfg)
     content = T.clean_whitespace("raw_content")
-    if cfg.max_content_chars:
-        content = F.substring(content, 1, cfg.max_content_chars)
     out_links = F.transform(
         "raw_links",
         lambda l: F.struct(U.canonical_url(U.resolve_link(F.col("c_url"), l["href"])).alias("to_url"),
                            F.coalesce(T.clean_whitespace(l["text"]), F.lit("")).alias("anchor")))
-    if "payload" in ex.columns:
-        ex = ex.drop("payload")
     return ex.select(
         H.page_id("tstamp", "c_url").alias("id"),
         F.coalesce(F.col("raw_title"), F.lit("")).alias("title"),

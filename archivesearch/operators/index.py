@@ -1,10 +1,11 @@
-"""Inverted index over version documents.
+"""Inverted index over version documents (X1, X7), stored as Parquet tables.
 
 ``postings(term, field, doc_id, tf, positions, field_len)`` is built by exploding each
 field's tokens and grouping per ``(doc_id, field, term)``. The documents are hash
 partitioned by ``doc_id`` first, so that grouping needs no second shuffle of the
-(much larger) token rows. ``term_stats`` and ``field_stats`` are aggregates with
-map-side partial aggregation.
+(much larger) token rows. Postings are range-partitioned by ``(term, doc_id)``: rows of a
+term lie together for pruning, and a term that a third of all documents hold is several
+files. The statistics are aggregates over the stored postings.
 """
 
 from __future__ import annotations
@@ -22,25 +23,15 @@ DEFAULT_FIELDS = {"title": "titleString", "content": "content"}
 URL_STOP_TERMS = ("http", "https", "www", "com", "org", "net", "html", "htm", "index", "php")
 
 
-@dataclass
+@dataclass(frozen=True)
 class Index:
     postings: DataFrame     # term, field, doc_id, tf, positions, field_len
-    doc_stats: DataFrame    # doc_id, field, field_len
     term_stats: DataFrame   # term, field, df
     field_stats: DataFrame  # field, n_docs, avg_len
 
-    def write(self, path: str, mode: str = "overwrite") -> None:
-        """Persist: postings range-partitioned and sorted by term (row-group pruning on term)."""
-        (self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
-         .write.mode(mode).parquet(f"{path}/postings"))
-        self.doc_stats.write.mode(mode).parquet(f"{path}/doc_stats")
-        self.term_stats.write.mode(mode).parquet(f"{path}/term_stats")
-        self.field_stats.write.mode(mode).parquet(f"{path}/field_stats")
-
     @staticmethod
     def read(spark, path: str) -> "Index":
-        return Index(*(spark.read.parquet(f"{path}/{n}")
-                       for n in ("postings", "doc_stats", "term_stats", "field_stats")))
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "term_stats", "field_stats")))
 
 
 def field_tokens(docs: DataFrame, fields: dict[str, str] | None = None,
@@ -60,22 +51,25 @@ def field_tokens(docs: DataFrame, fields: dict[str, str] | None = None,
     return out
 
 
-def build_index(docs: DataFrame, fields: dict[str, str] | None = None,
-                url_stop_terms: tuple[str, ...] | None = None,
-                partitions: int | None = None) -> Index:
-    """Postings with positions, per-document field lengths, term and field statistics."""
+def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None,
+                url_stop_terms: tuple[str, ...] | None = None, partitions: int | None = None) -> Index:
+    """Write postings with positions and the term and field statistics under ``path``."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # posexplode_outer: a field without tokens keeps a row, so that it counts as a document.
     ft = field_tokens(docs.repartition(n, "id"), fields, url_stop_terms)
-    ft = ft.withColumn("field_len", F.size("toks"))
-    doc_stats = ft.select("doc_id", "field", "field_len")
-    exploded = ft.select("doc_id", "field", "field_len", F.posexplode("toks").alias("pos", "term"))
-    postings = (exploded.groupBy("doc_id", "field", "term")
-                .agg(F.count(F.lit(1)).cast("int").alias("tf"),
-                     F.array_sort(F.collect_list("pos")).alias("positions"),
-                     F.first("field_len").alias("field_len")))
-    term_stats = postings.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-    field_stats = doc_stats.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len"))
-    return Index(postings.select("term", "field", "doc_id", "tf", "positions", "field_len"),
-                 doc_stats, term_stats, field_stats)
+    rows = ft.select("doc_id", "field", F.size("toks").alias("field_len"), F.posexplode_outer("toks").alias("pos", "term"))
+    postings = (rows.groupBy("doc_id", "field", "term")
+                .agg(F.count("pos").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"),
+                     F.first("field_len").alias("field_len"))
+                .select("term", "field", "doc_id", "tf", "positions", "field_len"))
+    (postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+     .write.mode("overwrite").parquet(f"{path}/postings"))
+    kept = spark.read.parquet(f"{path}/postings")
+    (kept.filter("term is not null").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
+     .write.mode("overwrite").parquet(f"{path}/term_stats"))
+    # Every token of a document's field lies in one of its postings.
+    per_doc = kept.groupBy("doc_id", "field").agg(F.max("field_len").alias("field_len"))
+    (per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len"))
+     .write.mode("overwrite").parquet(f"{path}/field_stats"))
+    return Index.read(spark, path)

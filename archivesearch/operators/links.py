@@ -14,14 +14,11 @@ from archivesearch.functions import urls as U
 from archivesearch.functions.timestamps import time_slice
 
 EDGE_KEY = ["surt", "time_slice"]
-# Salt buckets that spread one hot link target over several tasks before the final merge.
-ANCHOR_SALT = 32
 
 
-def outlink_edges(pages: DataFrame, max_outlinks: int = 1000) -> DataFrame:
-    """T8 + explode: page rows with ``out_links`` -> ``(from_url, to_url, anchor, tstamp)``."""
-    return (pages.select(F.col("url").alias("from_url"), "tstamp",
-                         F.explode(F.slice("out_links", 1, max_outlinks)).alias("l"))
+def outlink_edges(pages: DataFrame) -> DataFrame:
+    """Page rows with ``out_links`` -> one row per link ``(from_url, to_url, anchor, tstamp)``."""
+    return (pages.select(F.col("url").alias("from_url"), "tstamp", F.explode("out_links").alias("l"))
             .select("from_url", F.col("l.to_url").alias("to_url"),
                     F.coalesce(F.col("l.anchor"), F.lit("")).alias("anchor"), "tstamp"))
 
@@ -31,9 +28,9 @@ def invert_links(edges: DataFrame, policy: str = "none") -> DataFrame:
 
     Output: one row per distinct ``(surt, time_slice, from_url, anchor)``. Self-links are kept.
     """
-    keyed = edges.select(U.surt("to_url").alias("surt"),
-                         time_slice("tstamp", policy).alias("time_slice"),
-                         "from_url", F.coalesce("anchor", F.lit("")).alias("anchor"))
+    rows = edges.select("to_url", time_slice("tstamp", policy).alias("time_slice"), "from_url",
+                        F.coalesce("anchor", F.lit("")).alias("anchor"))
+    keyed = U.with_surt(rows, "to_url", "surt").drop("to_url")
     return keyed.filter(F.col("surt").isNotNull()).dropDuplicates(EDGE_KEY + ["from_url", "anchor"])
 
 
@@ -42,32 +39,29 @@ def inlink_counts(inlinks: DataFrame) -> DataFrame:
     return inlinks.groupBy(*EDGE_KEY).agg(F.count(F.lit(1)).cast("int").alias("inlinks"))
 
 
-def anchor_text(inlinks: DataFrame, salt: int = ANCHOR_SALT) -> DataFrame:
-    """A2: per key, each non-empty anchor once per source host, sorted by (anchor, host),
-    each followed by one space.
+def anchors(inlinks: DataFrame) -> DataFrame:
+    """A2 as rows: each non-empty anchor once per key and source host, ``(surt, time_slice,
+    anchor, host)``. A popular target is many rows, spread by all four columns."""
+    return (inlinks.filter(F.col("anchor") != "")
+            .select(*EDGE_KEY, "anchor", U.url_host("from_url").alias("host")).distinct())
 
-    Two-phase: distinct ``(key, host, anchor)`` first (spread by all three columns), then
-    sorted partial lists per ``(key, salt)``, then one merge per key.
+
+def anchor_text(inlinks: DataFrame) -> DataFrame:
+    """A2 as exported: the anchors of a key sorted by (anchor, host), each followed by one space.
+
+    The string holds every anchor, so its size is that of the key's anchors; only the page
+    export asks for it, everything else works on ``anchors``.
     """
-    distinct = (inlinks.filter(F.col("anchor") != "")
-                .select(*EDGE_KEY, U.url_host("from_url").alias("host"), "anchor")
-                .dropDuplicates(EDGE_KEY + ["host", "anchor"]))
-    salted = distinct.withColumn("_salt", F.abs(F.hash("anchor", "host")) % salt)
-    partial = (salted.groupBy(*EDGE_KEY, "_salt")
-               .agg(F.collect_list(F.struct("anchor", "host")).alias("part")))
-    merged = partial.groupBy(*EDGE_KEY).agg(F.flatten(F.collect_list("part")).alias("pairs"))
-    return merged.select(
-        *EDGE_KEY,
-        F.concat(F.array_join(F.transform(F.array_sort("pairs"), lambda p: p["anchor"]), " "),
-                 F.lit(" ")).alias("anchor"),
+    listed = anchors(inlinks).groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_list(F.struct("anchor", "host"))).alias("pairs"))
+    return listed.select(
+        *EDGE_KEY, F.concat(F.array_join("pairs.anchor", " "), F.lit(" ")).alias("anchor"),
         F.size("pairs").alias("anchor_count"))
 
 
 def inlink_summary(inlinks: DataFrame) -> DataFrame:
     """A2 + A3 per key: ``(surt, time_slice, anchor, inlinks)``; keys without anchors get ``''``."""
     counts = inlink_counts(inlinks)
-    anchors = anchor_text(inlinks)
-    return (counts.join(anchors.drop("anchor_count"), EDGE_KEY, "left")
+    return (counts.join(anchor_text(inlinks).drop("anchor_count"), EDGE_KEY, "left")
             .select(*EDGE_KEY, F.coalesce("anchor", F.lit("")).alias("anchor"), "inlinks"))
 
 

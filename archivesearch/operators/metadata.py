@@ -14,7 +14,6 @@ from archivesearch.functions import timestamps as TS
 from archivesearch.functions import urls as U
 from archivesearch.functions._util import col_of
 from archivesearch.operators import captures as C
-from archivesearch.session import broadcast_if_small
 
 ID_RE = r"^(.+)/([^/]*)$"
 
@@ -34,14 +33,7 @@ def parse_requests(requests: DataFrame, id_col: str = "id") -> DataFrame:
     return requests.select("*", url.alias("req_url"), ts.alias("req_ts"), valid.alias("valid"))
 
 
-def doc_versions(docs: DataFrame) -> DataFrame:
-    """Documents exploded to one row per version: ``(doc_id, surt, tstamp, collection)``."""
-    return docs.select(F.col("id").alias("doc_id"), F.explode("versions").alias("v")).select(
-        "doc_id", F.col("v.surt").alias("surt"), F.col("v.tstamp").alias("tstamp"),
-        F.col("v.collection").alias("vcollection"))
-
-
-def version_lookup(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def version_lookup(requests: DataFrame, versions: DataFrame) -> DataFrame:
     """J6 + U2 (Q5): requests ``(req_id, urls, tstamp)``; ``urls`` is a comma list (OR).
 
     Invalid URLs are dropped; the time is canonicalised (F8). One row per matching
@@ -50,16 +42,17 @@ def version_lookup(requests: DataFrame, docs: DataFrame) -> DataFrame:
     r = (requests.select("req_id", F.explode(F.split("urls", ",")).alias("u"), "tstamp")
          .filter(U.is_url("u"))
          .select("req_id", U.surt("u").alias("surt"), TS.canonical_timestamp("tstamp").alias("tstamp")))
-    return (doc_versions(docs).join(broadcast_if_small(r), ["surt", "tstamp"])
-            .select("req_id", "doc_id", "surt", "tstamp", "vcollection").dropDuplicates(["req_id", "doc_id"]))
+    found = versions.withColumnRenamed("collection", "vcollection").join(r, ["surt", "tstamp"])
+    one = F.min(F.struct("surt", "tstamp", "vcollection")).alias("v")
+    return found.groupBy("req_id", "doc_id").agg(one).select("req_id", "doc_id", "v.*")
 
 
-def extracted_text(requests: DataFrame, docs: DataFrame) -> DataFrame:
+def extracted_text(requests: DataFrame, docs: DataFrame, versions: DataFrame) -> DataFrame:
     """J5 (Q4): per ``req_id, id`` -> ``title + ", " + content`` of the document holding that
     version; ``found = false`` when none (the 404 of the reference)."""
     p = parse_requests(requests)
     hits = version_lookup(p.filter("valid").select("req_id", F.col("req_url").alias("urls"),
-                                                  F.col("req_ts").alias("tstamp")), docs)
+                                                  F.col("req_ts").alias("tstamp")), versions)
     first = hits.groupBy("req_id").agg(F.min("doc_id").alias("doc_id"))
     text = docs.select(F.col("id").alias("doc_id"),
                        F.concat_ws(", ", F.coalesce("titleString", F.lit("")), F.coalesce("content", F.lit(""))).alias("text"))
@@ -68,26 +61,28 @@ def extracted_text(requests: DataFrame, docs: DataFrame) -> DataFrame:
             .select("req_id", F.col("doc_id").isNotNull().alias("found"), "doc_id", "text"))
 
 
-def metadata(requests: DataFrame, docs: DataFrame, captures: DataFrame) -> DataFrame:
+def metadata(requests: DataFrame, docs: DataFrame, versions: DataFrame, captures: DataFrame) -> DataFrame:
     """J2 + U3 (Q3): text hit merged with the capture of the same ``(url, timestamp)``.
 
     The capture wins for status, length, offset, file name and digest, and for the
     collection when non-empty; without a text hit the capture row alone is returned.
+    Versions and captures are united by their key ``(surt, tstamp)`` first, so the requests
+    are joined once.
     """
-    p = parse_requests(requests).filter("valid")
-    text = version_lookup(p.select("req_id", F.col("req_url").alias("urls"), F.col("req_ts").alias("tstamp")), docs)
-    text = text.groupBy("req_id").agg(F.min_by(F.struct("doc_id", "vcollection", "tstamp"), F.col("doc_id")).alias("t"))
-    text = text.join(docs.select(F.col("id").alias("t_id"), F.col("titleString").alias("t_title"),
-                                 F.col("type").alias("t_type")), F.col("t.doc_id") == F.col("t_id"))
-    req = p.select("req_id", U.surt("req_url").alias("surt"), TS.canonical_timestamp("req_ts").alias("ts"))
-    caps = C.typed(captures).withColumn("surt", U.surt("url"))
-    cdx = caps.join(broadcast_if_small(req), (caps["surt"] == req["surt"]) & (caps["timestamp"] == req["ts"]))
-    cdx = cdx.groupBy("req_id").agg(F.min_by(F.struct(
-        "statusCode", "contentLength", "offset_long", "filename", "digest", "collection", "mime"),
-        F.struct("digest", "offset_long")).alias("c"))
-    j = p.select("req_id").join(text, "req_id", "left").join(cdx, "req_id", "left")
+    p = parse_requests(requests).filter("valid").select(
+        "req_id", U.surt("req_url").alias("surt"), TS.canonical_timestamp("req_ts").alias("tstamp"))
+    text = versions.select("surt", "tstamp", F.struct("doc_id", F.col("collection").alias("vcollection")).alias("t"))
+    text = text.groupBy("surt", "tstamp").agg(F.min("t").alias("t"))
+    cdx = C.typed(captures).withColumn("surt", U.surt("url")).groupBy("surt", F.col("timestamp").alias("tstamp")).agg(
+        F.min(F.struct("digest", "offset_long", "statusCode", "contentLength", "filename", "collection", "mime")).alias("c"))
+    both = (text.withColumn("c", F.lit(None).cast(cdx.schema["c"].dataType))
+            .unionByName(cdx.withColumn("t", F.lit(None).cast(text.schema["t"].dataType)))
+            .groupBy("surt", "tstamp").agg(F.max("t").alias("t"), F.max("c").alias("c")))
+    j = p.join(both, ["surt", "tstamp"]).join(
+        docs.select(F.col("id").alias("t_id"), F.col("titleString").alias("t_title"), F.col("type").alias("t_type")),
+        F.col("t.doc_id") == F.col("t_id"), "left")
     has_t, has_c = F.col("t").isNotNull(), F.col("c").isNotNull()
-    return j.filter(has_t | has_c).select(
+    return j.select(
         "req_id",
         has_t.alias("found_text"), has_c.alias("found_cdx"),
         F.when(has_t, F.col("t_title")).otherwise(F.lit(None).cast("string")).alias("title"),

@@ -1,21 +1,26 @@
-"""Batch ranked text search.
-
-A *batch* of queries is a DataFrame (one row per query). Matching is a join of the
-exploded query terms (small, broadcast behind a size check) with the postings; scoring,
-collapse, paging and counting are aggregates and windows keyed by ``qid``:
-
-* match + BM25: one ``groupBy(qid, doc_id)`` over the joined postings (partial aggregation);
-* collapse: ``row_number`` over ``(qid, group_key)`` with a constant upper limit, so
-  Spark plans a partial ``WindowGroupLimit`` before the shuffle (hot groups are cut
-  map-side); heads for paging: same with the batch's deepest page as the limit;
-* counts: aggregates, never a collect.
+"""Batch ranked text search.
+
+A *batch* of queries is a DataFrame (one row per query); one plan answers it:
+
+* match, BM25 and exclusions: one join of the postings with the batch's terms (each with its
+  flags and statistics) and one ``groupBy(qid, doc_id)`` with partial aggregation;
+* filters: sites and collections are equi-joins on exploded keys, title, type and time are
+  predicates beside the document's summary columns. A query without terms starts from its most
+  selective filter by equi-join; without any filter it reads only the heads that its page can
+  show (P14), computed once per dedup field, never all documents for each query;
+* collapse: one window pass over ``(qid, group_key)`` with the batch's constant limit, so Spark
+  cuts hot groups map-side (``WindowGroupLimit``). The collapsed hits are stored once; page and
+  summary read them.
+
+Branches that no query of the batch needs (phrases, sites, snippets, ...) are not planned: one
+aggregate over the analysed batch says which.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
@@ -25,18 +30,19 @@ from archivesearch.functions import urls as U
 from archivesearch.operators import filters as FL
 from archivesearch.operators.docs import oldest_version
 from archivesearch.operators.index import Index
-from archivesearch.session import broadcast_if_small, cut_lineage
+from archivesearch.session import stored
 
 # Fixed values of the query model.
 DEFAULT_MAX_ITEMS = 50
-MAX_ALLOWED_ITEMS = 500
 DEFAULT_DEDUP_VALUE = 2
-DEFAULT_DEDUP_FIELD = "site"
+DEFAULT_DEDUP_FIELD = "title"
+SITE_SEARCH_DEDUP_FIELD = "url"
 # Dedup field (lower-cased) -> document column; anything else -> titleString.
 DEDUP_KEYS = {"site": "surtOldest", "surt": "surtOldest", "mimetype": "type", "type": "type",
               "collection": "collection", "title": "titleString"}
 # A query that is itself a URL is rejected.
 URL_QUERY_RE = r"^\s*(((http|https)://)?([a-zA-Z\d][-\w.]*)\.([a-zA-Z.]{2,6})([-/\w\p{L}.~,;:%&=?!+$#*@()]*)/?)\s*$"
+_OFF = "\u0000"  # key prefix of hits that are not collapsed
 
 
 @dataclass(frozen=True)
@@ -45,11 +51,12 @@ class SearchConfig:
     b: float = 0.75
     weights: dict = field(default_factory=lambda: {"title": 2.0, "content": 1.0})
     operator: str = "and"           # X2: "and" (default) or "or"
-    max_terms: int | None = None    # T7 option
     off_value: int = -1             # W1 (-1) or legacy W3 (0)
     round_digits: int = 6
-    max_ranked: int | None = None   # T6 option
+    require_query: bool = False     # P15: the API's rule, a request without q is refused
     strict: bool = False            # version filter before collapse
+    match_fields: tuple[str, ...] | None = None   # P23: match and score only these fields
+    with_snippet: bool = True
     snippet_context: int = 20
     snippet_length: int = 80
     escape_snippets: bool = False
@@ -73,37 +80,47 @@ QUERY_SCHEMA = TT.StructType([
 ])
 
 
-def normalize_queries(queries: DataFrame) -> DataFrame:
-    """Fill the query model's defaults, clamp ``max_items`` to 0..500, and guard."""
+def normalize_queries(queries: DataFrame, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """Fill the query model's defaults (Q1) and guard.
+
+    Negative offsets and page sizes count as 0; any page size is honoured. Without a dedup
+    field, a search by site is deduplicated by ``url``, any other by ``title``.
+    """
     q = queries
     for f in QUERY_SCHEMA.fields:
         if f.name not in q.columns:
             q = q.withColumn(f.name, F.lit(None).cast(f.dataType))
-    mi = F.coalesce(F.col("max_items"), F.lit(DEFAULT_MAX_ITEMS))
+    by_site = F.coalesce(F.size("site"), F.lit(0)) > 0
     q = q.withColumns({
         "offset": F.greatest(F.coalesce(F.col("offset"), F.lit(0)), F.lit(0)).cast("int"),
-        "max_items": F.least(F.greatest(mi, F.lit(0)), F.lit(MAX_ALLOWED_ITEMS)).cast("int"),
+        "max_items": F.greatest(F.coalesce(F.col("max_items"), F.lit(DEFAULT_MAX_ITEMS)), F.lit(0)).cast("int"),
         "dedup_value": F.coalesce(F.col("dedup_value"), F.lit(DEFAULT_DEDUP_VALUE)).cast("int"),
-        "dedup_field": F.coalesce(F.col("dedup_field"), F.lit(DEFAULT_DEDUP_FIELD)),
+        "dedup_field": F.coalesce(F.col("dedup_field"), F.when(by_site, F.lit(SITE_SEARCH_DEDUP_FIELD))
+                                  .otherwise(F.lit(DEFAULT_DEDUP_FIELD))),
     })
-    has_filter = (F.col("site").isNotNull() | F.col("collection").isNotNull()
-                  | F.col("type").isNotNull() | F.col("from").isNotNull() | F.col("to").isNotNull())
-    status = (F.when(F.col("q").isNotNull() & F.col("q").rlike(URL_QUERY_RE), F.lit("rejected_url"))
-              .when((F.col("q").isNull() | (F.trim("q") == "")) & ~has_filter, F.lit("bad_request"))
-              .otherwise(F.lit("ok")))
-    message = (F.when(status == "rejected_url", F.lit("URL queries are answered by the URL search"))
-               .when(status == "bad_request", F.lit("no query terms given")))
+    for name in ("site", "type", "collection"):  # an empty list is no filter
+        q = q.withColumn(name, F.when(F.size(name) > 0, F.col(name)))
+    rejected = F.col("q").isNotNull() & F.col("q").rlike(URL_QUERY_RE)
+    missing = F.col("q").isNull() & F.lit(cfg.require_query)
+    status = (F.when(rejected, F.lit("rejected_url")).when(missing, F.lit("bad_request")).otherwise(F.lit("ok")))
+    message = (F.when(rejected, F.lit("URL queries are answered by the URL search"))
+               .when(missing, F.lit("no query terms given")))
     return q.select(*[f.name for f in QUERY_SCHEMA.fields],
                     *[c for c in q.columns if c not in QUERY_SCHEMA.fieldNames()],
                     status.alias("status"), message.alias("message"))
 
 
-def analyze_queries(queries: DataFrame, max_terms: int | None = None) -> DataFrame:
-    """``terms``, ``phrases`` (arrays of tokens) and ``excludes`` of each query."""
+def analyze_queries(queries: DataFrame) -> DataFrame:
+    """``terms``, ``phrases`` and ``excludes`` of each query (empty arrays without ``q``),
+    its canonical time bounds and the SURT prefixes of its sites, each computed once per query."""
+    none = F.array().cast("array<string>")
     return queries.withColumns({
-        "terms": T.query_terms("q", max_terms),
-        "phrases": T.query_phrases("q"),
-        "excludes": T.query_excludes("q"),
+        "terms": F.coalesce(T.query_terms("q"), none),
+        "phrases": F.coalesce(T.query_phrases("q"), F.array().cast("array<array<string>>")),
+        "excludes": F.coalesce(T.query_excludes("q"), none),
+        "lo": FL.canonical_bound("from") if "from" in queries.columns else F.lit(None).cast("string"),
+        "hi": FL.canonical_bound("to") if "to" in queries.columns else F.lit(None).cast("string"),
+        "prefixes": FL.site_prefixes("site") if "site" in queries.columns else F.lit(None).cast("array<string>"),
     })
 
 
@@ -114,254 +131,274 @@ def dedup_key(name) -> Column:
     return F.coalesce(m[n], F.lit("titleString"))
 
 
-def _scoring_terms(aq: DataFrame) -> DataFrame:
-    """(qid, term) for every plain and phrase term, and whether it must match on its own."""
-    plain = aq.select("qid", F.explode("terms").alias("term"), F.lit(True).alias("required"))
-    phr = aq.select("qid", F.explode(F.flatten(F.coalesce("phrases", F.array().cast("array<array<string>>"))))
-                    .alias("term"), F.lit(False).alias("required"))
-    return (plain.unionByName(phr).groupBy("qid", "term")
-            .agg(F.max("required").alias("required")))
+# ------------------------------------------------------------------ match and score
 
+def _batch_terms(aq: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
+    """(qid, term, field) of the batch with what a posting of it means: ``required`` (plain
+    term), ``excluded``, ``scores``, and the idf and lengths of its field."""
+    def rows(column, required, excluded):
+        return aq.select("qid", F.explode(column).alias("term"), F.lit(required).alias("required"),
+                         F.lit(excluded).alias("excluded"))
 
-def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
-                fields: list[str] | None = None) -> DataFrame:
-    """J7 + X2 + X4: documents holding the query terms, with BM25 scores.
+    terms = (rows("terms", True, False).unionByName(rows(F.flatten("phrases"), False, False))
+             .unionByName(rows("excludes", False, True))
+             .groupBy("qid", "term").agg(F.max("required").alias("required"), F.max("excluded").alias("excluded"),
+                                         F.max(~F.col("excluded")).alias("scores")))
+    weights = F.create_map(*[x for k, v in cfg.weights.items() for x in (F.lit(k), F.lit(float(v)))])
+    own = F.col("field").isin(*cfg.match_fields) if cfg.match_fields else F.lit(True)
+    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # field_stats has one row per indexed field.
+    return (terms.join(index.term_stats, "term").join(F.broadcast(index.field_stats), "field")
+            .withColumn("excluded", F.col("excluded") & F.col("field").isin("title", "content"))
+            .withColumn("required", F.col("required") & own).withColumn("scores", F.col("scores") & own)
+            .filter("required or excluded or scores")
+            .select("qid", "term", "field", "required", "excluded", "scores", "avg_len",
+                    (F.coalesce(weights[F.col("field")], F.lit(1.0)) * idf).alias("weight")))
+
+
+def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """J7 + X2 + X4 + P13: ``(qid, doc_id, score)`` of the documents that hold the query terms
+    and no excluded term, with BM25 scores.
 
     ``operator="and"``: every plain term must occur in some field; ``"or"``: any term.
-    ``fields`` restricts matching and scoring to those fields (P23 field queries).
-    Output: ``qid, doc_id, score, matched``.
     """
-    qt = _scoring_terms(aq)
-    n_req = aq.select("qid", F.size("terms").alias("n_required"))
-    postings = index.postings
-    term_stats, field_stats = index.term_stats, index.field_stats
-    if fields:
-        postings = postings.filter(F.col("field").isin(*fields))
-        term_stats = term_stats.filter(F.col("field").isin(*fields))
-    weights = F.create_map(*[x for k, v in cfg.weights.items() for x in (F.lit(k), F.lit(float(v)))])
-    hits = (postings.join(broadcast_if_small(qt), "term")
-            .join(broadcast_if_small(term_stats.join(broadcast_if_small(qt.select("term").distinct()), "term")),
-                  ["term", "field"])
-            .join(F.broadcast(field_stats), "field"))
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    if cfg.operator not in ("and", "or"):
+        raise ValueError("operator must be 'and' or 'or'")
+    hits = index.postings.select("term", "field", "doc_id", "tf", "field_len").join(
+        _batch_terms(aq, index, cfg), ["term", "field"])
     norm = F.col("tf") * (cfg.k1 + 1) / (
         F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("field_len") / F.col("avg_len")))
-    partial = F.coalesce(weights[F.col("field")], F.lit(1.0)) * idf * norm
-    per_doc = hits.groupBy("qid", "doc_id").agg(
-        F.sum(partial).alias("raw_score"),
-        F.count_distinct(F.when(F.col("required"), F.col("term"))).alias("matched"))
-    out = per_doc.join(broadcast_if_small(n_req), "qid")
+    aggs = [F.sum(F.when(F.col("scores"), F.col("weight") * norm)).alias("raw_score"),
+            F.max("excluded").alias("excluded")]
     if cfg.operator == "and":
-        out = out.filter(F.col("matched") == F.col("n_required"))
-    elif cfg.operator == "or":
-        out = out.filter((F.col("matched") > 0) | (F.col("n_required") == 0))
-    else:
-        raise ValueError("operator must be 'and' or 'or'")
-    return out.select("qid", "doc_id", F.round("raw_score", cfg.round_digits).alias("score"), "matched")
+        aggs.append(F.count_distinct(F.when(F.col("required"), F.col("term"))).alias("matched"))
+    out = hits.groupBy("qid", "doc_id").agg(*aggs).filter(~F.col("excluded") & F.col("raw_score").isNotNull())
+    if cfg.operator == "and":
+        needed = aq.select("qid", F.size("terms").alias("n_required"))
+        out = out.join(needed, "qid").filter(F.col("matched") == F.col("n_required"))
+    return out.select("qid", "doc_id", F.round("raw_score", cfg.round_digits).alias("score"))
 
 
-def match_phrases(aq: DataFrame, index: Index, fields: list[str] | None = None) -> DataFrame:
+def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents holding every phrase of the query.
 
     Per (query, phrase, document, field), the phrase terms' position lists (one per
     term, so the group is bounded by the phrase length) are shifted by the term index
     and intersected.
     """
-    ph = aq.select("qid", F.posexplode("phrases").alias("phrase_idx", "phrase"))
-    ph = ph.select("qid", "phrase_idx", F.size("phrase").alias("plen"),
+    ph = aq.select("qid", F.size("phrases").alias("n_phrases"), F.posexplode("phrases").alias("phrase_idx", "phrase"))
+    ph = ph.select("qid", "n_phrases", "phrase_idx", F.size("phrase").alias("plen"),
                    F.posexplode("phrase").alias("term_idx", "term"))
-    n_phrases = aq.select("qid", F.size("phrases").alias("n_phrases"))
-    postings = index.postings
+    postings = index.postings.select("term", "field", "doc_id", "positions")
     if fields:
         postings = postings.filter(F.col("field").isin(*fields))
-    joined = postings.join(broadcast_if_small(ph), "term")
-    grouped = joined.groupBy("qid", "phrase_idx", "doc_id", "field", "plen").agg(
+    grouped = postings.join(ph, "term").groupBy("qid", "n_phrases", "phrase_idx", "doc_id", "field", "plen").agg(
         F.collect_list(F.struct("term_idx", "positions")).alias("lists"))
     starts = F.aggregate(
-        F.slice("lists", 2, 1 << 20),
+        F.slice("lists", 2, F.size("lists")),
         F.transform(F.col("lists")[0]["positions"], lambda p: p - F.col("lists")[0]["term_idx"]),
         lambda acc, x: F.array_intersect(acc, F.transform(x["positions"], lambda p: p - x["term_idx"])))
-    matched = (grouped.filter(F.size("lists") == F.col("plen"))
-               .filter(F.size(starts) > 0)
-               .select("qid", "phrase_idx", "doc_id").distinct())
-    per_doc = matched.groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("phrases_matched"))
-    return (per_doc.join(broadcast_if_small(n_phrases), "qid")
-            .filter(F.col("phrases_matched") == F.col("n_phrases")).select("qid", "doc_id"))
-
-
-def excluded_docs(aq: DataFrame, index: Index, fields=("title", "content")) -> DataFrame:
-    """``(qid, doc_id)`` of documents holding an excluded term in title or content."""
-    ex = aq.select("qid", F.explode("excludes").alias("term"))
-    return (index.postings.filter(F.col("field").isin(*fields))
-            .join(broadcast_if_small(ex), "term").select("qid", "doc_id").distinct())
-
-
-def candidates(aq: DataFrame, docs: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
-               fields: list[str] | None = None) -> DataFrame:
-    """Matched, phrase-checked, exclusion-filtered ``(qid, doc_id, score)``.
-
-    P14: a query without terms or phrases matches every document with score 0.
-    """
-    aq = aq.filter(F.col("status") == "ok") if "status" in aq.columns else aq
-    has_terms = (F.size("terms") > 0) | (F.size("phrases") > 0)
-    with_terms = aq.filter(has_terms)
-    match_all = aq.filter(~has_terms)
-    hits = match_terms(with_terms, index, cfg, fields).select("qid", "doc_id", "score")
-    phrased = with_terms.filter(F.size("phrases") > 0)
-    # queries with phrases must also hold them; others pass through
-    need_phrase = hits.join(broadcast_if_small(phrased.select("qid")), "qid", "left_semi")
-    no_phrase = hits.join(broadcast_if_small(phrased.select("qid")), "qid", "left_anti")
-    phrase_ok = need_phrase.join(match_phrases(phrased, index, fields), ["qid", "doc_id"], "left_semi")
-    everything = match_all_hits(match_all, docs)
-    hits = no_phrase.unionByName(phrase_ok).unionByName(everything)
-    excl = excluded_docs(aq, index)
-    return hits.join(excl, ["qid", "doc_id"], "left_anti")
-
-
-def match_all_hits(match_all: DataFrame, docs: DataFrame) -> DataFrame:
-    """Every document is a hit (score 0) for each query without terms.
-
-    The ids of such queries come from the (small, bounded) query batch; each document row
-    is expanded by them in place (narrow, no shuffle, no join). Their filters cut the rows
-    right after.
-    """
-    qids = [r["qid"] for r in match_all.select("qid").collect()]
-    if not qids:
+    matched = (grouped.filter((F.size("lists") == F.col("plen")) & (F.size(starts) > 0))
+               .select("qid", "n_phrases", "phrase_idx", "doc_id").distinct())
+    return (matched.groupBy("qid", "n_phrases", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") == F.col("n_phrases")).select("qid", "doc_id"))
+
+
+# ------------------------------------------------------------------ the batch
+
+HAS_TERMS = "(size(terms) > 0 or size(phrases) > 0)"
+HAS_FILTER = ("(prefixes is not null or collection is not null or type is not null or title_search is not null"
+              " or lo is not null or hi is not null)")
+
+
+def batch_shape(aq: DataFrame) -> Row:
+    """One row about the whole (accepted) batch: which branches it needs, its deepest page and
+    largest group. Aggregates only, whatever the number of queries."""
+    def any_of(condition):
+        return F.coalesce(F.max(F.expr(condition)), F.lit(False))
+
+    names = F.collect_set(F.when(F.expr(f"not {HAS_TERMS} and not {HAS_FILTER}"), dedup_key("dedup_field")))
+    return aq.filter("status = 'ok'").agg(
+        any_of(HAS_TERMS).alias("terms"), any_of("size(phrases) > 0").alias("phrases"),
+        any_of("prefixes is not null").alias("site"), any_of("collection is not null").alias("collection"),
+        any_of(f"not {HAS_TERMS} and {HAS_FILTER}").alias("filter_only"),
+        any_of(f"not {HAS_TERMS} and not {HAS_FILTER}").alias("match_all"),
+        any_of("size(excludes) > 0 and not " + HAS_TERMS).alias("exclude_only"),
+        any_of("fields is null or exists(fields, f -> lower(f) = 'snippet')").alias("snippet"),
+        names.alias("keys"),  # at most the columns of DEDUP_KEYS
+        F.coalesce(F.max("dedup_value"), F.lit(1)).alias("dedup"),
+        F.coalesce(F.max(F.col("offset").cast("long") + F.col("max_items")), F.lit(0)).alias("depth")).first()
+
+
+PARAMS = ["offset", "max_items", "dedup_value", "dedup_field", "lo", "hi", "type", "title_search"]
+
+
+def candidates(aq: DataFrame, docs: DataFrame, versions: DataFrame, index: Index,
+               cfg: SearchConfig = SearchConfig(), shape: Row | None = None) -> DataFrame:
+    """``(qid, doc_id, score)``: matched, phrase-checked, exclusion-filtered, and with score 0
+    the documents of filter-only queries, found by their most selective filter."""
+    aq = aq.filter("status = 'ok'") if "status" in aq.columns else aq
+    shape = shape or Row(terms=True, phrases=True, filter_only=False, exclude_only=False)
+    parts = []
+    if shape.terms:
+        hits = match_terms(aq.filter(HAS_TERMS), index, cfg)
+        if shape.phrases:
+            ok = match_phrases(aq.filter("size(phrases) > 0"), index, cfg.match_fields)
+            hits = (hits.join(aq.select("qid", (F.size("phrases") > 0).alias("phrased")), "qid")
+                    .join(ok.withColumn("holds", F.lit(True)), ["qid", "doc_id"], "left")
+                    .filter("not phrased or holds").select("qid", "doc_id", "score"))
+        parts.append(hits)
+    if shape.filter_only:
+        found = FL.filter_only_hits(aq.filter(f"not {HAS_TERMS} and {HAS_FILTER}"), docs, versions)
+        found = found.withColumn("score", F.lit(0.0))
+        if shape.exclude_only:
+            found = found.join(_excluded(aq, index), ["qid", "doc_id"], "left_anti")
+        parts.append(found)
+    if not parts:
         return docs.sparkSession.createDataFrame([], "qid long, doc_id string, score double")
-    return docs.select(F.explode(F.array(*[F.lit(q).cast("long") for q in qids])).alias("qid"),
-                       F.col("id").alias("doc_id"), F.lit(0.0).alias("score"))
-
-
-DOC_FILTER_COLS = ["id", "titleString", "type", "collections", "surts", "tstampOldest", "tstampLatest",
-                   "surtOldest", "collection", "site"]
-QUERY_FILTER_COLS = ["offset", "max_items", "dedup_value", "dedup_field", "from", "to", "type",
-                     "collection", "title_search", "fields"]
-
-
-def query_params(aq: DataFrame) -> DataFrame:
-    """Per-query parameters, prefixed ``q_`` so they never clash with document columns."""
-    return aq.select("qid", *[F.col(c).alias("q_" + c) for c in QUERY_FILTER_COLS],
-                     FL.site_prefixes("site").alias("q_site_prefixes"))
-
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-def apply_filters(hits: DataFrame, docs: DataFrame, aq: DataFrame) -> DataFrame:
-    """Coarse per-query filters on the document summary columns.
 
-    Output: hits joined with the document summary and the query parameters.
-    """
-    d = docs.select(*[c for c in DOC_FILTER_COLS if c in docs.columns]).withColumnRenamed("id", "doc_id")
-    j = hits.join(d, "doc_id").join(broadcast_if_small(query_params(aq)), "qid")
+def _excluded(aq: DataFrame, index: Index) -> DataFrame:
+    ex = aq.select("qid", F.explode("excludes").alias("term"))
+    held = index.postings.filter(F.col("field").isin("title", "content")).select("term", "doc_id")
+    return held.join(ex, "term").select("qid", "doc_id").distinct()
+
+
+SUMMARY_COLS = ["titleString", "type", "tstampOldest", "tstampLatest", "surtOldest", "collection", "site"]
+
+
+def apply_filters(hits: DataFrame, docs: DataFrame, versions: DataFrame, aq: DataFrame,
+                  shape: Row | None = None) -> DataFrame:
+    """Hits joined with the document summary (``d_`` columns) and their query's
+    parameters (``q_``), less those that a filter of the query refuses."""
+    d = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"d_{c}") for c in SUMMARY_COLS if c in docs.columns])
+    params = aq.select("qid", *[F.col(c).alias("q_" + c) for c in PARAMS],
+                       F.col("prefixes").isNotNull().alias("q_by_site"),
+                       F.col("collection").isNotNull().alias("q_by_collection"))
+    j = hits.join(d, "doc_id").join(params, "qid")
+    for name, wanted, rows in (("site", shape is None or shape.site, FL.site_hits),
+                               ("collection", shape is None or shape.collection, FL.collection_hits)):
+        if wanted:
+            j = (j.join(rows(aq, versions).withColumn("in_" + name, F.lit(True)), ["qid", "doc_id"], "left")
+                 .filter(F.expr(f"not q_by_{name} or in_{name}")).drop("in_" + name))
     return j.filter(
-        FL.collection_filter("collections", "q_collection")
-        & FL.time_overlap("tstampOldest", "tstampLatest", "q_from", "q_to")
-        & FL.site_filter("surts", "q_site_prefixes")
-        & FL.title_filter("titleString", "q_title_search")
-        & FL.type_filter("type", "q_type"))
+        FL.time_overlap("d_tstampOldest", "d_tstampLatest", "q_lo", "q_hi")
+        & FL.title_filter("d_titleString", "q_title_search") & FL.type_filter("d_type", "q_type")).drop("q_by_site", "q_by_collection")
 
 
-def group_key(doc_cols: list[str], off_value: int = -1) -> Column:
-    """The collapse key of each hit, chosen by its query's dedup field (W2; W3 for legacy)."""
-    if off_value == 0:   # legacy: field as given, 'title' means 'site'
+def group_key(hits: DataFrame, off_value: int = -1) -> Column:
+    """The collapse key of each hit (W2; W3 for legacy), the document's own key while collapsing
+    is off for its query. Legacy: the field as given, ``title`` means ``site``; a field that no
+    document has does not collapse."""
+    known = [c for c in SUMMARY_COLS if f"d_{c}" in hits.columns]
+    if off_value == 0:
         name = F.when(F.lower("q_dedup_field") == "title", F.lit("site")).otherwise(F.col("q_dedup_field"))
     else:
         name = dedup_key("q_dedup_field")
-    expr = F.lit(None).cast("string")
-    for c in doc_cols:
-        expr = F.when(name == c, F.col(c).cast("string")).otherwise(expr)
-    return expr
+    off = (F.col("q_dedup_value") < off_value) | (F.col("q_dedup_value") == off_value)
+    own = F.concat(F.lit(_OFF), F.col("doc_id"))
+    key = own if off_value == 0 else F.lit(None).cast("string")
+    for c in known:
+        key = F.when(name == c, F.col(f"d_{c}").cast("string")).otherwise(key)
+    return F.when(off, own).otherwise(key)
+
+
+def collapse_hits(keyed: DataFrame, max_keep: int) -> DataFrame:
+    """The best hits of each ``(qid, group_key)`` group with their ``group_rank``: the
+    head and ``N - 1`` more (0 and 1 keep the head). Hits without a key are dropped.
+    ``max_keep``, the batch's largest N, is a constant limit that Spark applies before the
+    shuffle. Uncollapsed hits are groups of one."""
+    w = Window.partitionBy("qid", "group_key").orderBy(F.desc("score"), F.asc("doc_id"))
+    ranked = keyed.filter(F.col("group_key").isNotNull()).withColumn("group_rank", F.row_number().over(w))
+    return (ranked.filter(F.col("group_rank") <= F.lit(max(1, max_keep)))
+            .filter(F.col("group_rank") <= F.greatest("q_dedup_value", F.lit(1))))
 
 
-def collapse_hits(hits: DataFrame, off_value: int = -1, max_keep: int | None = None) -> DataFrame:
-    """Keep the best hits of each ``(qid, group_key)`` group.
+def match_all_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg: SearchConfig) -> tuple[DataFrame, DataFrame]:
+    """Page rows and group counts of queries without terms and filters.
 
-    ``dedup_value == off_value`` turns collapsing off for that query. Otherwise the head
-    and ``N-1`` further members are kept (``0`` and ``1`` keep the head; legacy: at most N).
-    Null keys are dropped while collapsing. ``max_keep`` (the batch maximum) is a constant
-    limit, so Spark inserts a partial ``WindowGroupLimit`` below the shuffle.
+    All documents match with score 0, so groups and their order (by doc_id) depend on the
+    dedup field alone: they are computed once per field in use (at most the few of W2), and
+    only down to the batch's deepest page.
     """
-    keep = F.greatest(F.col("q_dedup_value"), F.lit(1))
-    off = F.col("q_dedup_value") == off_value
-    if off_value == 0:
-        off = off | (F.col("q_dedup_value") < 0)
-    else:
-        off = off | (F.col("q_dedup_value") < -1)
-    w = Window.partitionBy("qid", "group_key").orderBy(F.desc("score"), F.asc("doc_id"))
-    on = hits.filter(~off & F.col("group_key").isNotNull()).withColumn("group_rank", F.row_number().over(w))
-    if max_keep is not None:
-        on = on.filter(F.col("group_rank") <= F.lit(max_keep))
-    on = on.filter(F.col("group_rank") <= keep)
-    # collapse off: every hit is its own group head
-    free = (hits.filter(off).withColumn("group_key", F.concat(F.lit("\u0000"), F.col("doc_id")))
-            .withColumn("group_rank", F.lit(1)))
-    return on.unionByName(free)
-
+    plain = aq.filter(f"status = 'ok' and not {HAS_TERMS} and not {HAS_FILTER}")
+    off = (F.col("dedup_value") <= cfg.off_value)
+    asked = plain.select("qid", "offset", "max_items", "dedup_value", F.when(off, F.lit("")).otherwise(
+        dedup_key("dedup_field")).alias("by"))
+    kinds = [F.struct(F.lit("").alias("by"), F.concat(F.lit(_OFF), F.col("id")).alias("group_key"))]
+    kinds += [F.struct(F.lit(c).alias("by"), F.col(c).alias("group_key")) for c in sorted(shape["keys"])]
+    keyed = (docs.select(F.col("id").alias("doc_id"), F.explode(F.array(*kinds)).alias("k"))
+             .select("doc_id", "k.by", "k.group_key").filter("group_key is not null"))
+    counts = (keyed.groupBy("by", "group_key").agg(F.lit(1).alias("one")).groupBy("by")
+              .agg(F.count(F.lit(1)).alias("groups")))
+    inside = Window.partitionBy("by", "group_key").orderBy("doc_id")
+    members = (keyed.withColumn("group_rank", F.row_number().over(inside))
+               .filter(F.col("group_rank") <= F.lit(max(1, shape.dedup))))
+    order = Window.partitionBy("by").orderBy("doc_id")
+    heads = (members.filter("group_rank = 1").withColumn("rank", F.row_number().over(order))
+             .filter(F.col("rank") <= F.lit(shape.depth)).select("by", "group_key", "rank"))
+    page = (members.join(heads, ["by", "group_key"]).join(asked, "by")
+            .filter("rank > offset and rank <= offset + max_items and group_rank <= greatest(dedup_value, 1)"))
+    return (page.select("qid", "doc_id", F.lit(0.0).alias("score"), "rank", "group_rank"),
+            asked.join(counts, "by", "left").select("qid", F.coalesce("groups", F.lit(0)).alias("estimated_results")))
+
+
+def page_hits(collapsed: DataFrame, depth: int) -> DataFrame:
+    """T2 + W4: heads ranked ``offset+1 .. offset+max_items`` per query by (score desc, doc_id),
+    and their group members with the head's rank. ``depth`` bounds the batch's pages."""
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
+    heads = (collapsed.filter("group_rank = 1").withColumn("rank", F.row_number().over(w))
+             .filter(F.col("rank") <= F.lit(depth))
+             .filter("rank > q_offset and rank <= q_offset + q_max_items").select("qid", "group_key", "rank"))
+    return collapsed.join(heads, ["qid", "group_key"])
 
-def batch_limit(aq: DataFrame, column: Column) -> int:
-    """A constant bound over the (small) query batch, e.g. the deepest page requested."""
-    v = aq.agg(F.max(column).alias("m")).first()["m"]
-    return int(v) if v is not None else 0
 
+def group_counts(collapsed: DataFrame) -> DataFrame:
+    """A5: groups found per query."""
+    return collapsed.filter("group_rank = 1").groupBy("qid").agg(F.count(F.lit(1)).alias("estimated_results"))
 
-def rank_heads(collapsed: DataFrame, depth: int | None) -> DataFrame:
-    """Rank group heads per query by (score desc, doc_id); members inherit the rank.
 
-    Only heads up to ``depth`` (offset + max_items + 1 look-ahead, W5) are ranked; the
-    constant limit lets Spark cut each query's heads map-side (``WindowGroupLimit``).
-    """
-    heads = collapsed.filter(F.col("group_rank") == 1)
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    ranked = heads.withColumn("rank", F.row_number().over(w))
-    if depth is not None:
-        ranked = ranked.filter(F.col("rank") <= F.lit(depth))
-    return ranked
-
-
-def page_hits(collapsed: DataFrame, aq: DataFrame, max_ranked: int | None = None) -> DataFrame:
-    """Heads ranked ``offset+1 .. offset+max_items`` and their group members."""
-    depth = batch_limit(aq, F.col("offset") + F.col("max_items") + 1)
-    if max_ranked is not None:
-        depth = min(depth, max_ranked)
-    ranked = rank_heads(collapsed, depth)
-    page = ranked.filter((F.col("rank") > F.col("q_offset"))
-                         & (F.col("rank") <= F.col("q_offset") + F.col("q_max_items")))
-    keys = page.select("qid", "group_key", "rank")
-    members = (collapsed.filter(F.col("group_rank") > 1)
-               .join(broadcast_if_small(keys), ["qid", "group_key"]))
-    return page.unionByName(members)
-
-
-def hit_counts(collapsed: DataFrame, aq: DataFrame) -> DataFrame:
-    """A5 + T3 + T4: per-query summary: groups found, heads on page, last page, page links."""
-    groups = (collapsed.filter(F.col("group_rank") == 1).groupBy("qid")
-              .agg(F.count(F.lit(1)).alias("estimated_results")))
-    s = aq.select("qid", "offset", "max_items", "status", "message").join(groups, "qid", "left")
+def page_summary(counts: DataFrame, aq: DataFrame) -> DataFrame:
+    """A5 + T3 + T4: per query (refused ones too): groups found, heads on the page, last page,
+    page links, status and message."""
+    s = aq.select("qid", "offset", "max_items", "status", "message").join(counts, "qid", "left")
     est = F.coalesce(F.col("estimated_results"), F.lit(0)).cast("long")
-    on_page = F.greatest(F.least(est - F.col("offset"), F.col("max_items").cast("long")), F.lit(0))
-    last = est <= (F.col("offset") + F.col("max_items"))
+    end = F.col("offset").cast("long") + F.col("max_items")
+    last = est <= end
     return s.select(
-        "qid", est.alias("estimated_results"), on_page.alias("number_results"),
-        last.alias("last_page"),
-        F.when(~last, F.col("offset") + F.col("max_items")).alias("next_offset"),
+        "qid", est.alias("estimated_results"),
+        F.greatest(F.least(est - F.col("offset"), F.col("max_items").cast("long")), F.lit(0)).alias("number_results"),
+        last.alias("last_page"), F.when(~last, end).alias("next_offset"),
         F.when(F.col("offset") != 0, F.greatest(F.col("offset") - F.col("max_items"), F.lit(0))).alias("previous_offset"),
         "status", "message")
 
 
-def version_filtered(results: DataFrame, docs: DataFrame, aq: DataFrame) -> DataFrame:
-    """P10 + P11 + A7: exact version filter, drop emptied hits, pick the oldest version."""
-    v = docs.select(F.col("id").alias("doc_id"), "versions")
-    qp = aq.select("qid", "from", "to", "collection", FL.site_prefixes("site").alias("pref"))
-    j = results.join(broadcast_if_small(qp), "qid").join(v, "doc_id")
-    j = j.withColumn("versions", FL.version_filter("versions", "from", "to", "pref", "collection"))
-    j = j.filter(F.size("versions") > 0)
-    return j.withColumn("oldest", oldest_version("versions")).drop("from", "to", "collection", "pref")
+def version_filtered(rows: DataFrame, versions: DataFrame, aq: DataFrame) -> DataFrame:
+    """P10 + P11 + A7: rows ``(qid, doc_id, ...)`` with the ``oldest`` of the document's versions
+    that pass the query's exact filters; rows left without a version go."""
+    params = aq.select("qid", "lo", "hi", F.col("collection").alias("wanted"), "prefixes")
+    keys = rows.select("qid", "doc_id").distinct()
+    kept = (keys.join(params, "qid").join(versions, "doc_id")
+            .filter(FL.version_keeps("tstamp", "surt", "collection", "lo", "hi", "prefixes", "wanted")))
+    return rows.join(oldest_version(kept, ["qid", "doc_id"]), ["qid", "doc_id"])
+
 
+# Reply fields that ``fields`` of a query selects (P16); the keys of a row are always there.
+ROW_KEYS = ["qid", "rank", "group_rank", "doc_id", "score"]
 
-def present_results(results: DataFrame, docs: DataFrame, aq: DataFrame,
+
+def present_results(page: DataFrame, docs: DataFrame, versions: DataFrame, aq: DataFrame,
                     cfg: SearchConfig = SearchConfig(), with_snippet: bool = True) -> DataFrame:
-    """Reply fields of each surviving hit (oldest version -> URL, time, links)."""
+    """Reply fields of each surviving hit (oldest version -> URL, time, links);
+    fields that its query did not ask for are null."""
     from archivesearch.operators.snippets import snippets
 
-    r = version_filtered(results, docs, aq)
+    r = version_filtered(page, versions, aq)
+    r = r.join(docs.select(F.col("id").alias("doc_id"), "titleString", "type"), "doc_id")
     r = r.withColumns({
         "originalURL": U.surt_to_url(F.col("oldest.surt")),
         "tstamp": F.col("oldest.tstamp"),
@@ -369,7 +406,7 @@ def present_results(results: DataFrame, docs: DataFrame, aq: DataFrame,
     })
     r = PR.with_links(r, "originalURL", "tstamp", cfg.endpoints)
     out = r.select(
-        "qid", "rank", "group_rank", "doc_id", "score",
+        *ROW_KEYS,
         F.coalesce(F.col("titleString"), F.lit("")).alias("title"),
         "originalURL",
         F.coalesce(F.col("type"), F.lit("")).alias("mimeType"),
@@ -379,35 +416,38 @@ def present_results(results: DataFrame, docs: DataFrame, aq: DataFrame,
         F.col("doc_id").alias("id"),
         *PR.link_columns("originalURL", "tstamp", cfg.endpoints).keys(),
     )
+    asked = F.when(F.size("fields") > 0, F.transform("fields", lambda f: F.lower(f)))
+    terms = aq.select("qid", asked.alias("q_fields"),
+                      F.array_distinct(F.concat("terms", F.flatten("phrases"))).alias("hl_terms"))
+    out = out.join(terms, "qid")
     if with_snippet:
-        terms = aq.select("qid", F.array_distinct(F.concat(
-            "terms", F.flatten(F.coalesce("phrases", F.array().cast("array<array<string>>"))))).alias("hl_terms"))
-        out = snippets(out.join(broadcast_if_small(terms), "qid"), docs, cfg).drop("hl_terms")
-    return out
+        out = snippets(out, docs, cfg)
+    shown = [c for c in out.columns if c not in (*ROW_KEYS, "hl_terms", "q_fields")]
+    return out.select(*ROW_KEYS, *[
+        F.when(F.col("q_fields").isNull() | F.array_contains("q_fields", c.lower()), F.col(c)).alias(c) for c in shown])
 
 
-def page_search(queries: DataFrame, docs: DataFrame, index: Index,
-                cfg: SearchConfig = SearchConfig(), materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index: Index,
+                cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame]:
     """A batch of text searches -> ``(results, summary)``.
 
     Order as in the reference: analyse -> match -> exclude -> score -> coarse filters ->
     collapse -> count -> page -> exact version filter -> oldest version -> snippet/links.
     With ``cfg.strict`` the exact version filter runs before the collapse.
     """
-    aq = analyze_queries(normalize_queries(queries), cfg.max_terms)
-    if materialize:  # the (small) analysed batch feeds every branch below
-        aq = cut_lineage(aq)
-    hits = candidates(aq, docs, index, cfg)
-    filtered = apply_filters(hits, docs, aq)
+    aq = stored(analyze_queries(normalize_queries(queries, cfg)), "queries")
+    shape = batch_shape(aq)
+    hits = candidates(aq, docs, versions, index, cfg, shape)
+    filtered = apply_filters(hits, docs, versions, aq, shape)
     if cfg.strict:
-        keep = version_filtered(filtered.select("qid", "doc_id"), docs, aq).select("qid", "doc_id")
-        filtered = filtered.join(keep, ["qid", "doc_id"], "left_semi")
-    doc_cols = [c for c in DOC_FILTER_COLS if c in docs.columns and c != "id"]
-    keyed = filtered.withColumn("group_key", group_key(doc_cols, cfg.off_value))
-    max_keep = max(batch_limit(aq, F.col("dedup_value")), 1)
-    collapsed = collapse_hits(keyed, cfg.off_value, max_keep)
-    summary = hit_counts(collapsed, aq)
-    page = page_hits(collapsed, aq, cfg.max_ranked)
-    results = present_results(page.select("qid", "doc_id", "score", "rank", "group_rank",
-                                          "titleString", "type"), docs, aq, cfg)
-    return results, summary
+        filtered = version_filtered(filtered, versions, aq).drop("oldest")
+    keyed = filtered.withColumn("group_key", group_key(filtered, cfg.off_value))
+    collapsed = stored(collapse_hits(keyed, shape.dedup).select(
+        "qid", "doc_id", "score", "group_key", "group_rank", "q_offset", "q_max_items"), "collapsed")
+    page = page_hits(collapsed, shape.depth).select("qid", "doc_id", "score", "rank", "group_rank")
+    counts = group_counts(collapsed)
+    if shape.match_all:
+        more, more_counts = match_all_groups(aq, docs, index, shape, cfg)
+        page, counts = page.unionByName(more), counts.unionByName(more_counts)
+    results = present_results(page, docs, versions, aq, cfg, cfg.with_snippet and shape.snippet)
+    return results, page_summary(counts, aq)

@@ -1,8 +1,7 @@
 """Snippets (X5, F23, F24): query-term windows over the content of the hits on a page.
 
-Only the rows of the returned page reach this step; their content is fetched by a join
-whose small side (the page) is broadcast behind a size check, so the document table is
-streamed, never shuffled.
+Only the rows of the returned page reach this step; their content is fetched by a join on
+doc_id, which adaptive execution turns into a broadcast of the page where that is small.
 """
 
 from __future__ import annotations
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F
 from archivesearch.functions import present as PR
 from archivesearch.functions import text as T
 from archivesearch.functions._util import let
-from archivesearch.session import broadcast_if_small
 
 
 def _fragment(words: Column, hits: Column, start_hit: Column, context: int, span: int,
@@ -66,9 +64,7 @@ def snippet_column(content: Column, terms: Column, context: int = 20, length: in
 def snippets(page: DataFrame, docs: DataFrame, cfg) -> DataFrame:
     """Add ``snippet`` to page rows (``doc_id``, ``hl_terms``) from the documents' content."""
     content = docs.select(F.col("id").alias("doc_id"), "content")
-    keys = broadcast_if_small(page.select("doc_id").distinct())
-    needed = content.join(keys, "doc_id", "left_semi")
-    j = page.join(needed, "doc_id", "left")
+    j = page.join(content, "doc_id", "left")
     return j.withColumn("snippet", snippet_column(
         F.col("content"), F.col("hl_terms"), cfg.snippet_context, cfg.snippet_length,
         cfg.escape_snippets)).drop("content")

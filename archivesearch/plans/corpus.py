@@ -1,32 +1,53 @@
-"""The searchable corpus built from the driver tables: version documents + index."""
+"""The searchable corpus of the driver tables: stored once per application, read by every search."""
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
-from archivesearch.operators.docs import version_docs
+from archivesearch.operators.docs import document_versions, version_docs
 from archivesearch.operators.index import Index, build_index
-from archivesearch.session import cut_lineage
+from archivesearch.session import ensure_checkpoint_dir, path_exists, stored
 from archivesearch.sources import tables as TB
 
 
+@dataclass(frozen=True)
+class Corpus:
+    docs: DataFrame       # one row per distinct content
+    versions: DataFrame   # doc_id, collection, tstamp, surt
+    index: Index
+
+
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version documents of the captured ``documents`` (one per distinct content)."""
     docs = version_docs(TB.document_captures(spark, sf_dir))
     return docs.withColumn("site", U.url_host("urlOldest"))
 
 
-def corpus(spark: SparkSession, sf_dir: str, materialize: bool = True) -> tuple[DataFrame, Index]:
-    """Documents and index. With ``materialize`` both are checkpointed (reliable, into the
-    session's ``spark.checkpoint.dir``): every search reads them several times, and later
-    plans start from the stored rows instead of re-deriving them."""
-    docs = corpus_docs(spark, sf_dir)
-    if materialize:
-        docs = cut_lineage(docs)
-    idx = build_index(docs)
-    if materialize:
-        idx = Index(cut_lineage(idx.postings), cut_lineage(idx.doc_stats),
-                    cut_lineage(idx.term_stats), cut_lineage(idx.field_stats))
-    return docs, idx
+def corpus_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_versions(TB.document_captures(spark, sf_dir))
+
+
+def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Documents, versions and the index over them as Parquet tables; documents are tokenized
+    once, statistics come from the stored tables. The index is written last."""
+    stored(corpus_versions(spark, sf_dir), "versions", f"{path}/versions")
+    docs = stored(corpus_docs(spark, sf_dir), "docs", f"{path}/docs")
+    build_index(docs, f"{path}/index")
+
+
+def read_corpus(spark: SparkSession, path: str) -> Corpus:
+    read = spark.read.parquet
+    return Corpus(read(f"{path}/docs"), read(f"{path}/versions"), Index.read(spark, f"{path}/index"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The stored corpus; written when this application asks for it first."""
+    key = hashlib.md5(f"{spark.sparkContext.applicationId} {sf_dir}".encode()).hexdigest()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpus/{key}"
+    if not path_exists(spark, f"{path}/index/field_stats/_SUCCESS"):
+        write_corpus(spark, sf_dir, path)
+    return read_corpus(spark, path)

@@ -10,24 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 from archivesearch.operators import extract as X
 from archivesearch.operators import links as L
-from archivesearch.operators.docs import join_inlinks, page_documents
+from archivesearch.operators.docs import join_inlinks, latest_per_key, page_documents
 from archivesearch.sources.sinks import write_json, write_parquet
 
 
 def index_pages(records: DataFrame, policy: str = "none", cfg: X.ExtractConfig = X.ExtractConfig(),
-                collection: str | None = None, pages: DataFrame | None = None) -> DataFrame:
-    """Records -> exported page documents with anchors and inlink counts."""
+                collection: str | None = None, pages: DataFrame | None = None, keep: str = "latest") -> DataFrame:
+    """Records -> exported page documents with anchors and inlink counts: one page per URL and
+    time slice (A8), or every capture with ``keep="all"``."""
     pages = pages if pages is not None else X.build_page_data(records, cfg, collection)
-    inlinks = L.invert_links(L.outlink_edges(pages, cfg.max_outlinks), policy)
-    return page_documents(join_inlinks(pages, inlinks, policy))
+    inlinks = L.invert_links(L.outlink_edges(pages), policy)
+    return _documents(pages, inlinks, policy, keep)
+
+
+def _documents(pages: DataFrame, inlinks: DataFrame, policy: str, keep: str) -> DataFrame:
+    chosen = latest_per_key(pages, policy, keep).drop(*L.EDGE_KEY)
+    return page_documents(join_inlinks(chosen, inlinks, policy))
 
 
 def run_indexing(spark: SparkSession, records: DataFrame, out: str, policy: str = "none",
-                 collection: str | None = None, cfg: X.ExtractConfig = X.ExtractConfig()) -> None:
+                 collection: str | None = None, cfg: X.ExtractConfig = X.ExtractConfig(), keep: str = "latest") -> None:
     """``pages`` -> ``links`` -> ``docs``: page table and inlinks as Parquet, docs as JSON lines."""
     write_parquet(X.build_page_data(records, cfg, collection), f"{out}/page_data")
     pages = spark.read.parquet(f"{out}/page_data")
-    inlinks = L.invert_links(L.outlink_edges(pages, cfg.max_outlinks), policy)
-    write_parquet(inlinks, f"{out}/inlinks_data")
-    docs = page_documents(join_inlinks(pages, spark.read.parquet(f"{out}/inlinks_data"), policy))
-    write_json(docs, f"{out}/solr_data")
+    write_parquet(L.invert_links(L.outlink_edges(pages), policy), f"{out}/inlinks_data")
+    docs = _documents(pages, spark.read.parquet(f"{out}/inlinks_data"), policy, keep)
+    write_json(docs, f"{out}/page_documents")

@@ -8,9 +8,9 @@ aliases (DuckDB lets a select item use an earlier alias).
 
 from __future__ import annotations
 
-from archivesearch.functions.urls import _URL_PARTS_RE
-
-URL_PARTS = _URL_PARTS_RE
+# Scheme, authority, path, query, fragment of a URL; the core of the URL test.
+URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+URL_CORE = r"[a-zA-Z0-9][-\w.]+\.[a-z.]{2,6}"
 AUTH = r"^(?:[^@]*@)?([^:]*)(:[0-9]*)?$"
 TOKEN = r"[\p{L}\p{N}]+"
 
@@ -168,7 +168,7 @@ FROM events"""
 DOC_CAPTURES = "SELECT doc_id, url, surt, site, title, content, digest, tstamp, collection, type, lang, n_chars FROM (" + lay(
     f"""SELECT doc_id, 'http://www.' || source || '.example.org/d/' || CAST(doc_id AS VARCHAR) AS url,
     source AS site,
-    substr(split_part(text, chr(10), 1), 1, 60) AS title,
+    split_part(text, chr(10), 1) AS title,
     text AS content,
     upper(md5(text)) AS digest,
     {ts14("TIMESTAMP '2015-01-01 00:00:00' + to_minutes(doc_id * 437)")} AS tstamp,
@@ -176,20 +176,20 @@ DOC_CAPTURES = "SELECT doc_id, url, surt, site, title, content, digest, tstamp,
     (['text/html', 'text/html', 'text/plain', 'application/pdf', 'application/msword'])[doc_id % 5 + 1] AS type,
     lang, n_chars FROM documents""", surt("url", "surt", "dc")) + ")"
 
-# Version documents (A6): one per digest; the oldest capture is the min of tstamp || url.
+# Version documents (A6): one per digest; the oldest capture is the min of time, collection, SURT, URL.
 VERSION_DOCS = """SELECT digest AS id,
-  arg_min(title, tstamp || url) AS titleString,
-  arg_min(content, tstamp || url) AS content,
-  arg_min(type, tstamp || url) AS type,
-  arg_min(surt, tstamp || url) AS surtOldest,
-  arg_min(collection, tstamp || url) AS collection,
-  arg_min(url, tstamp || url) AS urlOldest,
+  arg_min(title, tstamp || collection || surt || url) AS titleString,
+  arg_min(content, tstamp || collection || surt || url) AS content,
+  arg_min(type, tstamp || collection || surt || url) AS type,
+  arg_min(surt, tstamp || collection || surt || url) AS surtOldest,
+  arg_min(collection, tstamp || collection || surt || url) AS collection,
+  arg_min(url, tstamp || collection || surt || url) AS urlOldest,
   min(tstamp) AS tstampOldest, max(tstamp) AS tstampLatest,
   count(*) AS captures,
   string_agg(DISTINCT collection || '/' || tstamp || '/' || surt, ' ' ORDER BY collection || '/' || tstamp || '/' || surt) AS versions
 FROM doc_captures GROUP BY digest"""
 
-WORKLOAD = f"""SELECT item_id AS qid, list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 3) AS terms,
+WORKLOAD = f"""SELECT item_id AS qid, list_filter(t, lambda x, i: list_position(t, x) = i) AS terms,
   t AS all_tokens
 FROM (SELECT item_id, {tokens("text")} AS t FROM benchmark)"""
 
@@ -213,8 +213,8 @@ CORPUS = [("doc_captures", DOC_CAPTURES), ("vdocs", VERSION_DOCS), ("field_token
           ("postings", POSTINGS), ("field_stats", FIELD_STATS), ("term_stats", TERM_STATS)]
 
 
-def bm25_scores(qterms_cte: str, operator: str = "and") -> str:
-    """Per (qid, doc_id): rounded BM25 over title (x2) and content, AND over ``qterms``."""
+def bm25_scores(qterms_cte: str, operator: str = "or") -> str:
+    """Per (qid, doc_id): rounded BM25 over title (x2) and content, of any (or all) ``qterms``."""
     having = "HAVING count(DISTINCT p.term) = any_value(n.n_terms)" if operator == "and" else ""
     return f"""SELECT t.qid, p.doc_id,
     round(sum(CASE p.field WHEN 'title' THEN 2.0 ELSE 1.0 END
@@ -238,7 +238,7 @@ QTERMS = "SELECT qid, unnest(terms) AS term FROM workload"
 
 
 def ranked_search(params: str, key: str, keep: str, off: str, offset: str, max_items: str) -> str:
-    """Collapse + rank + page of AND-matched, BM25-scored hits (no filters, no version cut).
+    """Collapse + rank + page of matched, BM25-scored hits (no filters, no version cut).
 
     ``key``: SQL for the group key per hit (columns of vdocs available as d.*).
     """

@@ -18,9 +18,9 @@ from archivesearch.operators import extract as X
 from archivesearch.operators import filters as FL
 from archivesearch.operators import links as L
 from archivesearch.operators import search as S
-from archivesearch.operators.docs import join_inlinks, latest_per_key, oldest_version
+from archivesearch.operators.docs import join_inlinks, latest_per_key, oldest_version, version_strings
 from archivesearch.plans import oracle as O
-from archivesearch.plans.corpus import corpus, corpus_docs
+from archivesearch.plans.corpus import corpus, corpus_docs, corpus_versions
 from archivesearch.sources import tables as TB
 
 REGISTRY: dict[str, tuple] = {}
@@ -58,14 +58,14 @@ def q_strip_www(spark, d):
 
 
 @register("url_validator", f"""SELECT doc_id, title,
-  regexp_matches(title, {O.q(U.URL_CORE_RE)}) AND NOT regexp_matches(title, '[\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS is_url
-FROM (SELECT doc_id, substr(split_part(text, chr(10), 1), 1, 60) AS title FROM documents)
+  regexp_matches(title, {O.q(O.URL_CORE)}) AND NOT regexp_matches(title, '[\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS is_url
+FROM (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents)
 UNION ALL SELECT -1 - page_id AS doc_id, url AS title,
-  regexp_matches(url, {O.q(U.URL_CORE_RE)}) AND NOT regexp_matches(url, '[\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS is_url
+  regexp_matches(url, {O.q(O.URL_CORE)}) AND NOT regexp_matches(url, '[\\n\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]') AS is_url
 FROM pages""")
 def q_url_validator(spark, d):
     docs = TB.read_table(spark, d, "documents").select(
-        "doc_id", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 60).alias("title"))
+        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     pages = TB.read_table(spark, d, "pages").select((F.lit(-1) - F.col("page_id")).alias("doc_id"), F.col("url").alias("title"))
     both = docs.unionByName(pages)
     return both.select("doc_id", "title", U.is_url("title").alias("is_url"))
@@ -222,7 +222,7 @@ FROM (SELECT s AS surt, substr(tstamp, 1, 4) AS time_slice, tstamp, warc_name, w
 GROUP BY surt, time_slice""")
 def q_latest_page_per_key(spark, d):
     e = TB.link_edges(spark, d).select(F.col("from_url").alias("url"), "tstamp", "warc_name", "warc_offset")
-    pages = e.withColumn("surt_url", U.surt("url"))
+    pages = U.with_surt(e, "url", "surt_url")
     counts = pages.withColumn("time_slice", TS.time_slice("tstamp", "year")).groupBy(
         F.col("surt_url").alias("surt"), "time_slice").agg(F.count(F.lit(1)).alias("captures"))
     latest = latest_per_key(pages, "year")
@@ -259,19 +259,19 @@ _VDOC_CTES = O.CORPUS[:2]
 @register("version_docs", O.with_ctes(*_VDOC_CTES, body="""SELECT id, titleString, type, surtOldest, collection, urlOldest,
   tstampOldest, tstampLatest, captures, versions FROM vdocs"""))
 def q_version_docs(spark, d):
-    docs = corpus_docs(spark, d)
+    docs = corpus_docs(spark, d).join(version_strings(corpus_versions(spark, d)), F.col("id") == F.col("doc_id"))
     return docs.select("id", "titleString", "type", "surtOldest", "collection", "urlOldest", "tstampOldest",
-                       "tstampLatest", "captures",
-                       F.array_join(F.transform("versions", PR.version_string), " ").alias("versions"))
+                       "tstampLatest", "captures", "versions")
 
 
 @register("oldest_version", O.with_ctes(_VDOC_CTES[0], ("old", O.oldest_of()), body=f"""
 SELECT id, o_tstamp AS tstamp, o_collection AS collection, o_surt AS surt, u AS originalURL FROM (
   {O.lay("SELECT id, o_tstamp, o_collection, o_surt FROM old", O.surt_to_url('o_surt', 'u', 'b'))})"""))
 def q_oldest_version(spark, d):
-    docs = corpus_docs(spark, d).select("id", oldest_version("versions").alias("o"))
-    return docs.select("id", F.col("o.tstamp").alias("tstamp"), F.col("o.collection").alias("collection"),
-                       F.col("o.surt").alias("surt"), U.surt_to_url(F.col("o.surt")).alias("originalURL"))
+    docs = oldest_version(corpus_versions(spark, d), ["doc_id"])
+    return docs.select(F.col("doc_id").alias("id"), F.col("oldest.tstamp").alias("tstamp"),
+                       F.col("oldest.collection").alias("collection"), F.col("oldest.surt").alias("surt"),
+                       U.surt_to_url(F.col("oldest.surt")).alias("originalURL"))
 
 
 @register("version_filter", O.with_ctes(_VDOC_CTES[0], body="""
@@ -282,73 +282,105 @@ WHERE CAST(tstamp AS BIGINT) >= 20150101000000 AND CAST(tstamp AS BIGINT) <= 201
   AND collection IN ('col0', 'col2') AND starts_with(surt, '(org,example,')
 GROUP BY digest"""))
 def q_version_filter(spark, d):
-    docs = corpus_docs(spark, d)
-    kept = FL.version_filter("versions", F.lit("2015"), F.lit("201506"),
-                             F.array(U.surt(F.lit("http://example.org"))),
-                             F.array(F.lit("col0"), F.lit("col2")))
-    out = docs.select("id", kept.alias("k")).filter(F.size("k") > 0)
-    return out.select("id", F.size("k").cast("long").alias("n_kept"),
-                      F.array_join(F.transform("k", PR.version_string), " ").alias("kept"))
+    kept = corpus_versions(spark, d).filter(FL.version_keeps(
+        "tstamp", "surt", "collection", FL.canonical_bound(F.lit("2015")), FL.canonical_bound(F.lit("201506")),
+        F.array(U.surt(F.lit("http://example.org"))), F.array(F.lit("col0"), F.lit("col2"))))
+    counts = kept.groupBy("doc_id").agg(F.count("*").alias("n_kept"))
+    return counts.join(version_strings(kept), "doc_id").select(
+        F.col("doc_id").alias("id"), "n_kept", F.col("versions").alias("kept"))
 
 
 # ------------------------------------------------------------------ per-query filters
 
-def _filter_queries(spark, d, **params) -> DataFrame:
+def _request(spark, d, **params) -> DataFrame:
     b = TB.read_table(spark, d, "benchmark").select(F.col("item_id").alias("qid"))
     return b.select("qid", *[v.alias(k) for k, v in params.items()])
 
 
-def _filtered(spark, d, **params) -> DataFrame:
-    docs = corpus_docs(spark, d)
-    aq = S.analyze_queries(S.normalize_queries(_filter_queries(spark, d, **params)))
-    hits = S.match_all_hits(aq, docs)
-    return S.apply_filters(hits, docs, aq).select("qid", "doc_id")
+def _filtered(spark, d, requests: DataFrame) -> DataFrame:
+    """Filter-only requests through the page search: the page and the number of all results."""
+    c = corpus(spark, d)
+    off = requests.withColumns({"dedup_value": F.lit(-1), "fields": F.array(F.lit("id"))})
+    res, summ = S.page_search(off, c.docs, c.versions, c.index)
+    return res.join(summ.select("qid", "estimated_results"), "qid").select(
+        "qid", F.col("rank").cast("int").alias("rank"), "doc_id", "estimated_results")
 
 
-_MATCH_ALL = O.with_ctes(_VDOC_CTES[0], ("vdocs", O.VERSION_DOCS),
-                         ("caps", "SELECT DISTINCT digest, surt, collection FROM doc_captures"),
-                         ("req", "SELECT item_id AS qid FROM benchmark"), body="{body}")
+def _page_of(eligible: str, keeps: str = "true") -> str:
+    """Oracle of a filter-only page: 50 documents by id, less those without a kept version."""
+    return O.with_ctes(_VDOC_CTES[0], ("vdocs", O.VERSION_DOCS),
+                       ("caps", "SELECT DISTINCT digest, surt, collection, tstamp FROM doc_captures"),
+                       ("req", "SELECT item_id AS qid FROM benchmark"), ("eligible", eligible), body=f"""
+SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, estimated_results FROM (
+  SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank,
+         count(*) OVER (PARTITION BY qid) AS estimated_results FROM eligible) e
+WHERE rank <= 50 AND EXISTS (SELECT 1 FROM caps c WHERE c.digest = e.doc_id AND {keeps})""")
 
 
-@register("site_filter", _MATCH_ALL.format(body="""SELECT DISTINCT r.qid, c.digest AS doc_id FROM req r JOIN caps c
+@register("site_filter", _page_of("""SELECT DISTINCT r.qid, c.digest AS doc_id FROM req r JOIN caps c
   ON starts_with(c.surt, '(org,example,src' || CAST(r.qid % 20 AS VARCHAR) || ',')"""))
 def q_site_filter(spark, d):
     site = F.array(F.concat(F.lit("http://www.src"), (F.col("qid") % 20).cast("string"), F.lit(".example.org/")))
-    return _filtered(spark, d, site=site)
+    return _filtered(spark, d, _request(spark, d, site=site))
 
 
 _TYPE_CHOICES = ["pdf", "html", "text/plain", "word"]
 
 
-@register("type_filter", _MATCH_ALL.format(body="""SELECT r.qid, v.id AS doc_id FROM req r JOIN vdocs v ON
+@register("type_filter", _page_of("""SELECT r.qid, v.id AS doc_id FROM req r JOIN vdocs v ON
   CASE r.qid % 4 WHEN 0 THEN v.type = 'application/pdf' WHEN 1 THEN v.type = 'text/html'
                  WHEN 2 THEN v.type = 'text/plain' ELSE contains(v.type, 'word') END"""))
 def q_type_filter(spark, d):
     t = F.array(F.element_at(F.array(*[F.lit(x) for x in _TYPE_CHOICES]), (F.col("qid") % 4 + 1).cast("int")))
-    return _filtered(spark, d, type=t)
+    return _filtered(spark, d, _request(spark, d, type=t))
 
 
-@register("collection_filter", _MATCH_ALL.format(body="""SELECT DISTINCT r.qid, c.digest AS doc_id FROM req r JOIN caps c
+@register("collection_filter", _page_of("""SELECT DISTINCT r.qid, c.digest AS doc_id FROM req r JOIN caps c
   ON c.collection = 'col' || CAST(r.qid % 3 AS VARCHAR)"""))
 def q_collection_filter(spark, d):
-    return _filtered(spark, d, collection=F.array(F.concat(F.lit("col"), (F.col("qid") % 3).cast("string"))))
+    return _filtered(spark, d, _request(
+        spark, d, collection=F.array(F.concat(F.lit("col"), (F.col("qid") % 3).cast("string")))))
 
 
-@register("time_overlap", _MATCH_ALL.format(body="""SELECT r.qid, v.id AS doc_id FROM req r JOIN vdocs v ON
+_FROM = "CAST(2015 + e.qid % 2 AS VARCHAR) || lpad(CAST(e.qid % 12 + 1 AS VARCHAR), 2, '0') || '01000000'"
+
+
+@register("time_overlap", _page_of("""SELECT r.qid, v.id AS doc_id FROM req r JOIN vdocs v ON
   v.tstampLatest >= CAST(2015 + r.qid % 2 AS VARCHAR) || lpad(CAST(r.qid % 12 + 1 AS VARCHAR), 2, '0') || '01000000'
-  AND v.tstampOldest <= CAST(2015 + r.qid % 2 AS VARCHAR) || '1201000000'"""))
+  AND v.tstampOldest <= CAST(2015 + r.qid % 2 AS VARCHAR) || '1201000000'""",
+    f"c.tstamp >= {_FROM} AND c.tstamp <= CAST(2015 + e.qid % 2 AS VARCHAR) || '1201000000'"))
 def q_time_overlap(spark, d):
     year = (F.lit(2015) + F.col("qid") % 2).cast("string")
     frm = F.concat(year, F.lpad((F.col("qid") % 12 + 1).cast("string"), 2, "0"))
-    return _filtered(spark, d, **{"from": frm, "to": F.concat(year, F.lit("12"))})
+    return _filtered(spark, d, _request(spark, d, **{"from": frm, "to": F.concat(year, F.lit("12"))}))
 
 
-@register("title_filter", O.with_ctes(_VDOC_CTES[0], ("vdocs", O.VERSION_DOCS), body="""
-SELECT c.doc_id AS qid, v.id AS doc_id FROM doc_captures c JOIN vdocs v ON v.titleString = c.title"""))
+@register("title_filter", _page_of("""SELECT c.doc_id AS qid, v.id AS doc_id FROM doc_captures c JOIN vdocs v ON v.titleString = c.title"""))
 def q_title_filter(spark, d):
-    docs = corpus_docs(spark, d).select(F.col("id").alias("doc_id"), "titleString")
-    req = TB.document_captures(spark, d).select(F.col("doc_id").alias("qid"), F.col("title").alias("title_search"))
-    return req.join(docs, req["title_search"] == docs["titleString"]).select("qid", "doc_id")
+    return _filtered(spark, d, TB.document_captures(spark, d).select(
+        F.col("doc_id").alias("qid"), F.col("title").alias("title_search")))
+
+
+@register("match_all", O.with_ctes(_VDOC_CTES[0], ("vdocs", O.VERSION_DOCS), body="""
+, req AS (SELECT item_id AS qid, (['title', 'type', 'collection', 'site'])[item_id % 4 + 1] AS f,
+         item_id % 3 AS off, item_id % 4 AS n FROM benchmark),
+keyed AS (SELECT r.*, v.id AS doc_id, CASE r.f WHEN 'type' THEN v.type WHEN 'collection' THEN v.collection
+            WHEN 'site' THEN v.surtOldest ELSE v.titleString END AS k FROM req r CROSS JOIN vdocs v),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, k ORDER BY doc_id) AS group_rank FROM keyed WHERE k IS NOT NULL),
+heads AS (SELECT qid, k, row_number() OVER (PARTITION BY qid ORDER BY doc_id) AS rank,
+                 count(*) OVER (PARTITION BY qid) AS estimated_results FROM ranked WHERE group_rank = 1)
+SELECT r.qid, CAST(h.rank AS INTEGER) AS rank, CAST(r.group_rank AS INTEGER) AS group_rank, r.doc_id, h.estimated_results
+FROM ranked r JOIN heads h ON h.qid = r.qid AND h.k = r.k
+WHERE h.rank > r.off AND h.rank <= r.off + 3 AND r.group_rank <= greatest(r.n, 1)""").replace("\n, req AS", ",\nreq AS"))
+def q_match_all(spark, d):
+    c = corpus(spark, d)
+    names = F.array(*[F.lit(x) for x in ("title", "type", "collection", "site")])
+    req = _request(spark, d, dedup_field=F.element_at(names, (F.col("qid") % 4 + 1).cast("int")),
+                   offset=(F.col("qid") % 3).cast("int"), dedup_value=(F.col("qid") % 4).cast("int"), max_items=F.lit(3))
+    res, summ = S.page_search(req, c.docs, c.versions, c.index)
+    return res.join(summ.select("qid", "estimated_results"), "qid").select(
+        "qid", F.col("rank").cast("int").alias("rank"), F.col("group_rank").cast("int").alias("group_rank"),
+        "doc_id", "estimated_results")
 
 
 # ------------------------------------------------------------------ matching and ranking
@@ -356,74 +388,89 @@ def q_title_filter(spark, d):
 _SEARCH_CTES = O.CORPUS + [("workload", O.WORKLOAD), ("qterms", O.QTERMS)]
 
 
-def _workload(spark, d, q: "F.Column | None" = None, **params) -> DataFrame:
+ANY = S.SearchConfig(operator="or", with_snippet=False)
+
+
+def _workload(spark, d, **params) -> DataFrame:
+    """Requests from ``benchmark``: its whole texts, one query each."""
     b = TB.read_table(spark, d, "benchmark")
-    toks = T.tokens("text")
-    cols = {"q": q if q is not None else F.array_join(T.first_distinct_tokens("text", 3), " ")}
-    cols.update(params)
+    cols = {"q": F.array_join(T.tokens("text"), " "), **params}
     return b.select(F.col("item_id").alias("qid"), *[v.alias(k) for k, v in cols.items()])
 
 
-def _aq(spark, d, **kw) -> DataFrame:
-    return S.analyze_queries(S.normalize_queries(_workload(spark, d, **kw)))
+def _pairs(spark, d, distinct: bool, query) -> DataFrame:
+    """One request per adjacent pair of tokens (all, or distinct ones) of each ``benchmark`` text."""
+    toks = F.array_distinct(T.tokens("text")) if distinct else T.tokens("text")
+    b = TB.read_table(spark, d, "benchmark").select("item_id", toks.alias("t")).filter("size(t) > 1")
+    rest = F.size("t") - 1
+    p = b.select("item_id", F.posexplode(F.arrays_zip(F.slice("t", F.lit(1), rest).alias("a"), F.slice("t", F.lit(2), rest).alias("b"))))
+    return p.select((F.col("item_id") * 100000 + F.col("pos") + 1).alias("qid"),
+                    query(F.col("col")["a"], F.col("col")["b"]).alias("q"))
+
+
+def _pairs_sql(toks: str) -> tuple[str, str]:
+    return ("w2", f"""SELECT item_id * 100000 + i AS qid, t[i] AS t1, t[i + 1] AS t2
+FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM ({toks}))""")
+
+
+_ALL_PAIRS = _pairs_sql(f"SELECT item_id, {O.tokens('text')} AS t FROM benchmark")
+_DISTINCT_PAIRS = _pairs_sql(f"""SELECT item_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS t FROM (
+  SELECT item_id, {O.tokens('text')} AS a FROM benchmark)""")
+
+
+def _analyzed(queries: DataFrame) -> DataFrame:
+    return S.analyze_queries(S.normalize_queries(queries))
 
 
 @register("term_match", O.with_ctes(*_SEARCH_CTES, body="""
-SELECT t.qid, p.doc_id FROM qterms t JOIN (SELECT DISTINCT term, doc_id FROM postings) p ON p.term = t.term
-GROUP BY t.qid, p.doc_id
-HAVING count(DISTINCT t.term) = (SELECT count(DISTINCT term) FROM qterms x WHERE x.qid = t.qid)"""))
+SELECT DISTINCT t.qid, p.doc_id FROM qterms t JOIN postings p ON p.term = t.term"""))
 def q_term_match(spark, d):
-    docs, idx = corpus(spark, d)
-    return S.match_terms(_aq(spark, d), idx).select("qid", "doc_id")
+    return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, ANY).select("qid", "doc_id")
+
+
+@register("all_terms_match", O.with_ctes(*O.CORPUS, _DISTINCT_PAIRS, body="""
+SELECT DISTINCT w.qid, p.doc_id FROM w2 w JOIN postings p ON p.term = w.t1
+JOIN postings x ON x.term = w.t2 AND x.doc_id = p.doc_id"""))
+def q_all_terms_match(spark, d):
+    aq = _analyzed(_pairs(spark, d, True, lambda a, b: F.concat(a, F.lit(" "), b)))
+    return S.match_terms(aq, corpus(spark, d).index).select("qid", "doc_id")
 
 
 @register("bm25_topk", O.with_ctes(*_SEARCH_CTES, ("scored", O.bm25_scores("qterms")), body="""
 SELECT qid, doc_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"""))
 def q_bm25_topk(spark, d):
-    docs, idx = corpus(spark, d)
-    m = S.match_terms(_aq(spark, d), idx)
+    m = S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, ANY)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
     return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 10).select(
         "qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 _TP = ("tp", "SELECT doc_id, field, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM field_tokens")
-_W2 = ("w2", f"SELECT item_id AS qid, t[1] AS t1, t[2] AS t2 FROM (SELECT item_id, {O.tokens('text')} AS t FROM benchmark)")
 
 
-@register("phrase_match", O.with_ctes(*O.CORPUS, _TP, _W2, body="""
+@register("phrase_match", O.with_ctes(*O.CORPUS, _TP, _ALL_PAIRS, body="""
 SELECT DISTINCT w.qid, a.doc_id FROM w2 w JOIN tp a ON a.term = w.t1
 JOIN tp b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = w.t2"""))
 def q_phrase_match(spark, d):
-    docs, idx = corpus(spark, d)
-    toks = T.tokens("text")
-    q = F.concat(F.lit('"'), F.array_join(F.slice(toks, 1, 2), " "), F.lit('"'))
-    aq = _aq(spark, d, q=q)
-    return S.candidates(aq, docs, idx).select("qid", "doc_id")
-
+    c = corpus(spark, d)
+    aq = _analyzed(_pairs(spark, d, False, lambda a, b: F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"'))))
+    return S.candidates(aq, c.docs, c.versions, c.index).select("qid", "doc_id")
 
-_W2D = ("w2", f"""SELECT item_id AS qid, t[1] AS t1, t[2] AS t2 FROM (
-  SELECT item_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS t FROM (
-    SELECT item_id, {O.tokens('text')} AS a FROM benchmark))""")
 
-
-@register("exclude_terms", O.with_ctes(*O.CORPUS, _W2D, body="""
+@register("exclude_terms", O.with_ctes(*O.CORPUS, _DISTINCT_PAIRS, body="""
 SELECT DISTINCT w.qid, p.doc_id FROM w2 w JOIN postings p ON p.term = w.t1
 WHERE NOT EXISTS (SELECT 1 FROM postings x WHERE x.doc_id = p.doc_id AND x.term = w.t2)"""))
 def q_exclude_terms(spark, d):
-    docs, idx = corpus(spark, d)
-    t = T.first_distinct_tokens("text", 2)
-    q = F.concat(F.element_at(t, 1), F.lit(" -"), F.element_at(t, 2))
-    return S.candidates(_aq(spark, d, q=q), docs, idx).select("qid", "doc_id")
+    aq = _analyzed(_pairs(spark, d, True, lambda a, b: F.concat(a, F.lit(" -"), b)))
+    return S.match_terms(aq, corpus(spark, d).index).select("qid", "doc_id")
 
 
-@register("field_match", O.with_ctes(*O.CORPUS, _W2D, body="""
-SELECT DISTINCT w.qid, p.doc_id FROM w2 w JOIN postings p ON p.term = w.t1 AND p.field = 'title'"""))
+@register("field_match", O.with_ctes(*_SEARCH_CTES, body="""
+SELECT DISTINCT t.qid, p.doc_id FROM qterms t JOIN postings p ON p.term = t.term AND p.field = 'title'"""))
 def q_field_match(spark, d):
-    docs, idx = corpus(spark, d)
-    q = F.element_at(T.tokens("text"), 1)
-    return S.match_terms(_aq(spark, d, q=q), idx, fields=["title"]).select("qid", "doc_id")
+    cfg = S.SearchConfig(operator="or", match_fields=("title",))
+    return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, cfg).select("qid", "doc_id")
 
 
 # ------------------------------------------------------------------ full batch search
@@ -442,18 +489,17 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, CAST(group_rank AS INTEGER) AS group_
   tstamp, collection, mimeType FROM ({O.lay("SELECT * FROM out", O.surt_to_url('o_surt', 'u', 'b'))})""").replace("WITH ", "WITH ", 1).replace("\n, scored", ",\nscored")
 
 
-def _search(spark, d, cfg: S.SearchConfig = S.SearchConfig(), **params):
-    docs, idx = corpus(spark, d)
-    res, summ = S.page_search(_workload(spark, d, **params), docs, idx, cfg)
-    return res, summ
+def _search(spark, d, cfg: S.SearchConfig = ANY, **params):
+    c = corpus(spark, d)
+    return S.page_search(_workload(spark, d, **params), c.docs, c.versions, c.index, cfg)
 
 
-def _results(spark, d, cfg=S.SearchConfig(), **params):
+def _results(spark, d, cfg: S.SearchConfig = ANY, **params):
     res, _ = _search(spark, d, cfg, **params)
     return res.select(*[F.col(c).cast("int") if c in ("rank", "group_rank") else F.col(c) for c in _RESULT_COLS])
 
 
-@register("batch_search", _search_sql("d.surtOldest", "2", "false", "0", "50"))
+@register("batch_search", _search_sql("d.titleString", "2", "false", "0", "50"))
 def q_batch_search(spark, d):
     return _results(spark, d)
 
@@ -467,7 +513,7 @@ def q_collapse_expand(spark, d):
     "lower(nullif(regexp_extract(d.urlOldest, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1), ''))",
     "1", "false", "0", "50"))
 def q_per_dup_hits(spark, d):
-    return _results(spark, d, S.SearchConfig(off_value=0), dedup_field=F.lit("title"), dedup_value=F.lit(1))
+    return _results(spark, d, S.SearchConfig(operator="or", with_snippet=False, off_value=0), dedup_field=F.lit("title"), dedup_value=F.lit(1))
 
 
 @register("page_offset", _search_sql("d.collection", "2", "false", "1", "2"))
@@ -489,7 +535,7 @@ SELECT w.qid, coalesce(e.estimated_results, 0) AS estimated_results,
 FROM workload w LEFT JOIN est e ON e.qid = w.qid"""
 
 
-def _summary(spark, d, cfg=S.SearchConfig(), **params):
+def _summary(spark, d, cfg: S.SearchConfig = ANY, **params):
     _, summ = _search(spark, d, cfg, **params)
     return summ.select("qid", "estimated_results", "number_results", "last_page",
                        F.col("next_offset").cast("int").alias("next_offset"),
@@ -529,25 +575,29 @@ SELECT id, u AS originalURL, o_tstamp AS tstamp,
   {O.q(_EP.noframe + '/')} || o_tstamp || 'id_/' || u AS linkToOriginalFile
 FROM ({O.lay("SELECT id, o_tstamp, o_surt FROM old", O.surt_to_url('o_surt', 'u', 'b'))})"""))
 def q_result_links(spark, d):
-    docs = corpus_docs(spark, d).select("id", oldest_version("versions").alias("o"))
-    r = docs.select("id", U.surt_to_url(F.col("o.surt")).alias("originalURL"), F.col("o.tstamp").alias("tstamp"))
+    docs = oldest_version(corpus_versions(spark, d), ["doc_id"])
+    r = docs.select(F.col("doc_id").alias("id"), U.surt_to_url(F.col("oldest.surt")).alias("originalURL"),
+                    F.col("oldest.tstamp").alias("tstamp"))
     return PR.with_links(r, "originalURL", "tstamp", _EP)
 
 
 @register("snippet")
 def q_snippet(spark, d):
-    res, _ = _search(spark, d, max_items=F.lit(10))
+    res, _ = _search(spark, d, S.SearchConfig(operator="or"), max_items=F.lit(10))
     return res.select("qid", "rank", "group_rank", "doc_id", "snippet")
 
 
-@register("query_analysis")
+_ANALYSIS_SQL = f"""SELECT qid, '"' || t1 || ' ' || t2 || '" ' || t1 || ' -' || t2 || ' "unclosed' AS q,
+  array_to_string(list_distinct_ordered, ' ') AS terms, t1 || ' ' || t2 AS phrases, t2 AS excludes, 'ok' AS status
+FROM (SELECT *, CASE WHEN t1 = 'unclosed' THEN [t1] ELSE [t1, 'unclosed'] END AS list_distinct_ordered FROM w2)"""
+
+
+@register("query_analysis", O.with_ctes(_ALL_PAIRS, body=_ANALYSIS_SQL))
 def q_query_analysis(spark, d):
-    toks = T.tokens("text")
-    q = F.concat(F.lit('"'), F.array_join(F.slice(toks, 1, 2), " "), F.lit('" '),
-                 F.coalesce(F.element_at(toks, 3), F.lit("")), F.lit(" -"),
-                 F.coalesce(F.element_at(toks, 4), F.lit("x")), F.lit(' "unclosed'))
-    aq = S.analyze_queries(S.normalize_queries(_workload(spark, d, q=q)))
-    return aq.select("qid", "q", F.array_join("terms", " ").alias("terms"),
+    """Phrase, plain term, exclusion and an unclosed quote, from each adjacent pair of tokens."""
+    q = _pairs(spark, d, False, lambda a, b: F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('" '), a, F.lit(" -"), b,
+                                                      F.lit(' "unclosed')))
+    return _analyzed(q).select("qid", "q", F.array_join("terms", " ").alias("terms"),
                      F.array_join(F.transform("phrases", lambda p: F.array_join(p, " ")), "|").alias("phrases"),
                      F.array_join("excludes", " ").alias("excludes"), "status")
 
@@ -572,7 +622,7 @@ def q_search_doc_json(spark, d):
 def q_search_log(spark, d):
     from archivesearch.operators.log import search_log
     res, _ = _search(spark, d, max_items=F.lit(10))
-    return search_log(_workload(spark, d), res.drop("snippet"))
+    return search_log(_workload(spark, d), res)
 
 
 # ------------------------------------------------------------------ captures
@@ -688,7 +738,7 @@ WHERE t.req_id IS NOT NULL OR c.req_id IS NOT NULL""")
 @register("metadata_merge", _META_SQL)
 def q_metadata_merge(spark, d):
     caps = TB.cdx_captures(spark, d).unionByName(doc_cdx(spark, d))
-    return M.metadata(_meta_requests(spark, d), corpus_docs(spark, d), caps)
+    return M.metadata(_meta_requests(spark, d), corpus_docs(spark, d), corpus_versions(spark, d), caps)
 
 
 @register("extracted_text", O.with_ctes(O.CORPUS[0], ("vdocs", O.VERSION_DOCS), body="""
@@ -697,7 +747,7 @@ SELECT c.doc_id AS req_id, true AS found, c.digest AS doc_id,
 FROM doc_captures c JOIN vdocs v ON v.id = c.digest"""))
 def q_extracted_text(spark, d):
     req = TB.document_captures(spark, d).select(F.col("doc_id").alias("req_id"), F.concat_ws("/", "url", "tstamp").alias("id"))
-    return M.extracted_text(req, corpus_docs(spark, d))
+    return M.extracted_text(req, corpus_docs(spark, d), corpus_versions(spark, d))
 
 
 @register("exact_version", O.with_ctes(O.CORPUS[0], body="""
@@ -707,4 +757,4 @@ def q_exact_version(spark, d):
     req = dc.select(F.col("doc_id").alias("req_id"),
                     F.concat_ws(",", "url", F.lit("term1 term2"), F.regexp_replace("url", "^http://", "https://")).alias("urls"),
                     "tstamp")
-    return M.version_lookup(req, corpus_docs(spark, d)).select("req_id", "doc_id")
+    return M.version_lookup(req, corpus_versions(spark, d)).select("req_id", "doc_id")

@@ -1,14 +1,11 @@
-"""Spark session helpers: session defaults, checkpoint folder, size-checked broadcast."""
+"""Spark session helpers: session defaults, shared folder, stored tables."""
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Broadcast a side only below this many bytes (as estimated from the optimized plan).
-DEFAULT_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def get_spark(master: str | None = None, app: str = "archivesearch",
@@ -38,49 +35,33 @@ def get_spark(master: str | None = None, app: str = "archivesearch",
 
 
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (tests, local runs) is
-    ``fallback`` (or a folder under the working directory) installed.
+    The cluster's setting always wins. Only on a local master, where driver and executors are
+    one process, is ``fallback`` (or a folder under the working directory) used when it is unset;
+    on a cluster that is an error, because executors do not see the driver's disk.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
-    if current:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(current)
-        return current
-    path = fallback or os.path.abspath("spark-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Size estimate of a plan's analyzed form, or None when it is unknown.
-
-    The analyzed plan's estimate is an upper bound of the optimized one (no pruning yet)
-    and costs no optimizer run, so checking many join sides stays cheap.
-    """
-    try:
-        stats = df._jdf.queryExecution().analyzed().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return None
-
-
-def broadcast_if_small(df: DataFrame, limit_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only when the estimated size is known and below ``limit_bytes``.
-
-    Otherwise the plan is left alone, so the join falls back to a sort-merge join
-    (with AQE still free to switch to broadcast at run time once sizes are measured).
-    """
-    size = estimated_bytes(df)
-    if size is not None and size <= limit_bytes:
-        return F.broadcast(df)
-    return df
+    if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        current = fallback or os.path.abspath("spark-checkpoints")
+        spark.conf.set("spark.checkpoint.dir", current)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
+    return current
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and go on from the stored rows: lineage
+    ends here, later scans read only the columns they use."""
+    spark = df.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

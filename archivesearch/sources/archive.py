@@ -2,16 +2,17 @@
 
 A Python data source (PySpark 4 ``DataSource``) with one input partition per archive
 file (gzip is not splittable). Each task streams its file member by member, so memory
-holds one record, never a whole file. Everything after the scan is native DataFrame
-code: ``decode_records`` turns payload bytes into text with Spark's ``decode``.
+holds one gzip member (one record in usual archives), never a whole file. Payloads stay bytes;
+``extract_pages`` decodes them.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,6 +21,10 @@ RECORD_SCHEMA = ("warc_name string, warc_offset long, record_type string, url st
 # Only files whose last dot segment is gz (any case) are archives.
 ARCHIVE_SUFFIX = ".gz"
 CHUNK = 1 << 20
+_ARROW_SCHEMA = pa.schema([
+    ("warc_name", pa.string()), ("warc_offset", pa.int64()), ("record_type", pa.string()), ("url", pa.string()),
+    ("record_date", pa.string()), ("status", pa.string()), ("content_type", pa.string()),
+    ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("error", pa.string())])
 
 
 def is_archive(path: str) -> bool:
@@ -69,8 +74,9 @@ def _http_parts(block: bytes):
     lines = head.decode("iso-8859-1").splitlines()
     if not lines or not lines[0].startswith("HTTP"):
         return None, {}, block
-    first = lines[0].split(" ")
-    status = first[1].strip() if len(first) > 1 else None
+    first = lines[0].split()
+    # a status that is no number from 0 to 1000 counts as missing.
+    status = first[1] if len(first) > 1 and first[1].isdigit() and int(first[1]) <= 1000 else None
     headers: dict[str, str] = {}
     for ln in lines[1:]:
         if ":" in ln:
@@ -150,22 +156,32 @@ class ArchiveReader(DataSourceReader):
                      if f.type == pafs.FileType.File and is_archive(f.path)]
         else:
             files = [root] if is_archive(root) else []
-        prefix = self.path.split("://", 1)[0] + "://" if "://" in self.path else ""
-        return [InputPartition(prefix + f if prefix and not f.startswith(prefix) else f) for f in sorted(files)]
+        return [InputPartition(with_authority(f, self.path)) for f in sorted(files)]
 
     def read(self, partition):
         from pyarrow import fs as pafs
         uri = partition.value
-        filesystem, path = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
-        name = path.rsplit("/", 1)[-1]
-        with filesystem.open_input_stream(path, compression=None) as stream:
-            try:
+        name = uri.rsplit("/", 1)[-1]
+        try:
+            filesystem, path = pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
+            with filesystem.open_input_stream(path, compression=None) as stream:
                 for off, member in _members(stream):
                     yield from parse_records(name, off, member)
-            except Exception as e:  # S4: a read error stops this file
-                if self.mode == "FAILFAST":
-                    raise
-                yield (name, None, None, None, None, None, None, {}, None, f"{type(e).__name__}: {e}")
+        except Exception as e:  # S4: a read error, a missing file too, stops this file
+            if self.mode == "FAILFAST":
+                raise
+            yield (name, None, None, None, None, None, None, {}, None, f"{type(e).__name__}: {e}")
+
+
+def with_authority(path: str, root: str) -> str:
+    """The URI of a listed path: scheme and host of the root it was found under."""
+    if "://" not in root or "://" in path:
+        return path
+    scheme, rest = root.split("://", 1)
+    host = rest.split("/", 1)[0]
+    if path == host or path.startswith(f"{host}/"):  # stores that list bucket/key
+        return f"{scheme}://{path}"
+    return f"{scheme}://{host}{path if path.startswith('/') else '/' + path}"
 
 
 class ArchiveDataSource(DataSource):
@@ -190,24 +206,15 @@ def read_archive(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> Da
 
 def read_archive_list(spark: SparkSession, list_path: str, mode: str = "PERMISSIVE") -> DataFrame:
     """S3: a text file of archive locations (one per line, blanks skipped) -> records."""
-    spark.dataSource.register(ArchiveDataSource)
-    paths = [r.value.strip() for r in spark.read.text(list_path).collect() if r.value.strip()]
-    frames = [spark.read.format("webarchive").option("mode", mode).load(p) for p in paths]
-    if not frames:
-        return spark.createDataFrame([], RECORD_SCHEMA)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def charset_of(content_type) -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=[\"']?([^;\s\"']+)", 1))
-
-
-def decode_records(records: DataFrame) -> DataFrame:
-    """E4 natively: decode payload bytes (declared Latin-1 family, else UTF-8) into ``html``."""
-    cs = charset_of(F.col("content_type"))
-    latin = cs.isin("iso-8859-1", "latin1", "latin-1", "windows-1252", "cp1252", "us-ascii")
-    html = F.when(latin, F.decode("payload", "ISO-8859-1")).otherwise(F.decode("payload", "UTF-8"))
-    return records.withColumn("html", html)
+    locations = (spark.read.text(list_path).select(F.trim("value").alias("path")).filter("path <> ''"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
+        reader = ArchiveReader({"path": "", "mode": mode})
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for record in reader.read(InputPartition(path)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, record))], schema=_ARROW_SCHEMA)
+
+    return locations.repartition(n, "path").mapInArrow(records, RECORD_SCHEMA)

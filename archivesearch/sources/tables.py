@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivesearch.functions import text as T
 from archivesearch.functions import urls as U
 from archivesearch.functions.timestamps import ts14
 
@@ -22,7 +21,6 @@ DOC_TYPES = ["text/html", "text/html", "text/plain", "application/pdf", "applica
 RECORD_STATUSES = ["200", "200", "301", "404", "206", "500"]
 RECORD_CONTENT_TYPES = ["text/html; charset=utf-8", "text/plain", "application/pdf", "text/css",
                         "application/javascript", "image/png", "TEXT/HTML", "text/"]
-TITLE_CHARS = 60
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,7 +140,7 @@ def document_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         url.alias("url"),
         U.surt(url).alias("surt"),
         F.col("source").alias("site"),
-        F.substring(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), 1, TITLE_CHARS).alias("title"),
+        F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("content"),
         F.upper(F.md5("text")).alias("digest"),
         ts14(_ts_plus(DOCS_EPOCH, "MINUTE", F.col("doc_id") * 437)).alias("tstamp"),
@@ -150,12 +148,3 @@ def document_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(DOC_TYPES, F.col("doc_id") % 5).alias("type"),
         "lang",
     )
-
-
-def query_workload(spark: SparkSession, sf_dir: str, n_terms: int = 3) -> DataFrame:
-    """Search requests from ``benchmark``: the first three distinct tokens as ``q``."""
-    b = read_table(spark, sf_dir, "benchmark")
-    return b.select(
-        F.col("item_id").alias("qid"),
-        F.array_join(T.first_distinct_tokens("text", n_terms), " ").alias("q"),
-    )

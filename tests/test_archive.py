@@ -5,7 +5,7 @@ import tempfile
 
 from archivesearch.operators import extract as X
 from archivesearch.plans.indexing import index_pages
-from archivesearch.sources.archive import is_archive, read_archive
+from archivesearch.sources.archive import _http_parts, is_archive, read_archive, read_archive_list, with_authority
 
 
 def warc_record(url, date, html, rtype="response", ctype="text/html; charset=utf-8"):
@@ -40,3 +40,28 @@ def test_warc_to_documents(spark):
     assert home.id == "19961013180344/FhcAj9+g5IrKjL+HJyyf3g=="
     assert home.inlinks == 1 and home.anchor == "back home " and home.outlinks == 2
     assert docs["http://publico.pt/b"].inlinks == 1 and docs["http://publico.pt/b"].anchor == "to b "
+
+
+def test_missing_archives_and_lists(spark):
+    d = tempfile.mkdtemp(prefix="warc-")
+    good = os.path.join(d, "good.warc.gz")
+    with open(good, "wb") as f:
+        f.write(warc_record("http://publico.pt", "1996-10-13T18:03:44Z", "<title>x</title>"))
+    missing = os.path.join(d, "missing.warc.gz")
+    rows = read_archive(spark, missing).collect()
+    assert len(rows) == 1 and "missing.warc.gz" in rows[0].error
+    with open(os.path.join(d, "list.txt"), "w") as f:
+        f.write(f"{good}\n\n  {missing}  \n{good}\n")
+    recs = read_archive_list(spark, os.path.join(d, "list.txt"))
+    assert sorted(r.error is None for r in recs.select("error").collect()) == [False, True, True]
+    assert {r.disposition: r.records for r in X.disposition_counts(recs).collect()} == {"accepted": 2, "error": 1}
+
+
+def test_listed_paths_keep_scheme_and_host():
+    assert with_authority("/d/a.gz", "hdfs://host:9000/d") == "hdfs://host:9000/d/a.gz"
+    assert with_authority("bucket/a.gz", "s3://bucket/") == "s3://bucket/a.gz"
+    assert with_authority("/d/a.gz", "/d") == "/d/a.gz"
+
+
+def test_status_range():
+    assert _http_parts(b"HTTP/1.1 1001 No\r\n\r\n")[0] is None and _http_parts(b"HTTP/1.1  204\r\nA: b\r\na: c\r\n\r\n")[:2] == ("204", {"a": "b"})

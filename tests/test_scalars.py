@@ -31,7 +31,7 @@ def test_page_id_golden(spark):
 @pytest.mark.parametrize("text,expected", [
     ("https://example.com/path1/path2?parameter1=something&parameter2=something", True),
     ("example.com/path1/path2?parameter1=something&parameter2=something", True),
-    ("http://example.com?url=http://arquivo.pt", True),
+    ("http://example.com?url=http://archive.example.pt", True),
     ("http://naturalmenteistonaoeumurl/path1", False),
     ("term1 term2", False),
 ])
