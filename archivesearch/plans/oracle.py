@@ -151,7 +151,8 @@ EDGES = f"""SELECT 'http://s' || CAST(l_suppkey AS VARCHAR) || '.example.com/o/'
   {ts14("l_shipdate")} AS tstamp,
   'li-' || CAST(l_orderkey % 16 AS VARCHAR) || '.warc.gz' AS warc_name,
   l_orderkey * 8 + l_linenumber AS warc_offset
-FROM lineitem"""
+FROM (SELECT * FROM lineitem UNION ALL
+      SELECT * REPLACE (l_shipdate + INTERVAL 7 DAYS AS l_shipdate) FROM lineitem WHERE l_orderkey % 3 = 0)"""
 
 CDX = f"""SELECT 'http://www.site' || CAST(user_id % 7 AS VARCHAR) || '.example.pt/u/' || CAST(user_id AS VARCHAR) AS url,
   {ts14("ts")} AS timestamp,
@@ -231,7 +232,7 @@ DOC_CDX = f"""SELECT url, tstamp AS timestamp, digest, type AS mime, '200' AS st
   'DOC-' || collection || '.warc.gz' AS filename, CAST(n_chars AS VARCHAR) AS length,
   CAST(doc_id * 512 AS VARCHAR) AS "offset",
   CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'cdx' || CAST(doc_id % 2 AS VARCHAR) END AS collection
-FROM doc_captures"""
+FROM doc_captures WHERE doc_id % 7 <> 0"""
 
 # Workload terms as rows: (qid, term)
 QTERMS = "SELECT qid, unnest(terms) AS term FROM workload"

@@ -233,24 +233,13 @@ def q_latest_page_per_key(spark, d):
 @register("merge_edges", f"""SELECT DISTINCT s AS surt, substr(tstamp, 1, 4) AS time_slice, from_url, anchor FROM (
   {O.lay("SELECT from_url, anchor, tstamp, to_url FROM (" + O.EDGES + ")", O.surt('to_url', 's', 'k'))})""")
 def q_merge_edges(spark, d):
-    a = L.invert_links(_edges_by_flag(spark, d, True), "year")
-    b = L.invert_links(_edges_by_flag(spark, d, False), "year")
+    """Two crawls that share the pages of every second order."""
+    edges = TB.link_edges(spark, d).withColumn("o", F.regexp_extract("from_url", "([0-9]+)$", 1).cast("long"))
+    a = L.invert_links(edges.filter("o % 4 < 3").drop("o"), "year")
+    b = L.invert_links(edges.filter("o % 4 > 0").drop("o"), "year")
     return L.merge_edges(a, b)
 
 
-def _edges_by_flag(spark, d, returned: bool):
-    """Two crawls of the link graph: returned line items and the others (a partition of all rows)."""
-    li = TB.read_table(spark, d, "lineitem")
-    cond = F.col("l_returnflag") == "R"
-    li = li.filter(cond if returned else ~cond)
-    return li.select(
-        F.concat(F.lit("http://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/o/"),
-                 F.col("l_orderkey").cast("string")).alias("from_url"),
-        F.concat(F.lit("http://www.example.com/p/"), F.col("l_partkey").cast("string"), F.lit("/")).alias("to_url"),
-        F.when(F.col("l_linenumber") == 1, F.lit("")).otherwise(F.concat("l_returnflag", "l_linestatus")).alias("anchor"),
-        TS.ts14("l_shipdate").alias("tstamp"))
-
-
 # ------------------------------------------------------------------ version documents
 
 _VDOC_CTES = O.CORPUS[:2]
@@ -604,11 +593,18 @@ def q_query_analysis(spark, d):
 
 # ------------------------------------------------------------------ extraction (E1-E5) and exports
 
-@register("page_title_links")
+_PAGE_LINKS = r"""SELECT *, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS raw_title,
+  regexp_extract_all(html, '(?:href|src)="([^"]+)"', 1) AS hrefs FROM (""" + O.CAPTURED_PAGES + ")"
+
+
+@register("page_title_links", f"""SELECT tstamp || '/' || to_base64(unhex(md5(c_canon))) AS id, c_canon AS url, k_s AS surt_url,
+  trim(regexp_replace(raw_title, '\\s+', ' ', 'g')) AS title, CAST(len(hrefs) AS INTEGER) AS outlinks,
+  octet_length(encode(html)) AS content_length, upper(md5(html)) AS digest, 'text/html' AS type, CAST(len(hrefs) AS INTEGER) AS n_links
+FROM ({O.lay(_PAGE_LINKS, O.canonical('url', 'c_canon', 'c'), O.surt('url', 'k_s', 'k'))})""")
 def q_page_title_links(spark, d):
     pages = X.build_page_data(TB.captured_pages(spark, d))
     return pages.select("id", "url", "surt_url", "title", "outlinks", "content_length", "digest", "type",
-                        F.size("out_links").alias("n_links"), F.length("content").alias("content_chars"))
+                        F.size("out_links").alias("n_links"))
 
 
 @register("search_doc_json")
@@ -640,9 +636,13 @@ def q_complete_captures(spark, d):
     return c.select("offset", C.is_complete(c).alias("complete"))
 
 
-@register("distinct_captures", f"SELECT digest, timestamp, count(*) AS copies FROM ({O.CDX}) GROUP BY digest, timestamp")
+@register("distinct_captures", f"""WITH c AS ({O.CDX})
+SELECT digest, timestamp, count(*) AS copies FROM (SELECT * FROM c UNION ALL SELECT * FROM c WHERE mime = 'text/html')
+GROUP BY digest, timestamp""")
 def q_distinct_captures(spark, d):
-    return C.distinct_captures(TB.cdx_captures(spark, d))
+    """Two capture servers, of which one knows the HTML captures only."""
+    c = TB.cdx_captures(spark, d)
+    return C.distinct_captures(c.unionByName(c.filter("mime = 'text/html'")))
 
 
 @register("version_history", f"""WITH cdx AS ({O.CDX}),
@@ -686,7 +686,7 @@ def q_closest_capture(spark, d):
 def doc_cdx(spark, d) -> DataFrame:
     """Capture rows of the captured documents (so text hits and captures can meet)."""
     c = TB.document_captures(spark, d)
-    n = TB.read_table(spark, d, "documents").select("doc_id", "n_chars")
+    n = TB.read_table(spark, d, "documents").select("doc_id", "n_chars").filter("doc_id % 7 <> 0")
     c = c.join(n, "doc_id")
     return c.select(
         "url", F.col("tstamp").alias("timestamp"), "digest", F.col("type").alias("mime"), F.lit("200").alias("status"),
@@ -702,7 +702,8 @@ def _meta_requests(spark, d) -> DataFrame:
     ev = TB.read_table(spark, d, "events").select(
         (F.lit(-1) - F.col("event_id")).alias("req_id"),
         F.concat(F.lit("http://www.site"), (F.col("user_id") % 7).cast("string"), F.lit(".example.pt/u/"),
-                 F.col("user_id").cast("string"), F.lit("/"), TS.ts14("ts")).alias("id"))
+                 F.col("user_id").cast("string"), F.lit("/"),
+                 F.when(F.col("event_id") % 11 == 0, F.lit("19990101000000")).otherwise(TS.ts14("ts"))).alias("id"))
     return dc.unionByName(ev)
 
 
@@ -711,7 +712,7 @@ _META_SQL = O.with_ctes(O.CORPUS[0], ("vdocs", O.VERSION_DOCS), ("doc_cdx", O.DO
                         ("req", f"""SELECT doc_id AS req_id, url, tstamp AS ts FROM doc_captures
   UNION ALL SELECT -1 - event_id AS req_id,
     'http://www.site' || CAST(user_id % 7 AS VARCHAR) || '.example.pt/u/' || CAST(user_id AS VARCHAR) AS url,
-    {O.ts14('ts')} AS ts FROM events"""),
+    CASE WHEN event_id % 11 = 0 THEN '19990101000000' ELSE {O.ts14('ts')} END AS ts FROM events"""),
                         ("txt", """SELECT r.req_id, min(c.digest) AS doc_id, arg_min(c.collection, c.digest) AS vcollection
   FROM req r JOIN doc_captures c ON c.url = r.url AND c.tstamp = r.ts GROUP BY r.req_id"""),
                         ("cx", """SELECT r.req_id,
@@ -742,11 +743,14 @@ def q_metadata_merge(spark, d):
 
 
 @register("extracted_text", O.with_ctes(O.CORPUS[0], ("vdocs", O.VERSION_DOCS), body="""
-SELECT c.doc_id AS req_id, true AS found, c.digest AS doc_id,
-  coalesce(v.titleString, '') || ', ' || coalesce(v.content, '') AS text
-FROM doc_captures c JOIN vdocs v ON v.id = c.digest"""))
+SELECT c.doc_id AS req_id, v.id IS NOT NULL AS found, v.id AS doc_id,
+  CASE WHEN v.id IS NOT NULL THEN coalesce(v.titleString, '') || ', ' || coalesce(v.content, '') END AS text
+FROM doc_captures c LEFT JOIN vdocs v ON v.id = c.digest AND c.doc_id % 5 > 1"""))
 def q_extracted_text(spark, d):
-    req = TB.document_captures(spark, d).select(F.col("doc_id").alias("req_id"), F.concat_ws("/", "url", "tstamp").alias("id"))
+    """Requests for every capture; of five one has another time and one is no URL."""
+    time = F.when(F.col("doc_id") % 5 == 0, F.lit("19990101000000")).otherwise(F.col("tstamp"))
+    url = F.when(F.col("doc_id") % 5 == 1, F.lit("no url")).otherwise(F.col("url"))
+    req = TB.document_captures(spark, d).select(F.col("doc_id").alias("req_id"), F.concat_ws("/", url, time).alias("id"))
     return M.extracted_text(req, corpus_docs(spark, d), corpus_versions(spark, d))
 
 

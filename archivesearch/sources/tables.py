@@ -74,8 +74,11 @@ def archive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outlink edges ``(from_url, to_url, anchor, tstamp)``, one per ``lineitem`` row."""
+    """Outlink edges ``(from_url, to_url, anchor, tstamp)``, one per ``lineitem`` row; pages of
+    every third order were crawled again a week later, with the same links."""
     li = read_table(spark, sf_dir, "lineitem")
+    week = F.expr("l_shipdate + interval 7 days")
+    li = li.unionByName(li.filter("l_orderkey % 3 = 0").withColumn("l_shipdate", week))
     return li.select(
         F.concat(F.lit("http://s"), F.col("l_suppkey").cast("string"), F.lit(".example.com/o/"),
                  F.col("l_orderkey").cast("string")).alias("from_url"),
