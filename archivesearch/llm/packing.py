@@ -48,16 +48,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, max_length: int
         encoder = id_encoder(tokenizer)
         end = np.array([end_id], "<u4")
         rows: list[tuple] = []
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([encoder.encode(text.as_py() or ""), end]).astype("<u4", copy=False)
-                start = 0
-                for length in cuts(len(ids), max_length):
-                    rows.append((doc_id, start, length, len(ids), ids[start:start + length].tobytes()))
-                    start += length
-                    if len(rows) >= _ROWS:
-                        yield _batch(rows, names)
-                        rows = []
+        texts = ((i, t.as_py()) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+        for doc_id, ids in encoder.stream(texts):
+            ids = np.concatenate([ids, end])
+            start = 0
+            for length in cuts(len(ids), max_length):
+                rows.append((doc_id, start, length, len(ids), ids[start:start + length].tobytes()))
+                start += length
+                if len(rows) >= _ROWS:
+                    yield _batch(rows, names)
+                    rows = []
         if rows:
             yield _batch(rows, names)
 

@@ -56,7 +56,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
     short = F.length(col("text")).between(1, SAMPLE_CHARS)
     rows = (docs.filter(short).select(F.xxhash64(col("text")).alias("h"), col("text").alias("t"))
             .orderBy("h").limit(sample_docs).collect())
-    samples = [encoder.encode(r.t).astype(f"<u{width}").tobytes() for r in rows]
+    samples = [ids.astype(f"<u{width}").tobytes() for ids in encoder.encode_all([r.t for r in rows])]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 4096:
         return b"", width
@@ -89,17 +89,17 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
                      pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds)], names=list(row))
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tokens = np.concatenate([encoder.encode(text.as_py() or ""), end])
-                frame = compress(tokens.astype(f"<u{width}").tobytes())
-                ids.append(doc_id)
-                frames.append(frame)
-                counts.append(len(tokens))
-                size += len(frame)
-                if size >= shard_bytes:
-                    yield shard()
-                    ids, frames, counts, size, number = [], [], [], 0, number + 1
+        texts = ((i, t.as_py()) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+        for doc_id, tokens in encoder.stream(texts):
+            tokens = np.concatenate([tokens, end])
+            frame = compress(tokens.astype(f"<u{width}").tobytes())
+            ids.append(doc_id)
+            frames.append(frame)
+            counts.append(len(tokens))
+            size += len(frame)
+            if size >= shard_bytes:
+                yield shard()
+                ids, frames, counts, size, number = [], [], [], 0, number + 1
         if ids:
             yield shard()
 

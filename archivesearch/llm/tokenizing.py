@@ -1,28 +1,41 @@
 """Token ids of whole texts by the tokenizers library, with a bounded cache of pieces.
 
 A byte-level BPE never merges across the pieces of its split pattern, so the ids of a text are
-those of its pieces. Pieces repeat a lot: each distinct one is encoded by the tokenizer once per
-cache fill and looked up after that. A tokenizer of another make, or a text that holds one of the
-tokenizer's special strings, is encoded directly.
+those of its pieces. Pieces repeat a lot: each distinct one goes through the tokenizer's model
+once per cache fill and is looked up after that. With a tokenizer of another make, or where a
+text holds one of the tokenizer's special strings, whole texts are encoded directly.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-#: Fixed value: the split pattern of the byte-level pre-tokenizer.
+#: The split pattern of the byte-level pre-tokenizer, and the same for ASCII text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ASCII_PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"""
+                 r"""|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
+_BATCH_CHARS = 1 << 20
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1
+    characters stand for themselves, the others are counted up from 256."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class IdEncoder:
     """``path``: a tokenizer file that every executor has at the same place."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 1_000_000):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
@@ -33,31 +46,56 @@ class IdEncoder:
         self.size = self.tokenizer.get_vocab_size()
         self.cache: dict[str, bytes] = {}
         self.cache_size = cache_size
-        self.pieces = regex.compile(PATTERN).findall
+        self.letters = _byte_letters()
+        self.pieces, self.ascii_pieces = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Cache the ids of new pieces."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        for piece in pieces:
+            spelled = piece.encode("utf-8").decode("latin-1").translate(letters)
+            self.cache[piece] = np.array([t.id for t in tokenize(spelled)], "<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text as unsigned 32-bit integers."""
+        if not self.by_piece:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):  # some texts at a time, so that new pieces are few calls
+            split, chars = [], 0
+            while at < len(texts) and chars < _BATCH_CHARS:
+                text = texts[at]
+                if any(s in text for s in self.special):
+                    split.append(None)
+                else:
+                    split.append(self.ascii_pieces(text) if text.isascii() else self.pieces(text))
+                chars += len(text)
+                at += 1
+            distinct = set().union(*[p for p in split if p])
+            if len(self.cache) + len(distinct) > self.cache_size:
+                self.cache.clear()
+            self._learn(distinct.difference(self.cache))
+            get, first = self.cache.__getitem__, at - len(split)
+            for number, pieces in enumerate(split):
+                if pieces is None:
+                    found = self.tokenizer.encode(texts[first + number], add_special_tokens=False).ids
+                    out.append(np.array(found, "<u4"))
+                else:
+                    out.append(np.frombuffer(b"".join(map(get, pieces)), "<u4"))
+        return out
 
-    def encode(self, text: str) -> np.ndarray:
-        """Ids as unsigned 32-bit integers."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if not self.by_piece or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = self.pieces(text)
-        cache = self.cache
-        try:
-            return np.frombuffer(b"".join([cache[p] for p in pieces]), "<u4")
-        except KeyError:
-            pass
-        if len(cache) > self.cache_size:
-            cache.clear()
-        own = {p: cache.get(p) for p in dict.fromkeys(pieces)}
-        new = [p for p, ids in own.items() if ids is None]
-        # One call for all: as many encodings as pieces would cost more than the merging itself.
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        cuts = np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(new))) * 4
-        ids = np.array(found.ids, "<u4").tobytes()
-        for piece, start, end in zip(new, [0, *cuts.tolist()], cuts.tolist()):
-            cache[piece] = own[piece] = ids[start:end]
-        return np.frombuffer(b"".join([own[p] for p in pieces]), "<u4")
+    def stream(self, rows: Iterator[tuple], chars: int = _BATCH_CHARS) -> Iterator[tuple[object, np.ndarray]]:
+        """(key, ids) of the rows (key, text), some texts at a time; a null text is empty."""
+        keys, texts, size = [], [], 0
+        for key, text in rows:
+            keys.append(key)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size >= chars:
+                yield from zip(keys, self.encode_all(texts))
+                keys, texts, size = [], [], 0
+        yield from zip(keys, self.encode_all(texts))
 
 
 @lru_cache(maxsize=2)
