@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from archivesearch.llm.shared import col
+from archivesearch.llm.shared import col, hashed_sample
 from archivesearch.llm.tokenizing import id_encoder
 
 END_ID = 2
@@ -49,13 +49,13 @@ _SHARDS = ("part int, shard int, dictionary string, doc_ids array<long>, sizes a
 
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, int]:
     """Dictionary bytes (empty if there is too little to learn from) and the width of an id. The
-    sample are the ``sample_docs`` texts with the smallest hash among those of at most
+    sample are the ``sample_docs`` documents with the smallest hash among those of at most
     ``SAMPLE_CHARS`` characters; only the dictionary depends on it, all ids of all are stored."""
     encoder = id_encoder(tokenizer)
     width = 2 if encoder.size < 1 << 16 else 4
     short = F.length(col("text")).between(1, SAMPLE_CHARS)
-    rows = (docs.filter(short).select(F.xxhash64(col("text")).alias("h"), col("text").alias("t"))
-            .orderBy("h").limit(sample_docs).collect())
+    few = docs.filter(short).select(col("doc_id").alias("doc_id"), col("text").alias("t"))
+    rows = hashed_sample(few, ["doc_id", "t"], sample_docs).collect()
     samples = [ids.astype(f"<u{width}").tobytes() for ids in encoder.encode_all([r.t for r in rows])]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 4096:
