@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivesearch.llm.shared import col, free_name, without
+from archivesearch.llm.shared import col, free_name, hashed_sample, without
 
 COLUMNS = ("score", "predicted", "spans")
 _RESULT = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
@@ -226,8 +226,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit a model on a bounded sample of the labelled rows that are not held out."""
     ids = (labels.select(col("doc_id").cast("long").alias("_id"), col("toxic").cast("int").alias("_toxic"))
-           .dropna().filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-           .orderBy(F.xxhash64("_id"), "_id").limit(settings.sample_docs))
+           .dropna().filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic")))
+    ids = hashed_sample(ids, ["_id"], settings.sample_docs)
     rows = docs.select(col("doc_id").cast("long").alias("_id"), col("text").alias("text")).filter("text is not null")
     # At most sample_docs short rows are broadcast.
     sample = rows.join(F.broadcast(ids), "_id").select("text", F.col("_toxic").alias("toxic"))
