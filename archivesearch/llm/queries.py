@@ -68,7 +68,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    return warc.digest(warc.assemble(warc.read_archives(spark, path)))
+    return warc.digest(warc.assemble(warc.read_archives(spark, path, payloads=False)))
 
 
 def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ its last record has type ``error``; the records before it count. No pages give n
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivesearch.llm.shared import col
+from archivesearch.llm.shared import col, shared_path, stored
 
 MIN_BYTES = 100
 MAX_MEMBERS = 1000
 HEADS = ("response", "revisit", "resource")
 _END = "\r\n\r\n"
 _RECORD = ("file string, at long, type string, record_id string, concurrent_to array<string>, target_uri string, "
-           "date string, refers_to string, declared_digest string, http_status int, http_length long, payload binary")
+           "date string, refers_to string, declared_digest string, http_status int, http_length long, "
+           "payload_bytes long, payload_digest string, payload binary")
 
 
 def _lines(*pairs):
@@ -181,16 +183,19 @@ def parse(content) -> Iterator[dict]:
                 length = answer.get("content-length", "")
                 record |= {"http_status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None,
                            "http_length": int(length) if length.isdigit() else None, "payload": body}
+            record |= {"payload_bytes": len(record["payload"]), "payload_digest": hashlib.sha256(record["payload"]).hexdigest()}
             yield record
     except (ValueError, KeyError, zlib.error) as e:
         yield {"at": last, "type": "error", "payload": str(e).encode()}
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives under ``path``; see ``_RECORD`` for the columns."""
+def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """One row per record of the archives under ``path``; see ``_RECORD`` for the columns. Size and
+    SHA-256 are those of the payload as read; without ``payloads`` the payloads of responses
+    themselves are left behind in the task."""
     names = [part.split()[0] for part in _RECORD.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string(),
-             pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary()]
+             pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(found: list[dict]) -> pa.RecordBatch:
@@ -200,8 +205,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found, size = [], 0
                 for record in parse(memoryview(content.as_buffer())):
+                    if not payloads and record["type"] in HEADS:
+                        record["payload"] = None
                     found.append(record | {"file": file})
-                    size += len(record["payload"])
+                    size += len(record["payload"] or b"")
                     if size >= 8 << 20 or len(found) >= 5000:
                         yield rows(found)
                         found, size = [], 0
@@ -213,8 +220,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble(records: DataFrame, max_members: int = MAX_MEMBERS) -> DataFrame:
-    """One nested row per capture: record_id, part, response (struct), requests and others (arrays)."""
-    records = records.filter("type <> 'error' and record_id is not null")
+    """One nested row per capture: record_id, part, response (struct), requests and others (arrays).
+    The records are stored first, so that archives are parsed once for all the joins."""
+    records = stored(records.filter("type <> 'error' and record_id is not null"), shared_path(records.sparkSession, "records"))
     is_head = F.col("type").isin(*HEADS)
     heads, members = records.filter(is_head), records.filter(~is_head)
     head_ids = heads.select(F.col("record_id").alias("head")).distinct()
@@ -240,8 +248,8 @@ def assemble(records: DataFrame, max_members: int = MAX_MEMBERS) -> DataFrame:
         F.coalesce("record_id", "head").alias("record_id"), F.coalesce("part", F.lit(0)).alias("part"),
         F.when(F.col("_own").isNotNull(), F.struct(
             "type", "target_uri", "date", "http_status", "http_length", "declared_digest", "refers_to", "payload",
-            F.when(F.col("type") != "revisit", F.octet_length("payload").cast("long")).alias("payload_bytes"),
-            F.when(F.col("type") != "revisit", F.sha2("payload", 256)).alias("payload_digest"))).alias("response"),
+            F.when(F.col("type") != "revisit", F.col("payload_bytes")).alias("payload_bytes"),
+            F.when(F.col("type") != "revisit", F.col("payload_digest")).alias("payload_digest"))).alias("response"),
         pick("request", True).alias("requests"), pick("request", False).alias("others"))
 
 
