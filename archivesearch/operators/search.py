@@ -156,16 +156,26 @@ def _batch_terms(aq: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
                     (F.coalesce(weights[F.col("field")], F.lit(1.0)) * idf).alias("weight")))
 
 
-def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
+                within: DataFrame | None = None) -> DataFrame:
     """J7 + X2 + X4 + P13: ``(qid, doc_id, score)`` of the documents that hold the query terms
     and no excluded term, with BM25 scores.
 
-    ``operator="and"``: every plain term must occur in some field; ``"or"``: any term.
+    ``operator="or"``: any term; the postings of all terms are read. ``"and"``: every plain term
+    must occur in some field, so only documents of each query's rarest term are looked at, by
+    ``(term, doc_id)``. ``within`` gives the documents to look at instead.
     """
     if cfg.operator not in ("and", "or"):
         raise ValueError("operator must be 'and' or 'or'")
-    hits = index.postings.select("term", "field", "doc_id", "tf", "field_len").join(
-        _batch_terms(aq, index, cfg), ["term", "field"])
+    terms = _batch_terms(aq, index, cfg)
+    postings = index.postings.select("term", "field", "doc_id", "tf", "field_len")
+    if within is None and cfg.operator == "and":
+        within = _rarest_term_docs(aq, index, cfg)
+    if within is None:
+        hits = postings.join(terms, ["term", "field"])
+    else:
+        asked = postings.join(terms.select("term", "field").distinct(), ["term", "field"], "left_semi")
+        hits = asked.join(within.join(terms, "qid"), ["term", "field", "doc_id"])
     norm = F.col("tf") * (cfg.k1 + 1) / (
         F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("field_len") / F.col("avg_len")))
     aggs = [F.sum(F.when(F.col("scores"), F.col("weight") * norm)).alias("raw_score"),
@@ -179,29 +189,56 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig())
     return out.select("qid", "doc_id", F.round("raw_score", cfg.round_digits).alias("score"))
 
 
+def _document_frequencies(index: Index, fields: tuple[str, ...] | None) -> DataFrame:
+    stats = index.term_stats.filter(F.col("field").isin(*fields)) if fields else index.term_stats
+    return stats.groupBy("term").agg(F.sum("df").alias("df"))
+
+
+def _rarest_term_docs(aq: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
+    """``(qid, doc_id)``: the documents of each query's rarest plain term."""
+    terms = aq.select("qid", F.explode("terms").alias("term"))
+    rarest = (terms.join(_document_frequencies(index, cfg.match_fields), "term").groupBy("qid")
+              .agg(F.min(F.struct("df", "term")).alias("r")).select("qid", "r.term"))
+    postings = index.postings.filter(F.col("field").isin(*cfg.match_fields)) if cfg.match_fields else index.postings
+    return postings.select("term", "doc_id").join(rarest, "term").select("qid", "doc_id").distinct()
+
+
 def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents holding every phrase of the query.
 
-    Per (query, phrase, document, field), the phrase terms' position lists (one per
-    term, so the group is bounded by the phrase length) are shifted by the term index
-    and intersected.
+    Each distinct phrase is searched once, from the postings of its rarest term; the other terms
+    are looked up by ``(term, doc_id, field)``. Their position lists (one per term, so a group is
+    bounded by the phrase length) are shifted by the term's place and intersected.
     """
-    ph = aq.select("qid", F.size("phrases").alias("n_phrases"), F.posexplode("phrases").alias("phrase_idx", "phrase"))
-    ph = ph.select("qid", "n_phrases", "phrase_idx", F.size("phrase").alias("plen"),
-                   F.posexplode("phrase").alias("term_idx", "term"))
+    asked = aq.select("qid", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.array_join(p, " ")))).alias("phrase"))
+    words = (asked.select("phrase").distinct()
+             .select("phrase", F.posexplode(F.split("phrase", " ")).alias("place", "term")))
+    rarest = (words.join(_document_frequencies(index, fields), "term").groupBy("phrase")
+              .agg(F.min(F.struct("df", "place", "term")).alias("r")).select("phrase", "r.place", "r.term"))
     postings = index.postings.select("term", "field", "doc_id", "positions")
     if fields:
         postings = postings.filter(F.col("field").isin(*fields))
-    grouped = postings.join(ph, "term").groupBy("qid", "n_phrases", "phrase_idx", "doc_id", "field", "plen").agg(
-        F.collect_list(F.struct("term_idx", "positions")).alias("lists"))
-    starts = F.aggregate(
-        F.slice("lists", 2, F.size("lists")),
-        F.transform(F.col("lists")[0]["positions"], lambda p: p - F.col("lists")[0]["term_idx"]),
-        lambda acc, x: F.array_intersect(acc, F.transform(x["positions"], lambda p: p - x["term_idx"])))
-    matched = (grouped.filter((F.size("lists") == F.col("plen")) & (F.size(starts) > 0))
-               .select("qid", "n_phrases", "phrase_idx", "doc_id").distinct())
-    return (matched.groupBy("qid", "n_phrases", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") == F.col("n_phrases")).select("qid", "doc_id"))
+
+    def starts(place):
+        return F.transform("positions", lambda p: p - F.col(place))
+
+    first = postings.join(rarest, "term").select("phrase", "place", "doc_id", "field", starts("place").alias("starts"))
+    others = words.join(rarest.select("phrase", F.col("place").alias("done")), "phrase").filter("place <> done")
+    others = others.groupBy("phrase").agg(F.collect_list(F.struct("place", "term")).alias("others"))  # its own words
+    first = first.join(others, "phrase", "left")
+    single = first.filter("others is null").select("phrase", "doc_id")
+    looked = first.select("phrase", "doc_id", "field", "starts", F.size("others").alias("n"), F.explode("others").alias("o"))
+    looked = looked.select("phrase", "doc_id", "field", "starts", "n", F.col("o.place").alias("place"), F.col("o.term").alias("term"))
+    known = postings.join(words.select("term").distinct(), "term", "left_semi")
+    met = (known.join(looked, ["term", "doc_id", "field"])
+           .select("phrase", "doc_id", "field", "n", F.array_intersect("starts", starts("place")).alias("both"))
+           .groupBy("phrase", "doc_id", "field", "n").agg(F.collect_list("both").alias("lists")))
+    common = F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], lambda acc, x: F.array_intersect(acc, x))
+    several = met.filter((F.size("lists") == F.col("n")) & (F.size(common) > 0)).select("phrase", "doc_id")
+    found = single.unionByName(several).distinct()
+    needed = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed"))
+    return (found.join(asked, "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+            .join(needed, "qid").filter("n = needed").select("qid", "doc_id"))
 
 
 # ------------------------------------------------------------------ the batch
@@ -219,7 +256,7 @@ def batch_shape(aq: DataFrame) -> Row:
 
     names = F.collect_set(F.when(F.expr(f"not {HAS_TERMS} and not {HAS_FILTER}"), dedup_key("dedup_field")))
     return aq.filter("status = 'ok'").agg(
-        any_of(HAS_TERMS).alias("terms"), any_of("size(phrases) > 0").alias("phrases"),
+        any_of("size(terms) > 0 and size(phrases) = 0").alias("terms"), any_of("size(phrases) > 0").alias("phrases"),
         any_of("prefixes is not null").alias("site"), any_of("collection is not null").alias("collection"),
         any_of(f"not {HAS_TERMS} and {HAS_FILTER}").alias("filter_only"),
         any_of(f"not {HAS_TERMS} and not {HAS_FILTER}").alias("match_all"),
@@ -241,13 +278,10 @@ def candidates(aq: DataFrame, docs: DataFrame, versions: DataFrame, index: Index
     shape = shape or Row(terms=True, phrases=True, filter_only=False, exclude_only=False)
     parts = []
     if shape.terms:
-        hits = match_terms(aq.filter(HAS_TERMS), index, cfg)
-        if shape.phrases:
-            ok = match_phrases(aq.filter("size(phrases) > 0"), index, cfg.match_fields)
-            hits = (hits.join(aq.select("qid", (F.size("phrases") > 0).alias("phrased")), "qid")
-                    .join(ok.withColumn("holds", F.lit(True)), ["qid", "doc_id"], "left")
-                    .filter("not phrased or holds").select("qid", "doc_id", "score"))
-        parts.append(hits)
+        parts.append(match_terms(aq.filter("size(terms) > 0 and size(phrases) = 0"), index, cfg))
+    if shape.phrases:
+        phrased = aq.filter("size(phrases) > 0")
+        parts.append(match_terms(phrased, index, cfg, within=match_phrases(phrased, index, cfg.match_fields)))
     if shape.filter_only:
         found = FL.filter_only_hits(aq.filter(f"not {HAS_TERMS} and {HAS_FILTER}"), docs, versions)
         found = found.withColumn("score", F.lit(0.0))

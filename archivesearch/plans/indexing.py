@@ -20,10 +20,10 @@ def index_pages(records: DataFrame, policy: str = "none", cfg: X.ExtractConfig =
     time slice (A8), or every capture with ``keep="all"``."""
     pages = pages if pages is not None else X.build_page_data(records, cfg, collection)
     inlinks = L.invert_links(L.outlink_edges(pages), policy)
-    return _documents(pages, inlinks, policy, keep)
+    return page_documents_of(pages, inlinks, policy, keep)
 
 
-def _documents(pages: DataFrame, inlinks: DataFrame, policy: str, keep: str) -> DataFrame:
+def page_documents_of(pages: DataFrame, inlinks: DataFrame, policy: str, keep: str) -> DataFrame:
     chosen = latest_per_key(pages, policy, keep).drop(*L.EDGE_KEY)
     return page_documents(join_inlinks(chosen, inlinks, policy))
 
@@ -34,5 +34,5 @@ def run_indexing(spark: SparkSession, records: DataFrame, out: str, policy: str
     write_parquet(X.build_page_data(records, cfg, collection), f"{out}/page_data")
     pages = spark.read.parquet(f"{out}/page_data")
     write_parquet(L.invert_links(L.outlink_edges(pages), policy), f"{out}/inlinks_data")
-    docs = _documents(pages, spark.read.parquet(f"{out}/inlinks_data"), policy, keep)
+    docs = page_documents_of(pages, spark.read.parquet(f"{out}/inlinks_data"), policy, keep)
     write_json(docs, f"{out}/page_documents")

@@ -462,6 +462,27 @@ def q_field_match(spark, d):
     return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, cfg).select("qid", "doc_id")
 
 
+_CODE = "ascii(anchor) * 256 + ascii(substr(anchor, 2, 1))"
+
+
+@register("anchor_match", f"""WITH anc AS (
+  SELECT DISTINCT s AS surt, anchor FROM ({O.lay("SELECT anchor, to_url FROM (" + O.EDGES + ")", O.surt('to_url', 's', 'k'))}) WHERE anchor <> ''),
+pp AS (SELECT p_partkey, s AS surt FROM (
+  {O.lay("SELECT p_partkey, 'http://example.com/p/' || CAST(p_partkey AS VARCHAR) AS url FROM part", O.surt('url', 's', 'p'))}))
+SELECT CAST({_CODE} AS BIGINT) AS qid, CAST(p_partkey AS VARCHAR) AS doc_id FROM pp JOIN anc ON anc.surt = pp.surt""")
+def q_anchor_match(spark, d):
+    """Pages found by the text of the links to them, an indexed field of its own."""
+    from archivesearch.operators.index import build_index
+    from archivesearch.session import shared_path
+    edges = TB.link_edges(spark, d)
+    pages = join_inlinks(TB.part_pages(spark, d).withColumnRenamed("surt", "surt_url"), L.invert_links(edges, "none"), "none")
+    docs = pages.select(F.col("page_key").cast("string").alias("id"), F.col("title").alias("titleString"), "anchor")
+    index = build_index(docs, shared_path(spark, "anchor-index"), {"title": "titleString", "anchor": "anchor"})
+    words = edges.filter("anchor <> ''").select("anchor").distinct()
+    requests = words.select(F.expr(_CODE).cast("long").alias("qid"), F.col("anchor").alias("q"))
+    return S.match_terms(_analyzed(requests), index, S.SearchConfig(match_fields=("anchor",))).select("qid", "doc_id")
+
+
 # ------------------------------------------------------------------ full batch search
 
 _RESULT_COLS = ["qid", "rank", "group_rank", "doc_id", "score", "title", "originalURL", "tstamp",
@@ -598,7 +619,7 @@ _PAGE_LINKS = r"""SELECT *, regexp_extract(html, '(?s)<title>(.*?)</title>', 1)
 
 
 @register("page_title_links", f"""SELECT tstamp || '/' || to_base64(unhex(md5(c_canon))) AS id, c_canon AS url, k_s AS surt_url,
-  trim(regexp_replace(raw_title, '\\s+', ' ', 'g')) AS title, CAST(len(hrefs) AS INTEGER) AS outlinks,
+  replace(replace(replace(replace(raw_title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS title, CAST(len(hrefs) AS INTEGER) AS outlinks,
   octet_length(encode(html)) AS content_length, upper(md5(html)) AS digest, 'text/html' AS type, CAST(len(hrefs) AS INTEGER) AS n_links
 FROM ({O.lay(_PAGE_LINKS, O.canonical('url', 'c_canon', 'c'), O.surt('url', 'k_s', 'k'))})""")
 def q_page_title_links(spark, d):

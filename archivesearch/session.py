@@ -53,11 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return current
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which all executors can reach."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and go on from the stored rows: lineage
     ends here, later scans read only the columns they use."""
     spark = df.sparkSession
-    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = path or shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -65,3 +65,22 @@ def test_listed_paths_keep_scheme_and_host():
 
 def test_status_range():
     assert _http_parts(b"HTTP/1.1 1001 No\r\n\r\n")[0] is None and _http_parts(b"HTTP/1.1  204\r\nA: b\r\na: c\r\n\r\n")[:2] == ("204", {"a": "b"})
+
+
+def test_submitted_jobs(spark):
+    from archivesearch.operators import search as S
+    from archivesearch.plans.corpus import read_corpus
+    from archivesearch.plans.job import main
+    d = tempfile.mkdtemp(prefix="warc-")
+    with open(os.path.join(d, "a.warc.gz"), "wb") as f:
+        f.write(warc_record("http://publico.pt", "1996-10-13T18:03:44Z", '<title>Home</title><a href="/b">to b</a>'))
+        f.write(warc_record("http://publico.pt/b", "1996-10-13T18:05:00Z", "<title>B</title>other words"))
+    main(["pages", d, f"{d}/pages", "--collection", "TESTE"])
+    main(["links", f"{d}/pages", f"{d}/links"])
+    main(["docs", f"{d}/pages", f"{d}/links", f"{d}/docs"])
+    main(["index", f"{d}/pages", f"{d}/corpus"])
+    docs = {r.url: r for r in spark.read.json(f"{d}/docs").collect()}
+    assert docs["http://publico.pt/b"].anchor == "to b " and docs["http://publico.pt/"].collection == "TESTE"
+    c = read_corpus(spark, f"{d}/corpus")
+    res, _ = S.page_search(spark.createDataFrame([(1, '"other words"')], "qid long, q string"), c.docs, c.versions, c.index)
+    assert [(r.title, r.collection) for r in res.collect()] == [("B", "TESTE")]
