@@ -34,7 +34,7 @@ Q = 8
 MIN_CHARS = 24
 #: Bytes of item texts in one block: what is broadcast at a time.
 BLOCK_BYTES = 2 << 20
-_TEXT_BYTES = 4 << 20  # texts filtered at a time
+_TEXT_BYTES = 1 << 20  # texts filtered at a time
 _BITS = 22
 _IS_WORD = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)

@@ -35,7 +35,7 @@ def _byte_letters() -> dict[int, str]:
 class IdEncoder:
     """``path``: a tokenizer file that every executor has at the same place."""
 
-    def __init__(self, path: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, cache_size: int = 500_000):
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
