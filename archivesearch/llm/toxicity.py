@@ -32,15 +32,17 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivesearch.llm.shared import col, free_name, hashed_sample, without
+from archivesearch.llm.shared import col, free_name, hashed_sample, shared_path, stored, without
 
 COLUMNS = ("score", "predicted", "spans")
 _RESULT = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
-_TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
-_BREAKS = frozenset(".!?\n")
+_WORD = re.compile(r"[^\W\d_]+")
+_SENTENCE = re.compile(r"[^.!?\n]+")
+_FIT_ROWS = 2048  # segments whose sums are held at a time while fitting
 
 
 @dataclass(frozen=True)
@@ -51,14 +53,14 @@ class Settings:
     the model."""
 
     sample_docs: int = 20_000
-    max_segments: int = 60_000
+    max_segments: int = 16_000
     max_features: int = 8192
     min_toxic: int = 5
     min_share: float = 0.7
     marker_share: float = 0.9
     prefixes: tuple = (4, 5, 6, 7, 8)
     segment: int = 32
-    steps: int = 150
+    steps: int = 100
     l2: float = 1.0
 
 
@@ -79,7 +81,8 @@ class Model:
     curve: np.ndarray = field(default_factory=lambda: np.zeros(3))  # of the score
 
     def __post_init__(self):
-        self._words: dict[str, float] = {}
+        self._words: dict[str, float] = {}  # words with a feature, and their summed weight
+        self._seen: set[str] = set()
 
     def __getstate__(self):
         return {"settings": self.settings, "weights": self.weights, "chain": self.chain, "curve": self.curve}
@@ -88,34 +91,48 @@ class Model:
         self.__dict__.update(state)
         self.__post_init__()
 
-    def word(self, word: str) -> float | None:
-        """Summed weight of a word's features, None if it has no known one."""
-        known = self._words.get(word, 0)
-        if known == 0:
-            if len(self._words) > 500_000:
+    def known(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that have a feature of the model; each new word is looked at once."""
+        if new := words.difference(self._seen):
+            if len(self._seen) > 500_000:
+                self._seen.clear()
                 self._words.clear()
-            own = [self.weights[f] for f in features_of(word, self.settings.prefixes) if f in self.weights]
-            known = self._words[word] = sum(own) if own else None
-        return known
-
-    def tag(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, marginal) of the tokens of all segments with a known feature."""
-        low = text.lower()
-        if len(low) != len(text):
-            low = text.translate({c: c + 32 for c in range(65, 91)})
-        if not any(self.word(w) is not None for w in set(_TOKEN.findall(low))):
-            return []
-        out = []
-        for tokens in segments(low, self.settings.segment):
-            weights = [self.word(w) for w, _, _ in tokens]
-            if any(w is not None for w in weights):
-                p = self.marginals(np.array([[w or 0.0 for w in weights]]), np.array([len(tokens)]))[0]
-                out += [(start, end, float(x)) for (_, start, end), x in zip(tokens, p)]
+                new = words
+            weights, prefixes = self.weights, self.settings.prefixes
+            for word in new:
+                own = [weights[f] for f in features_of(word, prefixes) if f in weights]
+                if own:
+                    self._words[word] = sum(own)
+            self._seen |= new
+        return words & self._words.keys()
+
+    def tag(self, texts: list[str | None]) -> list[list[tuple[int, int, float]]]:
+        """Per text (start, end, marginal) of the tokens of all segments with a known feature. The
+        chain runs over many segments of one length class at a time."""
+        out: list[list] = [[] for _ in texts]
+        runs: list[tuple[int, list, list]] = []
+        for number, text in enumerate(texts):
+            low = (text or "").lower()
+            if len(low) != len(text or ""):
+                low = text.translate({c: c + 32 for c in range(65, 91)})
+            known = self.known(set(_WORD.findall(low)))
+            if known:
+                runs += [(number, tokens, [self._words.get(w, 0.0) for w, _, _ in tokens])
+                         for tokens in segments(low, self.settings.segment, known)]
+        runs.sort(key=lambda r: len(r[1]))  # stable: the segments of a text are put in order below
+        for a in range(0, len(runs), _FIT_ROWS):
+            part = runs[a:a + _FIT_ROWS]
+            sizes = np.array([len(weights) for *_, weights in part])
+            emissions = np.zeros((len(part), int(sizes.max())))
+            for row, (*_, weights) in enumerate(part):
+                emissions[row, :len(weights)] = weights
+            marginals = _sums(emissions + self.chain[0], self.chain[1:], sizes)[0].tolist()
+            for (number, tokens, _), p in zip(part, marginals):
+                out[number] += [(start, end, x) for (_, start, end), x in zip(tokens, p)]
+        for tagged in out:
+            tagged.sort()
         return out
 
-    def marginals(self, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return _sums(emissions + self.chain[0], self.chain[1:], sizes)[0]
-
     def evidence(self, tagged: list[tuple[int, int, float]]) -> tuple[float, float]:
         top = max((p for *_, p in tagged), default=0.0)
         return (math.log((top + 1e-4) / (1 - top + 1e-4)), math.log1p(sum(p for *_, p in tagged if p >= 0.05)))
@@ -124,8 +141,7 @@ class Model:
         z = self.curve[0] + float(np.dot(self.curve[1:], self.evidence(tagged)))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def result(self, text: str | None) -> tuple[float, int, list]:
-        tagged = self.tag(text) if text else []
+    def result(self, tagged: list[tuple[int, int, float]]) -> tuple[float, int, list]:
         spans: list[dict] = []
         inside = False
         for start, end, p in tagged:
@@ -138,18 +154,17 @@ class Model:
         return score, int(score >= 0.5), spans
 
 
-def segments(low: str, size: int) -> Iterator[list[tuple[str, int, int]]]:
-    """Runs of (word, start, end) that end with a sentence, a line or after ``size`` words."""
-    run: list[tuple[str, int, int]] = []
-    for match in _TOKEN.finditer(low):
-        word = match.group()
-        if word not in _BREAKS:
-            run.append((word, match.start(), match.end()))
-        if run and (word in _BREAKS or len(run) >= size):
-            yield run
-            run = []
-    if run:
-        yield run
+def segments(low: str, size: int, known: set[str] | None = None) -> Iterator[list[tuple[str, int, int]]]:
+    """Runs of (word, start, end) that end with a sentence, a line or after ``size`` words; with
+    ``known`` only those that hold one of its words (sentences without are passed over whole)."""
+    for sentence in _SENTENCE.finditer(low):
+        if known is not None and known.isdisjoint(_WORD.findall(sentence.group())):
+            continue
+        run = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low, sentence.start(), sentence.end())]
+        for at in range(0, len(run), size):
+            part = run[at:at + size]
+            if known is None or not known.isdisjoint(w for w, _, _ in part):
+                yield part
 
 
 def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None):
@@ -182,29 +197,33 @@ def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: n
     return p, gold - total.sum(), (observed - expected.reshape(-1))
 
 
-def fit_chain(rows: list[tuple[list, list]], n_features: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and chain parameters from ``rows`` of (feature numbers per token, labels)."""
-    width = max(len(tokens) for tokens, _ in rows)
-    sizes = np.array([len(tokens) for tokens, _ in rows])
-    labels = np.zeros((len(rows), width), np.int64)
-    where, which = [], []
-    for r, (tokens, marks) in enumerate(rows):
-        labels[r, :len(marks)] = marks
-        for t, numbers in enumerate(tokens):
-            where += [r * width + t] * len(numbers)
-            which += numbers
-    where, which = np.array(where, np.int64), np.array(which, np.int64)
+def fit_chain(rows: list[tuple], n_features: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and chain parameters from ``rows`` of (number of tokens, places of features, their
+    numbers, places of toxic tokens); the likelihood is summed over blocks of rows."""
+    sizes = np.array([r[0] for r in rows], np.int64)
+    n, width = len(rows), int(sizes.max())
+    each = np.array([len(r[1]) for r in rows], np.int64)
+    where = np.repeat(np.arange(n) * width, each) + np.fromiter((t for r in rows for t in r[1]), np.int64, int(each.sum()))
+    which = np.fromiter((f for r in rows for f in r[2]), np.int64, int(each.sum()))
+    labels = np.zeros((n, width), np.int64)
+    for number, row in enumerate(rows):
+        labels[number, row[3]] = 1
     inside = np.arange(width) < sizes[:, None]
     params = np.zeros(n_features + 5)
     params[n_features] = -2.0
     first, second = np.zeros_like(params), np.zeros_like(params)
+    off = np.empty((n, width))
     for step in range(1, settings.steps + 1):
         weights, chain = params[:n_features], params[n_features:]
-        emissions = np.bincount(where, weights[which], minlength=len(rows) * width).reshape(len(rows), width) + chain[0]
-        p, _, moves = _sums(emissions, chain[1:], sizes, labels)
-        off = ((labels - p) * inside).reshape(-1)
-        slope = np.concatenate([np.bincount(which, off[where], minlength=n_features), [off.sum()], moves])
-        slope = (slope - settings.l2 * params) / len(rows)
+        emissions = np.bincount(where, weights[which], minlength=n * width).reshape(n, width) + chain[0]
+        moves = np.zeros(4)
+        for a in range(0, n, _FIT_ROWS):
+            part = slice(a, a + _FIT_ROWS)
+            p, _, moved = _sums(emissions[part], chain[1:], sizes[part], labels[part])
+            off[part] = (labels[part] - p) * inside[part]
+            moves += moved
+        slope = np.concatenate([np.bincount(which, off.reshape(-1)[where], minlength=n_features), [off.sum()], moves])
+        slope = (slope - settings.l2 * params) / n
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         params = params + 0.2 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
     return params[:n_features], params[n_features:]
@@ -244,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
         for rows in batches:
             for text, mark in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                words = set(_TOKEN.findall(text.lower())) - _BREAKS
+                words = set(_WORD.findall(text.lower()))
                 (toxic if mark else clean).update({f for w in words for f in features_of(w, prefixes)})
                 n[bool(mark)] += 1
                 if len(toxic) + len(clean) > 1_000_000:
@@ -270,34 +289,38 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     number = {r["feature"]: n for n, r in enumerate(chosen)}
     marker = {r["feature"] for r in chosen if r["share"] >= settings.marker_share}
 
+    def key(run: list[tuple[str, int, int]]) -> int:
+        return xxhash.xxh64_intdigest(" ".join(w for w, _, _ in run)) >> 1
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            tokens, marks = [], []
+            out: list[tuple] = []
             for text, mark in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
                 plain = None
                 for run in segments(text.lower(), settings.segment):
-                    own = [[f for f in features_of(w, prefixes) if f in number] for w, _, _ in run]
-                    if any(own):
-                        tokens.append([[number[f] for f in fs] for fs in own])
-                        marks.append([int(bool(mark) and any(f in marker for f in fs)) for fs in own])
+                    own = [(t, f) for t, (w, _, _) in enumerate(run) for f in features_of(w, prefixes) if f in number]
+                    if own:
+                        toxic = sorted({t for t, f in own if mark and f in marker})
+                        out.append((len(run), [t for t, _ in own], [number[f] for _, f in own], toxic, key(run)))
                     else:
-                        plain = plain or own
+                        plain = plain or run
                 if plain:  # one segment without features for each document
-                    tokens.append(plain)
-                    marks.append([0] * len(plain))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.list_(pa.int32()))),
-                                              pa.array(marks, pa.list_(pa.int32()))], names=["tokens", "marks"])
-
-    runs = sample.mapInArrow(cut, "tokens array<array<int>>, marks array<int>")
-    rows = (runs.orderBy(F.xxhash64("tokens", "marks")).limit(settings.max_segments).collect())
+                    out.append((len(plain), [], [], [], key(plain)))
+            kinds = (pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
+                                             names=["size", "places", "numbers", "toxic", "h"])
+
+    runs = sample.mapInArrow(cut, "size int, places array<int>, numbers array<int>, toxic array<int>, h long")
+    runs = stored(runs, shared_path(docs.sparkSession, "segments"))  # counted, then read
+    rows = hashed_sample(runs, ["h"], settings.max_segments).collect()
     if rows and number:
-        weights, model.chain = fit_chain([(r["tokens"], r["marks"]) for r in rows], len(number), settings)
-        model.weights = {f: float(weights[n]) for f, n in number.items() if abs(weights[n]) > 1e-3}
+        weights, model.chain = fit_chain([tuple(r)[:4] for r in rows], len(number), settings)
+        model.weights = {f: float(weights[n]) for f, n in number.items() if abs(weights[n]) > 0.1}
     model.curve = np.zeros(3)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            found = [model.evidence(model.tag(t)) for t in rows.column(0).to_pylist()]
+            found = [model.evidence(tagged) for tagged in model.tag(rows.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.float64()),
                                               pa.array([x[1] for x in found], pa.float64()), rows.column(1)],
                                              names=["top", "total", "toxic"])
@@ -319,6 +342,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf(_RESULT)
     def scored(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.result(t) for t in texts], columns=list(COLUMNS))
+        model = shared.value
+        found = [model.result(tagged) for tagged in model.tag(texts.tolist())]
+        return pd.DataFrame(found, columns=list(COLUMNS))
 
     return docs.withColumn(tmp, scored.asNondeterministic()(col("text"))).select(*[col(c) for c in carried], f"{tmp}.*")
