@@ -1,10 +1,13 @@
 """Licence scan with a generalised suffix automaton over the words of licence templates.
 
 Every text is streamed through the automaton once. The matching statistics (the longest template
-substring ending at each word) give the maximal matches; matches of a template that advance in
-both text and template are chained over small gaps, and a chain that covers enough of its
-template is a template span. The base phrases are strings of the same automaton, and every place
-of them is found from the same statistics.
+substring ending at each word) and the suffix links give the maximal matches of every template, also
+those that end inside a longer match of another one; matches of a template that advance in both
+text and template are chained over small gaps, and a chain that covers enough of its template is a
+template span. Words that a span with more words of another template has matched count for that one:
+a span that is not its whole template word by word, and covers too little without them, is left out
+('licensed under the' of an Apache notice is no MIT notice). The base phrases are strings of the same
+automaton, and every place of them is found from the same statistics.
 
 Defined results: a null or empty text has no words, no labels, score 0. Repeated rows each get a
 row. Texts are scanned whole; the chains held at a time are bounded by the templates, not by the
@@ -165,50 +168,84 @@ class Scanner:
             self.phrases[state].append(n)
         for state in sorted(range(1, len(self.phrases)), key=lambda s: self.automaton.length[s]):
             self.phrases[state] += self.phrases[self.automaton.link[state]]
+        # Of each state: (template, end, word that follows there) of its longest strings, and with their
+        # length those of its suffixes that the longer strings do not end with.
+        self.own: list[list[tuple]] = [[] for _ in self.automaton.link]
+        self.inner: list[list[tuple]] = [[] for _ in self.automaton.link]
+        follows = {(n, t): s[t] if t < len(s) else None for n, s in enumerate(strings[:self.first_base])
+                   for t in range(1, len(s) + 1)}
+        for state in sorted(range(1, len(self.own)), key=lambda s: self.automaton.length[s]):
+            ends, link = self.automaton.ends, self.automaton.link[state]
+            self.own[state] = [(n, t, follows[n, t]) for n, t in sorted(ends[state]) if (n, t) in follows]
+            if self.automaton.length[link] >= rules.min_match:
+                self.inner[state] = [(n, t, follows[n, t], self.automaton.length[link])
+                                     for n, t in sorted(ends[link] - ends[state]) if (n, t) in follows] + self.inner[link]
 
-    def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
+    def _matches(self, at: int, state: int, length: int, following: bytes | None) -> Iterator[tuple[int, int, int, int]]:
+        """(index of the last word, template, its end there, length) of the matches that no further
+        word of their own template continues."""
+        for number, t_end, word in self.own[state]:
+            if word is None or word != following:
+                yield at, number, t_end, length
+        for number, t_end, word, size in self.inner[state]:
+            if word is None or word != following:
+                yield at, number, t_end, size
+
+    def _chains(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, float]]:
         """(template, first word, last word, coverage) of the chains that cover enough."""
         gap, best = self.rules.max_gap, []
-        open_chains: dict[int, list] = defaultdict(list)  # template -> [text end, template end, covered, start]
-        for end, state, length in matches:
-            for number, t_end in self.automaton.ends[state]:
-                if number >= self.first_base:
-                    continue
-                kept = [c for c in open_chains[number] if end + 1 - length - c[0] <= gap]
-                new = [end + 1, t_end, min(length, t_end), end + 1 - min(length, t_end)]
-                for text_end, tmpl_end, covered, start in kept:
-                    # A link may overlap the chain before it; only what it adds counts.
-                    add = min(end + 1 - text_end, t_end - tmpl_end, length)
-                    if add > 0 and t_end - add - tmpl_end <= gap and (covered + add, -start) > (new[2], -new[3]):
-                        new[2:] = [covered + add, start]
-                # One chain for each place in the template; the better of two.
-                same = next((c for c in kept if c[1] == t_end), None)
-                if same is None:
-                    kept.append(new)
-                elif (new[2], new[0]) >= (same[2], same[0]):
-                    kept[kept.index(same)] = new
-                open_chains[number] = kept
-                coverage = new[2] / self.sizes[number]
-                if coverage >= self.rules.min_cover:
-                    best.append((number, new[3], new[0] - 1, min(1.0, coverage)))
+        open_chains: dict[int, list] = defaultdict(list)  # template -> [text end, template end, covered, start, links]
+        for end, number, t_end, length in matches:
+            # No link is longer than its template: what lies further back is out of reach for good.
+            kept = [c for c in open_chains[number] if end + 1 - self.sizes[number] - c[0] <= gap]
+            here = (end + 1 - length, end + 1)
+            new = [end + 1, t_end, length, here[0], (here, None)]
+            for text_end, tmpl_end, covered, start, links in kept:
+                # A link may overlap the chain before it; only what it adds counts.
+                add = min(end + 1 - text_end, t_end - tmpl_end, length)
+                if (add > 0 and here[0] - text_end <= gap and t_end - add - tmpl_end <= gap
+                        and (covered + add, -start) > (new[2], -new[3])):
+                    new[2:] = [covered + add, start, (here, links)]
+            open_chains[number] = [*kept, new]
+            coverage = new[2] / self.sizes[number]
+            if coverage >= self.rules.min_cover:
+                best.append((number, new[3], new[0] - 1, min(1.0, coverage), new[4]))
         spans: dict = {}
-        for number, start, end, coverage in best:  # of chains with one start, the longest
+        for number, start, end, coverage, links in best:  # of chains with one start, the longest
             if coverage >= spans.get((number, start), (0, 0.0))[1]:
-                spans[number, start] = (end, coverage)
-        return [(n, s, e, c) for (n, s), (e, c) in sorted(spans.items(), key=lambda x: (x[0][1], x[0][0]))]
+                spans[number, start] = (end, coverage, links)
+        found = [(n, s, e, c, links) for (n, s), (e, c, links) in sorted(spans.items(), key=lambda x: (x[0][1], x[0][0]))]
+        return [s[:4] for s, mine in zip(found, self._own_words(found)) if mine]
+
+    def _own_words(self, spans: list[tuple]) -> list[bool]:
+        """Of each span: whether it is its whole template word by word, or covers enough of it with the
+        words that no larger span of another template has."""
+        words = []
+        for *_, links in spans:
+            words.append(set())
+            while links:
+                (first, end), links = links
+                words[-1].update(range(first, end))
+        kept, taken = [False] * len(spans), defaultdict(list)  # word -> (size, template) of kept spans
+        for place in sorted(range(len(spans)), key=lambda p: -len(words[p])):
+            number, mine = spans[place][0], words[place]
+            whole = spans[place][4][1] is None and len(mine) == self.sizes[number]
+            left = sum(not any(n != number and size > len(mine) for size, n in taken[w]) for w in mine)
+            kept[place] = whole or left / self.sizes[number] >= self.rules.min_cover
+            if kept[place]:
+                for word in mine:
+                    taken[word].append((len(mine), number))
+        return kept
 
     def scan(self, text: str) -> tuple:
         words = words_of(text)
-        matches, places, before = [], [], None
+        matches, places = [], []
         for at, state, length in self.automaton.statistics(words):
             for n in self.phrases[state]:
                 if length >= self.sizes[n]:
                     places.append((at + 1 - self.sizes[n], n))
-            if before and (at != before[0] + 1 or length <= before[2]) and before[2] >= self.rules.min_match:
-                matches.append(before)
-            before = (at, state, length)
-        if before and before[2] >= self.rules.min_match:
-            matches.append(before)
+            if length >= self.rules.min_match:
+                matches += self._matches(at, state, length, words[at + 1] if at + 1 < len(words) else None)
         chains = self._chains(matches)
         base = {self.labels[n] for _, n in places}
         spans = [(self.labels[n], start, end, cover) for n, start, end, cover in chains]

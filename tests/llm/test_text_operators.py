@@ -110,6 +110,30 @@ def test_license_spans_and_gaps():
     assert one.scan("the of and to a program in the text " * 50)[5] == ""
 
 
+def test_license_templates_inside_longer_matches():
+    one = licenses.scanner(licenses.Rules())
+    notice = "Licensed under the Apache License, Version 2.0"
+    for after in ("", " and more", ". The rest of the text", ' (the "Licence holder")'):
+        scanned = one.scan(notice + after)
+        assert (scanned[5], scanned[6]) == ("apache-2.0", 1.0)  # and not mit, for 'licensed under the'
+        assert {(s["first_word"], s["last_word"], s["coverage"]) for s in scanned[7]} == {(0, 7, 1.0)}
+    # Every template that stands whole in a text is a span, whatever words of templates stand around it.
+    for label, text in licenses.TEMPLATES:
+        size = len(licenses.words_of(text))
+        for word in sorted(one.automaton.ids):
+            word = word.decode()
+            got = {(s["label"], s["last_word"]) for s in one.scan(f"{word} zzz {text} {word}")[7] if s["coverage"] == 1.0}
+            assert any(name == label and last >= size + 1 for name, last in got), (text, word)
+    sharealike = next(text for label, text in licenses.TEMPLATES if label == "cc-by-sa")
+    assert one.scan(sharealike)[5] == "cc-by-sa"
+    assert one.scan("Licensed under the GNU General Public License")[5] == "gpl"
+    # A link of one template inside a longer match of another joins its chain.
+    rules = licenses.Rules(templates=(("a", "p q r s t u v"), ("b", "x q r s t y z w")), min_cover=0.7)
+    assert licenses.scanner(rules).scan("x q r s t y z w")[5] == "b"
+    rules = licenses.Rules(templates=(("a", "p q r s t u v w"), ("b", "k p q r m n o"), ("c", "j s t u v w")), min_cover=1.0)
+    assert "a" in licenses.scanner(rules).scan("k p q r x s t u v w")[5]
+
+
 def test_matching_statistics_are_longest_matches():
     import random
     rnd = random.Random(3)
