@@ -8,8 +8,8 @@ backward sums give each token's marginal; marginals over one half form the offen
 the largest marginal and the sum of the sizeable ones give the document's score through a
 logistic curve fitted to the training documents.
 
-Fitting uses a bounded sample of the labelled training rows (``Settings``); scoring reads every
-whole text. Inputs of a score are words only. A text is tagged in segments that end with a
+Fitting uses a bounded sample of the labelled training rows (``Settings``) and all segments of
+them: equal segments are one row with their count as weight. Scoring reads every whole text. Inputs of a score are words only. A text is tagged in segments that end with a
 sentence or line, or after ``segment`` words; a segment without a known feature has the same
 small marginals everywhere, so it is not run.
 
@@ -32,11 +32,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivesearch.llm.shared import col, free_name, hashed_sample, shared_path, stored, without
+from archivesearch.llm.shared import col, free_name, hashed_sample, without
 
 COLUMNS = ("score", "predicted", "spans")
 _RESULT = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
@@ -47,13 +46,11 @@ _FIT_ROWS = 2048  # segments whose sums are held at a time while fitting
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_docs``: labelled rows that fit the model; ``max_segments`` of them go to the chain.
-    A feature needs ``min_toxic`` toxic documents and a share of toxic among its (class-weighted)
+    """``sample_docs``: labelled rows that fit the model, with all their segments. A feature needs ``min_toxic`` toxic documents and a share of toxic among its (class-weighted)
     documents of ``min_share``; one of ``marker_share`` marks toxic tokens. ``max_features`` bounds
     the model."""
 
     sample_docs: int = 20_000
-    max_segments: int = 16_000
     max_features: int = 8192
     min_toxic: int = 5
     min_share: float = 0.7
@@ -167,9 +164,10 @@ def segments(low: str, size: int, known: set[str] | None = None) -> Iterator[lis
                 yield part
 
 
-def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None):
-    """Marginals of label 1 of padded rows; with ``labels`` also the log-likelihood and the
-    expected less the observed moves."""
+def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None,
+          counts: np.ndarray | None = None):
+    """Marginals of label 1 of padded rows; with ``labels`` also the observed less the
+    expected moves, each row ``counts`` times."""
     n, width = emissions.shape
     inside = np.arange(width) < sizes[:, None]
     score = np.zeros((n, width, 2))
@@ -187,42 +185,51 @@ def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: n
     total = np.logaddexp(last[:, 0], last[:, 1])
     p = np.where(inside, np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]), 0.0)
     if labels is None:
-        return p, None, None
+        return p, None
     pair = (ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :]) - total[:, None, None, None]
     both = inside[:, 1:]
-    expected = np.where(both[:, :, None, None], np.exp(pair), 0.0).sum(axis=(0, 1))
+    expected = np.where(both[:, :, None, None], np.exp(pair), 0.0).sum(axis=1)
     index = labels[:, :-1] * 2 + labels[:, 1:]
-    observed = np.bincount(index[both], minlength=4)
-    gold = (emissions * labels * inside).sum() + (observed * moves).sum()
-    return p, gold - total.sum(), (observed - expected.reshape(-1))
-
-
-def fit_chain(rows: list[tuple], n_features: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and chain parameters from ``rows`` of (number of tokens, places of features, their
-    numbers, places of toxic tokens); the likelihood is summed over blocks of rows."""
-    sizes = np.array([r[0] for r in rows], np.int64)
-    n, width = len(rows), int(sizes.max())
-    each = np.array([len(r[1]) for r in rows], np.int64)
-    where = np.repeat(np.arange(n) * width, each) + np.fromiter((t for r in rows for t in r[1]), np.int64, int(each.sum()))
-    which = np.fromiter((f for r in rows for f in r[2]), np.int64, int(each.sum()))
-    labels = np.zeros((n, width), np.int64)
-    for number, row in enumerate(rows):
-        labels[number, row[3]] = 1
-    inside = np.arange(width) < sizes[:, None]
+    observed = np.bincount(index[both], np.repeat(counts, sizes - 1), minlength=4)
+    return p, observed - (expected * counts[:, None, None]).sum(axis=0).reshape(-1)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the lists of a column (and the end), and their elements one after the other."""
+    lists = column.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def fit_chain(rows: pa.Table, n_features: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and chain parameters from ``rows`` of distinct segments: size (number of tokens),
+    places of features, their numbers, places of toxic tokens, n (how often the segment is there).
+    The likelihood is summed over blocks of rows; rows in order of size make narrow blocks."""
+    sizes = rows["size"].to_numpy().astype(np.int64)
+    counts = rows["n"].to_numpy().astype(float)
+    (first_place, places), (_, which), (first_toxic, toxic) = (_lists(rows[k]) for k in ("places", "numbers", "toxic"))
+    n = counts.sum()
     params = np.zeros(n_features + 5)
     params[n_features] = -2.0
     first, second = np.zeros_like(params), np.zeros_like(params)
-    off = np.empty((n, width))
     for step in range(1, settings.steps + 1):
         weights, chain = params[:n_features], params[n_features:]
-        emissions = np.bincount(where, weights[which], minlength=n * width).reshape(n, width) + chain[0]
-        moves = np.zeros(4)
-        for a in range(0, n, _FIT_ROWS):
+        slope = np.zeros_like(params)
+        for a in range(0, len(sizes), _FIT_ROWS):
             part = slice(a, a + _FIT_ROWS)
-            p, _, moved = _sums(emissions[part], chain[1:], sizes[part], labels[part])
-            off[part] = (labels[part] - p) * inside[part]
-            moves += moved
-        slope = np.concatenate([np.bincount(which, off.reshape(-1)[where], minlength=n_features), [off.sum()], moves])
+            own, own_counts = sizes[part], counts[part]
+            b, width = a + len(own), int(own.max())
+            line = np.arange(len(own)) * width
+            at = slice(first_place[a], first_place[b])
+            where = np.repeat(line, np.diff(first_place[a:b + 1])) + places[at]
+            labels = np.zeros((len(own), width), np.int64)
+            labels.reshape(-1)[np.repeat(line, np.diff(first_toxic[a:b + 1])) + toxic[first_toxic[a]:first_toxic[b]]] = 1
+            emissions = np.bincount(where, weights[which[at]], minlength=labels.size).reshape(labels.shape) + chain[0]
+            p, moved = _sums(emissions, chain[1:], own, labels, own_counts)
+            off = (labels - p) * (np.arange(width) < own[:, None]) * own_counts[:, None]
+            slope[:n_features] += np.bincount(which[at], off.reshape(-1)[where], minlength=n_features)
+            slope[n_features] += off.sum()
+            slope[n_features + 1:] += moved
         slope = (slope - settings.l2 * params) / n
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
         params = params + 0.2 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
@@ -289,9 +296,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     number = {r["feature"]: n for n, r in enumerate(chosen)}
     marker = {r["feature"] for r in chosen if r["share"] >= settings.marker_share}
 
-    def key(run: list[tuple[str, int, int]]) -> int:
-        return xxhash.xxh64_intdigest(" ".join(w for w, _, _ in run)) >> 1
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out: list[tuple] = []
@@ -301,20 +305,20 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
                     own = [(t, f) for t, (w, _, _) in enumerate(run) for f in features_of(w, prefixes) if f in number]
                     if own:
                         toxic = sorted({t for t, f in own if mark and f in marker})
-                        out.append((len(run), [t for t, _ in own], [number[f] for _, f in own], toxic, key(run)))
+                        out.append((len(run), [t for t, _ in own], [number[f] for _, f in own], toxic))
                     else:
                         plain = plain or run
                 if plain:  # one segment without features for each document
-                    out.append((len(plain), [], [], [], key(plain)))
-            kinds = (pa.int32(), *[pa.list_(pa.int32())] * 3, pa.int64())
+                    out.append((len(plain), [], [], []))
+            kinds = (pa.int32(), *[pa.list_(pa.int32())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
-                                             names=["size", "places", "numbers", "toxic", "h"])
+                                             names=["size", "places", "numbers", "toxic"])
 
-    runs = sample.mapInArrow(cut, "size int, places array<int>, numbers array<int>, toxic array<int>, h long")
-    runs = stored(runs, shared_path(docs.sparkSession, "segments"))  # counted, then read
-    rows = hashed_sample(runs, ["h"], settings.max_segments).collect()
-    if rows and number:
-        weights, model.chain = fit_chain([tuple(r)[:4] for r in rows], len(number), settings)
+    # All segments: of equal ones the driver gets a row with their count, as Arrow arrays.
+    runs = sample.mapInArrow(cut, "size int, places array<int>, numbers array<int>, toxic array<int>")
+    rows = (runs.groupBy(*runs.columns).agg(F.count(F.lit(1)).alias("n")).orderBy(*runs.columns)).toArrow()
+    if rows.num_rows and number:
+        weights, model.chain = fit_chain(rows, len(number), settings)
         model.weights = {f: float(weights[n]) for f, n in number.items() if abs(weights[n]) > 0.1}
     model.curve = np.zeros(3)
 

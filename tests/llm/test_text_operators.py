@@ -184,6 +184,35 @@ def test_toxicity_learns_and_handles_odd_rows(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_toxicity_counts_of_equal_segments_are_weights():
+    import numpy as np
+    import pyarrow as pa
+    rows = [(3, [0, 2], [0, 1], [0]), (1, [], [], []), (5, [4], [2], [4]), (2, [1], [1], []), (1, [0], [0], [0])]
+    times = [3, 7, 2, 4, 1]
+
+    def fitted(rows, times):
+        table = pa.table({k: pa.array([r[n] for r in rows], pa.int32() if n == 0 else pa.list_(pa.int32()))
+                          for n, k in enumerate(("size", "places", "numbers", "toxic"))} | {"n": pa.array(times, pa.int64())})
+        return X.fit_chain(table, 3, X.Settings())
+
+    single = [r for r, n in zip(rows, times) for _ in range(n)]
+    for a, b in zip(fitted(rows, times), fitted(single, [1] * len(single))):
+        assert np.allclose(a, b, atol=1e-6)
+
+
+def test_toxicity_copies_crowd_out_no_segment(spark):
+    copied = " ".join(f"nasty {a}{b}{a}{b}." for a in "abcdefghij" for b in "klmnopqrst")  # 100 segments
+    rare = [f"z{a}q{b}" for a in "bcdfg" for b in "hjkl"]
+    texts = [(copied, 1)] * 400 + [(f"some {w} words", 1) for w in rare for _ in range(12)]
+    texts += [(f"some other words number {'abcdefghij'[i % 10]}", 0) for i in range(800)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, mark) for i, (_, mark) in enumerate(texts)], "doc_id long, toxic int")
+    model = X.train(docs, labels)
+    assert set(rare) <= {f for f, w in model.weights.items() if w > 0}
+    found = X.score(docs, model).select("doc_id", "predicted").collect()
+    assert all(r.predicted == texts[r.doc_id][1] for r in found)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
