@@ -57,7 +57,7 @@ class Settings:
     marker_share: float = 0.9
     prefixes: tuple = (4, 5, 6, 7, 8)
     segment: int = 32
-    steps: int = 100
+    steps: int = 150
     l2: float = 1.0
 
 
@@ -319,7 +319,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     rows = (runs.groupBy(*runs.columns).agg(F.count(F.lit(1)).alias("n")).orderBy(*runs.columns)).toArrow()
     if rows.num_rows and number:
         weights, model.chain = fit_chain(rows, len(number), settings)
-        model.weights = {f: float(weights[n]) for f, n in number.items() if abs(weights[n]) > 0.1}
+        model.weights = {f: float(weights[n]) for f, n in number.items() if abs(weights[n]) > 1e-3}
     model.curve = np.zeros(3)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

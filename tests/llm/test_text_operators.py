@@ -213,6 +213,20 @@ def test_toxicity_copies_crowd_out_no_segment(spark):
     assert all(r.predicted == texts[r.doc_id][1] for r in found)
 
 
+def test_toxicity_keeps_small_weights(spark, monkeypatch):
+    import numpy as np
+    steps = []
+
+    def fitted(rows, n_features, settings):
+        steps.append(settings.steps)
+        return np.full(n_features, 0.05), np.zeros(5)
+
+    monkeypatch.setattr(X, "fit_chain", fitted)
+    docs = spark.createDataFrame([(i, "vile thing" if i % 2 else "fair thing") for i in range(60)], "doc_id long, text string")
+    model = X.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"))
+    assert model.weights.get("vile") == 0.05 and steps == [150]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
