@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from archivesearch.llm import license_scan as licenses
-from archivesearch.llm import decontaminate, line_dedup, packing, quality, simhash, token_store, toxicity, url_filter, warc
+from archivesearch.llm import (chat, decontaminate, hard_negatives, line_dedup, packing, quality, simhash, token_store, toxicity,
+                               url_filter, vector_codes, warc)
 from archivesearch.llm.shared import shared_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,6 +111,24 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(captures, _list_entries(captures)).withColumn("fetched", F.col("fetched").cast("string"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], rows.schema)
+    return chat.digest(rows.unionByName(more), TOKENIZER)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, book = vector_codes.fit(_table(spark, sf_dir, "embeddings"))
+    return vector_codes.digest(codes, book)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 100 == 0).drop("anchor_row")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontamination": op2_decontamination,
@@ -121,11 +140,84 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_warc_transactions": op9_warc_transactions,
     "op10_url_filters": op10_url_filters,
+    "op11_chat_format": op11_chat_format,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_VECTORS = """
+kept as (
+  select vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)"""
+
+
+def _lloyd() -> str:
+    """Two rounds and the last assignment of the codebooks as one chain of tables."""
+    steps = []
+    for n in range(3):
+        steps.append(f"""a{n} as materialized (
+  select p.vec_id, p.label, p.pos, p.v, b.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - b.v[i]) * (p.v[i] - b.v[i]))) as far
+  from parts p join b{n} b using (pos)
+  qualify row_number() over (partition by p.vec_id, p.pos order by far, b.entry) = 1)""")
+        if n < 2:
+            steps.append(f"""m{n} as (
+  select pos, entry, list(mean order by i) as v
+  from (select pos, entry, i, cast(floor(sum(v[i]) / count(*)) as bigint) as mean from a{n}, range(1, 5) t(i) group by all) group by pos, entry),
+b{n + 1} as materialized (select b.pos, b.entry, coalesce(m.v, b.v) as v from b{n} b left join m{n} m using (pos, entry))""")
+    return ",\n".join(steps)
+
+
+def _marks(text: str) -> str:
+    """Characters that escaping adds to a text: one for each control string, with backslashes in it or not."""
+    return f"len(regexp_extract_all({text}, '<\\\\*(s>|/s>|\\|endoftext\\|>)|\\[\\\\*/?(INST|ROLE)\\]'))"
+
+
 ORACLES: dict[str, str] = {
+    "op11_chat_format": f"""
+with c as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+       cast(sum(length(text) + {_marks('text')} + case role when 'user' then 13 when 'assistant' then 4 else 17 + length(role) + {_marks('role')} end)
+            as bigint) as formatted_chars
+from c group by conv_id""",
+    "op12_vector_codes": f"""
+with {_VECTORS},
+parts as materialized (select vec_id, label, pos, v[pos * 4 + 1 : pos * 4 + 4] as v from kept, range(16) t(pos)),
+b0 as materialized (
+  select pos, v, dense_rank() over (order by vec_id) - 1 as entry from parts
+  where vec_id in (select distinct vec_id from kept order by vec_id limit 64)),
+{_lloyd()},
+coded as (
+  select vec_id, label, string_agg(lpad(lower(hex(entry)), 2, '0'), '' order by pos) as code, cast(sum(far) as bigint) as error
+  from a2 group by vec_id, label),
+book as (select sha256(string_agg(list_aggregate(v, 'string_agg', ','), ',' order by pos, entry)) as codebooks_sha256 from b2)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+from coded, book""",
+    "op13_hard_negatives": f"""
+with {_VECTORS},
+r as materialized (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, v from kept where label is not null),
+pairs as materialized (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select *, row_number() over (partition by anchor_id order by score desc, vec_id) as positive_rank from pairs where same
+  qualify positive_rank <= 5),
+hits as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score, p.positive_rank,
+         row_number() over (partition by p.anchor_id, p.vec_id order by n.score desc, n.vec_id) as rank
+  from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same
+       and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, cast(positive_score as bigint) as positive_score,
+       cast(negative_score as bigint) as negative_score, cast(positive_rank as integer) as positive_rank
+from hits where rank <= 5""",
     "op1_line_dedup": f"""
 with lines as (
   select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
