@@ -3,13 +3,15 @@
 Labels say only whether a document is toxic, so token labels are inferred first: a feature (a
 word, or a prefix of one) that nearly only toxic documents have marks the tokens that carry it,
 within toxic documents; all other tokens are clean. A two-label chain is fitted to segments of
-such tokens (features, bias, transitions; gradient ascent on the exact likelihood). Forward and
+such tokens (features, bias, transitions): L-BFGS steps on the exact likelihood, whose value and slope are summed
+per partition by Spark; the driver holds parameters only. Forward and
 backward sums give each token's marginal; marginals over one half form the offending spans, and
 the largest marginal and the sum of the sizeable ones give the document's score through a
 logistic curve fitted to the training documents.
 
 Fitting uses a bounded sample of the labelled training rows (``Settings``) and all segments of
-them: equal segments are one row with their count as weight. Scoring reads every whole text. Inputs of a score are words only. A text is tagged in segments that end with a
+them, those without a feature too: equal segments are one row with their count as weight. Scoring
+reads every whole text. Inputs of a score are words only. A text is tagged in segments that end with a
 sentence or line, or after ``segment`` words; a segment without a known feature has the same
 small marginals everywhere, so it is not run.
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivesearch.llm.shared import col, free_name, hashed_sample, without
+from archivesearch.llm.shared import col, discard, free_name, hashed_sample, shared_path, stored, without
 
 COLUMNS = ("score", "predicted", "spans")
 _RESULT = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
@@ -46,9 +48,10 @@ _FIT_ROWS = 2048  # segments whose sums are held at a time while fitting
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample_docs``: labelled rows that fit the model, with all their segments. A feature needs ``min_toxic`` toxic documents and a share of toxic among its (class-weighted)
-    documents of ``min_share``; one of ``marker_share`` marks toxic tokens. ``max_features`` bounds
-    the model."""
+    """``sample_docs``: labelled rows that fit the model, with all their segments. A feature needs
+    ``min_toxic`` toxic documents and a share of toxic among its (class-weighted) documents of
+    ``min_share``; one of ``marker_share`` marks toxic tokens. ``max_features`` bounds the model: those
+    with the highest share times root of toxic documents stay. ``steps``: at most so many steps of the fit."""
 
     sample_docs: int = 20_000
     max_features: int = 8192
@@ -166,8 +169,8 @@ def segments(low: str, size: int, known: set[str] | None = None) -> Iterator[lis
 
 def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: np.ndarray | None = None,
           counts: np.ndarray | None = None):
-    """Marginals of label 1 of padded rows; with ``labels`` also the observed less the
-    expected moves, each row ``counts`` times."""
+    """Marginals of label 1 of padded rows; with ``labels`` also the log-likelihood and the observed
+    less the expected moves, each row ``counts`` times (once, if there are none)."""
     n, width = emissions.shape
     inside = np.arange(width) < sizes[:, None]
     score = np.zeros((n, width, 2))
@@ -185,54 +188,119 @@ def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: n
     total = np.logaddexp(last[:, 0], last[:, 1])
     p = np.where(inside, np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]), 0.0)
     if labels is None:
-        return p, None
+        return p, None, None
+    counts = np.ones(n) if counts is None else counts
     pair = (ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :]) - total[:, None, None, None]
     both = inside[:, 1:]
     expected = np.where(both[:, :, None, None], np.exp(pair), 0.0).sum(axis=1)
     index = labels[:, :-1] * 2 + labels[:, 1:]
     observed = np.bincount(index[both], np.repeat(counts, sizes - 1), minlength=4)
-    return p, observed - (expected * counts[:, None, None]).sum(axis=0).reshape(-1)
+    likely = (counts * ((emissions * labels * inside).sum(axis=1) - total)).sum() + float(observed @ moves)
+    return p, likely, observed - (expected * counts[:, None, None]).sum(axis=0).reshape(-1)
 
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of the lists of a column (and the end), and their elements one after the other."""
-    lists = column.combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def fit_chain(rows: pa.Table, n_features: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and chain parameters from ``rows`` of distinct segments: size (number of tokens),
-    places of features, their numbers, places of toxic tokens, n (how often the segment is there).
-    The likelihood is summed over blocks of rows; rows in order of size make narrow blocks."""
-    sizes = rows["size"].to_numpy().astype(np.int64)
-    counts = rows["n"].to_numpy().astype(float)
-    (first_place, places), (_, which), (first_toxic, toxic) = (_lists(rows[k]) for k in ("places", "numbers", "toxic"))
-    n = counts.sum()
+def chain_slope(rows: pa.RecordBatch, params: np.ndarray) -> np.ndarray:
+    """Slope of the log-likelihood of ``rows`` of distinct segments at ``params`` (weights, bias, moves), the likelihood
+    itself, and the number of segments. Columns: size (number of tokens), places of features, their numbers,
+    places of toxic tokens, n (how often the segment is there). Rows in order of size make narrow blocks."""
+    sizes = rows.column("size").to_numpy().astype(np.int64)
+    counts = rows.column("n").to_numpy().astype(float)
+    (first_place, places), (_, which), (first_toxic, toxic) = (_lists(rows.column(k)) for k in ("places", "numbers", "toxic"))
+    n_features = len(params) - 5
+    weights, chain = params[:n_features], params[n_features:]
+    out = np.zeros(len(params) + 2)
+    for a in range(0, len(sizes), _FIT_ROWS):
+        part = slice(a, a + _FIT_ROWS)
+        own, own_counts = sizes[part], counts[part]
+        b, width = a + len(own), int(own.max())
+        line = np.arange(len(own)) * width
+        at = slice(first_place[a], first_place[b])
+        where = np.repeat(line, np.diff(first_place[a:b + 1])) + places[at]
+        labels = np.zeros((len(own), width), np.int64)
+        labels.reshape(-1)[np.repeat(line, np.diff(first_toxic[a:b + 1])) + toxic[first_toxic[a]:first_toxic[b]]] = 1
+        emissions = np.bincount(where, weights[which[at]], minlength=labels.size).reshape(labels.shape) + chain[0]
+        p, likely, moved = _sums(emissions, chain[1:], own, labels, own_counts)
+        off = (labels - p) * (np.arange(width) < own[:, None]) * own_counts[:, None]
+        out[:n_features] += np.bincount(which[at], off.reshape(-1)[where], minlength=n_features)
+        out[n_features] += off.sum()
+        out[n_features + 1:-2] += moved
+        out[-2] += likely
+        out[-1] += own_counts.sum()
+    return out
+
+
+def climb(total, params: np.ndarray, l2: float, steps: int) -> np.ndarray:
+    """L-BFGS steps to the maximum of the mean likelihood less the ridge. ``total(params)`` is the sum of ``chain_slope``."""
+
+    def at(x: np.ndarray) -> tuple[float, np.ndarray]:
+        *slope, likely, n = total(x)
+        return (0.5 * l2 * float(x @ x) - likely) / n, (l2 * x - np.array(slope)) / n
+
+    value, slope = at(params)
+    past: list[tuple] = []
+    for _ in range(steps):
+        direction = -slope
+        held = []
+        for s, y, r in reversed(past):
+            held.append(r * float(s @ direction))
+            direction = direction - held[-1] * y
+        if past:
+            s, y, r = past[-1]
+            direction = direction / (r * float(y @ y))
+        else:
+            direction = direction / max(1.0, float(np.abs(direction).sum()))
+        for (s, y, r), a in zip(past, reversed(held)):
+            direction = direction + (a - r * float(y @ direction)) * s
+        down, size = float(slope @ direction), 1.0
+        while True:
+            new, new_slope = at(params + size * direction)
+            if new <= value + 1e-4 * size * down or size < 1e-6:
+                break
+            size /= 2
+        moved, change = size * direction, new_slope - slope
+        if new > value:
+            break
+        gain, params, value, slope = value - new, params + moved, new, new_slope
+        if float(moved @ change) > 1e-16:
+            past = [*past, (moved, change, 1 / float(moved @ change))][-10:]
+        if gain < 1e-7 * max(abs(value), 1e-3) or np.abs(slope).max() < 1e-7:
+            break
+    return params
+
+
+def _slopes(rows: DataFrame):
+    """The sum of ``chain_slope`` over the partitions of stored ``rows``, as a function of the parameters."""
+    sc = rows.sparkSession.sparkContext
+
+    def total(params: np.ndarray) -> np.ndarray:
+        shared = sc.broadcast(params)  # at most max_features + 5 numbers
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros(len(shared.value) + 2)
+            for batch in batches:
+                out += chain_slope(batch, shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+        found = rows.coalesce(64).mapInArrow(summed, "sums binary").collect()  # at most 64 vectors
+        shared.destroy()
+        return sum(np.frombuffer(r["sums"]) for r in sorted(found))
+
+    return total
+
+
+def fit_chain(rows: DataFrame | pa.Table, n_features: int, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and chain parameters from ``rows`` of segments (see ``chain_slope``): a stored table, or a local one."""
+    total = _slopes(rows) if isinstance(rows, DataFrame) else (
+        lambda params: sum(chain_slope(b, params) for b in rows.combine_chunks().to_batches()))
     params = np.zeros(n_features + 5)
     params[n_features] = -2.0
-    first, second = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, settings.steps + 1):
-        weights, chain = params[:n_features], params[n_features:]
-        slope = np.zeros_like(params)
-        for a in range(0, len(sizes), _FIT_ROWS):
-            part = slice(a, a + _FIT_ROWS)
-            own, own_counts = sizes[part], counts[part]
-            b, width = a + len(own), int(own.max())
-            line = np.arange(len(own)) * width
-            at = slice(first_place[a], first_place[b])
-            where = np.repeat(line, np.diff(first_place[a:b + 1])) + places[at]
-            labels = np.zeros((len(own), width), np.int64)
-            labels.reshape(-1)[np.repeat(line, np.diff(first_toxic[a:b + 1])) + toxic[first_toxic[a]:first_toxic[b]]] = 1
-            emissions = np.bincount(where, weights[which[at]], minlength=labels.size).reshape(labels.shape) + chain[0]
-            p, moved = _sums(emissions, chain[1:], own, labels, own_counts)
-            off = (labels - p) * (np.arange(width) < own[:, None]) * own_counts[:, None]
-            slope[:n_features] += np.bincount(which[at], off.reshape(-1)[where], minlength=n_features)
-            slope[n_features] += off.sum()
-            slope[n_features + 1:] += moved
-        slope = (slope - settings.l2 * params) / n
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope * slope
-        params = params + 0.2 * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.99 ** step)) + 1e-8)
+    params = climb(total, params, settings.l2, settings.steps)
     return params[:n_features], params[n_features:]
 
 
@@ -255,8 +323,9 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
            .dropna().filter(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_toxic").alias("_toxic")))
     ids = hashed_sample(ids, ["_id"], settings.sample_docs)
     rows = docs.select(col("doc_id").cast("long").alias("_id"), col("text").alias("text")).filter("text is not null")
-    # At most sample_docs short rows are broadcast.
-    sample = rows.join(F.broadcast(ids), "_id").select("text", F.col("_toxic").alias("toxic"))
+    # At most sample_docs short rows are broadcast; the sample is read several times.
+    spark, places = docs.sparkSession, [shared_path(docs.sparkSession, f"toxicity-{n}") for n in ("sample", "segments")]
+    sample = stored(rows.join(F.broadcast(ids), "_id").select("text", F.col("_toxic").alias("toxic")), places[0])
     model, prefixes = Model(settings), settings.prefixes
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +356,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         share = min(max(n_toxic / (n_toxic + n_clean), 1e-6), 1 - 1e-6) if n_toxic + n_clean else 0.5
         model.curve = np.array([math.log(share / (1 - share)), 0.0, 0.0])
         counts.unpersist()
+        discard(spark, places[0])
         return model
     # Share of toxic documents among those with the feature, as if both classes were equally large.
     a, b = F.col("n_toxic") / n_toxic, (F.col("n_clean") + 0.5) / n_clean
@@ -300,24 +370,18 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         for rows in batches:
             out: list[tuple] = []
             for text, mark in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                plain = None
                 for run in segments(text.lower(), settings.segment):
                     own = [(t, f) for t, (w, _, _) in enumerate(run) for f in features_of(w, prefixes) if f in number]
-                    if own:
-                        toxic = sorted({t for t, f in own if mark and f in marker})
-                        out.append((len(run), [t for t, _ in own], [number[f] for _, f in own], toxic))
-                    else:
-                        plain = plain or run
-                if plain:  # one segment without features for each document
-                    out.append((len(plain), [], [], []))
+                    toxic = sorted({t for t, f in own if mark and f in marker})
+                    out.append((len(run), [t for t, _ in own], [number[f] for _, f in own], toxic))
             kinds = (pa.int32(), *[pa.list_(pa.int32())] * 3)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)],
                                              names=["size", "places", "numbers", "toxic"])
 
-    # All segments: of equal ones the driver gets a row with their count, as Arrow arrays.
+    # All segments: equal ones are one row with their count.
     runs = sample.mapInArrow(cut, "size int, places array<int>, numbers array<int>, toxic array<int>")
-    rows = (runs.groupBy(*runs.columns).agg(F.count(F.lit(1)).alias("n")).orderBy(*runs.columns)).toArrow()
-    if rows.num_rows and number:
+    rows = stored(runs.groupBy(*runs.columns).agg(F.count(F.lit(1)).alias("n")).sortWithinPartitions(*runs.columns), places[1])
+    if number and not rows.isEmpty():
         weights, model.chain = fit_chain(rows, len(number), settings)
         model.weights = {f: float(weights[n]) for f, n in number.items() if abs(weights[n]) > 1e-3}
     model.curve = np.zeros(3)
@@ -335,6 +399,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
               .orderBy("top", "total", "toxic").toPandas())
     x = np.repeat(points[["top", "total"]].to_numpy(), points["count"], axis=0)
     model.curve = fit_curve(x, np.repeat(points["toxic"].to_numpy().astype(float), points["count"]))
+    for place in places:
+        discard(spark, place)
     return model
 
 
