@@ -5,19 +5,27 @@ bytes) must lie inside a band that depends on the length: short texts compress b
 band is higher and wider. A ratio below the band means repetition, above it means noise. The
 base counts (words, symbols, repeated lines and windows) are computed beside it.
 
-Defined results: a null text counts as empty; an empty text has no ratio (null) and no chunk.
-Every row gets one result row, repeated rows each their own. The text is never cut: chunks cover
-it whole. Extra columns are carried along; those named like a result column are left out.
+The fixed bands are wide. Noise over a small alphabet (random letters, hex) lies within them, but above all
+ordinary text of its length, so ``fit_limits`` lowers the upper limits to the table's own ratios: per
+length class (half an octave) the median plus ``spread`` median deviations, over all rows of the table. It
+takes one pass that leaves a histogram; median and deviation are untouched by noise or copies as long as they are less
+than half of a class. Classes of under ``least`` texts take the limit of the next shorter class.
+
+Defined results: a null text counts as empty; an empty text has no ratio (null) and no chunk; texts and
+last chunks shorter than the first band have no verdict. Every row gets one result row, repeated rows
+each their own. The text is never cut: chunks cover it whole, and the last one, which may be shorter, is held against the
+band of its own length. Extra columns are carried along; those named like a result column are left out.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,14 +48,30 @@ COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 @dataclass(frozen=True)
 class Limits:
-    """``chunk``: bytes of a chunk. A text fails when over ``max_bad_share`` of its whole chunks
-    are outside the band of their length, widened by ``chunk_slack``."""
+    """``chunk``: bytes of a chunk. A text fails when over ``max_bad_share`` of its bytes are in chunks
+    outside the band of their length, widened by ``chunk_slack``. ``upper``: fitted upper limits by
+    length class."""
 
     bands: tuple = BANDS
     chunk: int = 4096
     chunk_slack: float = 0.04
     max_bad_share: float = 0.5
     level: int = 3
+    spread: float = 6.0
+    least_deviation: float = 0.005
+    least: int = 100
+    upper: dict = field(default_factory=dict)
+
+    def band(self, size: int) -> tuple[float, float] | None:
+        """Lowest and highest ratio of ``size`` bytes; None if there is no verdict."""
+        fixed = band_of(size, self.bands)
+        return fixed and (fixed[0], min(fixed[1], self.upper.get(length_class(size), fixed[1])))
+
+
+def length_class(size: int) -> int:
+    """Half octaves: 2 * log2 of the size, rounded down."""
+    octave = size.bit_length() - 1
+    return 2 * octave + (size * size >= 1 << 2 * octave + 1)
 
 
 def band_of(size: int, bands: tuple = BANDS) -> tuple[float, float] | None:
@@ -94,22 +118,62 @@ def measure(text: str, compress, limits: Limits) -> tuple:
     ratio, chunks, bad, verdict = None, 0, 0, "ok"
     if raw:
         ratio = len(compress(raw)) / len(raw)
-        band = band_of(len(raw), limits.bands)
+        band = limits.band(len(raw))
         if band and ratio < band[0]:
             verdict = "repetitive"
         elif band and ratio > band[1]:
             verdict = "incompressible"
-        size = limits.chunk
-        low, high = band_of(size, limits.bands) or (0.0, 9.0)
-        for at in range(0, len(raw) - size + 1, size):
-            r = len(compress(raw[at:at + size])) / size
+        bad_bytes = 0
+        for at in range(0, len(raw), limits.chunk):
+            chunk = raw[at:at + limits.chunk]
             chunks += 1
-            bad += not low - limits.chunk_slack <= r <= high + limits.chunk_slack
-        if verdict == "ok" and bad > limits.max_bad_share * chunks:
+            band = limits.band(len(chunk)) if at or len(chunk) == limits.chunk else None  # a text of one short chunk is judged above
+            r = len(compress(chunk)) / len(chunk) if band else 0.0
+            if band and not band[0] - limits.chunk_slack <= r <= band[1] + limits.chunk_slack:
+                bad += 1
+                bad_bytes += len(chunk)
+        if verdict == "ok" and bad_bytes > limits.max_bad_share * len(raw):
             verdict = "bad_chunks"
     return (len(words), len(text) - space, n_symbols, dup, repeat_words(words), ratio, chunks, bad, verdict)
 
 
+def fit_limits(docs: DataFrame, limits: Limits = Limits()) -> Limits:
+    """``limits`` with upper limits fitted to the ratios of all texts of ``docs``. What comes to the driver is a
+    histogram: some 40 classes of about 1,000 ratios."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, seen = zstandard.ZstdCompressor(level=limits.level).compress, Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                raw = text.as_buffer() if text.is_valid else b""
+                if (size := len(raw)) and band_of(size, limits.bands):
+                    seen[length_class(size), int(1000 * len(compress(raw)) / size)] += 1
+        rows = [(*key, n) for key, n in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))],
+                                         names=["class", "ratio", "n"])
+
+    rows = (docs.select(col("text").alias("text")).mapInArrow(counted, "class int, ratio int, n long")
+            .groupBy("class", "ratio").agg(F.sum("n").alias("n")).toPandas())
+    upper: dict[int, float] = {}
+    shorter = None
+    for size_class in range(int(rows["class"].min()) if len(rows) else 0, 2 * 40):
+        own = rows[rows["class"] == size_class].sort_values("ratio")
+        if own["n"].sum() >= limits.least:
+            middle = _median(own["ratio"], own["n"])
+            off = pd.DataFrame({"off": (own["ratio"] - middle).abs(), "n": own["n"]}).sort_values("off")
+            deviation = max(_median(off["off"], off["n"]) / 1000, limits.least_deviation)
+            fitted = middle / 1000 + limits.spread * deviation
+            shorter = fitted if shorter is None else min(shorter, fitted)  # longer texts compress better
+        if shorter is not None:
+            upper[size_class] = shorter
+    return replace(limits, upper=upper)
+
+
+def _median(values: pd.Series, counts: pd.Series) -> float:
+    """Of sorted values with their counts."""
+    return float(values.iloc[int(np.searchsorted(counts.cumsum(), counts.sum() / 2))])
+
+
 def _udf(limits: Limits):
     @F.pandas_udf(_RESULT)
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -121,9 +185,11 @@ def _udf(limits: Limits):
     return quality.asNondeterministic()  # else a filter on its result would run it twice
 
 
-def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """All rows and columns of ``docs`` (but those named as in ``COLUMNS``) with the counts,
-    ``verdict`` (ok, repetitive, incompressible, bad_chunks), ``base_failed`` and ``kept``."""
+    ``verdict`` (ok, repetitive, incompressible, bad_chunks), ``base_failed`` and ``kept``. Without
+    ``limits`` they are fitted to ``docs``."""
+    limits = limits or fit_limits(docs)
     carried = without(docs, list(COLUMNS))
     tmp = free_name(docs, "_quality")
     out = docs.withColumn(tmp, _udf(limits)(col("text")))
@@ -133,8 +199,9 @@ def quality(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                       (~failed & (F.col(f"{tmp}.verdict") == "ok")).alias("kept"))
 
 
-def keep_good(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """The documents that pass, with their own columns."""
+    limits = limits or fit_limits(docs)
     tmp = free_name(docs, "_quality")
     out = docs.withColumn(tmp, _udf(limits)(col("text")))
     n, again = F.col(f"{tmp}.n_words"), F.col(f"{tmp}.n_repeat_words")
