@@ -6,10 +6,14 @@ above it, its path prefixes), and an as-of join takes, for each key and fetch da
 that began last on or before the day; it counts if it has not ended. The strongest active entry
 decides: prefix before host before domain, then the longer value, then allow before block.
 
-The as-of join runs on distinct (key, day), so a host with a third of all captures costs as many
-rows there as it has days; the join of the answers with the captures is left to adaptive
+The as-of join runs on distinct (key, day), entry by entry and year by year: an interval that is open
+at the turn of a year begins again there. So a host with a third of all captures costs at most a
+year's days in one task; the join of the answers with the captures is left to adaptive
 splitting. Path prefixes are made only down to the depth that some entry has.
 
+Values of entries are compared like URLs: hosts in lower case without final dots, paths without empty
+segments and final slash. A prefix entry without a path counts as a host entry.
+
 Defined results: a null or unparsable url has no host and no keys, a null time has no active
 entry: both are allowed. Of an addition and a removal on one day the addition holds. Repeated
 additions change nothing, nor do removals of what is not listed; entries with a null value, day
@@ -35,8 +39,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``entries(list_name, action, kind, value, event, day)``; ``event`` is add or remove, an open
     interval has a null ``valid_to``."""
     known = F.col("action").isin("allow", "block") & F.col("kind").isin(*KINDS) & F.col("event").isin("add", "remove")
-    days = (entries.filter(known).dropna(subset=["list_name", "value", "day"])
-            .groupBy(*_ENTRY, "day").agg(F.max(F.col("event") == "add").alias("on")))  # add wins the day
+    host = F.regexp_replace(F.lower(F.substring_index("value", "/", 1)), r"\.+$", "")
+    steps = F.filter(F.split("value", "/"), lambda s, k: (k > 0) & (s != ""))
+    bare = (F.col("kind") != "prefix") | (F.size(steps) == 0)
+    rows = entries.filter(known).dropna(subset=["list_name", "value", "day"]).select(
+        "list_name", "action", F.when(bare & (F.col("kind") == "prefix"), F.lit("host")).otherwise(F.col("kind")).alias("kind"),
+        F.when(bare, host).otherwise(F.concat_ws("/", host, F.array_join(steps, "/"))).alias("value"), "event", "day")
+    days = (rows.filter("value <> ''").groupBy(*_ENTRY, "day").agg(F.max(F.col("event") == "add").alias("on")))  # add wins the day
     own = W.partitionBy(*_ENTRY).orderBy("day")
     turns = (days.withColumn("was", F.coalesce(F.lag("on").over(own), F.lit(False))).filter("on <> was"))
     return (turns.withColumn("valid_to", F.lead("day").over(own)).filter("on")
@@ -72,14 +81,17 @@ def url_keys(host, path, prefix_depth: int):
 
 def active(needed: DataFrame, valid: DataFrame) -> DataFrame:
     """As-of join: the entries of ``valid`` active for each of the distinct ``needed(kind, value, day)``."""
-    lists = valid.select(*_ENTRY).distinct()
-    asked = needed.join(lists, ["kind", "value"]).select(
-        *_ENTRY, "day", F.lit(1).alias("asked"), F.lit(None).cast("struct<f:date,t:date>").alias("at"))
-    began = valid.select(*_ENTRY, F.col("valid_from").alias("day"), F.lit(0).alias("asked"),
-                         F.struct(F.col("valid_from").alias("f"), F.col("valid_to").alias("t")).alias("at"))
-    own = W.partitionBy(*_ENTRY).orderBy("day", "asked").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = asked.unionByName(began).withColumn("at", F.last("at", ignorenulls=True).over(own))
-    return (last.filter("asked = 1 and at is not null and (at.t is null or day < at.t)").select(*_ENTRY, "day"))
+    asked = needed.join(valid.select(*_ENTRY).distinct(), ["kind", "value"]).select(
+        *_ENTRY, F.year("day").alias("year"), "day", F.lit(1).alias("asked"), F.lit(None).cast("struct<f:date,t:date>").alias("at"))
+    low, high = needed.agg(F.min(F.year("day")), F.max(F.year("day"))).first()
+    first = F.greatest(F.year("valid_from"), F.lit(low))
+    last = F.least(F.coalesce(F.year("valid_to"), F.lit(high)), F.lit(high))
+    began = (valid.filter(first <= last).withColumn("year", F.explode(F.sequence(first, last)))
+             .select(*_ENTRY, "year", F.greatest("valid_from", F.make_date("year", F.lit(1), F.lit(1))).alias("day"), F.lit(0).alias("asked"),
+                     F.struct(F.col("valid_from").alias("f"), F.col("valid_to").alias("t")).alias("at")))
+    own = W.partitionBy(*_ENTRY, "year").orderBy("day", "asked").rowsBetween(W.unboundedPreceding, W.currentRow)
+    latest = asked.unionByName(began).withColumn("at", F.last("at", ignorenulls=True).over(own))
+    return (latest.filter("asked = 1 and at is not null and (at.t is null or day < at.t)").select(*_ENTRY, "day"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", time: str = "fetched") -> DataFrame:
@@ -104,7 +116,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", time:
                         (F.col("action") == "allow").alias("allow"))
     best = (listed.join(answers, ["kind", "value", "day"]).groupBy("capture")
             .agg(F.max(F.struct(strength.alias("strength"), "kind", "value", "action", "lists")).alias("b")))
-    return rows.join(best, rows[row] == best["capture"], "left").select(
-        *[col(c) for c in carried], F.coalesce("b.action", F.lit("allow")).alias("verdict"),
-        F.col("b.kind").alias("matched_kind"), F.col("b.value").alias("matched_value"),
-        F.array_join("b.lists", ",").alias("matched_lists"))
+    of, found = free_name(rows, "capture"), free_name(rows, "best")
+    best = best.select(F.col("capture").alias(of), F.col("b").alias(found))
+    return rows.join(best, F.col(row) == F.col(of), "left").select(
+        *[col(c) for c in carried], F.coalesce(f"{found}.action", F.lit("allow")).alias("verdict"),
+        F.col(f"{found}.kind").alias("matched_kind"), F.col(f"{found}.value").alias("matched_value"),
+        F.array_join(f"{found}.lists", ",").alias("matched_lists"))
