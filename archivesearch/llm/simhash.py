@@ -205,6 +205,6 @@ def hex_fingerprint(fp):
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The document with the smallest doc_id of each component, with its own columns. Documents
     without a doc_id stay. Of rows that repeat a doc_id, all stay or all go."""
-    found = near_duplicates(docs, shingle, radius)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, col("doc_id") == F.col("_gone"), "left_anti")
+    found, name = near_duplicates(docs, shingle, radius), free_name(docs, "_gone")
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, col("doc_id") == F.col(name), "left_anti")
