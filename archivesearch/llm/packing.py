@@ -3,8 +3,8 @@
 A document's ids (closed by an end id) are cut from the left into the longest powers of two that
 fit: pieces of ``max_length``, then the binary digits of the rest. Each piece is a sequence of
 its own, so no sequence crosses documents, and since every sequence length is a power of two
-nothing is padded. Sequences of one length form a bucket; ``write_buckets`` stores them so, for
-training batches of equal shape.
+nothing is padded. Sequences of one length form a bucket: ``write_buckets`` stores each length in a
+folder of its own, for training batches of equal shape, and ``read_buckets`` gives them back.
 
 Defined results: a null or empty text is the end id alone, one piece of length 1. Repeated rows
 are packed each for itself and keep their own sequences. A document is tokenized and cut within
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archivesearch.llm.shared import col
+from archivesearch.llm.shared import col, shared_path
 from archivesearch.llm.tokenizing import id_encoder
 
 MAX_LENGTH = 2048
@@ -78,5 +78,17 @@ def digest(packed: DataFrame) -> DataFrame:
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
-    """Store the sequences as Parquet, one folder per length."""
-    packed.write.partitionBy("length").parquet(path)
+    """Store the sequences as Parquet, one folder per length. Every task writes its own file of each length: no shuffle."""
+    packed.write.partitionBy("length").option("compression", "zstd").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """The sequences of all lengths; a filter on ``length`` reads only its folder."""
+    return spark.read.schema("sequence_id long, ids binary, doc_id long, start long, doc_tokens long, offset long, length int").parquet(path)
+
+
+def bucketed(docs: DataFrame, tokenizer: str, end_id: int = END_ID, max_length: int = MAX_LENGTH) -> DataFrame:
+    """Pack, store by length in the shared folder, and read back."""
+    path = shared_path(docs.sparkSession, "buckets")
+    write_buckets(pack(docs, tokenizer, end_id, max_length), path)
+    return read_buckets(docs.sparkSession, path)

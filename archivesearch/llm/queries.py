@@ -56,7 +56,7 @@ def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.digest(packing.pack(docs, TOKENIZER, end_id=1, max_length=2048))
+    return packing.digest(packing.bucketed(docs, TOKENIZER, end_id=1, max_length=2048))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,10 +52,11 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def hashed_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+def hashed_sample(df: DataFrame, keys: list[str], n: int, total: int | None = None) -> DataFrame:
     """``n`` rows (all, if there are fewer) with the smallest hash of ``keys``. A cut by the hash
-    comes first, so that the tasks hand on about ``2 * n`` rows in all, not ``n`` rows each."""
-    total = df.count()
+    comes first, so that the tasks hand on about ``2 * n`` rows in all, not ``n`` rows each. With a
+    ``total`` above the number of rows the cut can leave fewer than ``n``."""
+    total = df.count() if total is None else total
     h = F.xxhash64(*[col(k) for k in keys])
     if total > 2 * n:
         df = df.filter(F.pmod(h, F.lit(1 << 31)) < int((1 << 31) * 2 * n / total) + 1)

@@ -50,12 +50,16 @@ _SHARDS = ("part int, shard int, dictionary string, doc_ids array<long>, sizes a
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, int]:
     """Dictionary bytes (empty if there is too little to learn from) and the width of an id. The
     sample are the ``sample_docs`` documents with the smallest hash among those of at most
-    ``SAMPLE_CHARS`` characters; only the dictionary depends on it, all ids of all are stored."""
+    ``SAMPLE_CHARS`` characters (fewer, but a quarter at least, where most documents are longer); only
+    the dictionary depends on it, all ids of all are stored."""
     encoder = id_encoder(tokenizer)
     width = 2 if encoder.size < 1 << 16 else 4
     short = F.length(col("text")).between(1, SAMPLE_CHARS)
     few = docs.filter(short).select(col("doc_id").alias("doc_id"), col("text").alias("t"))
-    rows = hashed_sample(few, ["doc_id", "t"], sample_docs).collect()
+    # The number of all documents comes from the files' footers; that of the short ones would take a scan.
+    rows = hashed_sample(few, ["doc_id", "t"], sample_docs, total=docs.count()).collect()
+    if len(rows) < sample_docs // 4:
+        rows = hashed_sample(few, ["doc_id", "t"], sample_docs).collect()
     samples = [ids.astype(f"<u{width}").tobytes() for ids in encoder.encode_all([r.t for r in rows])]
     total = sum(map(len, samples))
     if len(samples) < 16 or total < 4096:
@@ -145,6 +149,15 @@ def _dictionary(spark: SparkSession, path: str) -> tuple[str, bytes, int]:
 def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """``(doc_id, part, shard, place, ids)`` of all documents, or of the few ``doc_ids``: then only
     shards that hold one are read, and of those only the frames asked for are decompressed."""
+    return _read(spark, path, doc_ids, bytes, pa.binary(), "ids binary")
+
+
+def checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, part, shard, place, ids_crc32)`` of all documents; the ids stay in the tasks that read them."""
+    return _read(spark, path, None, zlib.crc32, pa.int64(), "ids_crc32 long")
+
+
+def _read(spark: SparkSession, path: str, doc_ids: list[int] | None, value, kind: pa.DataType, field: str) -> DataFrame:
     mark, dictionary, width = _dictionary(spark, path)
     shared = spark.sparkContext.broadcast(dictionary)
     rows = _shards(spark, path)
@@ -153,6 +166,10 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
         wanted = set(doc_ids)
         rows = rows.filter(F.arrays_overlap("doc_ids", F.array(*[F.lit(int(i)).cast("long") for i in wanted]))
                            if wanted else F.lit(False))
+    names, kinds = ["doc_id", "part", "shard", "place", field.split()[0]], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), kind)
+
+    def found(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = zstandard.ZstdCompressionDict(shared.value) if shared.value else None
@@ -168,26 +185,20 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
                 for place, (doc_id, length) in enumerate(zip(get("doc_ids").as_py(), get("sizes").as_py())):
                     if wanted is None or doc_id in wanted:
                         ids = np.frombuffer(expand(blob[at:at + length]), f"<u{width}").astype("<u4").tobytes()
-                        out.append((doc_id, part, shard, place, ids))
+                        out.append((doc_id, part, shard, place, value(ids)))
                         size += len(ids)
                     at += length
                     if size >= 16 << 20:
-                        yield _documents(out)
+                        yield found(out)
                         out, size = [], 0
                 if out:
-                    yield _documents(out)
-
-    return rows.mapInArrow(documents, "doc_id long, part int, shard int, place int, ids binary")
-
+                    yield found(out)
 
-def _documents(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                      names=["doc_id", "part", "shard", "place", "ids"])
+    return rows.mapInArrow(documents, f"doc_id long, part int, shard int, place int, {field}")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store: doc_id, start, n_tokens, ids_crc32 (all from the files)."""
-    sums = read_store(spark, path).select("part", "shard", "place", F.crc32("ids").alias("ids_crc32"))
+    sums = checksums(spark, path).select("part", "shard", "place", "ids_crc32")
     return (read_index(spark, path).join(sums, ["part", "shard", "place"])
             .select("doc_id", "start", "n_tokens", "ids_crc32"))

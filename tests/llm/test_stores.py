@@ -41,7 +41,7 @@ def test_encoder_equals_the_library():
     rnd = random.Random(2)
     texts = [t or "" for t in TEXTS] + ["".join(rnd.choice(" \n\t'sltrve1a²é日!.,́\x1c\x1f\x85\xa0\x0b") for _ in range(rnd.randint(0, 60)))
                                         for _ in range(800)]
-    one = tokenizing.IdEncoder(TOKENIZER, cache_size=50)
+    one = tokenizing.IdEncoder(TOKENIZER, chunks=50, pieces=20)
     for _ in range(2):
         assert [a.tolist() + [9] for a in one.encode_all(texts)] == [direct(t, 9) for t in texts]
 
@@ -225,7 +225,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, SF)
