@@ -39,8 +39,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each a sequence of its own."""
-    return packing.digest(packing.pack(docs, TOKENIZER, end_id=1, max_length=2048))
+    """The pieces of all documents, each a sequence of its own, stored by length and read back."""
+    return packing.digest(packing.bucketed(docs, TOKENIZER, end_id=1, max_length=2048))
 
 
 STAGES = [
