@@ -1,8 +1,9 @@
 """Record filtering and page extraction.
 
-Native filters decide each record's disposition first, so only accepted rows reach Python
-(``mapInPandas``, Arrow batches), which decodes the body and parses it. Everything after the parser (URL
-canonicalisation, link resolution, whitespace clean-up, digests) is native again.
+Native filters decide each record's disposition first, so only accepted payloads reach Python
+(``mapInPandas``, Arrow batches), which undoes the codings of the body, finds its type and character set
+(``bodies``) and parses it. Everything after the parser (URL canonicalisation, link resolution,
+whitespace clean-up, digests) is native again. A body that cannot be decoded makes its record an error.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from functools import reduce
 from html.parser import HTMLParser
 from operator import or_
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as TT
 
@@ -23,6 +23,7 @@ from archivesearch.functions import text as T
 from archivesearch.functions import urls as U
 from archivesearch.functions._util import col_of
 from archivesearch.functions.timestamps import digits_only
+from archivesearch.operators import bodies as B
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,7 @@ class ExtractConfig:
     index_redirects: bool = False   # P24: 30x records too
     digest: str = "md5"
     parsers: dict = field(default_factory=dict)  # {mime: fn(str) -> (title, text, [(href, text)])}, by MIME type
+    max_body: int = B.MAX_BODY      # bytes of a decoded body; larger ones are errors
 
 
 def record_type_ok(record_type, cfg: ExtractConfig = ExtractConfig()) -> Column:
@@ -197,16 +199,8 @@ def declared_charset(content_type: str | None) -> str | None:
 
 
 def decode_payload(payload: bytes | None, charset: str | None) -> str:
-    """Decode with the declared charset, else UTF-8, else Latin-1."""
-    if payload is None:
-        return ""
-    for cs in (charset, "utf-8"):
-        if cs:
-            try:
-                return payload.decode(cs)
-            except (LookupError, UnicodeDecodeError):
-                pass
-    return payload.decode("latin-1")
+    """The text of a payload without codings; see ``bodies.charset_of``."""
+    return "" if payload is None else B.body_text(payload, charset)[0]
 
 
 EXTRACTED_FIELDS = [
@@ -214,72 +208,122 @@ EXTRACTED_FIELDS = [
     TT.StructField("raw_content", TT.StringType()),
     TT.StructField("raw_links", TT.ArrayType(TT.StructType([
         TT.StructField("href", TT.StringType()), TT.StructField("text", TT.StringType())]))),
+    TT.StructField("charset", TT.StringType()),
+    TT.StructField("detected_type", TT.StringType()),
+    TT.StructField("body_error", TT.StringType()),
 ]
 
 
-def _extract_batches(batches, text_col: str, type_col: str, parsers: dict, keep: list[str]):
+def _extracted(doc, mime: str | None, transfer: str | None, content: str | None, cfg: ExtractConfig) -> tuple:
+    """Values of ``EXTRACTED_FIELDS`` of one document, given as text or as payload bytes."""
+    served = (mime or "").lower()
+    charset = declared_charset(mime)
+    try:
+        if isinstance(doc, (bytes, bytearray)):
+            body = B.decode_body(bytes(doc), transfer, content, cfg.max_body)
+            kind = B.detect_type(body, served)
+            if kind == "application/gzip" and served.startswith(("text/", "application/xhtml")):
+                body = B.decode_body(body, None, "gzip", cfg.max_body)  # compressed, and no header says so
+                kind = B.detect_type(body, served)
+        else:
+            body = None
+            kind = B.detect_type((doc or "")[:B.SNIFF_BYTES].encode("utf-8", "surrogatepass"), served)
+        own = cfg.parsers.get(kind) or cfg.parsers.get(served.split(";", 1)[0].strip())
+        text = doc or ""
+        if body is not None and (own or kind.startswith("text/") or kind == "application/xhtml+xml"):
+            text, charset = B.body_text(body, charset)
+        elif body is not None:
+            text, charset = "", None
+    except B.BodyError as e:
+        return None, None, [], None, None, str(e)
+    if own:
+        title, content_text, links = own(text)
+    elif kind in ("text/html", "application/xhtml+xml") or "html" in kind:
+        title, content_text, links = parse_html(text)
+    elif kind.startswith("text/"):
+        title, content_text, links = None, text, []      # E3: plain text as is
+    else:                                                # unknown type: metadata only
+        title, content_text, links, charset = None, "", [], None
+    return title, content_text, [{"href": h, "text": x} for h, x in links], (charset or "").lower(), kind, None
+
+
+def _extract_batches(batches, text_col: str, type_col: str, cfg: ExtractConfig, keep: list[str]):
     for pdf in batches:
-        titles, bodies, links = [], [], []
-        for doc, mime in zip(pdf[text_col], pdf[type_col]):
-            m = (mime or "").lower()
-            if isinstance(doc, (bytes, bytearray)):
-                doc = decode_payload(bytes(doc), declared_charset(mime))
-            own = parsers.get(m.split(";", 1)[0].strip())
-            if own:
-                t, b, ls = own(doc or "")
-            elif m.startswith("text/plain"):
-                t, b, ls = None, doc or "", []          # E3: plain text as is
-            elif "html" in m or m == "" or m.startswith("application/xhtml"):
-                t, b, ls = parse_html(doc)
-            else:                                       # unknown type: metadata only
-                t, b, ls = None, "", []
-            titles.append(t)
-            bodies.append(b)
-            links.append([{"href": h, "text": x} for h, x in ls])
+        none = [None] * len(pdf)
+        transfer, content = (pdf[c] if c in pdf.columns else none for c in ("transfer_encoding", "content_encoding"))
+        found = [_extracted(doc, mime, t, c, cfg) for doc, mime, t, c in zip(pdf[text_col], pdf[type_col], transfer, content)]
         out = pdf[keep].copy()
-        out["raw_title"] = titles
-        out["raw_content"] = bodies
-        out["raw_links"] = links
+        for n, f in enumerate(EXTRACTED_FIELDS):
+            out[f.name] = [r[n] for r in found]
         yield out
 
 
 def extract_pages(df: DataFrame, text_col: str = "html", type_col: str = "type",
                   cfg: ExtractConfig = ExtractConfig()) -> DataFrame:
-    """Title, body text and outlinks of documents, given as text or as payload bytes
-    (decoded here record by record, so one malformed text cannot stop the job).
+    """Title, body text and outlinks of documents, given as text or as payload bytes (decoded here record by record,
+    so one malformed body cannot stop the job), the character set and type they were read in, or what is wrong
+    (``body_error``). Columns ``transfer_encoding`` and ``content_encoding`` name the codings of payloads.
 
     A narrow per-partition stage: every column except the text passes through, and the
-    three extracted columns are appended (no shuffle, no join back).
+    extracted columns are appended (no shuffle, no join back).
     """
     keep = [c for c in df.columns if c != text_col]
     schema = TT.StructType([f for f in df.schema.fields if f.name != text_col] + EXTRACTED_FIELDS)
     return df.mapInPandas(
-        lambda it: _extract_batches(it, text_col, type_col, cfg.parsers, keep), schema)
-
+        lambda it: _extract_batches(it, text_col, type_col, cfg, keep), schema)
 
-def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
-                    collection: str | None = None) -> DataFrame:
-    """E5: records -> page table (``PageData`` columns + ``out_links``).
 
-    Input columns: ``url, record_date|tstamp, record_type, status, content_type, html,
-    warc_name, warc_offset`` and optionally ``collection``.
-    """
+def extract_records(records: DataFrame, cfg: ExtractConfig = ExtractConfig(), collection: str | None = None,
+                    only_accepted: bool = False) -> DataFrame:
+    """P1-P5 and E1-E4 in one pass: every record with its final ``disposition`` (a body that cannot be decoded is an error)
+    and, if accepted, its extracted columns. ``only_accepted`` leaves refused records out before Python."""
     r = records
     if "tstamp" not in r.columns:
         r = r.withColumn("tstamp", digits_only("record_date"))
     if "collection" not in r.columns:
         r = r.withColumn("collection", F.lit(collection or ""))
     body = "payload" if "payload" in r.columns else "html"
-    accepted = with_disposition(r, cfg).filter(F.col("disposition") == "accepted")
-    # Only what the page needs goes through Python, the body once.
-    prepared = accepted.select(
-        "tstamp", "collection", "warc_name", "warc_offset", body,
+    r = with_disposition(r, cfg)
+    accepted = F.col("disposition") == "accepted"
+    if only_accepted:
+        r = r.filter(accepted)
+    coded = {f"{name}_encoding": F.col("headers")[f"{name}-encoding"] if "headers" in r.columns else F.lit(None).cast("string")
+             for name in ("transfer", "content")}
+    # Only what the page needs goes through Python, the body once, and of accepted records only.
+    prepared = r.select(
+        "disposition", "tstamp", "collection", "warc_name", "warc_offset", F.when(accepted, F.col(body)).alias(body),
         U.canonical_url("url").alias("c_url"),
         T.served_type("content_type").alias("type_full"),
         F.octet_length(body).cast("long").alias("content_length"),
         H.payload_digest(F.col(body), cfg.digest).alias("digest"),
-    )
-    ex = extract_pages(prepared, text_col=body, type_col="type_full", cfg=cfg)
+        *[c.alias(name) for name, c in coded.items()])
+    out = extract_pages(prepared, text_col=body, type_col="type_full", cfg=cfg)
+    return out.withColumn("disposition", F.when(F.col("body_error").isNotNull(), F.lit("error")).otherwise(F.col("disposition")))
+
+
+def record_counters(extracted: DataFrame, observation: Observation) -> DataFrame:
+    """A4: ``extracted`` itself; when it is written, ``observation`` has the counts of records by disposition and of archives that
+    could not be opened, taken in the same pass."""
+    count = lambda what: F.count(F.when(what, 1))
+    return extracted.observe(
+        observation, F.count(F.lit(1)).alias("records"),
+        *[count(F.col("disposition") == name).alias(name) for name in ("accepted", "discarded", "error")],
+        count(F.col("warc_offset").isNull()).alias("archive_errors"))
+
+
+def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
+                    collection: str | None = None, observation: Observation | None = None) -> DataFrame:
+    """E5: records -> page table (``PageData`` columns + ``out_links``).
+
+    Input columns: ``url, record_date|tstamp, record_type, status, content_type, html|payload,
+    warc_name, warc_offset`` and optionally ``collection`` and ``headers``. The digest is that of the
+    payload as stored; ``type`` is the served type, ``detected_type`` the one that chose the parser, ``encoding`` the
+    character set it was read in. With ``observation`` all records are counted on the way.
+    """
+    ex = extract_records(records, cfg, collection, only_accepted=observation is None)
+    if observation is not None:
+        ex = record_counters(ex, observation)
+    ex = ex.filter("disposition = 'accepted'")
     content = T.clean_whitespace("raw_content")
     out_links = F.transform(
         "raw_links",
@@ -302,8 +346,9 @@ def build_page_data(records: DataFrame, cfg: ExtractConfig = ExtractConfig(),
         T.mime_type("type_full").alias("type"),
         T.primary_type("type_full").alias("primary_type"),
         T.sub_type("type_full").alias("sub_type"),
-        F.coalesce(F.regexp_extract(F.lower("type_full"), r"charset=([^;\s]+)", 1), F.lit("")).alias("encoding"),
+        F.coalesce("charset", F.lit("")).alias("encoding"),
         "warc_name",
         F.col("warc_offset").cast("long").alias("warc_offset"),
         out_links.alias("out_links"),
+        "detected_type",
     )

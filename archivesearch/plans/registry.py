@@ -783,3 +783,6 @@ def q_exact_version(spark, d):
                     F.concat_ws(",", "url", F.lit("term1 term2"), F.regexp_replace("url", "^http://", "https://")).alias("urls"),
                     "tstamp")
     return M.version_lookup(req, corpus_versions(spark, d)).select("req_id", "doc_id")
+
+
+from archivesearch.plans import archive_queries  # noqa: E402, F401

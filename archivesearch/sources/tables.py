@@ -7,6 +7,10 @@ each derivation in ``archivesearch/oracle.py``; keep the two in step.
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -151,3 +155,105 @@ def document_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(DOC_TYPES, F.col("doc_id") % 5).alias("type"),
         "lang",
     )
+
+
+# ------------------------------------------------------------------ archives written from the pages
+
+def _record_date(n: Column) -> Column:
+    """WARC-Date of page ``n``: an hour for each, so that a record tells its page."""
+    return F.date_format(_ts_plus(PAGES_EPOCH, "HOUR", n), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def page_of(record_date) -> Column:
+    """The page_id behind a ``record_date`` of the archives written here."""
+    start = F.unix_timestamp(F.lit(PAGES_EPOCH))
+    return ((F.unix_timestamp(F.to_timestamp(record_date, "yyyy-MM-dd'T'HH:mm:ss'Z'")) - start) / 3600).cast("long")
+
+
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as records to be written: every status and content type of ``archive_records`` occurs."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select(
+        F.lit("response").alias("record_type"), "url", _record_date(F.col("page_id")).alias("record_date"),
+        _pick(RECORD_STATUSES, F.col("page_id") % 6).alias("status"),
+        _pick(RECORD_CONTENT_TYPES, F.floor(F.col("page_id") / 6) % 8).alias("content_type"),
+        F.lit(None).cast("map<string,string>").alias("headers"), F.col("html").cast("binary").alias("payload"))
+
+
+#: Body codings by page_id % 7: transfer and content coding as served; the last two are an unknown coding and a cut gzip body.
+CODINGS = [(None, None), (None, "gzip"), (None, "deflate"), ("chunked", None), ("chunked", "x-gzip"), (None, "compress"), (None, "gzip")]
+
+
+def coded_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as records whose bodies are coded by ``CODINGS``."""
+
+    @F.pandas_udf("binary")
+    def coded(html, kind):
+        def one(text: str, k: int) -> bytes:
+            data = text.encode("utf-8")
+            if k in (1, 4, 6):
+                data = gzip.compress(data, mtime=0)
+            if k == 2:
+                data = zlib.compress(data)
+            if k in (3, 4):
+                parts = [data[a:a + 1000] for a in range(0, len(data), 1000)]
+                data = b"".join(b"%x\r\n%s\r\n" % (len(x), x) for x in parts) + b"0\r\n\r\n"
+            return data[:len(data) // 2] if k == 6 else data
+
+        return html.combine(kind, one)
+
+    kind = (F.col("page_id") % 7).cast("int")
+    head = F.map_filter(F.create_map(
+        F.lit("transfer-encoding"), _pick([t for t, _ in CODINGS], kind),
+        F.lit("content-encoding"), _pick([c for _, c in CODINGS], kind)), lambda k, v: v.isNotNull())
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    return p.select(
+        F.lit("response").alias("record_type"), "url", _record_date(F.col("page_id")).alias("record_date"), F.lit("200").alias("status"),
+        F.lit("text/html; charset=utf-8").alias("content_type"), head.alias("headers"), coded("html", kind).alias("payload"))
+
+
+#: Character sets and served types by page_id % 8: set of the bytes, set that the page's meta names, served content type.
+WRITINGS = [("utf-8", None, "text/html"), ("windows-1252", None, "text/html; charset=ISO-8859-1"), ("windows-1252", "windows-1252", "text/html"),
+            ("windows-1252", None, "text/html"), ("utf-16", None, "text/html"), ("utf-8", None, "text/html; charset=iso-8859-1"),
+            ("utf-8", None, "text/plain"), ("utf-8", None, "application/pdf")]
+
+
+def written_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as records in the sets and under the types of ``WRITINGS``."""
+
+    @F.pandas_udf("binary")
+    def written(html, kind):
+        def one(text: str, k: int) -> bytes:
+            charset, named, _ = WRITINGS[k]
+            meta = f'<meta charset="{named}">' if named else ""
+            return text.replace('<meta charset="utf-8">', meta).encode(charset, "xmlcharrefreplace")
+
+        return html.combine(kind, one)
+
+    kind = (F.col("page_id") % 8).cast("int")
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    return p.select(
+        F.lit("response").alias("record_type"), "url", _record_date(F.col("page_id")).alias("record_date"), F.lit("200").alias("status"),
+        _pick([t for *_, t in WRITINGS], kind).alias("content_type"), written("html", kind).alias("payload"))
+
+
+def damaged_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as gzip members (column ``raw``), of which three in ten are damaged: page_id % 10 of 3 has a Content-Length that is no number, 5 a
+    changed byte within its compression, 7 ends within its head."""
+
+    @F.pandas_udf("binary")
+    def member(url, date, html, kind):
+        out = []
+        for u, d, h, k in zip(url, date, html, kind):
+            body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + h.encode("utf-8")
+            length = "many" if k == 3 else str(len(body))
+            head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {u}\r\nWARC-Date: {d}\r\nContent-Length: {length}\r\n"
+            data = head.encode("utf-8") + (b"" if k == 7 else b"\r\n" + body + b"\r\n\r\n")
+            packed = bytearray(gzip.compress(data, mtime=0))
+            if k == 5:
+                packed[len(packed) // 2] ^= 0x55
+            out.append(bytes(packed))
+        return pd.Series(out)
+
+    p = read_table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    return p.select(member("url", _record_date(F.col("page_id")), "html", (F.col("page_id") % 10).cast("int")).alias("raw"))
