@@ -23,6 +23,9 @@ LINE_TERMINATORS_RE = r"[\n\r\u0085\u2028\u2029]"
 _URL_PARTS_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _AUTH_RE = r"^(?:[^@]*@)?([^:]*)(:[0-9]*)?$"
 _USERINFO_RE = r"^([^@]*@)?"
+# A URL whose canonical form begins with http: in any case before ://, as written elsewhere.
+WEB_RE = (r"^(?:<(?=.*>$)(?:http|[hH][tT][tT][pP][A-Za-z0-9+.\-]*://(?!>$))"
+          r"|http|[hH][tT][tT][pP][A-Za-z0-9+.\-]*://(?![\r\n\x{85}\x{2028}\x{2029}]*$))")
 _DEFAULT_PORTS = {"http": ":80", "https": ":443", "ws": ":80", "wss": ":443", "ftp": ":21"}
 
 
@@ -120,13 +123,78 @@ def surt(u) -> Column:
     return surt_from_stripped(strip_protocol_www(canonical_url(u)))
 
 
+# ------------------------------------------------------------------ the same rules in steps
+#
+# A Column function copies or binds what it uses several times. On tables of URLs the steps are
+# projections one after the other instead: each part is computed once, as generated code, and only a path that
+# has dot segments meets the interpreted expression that resolves them.
+
+_HAS_DOTS_RE = r"/\.\.?(/|$)"
+
+
+def _canonical_steps(src: Column, out: str, p: str) -> list[dict[str, Column]]:
+    c = lambda name: F.col(f"{p}{name}")
+    port = F.coalesce(F.create_map(*[x for k, v in _DEFAULT_PORTS.items() for x in (F.lit(k), F.lit(v))])[c("scheme")], F.lit(""))
+    return [
+        {f"{p}src": F.when(src != "", src)},
+        {f"{p}s": strip_ending_slash(F.when(c("src").startswith("<") & c("src").endswith(">") & (F.length(c("src")) >= 2),
+                                            c("src").substr(F.lit(2), F.length(c("src")) - 2)).otherwise(c("src")))},
+        {f"{p}scheme": F.lower(F.regexp_extract(c("s"), _URL_PARTS_RE, 1)), f"{p}auth": F.regexp_extract(c("s"), _URL_PARTS_RE, 2),
+         f"{p}path": F.regexp_extract(c("s"), _URL_PARTS_RE, 3), f"{p}query": F.regexp_extract(c("s"), _URL_PARTS_RE, 4),
+         f"{p}frag": F.regexp_extract(c("s"), _URL_PARTS_RE, 5)},
+        {f"{p}port": F.regexp_extract(c("auth"), _AUTH_RE, 2), f"{p}default": port, f"{p}dots": c("path").rlike(_HAS_DOTS_RE)},
+        {f"{p}path": F.when(c("dots"), _resolve_dots(c("path"))).otherwise(c("path"))},
+        {out: F.when(c("scheme") == "", c("s")).otherwise(F.concat(
+            c("scheme"), F.lit("://"), F.regexp_extract(c("auth"), _USERINFO_RE, 1), F.lower(F.regexp_extract(c("auth"), _AUTH_RE, 1)),
+            F.when((c("port") == c("default")) | (c("port") == ":"), F.lit("")).otherwise(c("port")),
+            F.when(c("path") == "", F.lit("/")).otherwise(c("path")), c("query"), c("frag")))}]
+
+
+def _surt_steps(canonical: Column, out: str, p: str) -> list[dict[str, Column]]:
+    c = lambda name: F.col(f"{p}{name}")
+
+    def strip(src: Column, name: str, pattern: str) -> list[dict[str, Column]]:
+        return [{f"{p}{name}_cut": strip_ending_slash(src)},
+                {f"{p}{name}": F.when(c(f"{name}_cut").rlike(pattern), F.regexp_replace(c(f"{name}_cut"), pattern, "")).otherwise(src)}]
+
+    return [
+        *strip(canonical, "bare", SCHEME_RE), *strip(c("bare"), "own", WWW_RE),
+        {f"{p}hostport": F.regexp_extract(c("own"), r"^([^/?#]*)", 1)},
+        {f"{p}host": F.regexp_extract(c("hostport"), r"^([^:]*)", 1), f"{p}at": F.regexp_extract(c("hostport"), r"(:[0-9]*)$", 1),
+         f"{p}rest": F.substring(c("own"), F.length(c("hostport")) + 1, 1 << 30)},
+        {f"{p}turned": F.when(c("host").rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"), c("host")).otherwise(
+            F.array_join(F.reverse(F.split(c("host"), r"\.")), ","))},
+        {out: F.concat(F.lit("("), c("turned"), F.lit(","), c("at"), F.when(c("rest") == "", F.lit("")).otherwise(F.concat(F.lit(")"), c("rest"))))}]
+
+
+def _in_steps(df: DataFrame, steps: list[dict[str, Column]], out: str, prefix: str) -> DataFrame:
+    for step in steps:
+        df = df.withColumns(step)
+    # A filter or join on the result must not be pushed through the steps: it would hold all of them, copied. A condition
+    # that is no function of the row (and always true) stops it here.
+    df = df.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.col(out)))
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def _prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has."""
+    prefix = "_url_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
+def with_canonical(df: DataFrame, url: str, out: str) -> DataFrame:
+    """``df`` with F3 of its column ``url`` as ``out``; no exchange."""
+    p = _prefix(df)
+    return _in_steps(df, _canonical_steps(F.col(url), out, p), out, p)
+
+
 def with_surt(df: DataFrame, url: str, out: str) -> DataFrame:
-    """``df`` with the SURT of its column ``url`` as ``out``, computed once per distinct URL and
-    joined back. The rules are interpreted expressions, and links repeat their targets a lot;
-    adaptive execution broadcasts the distinct URLs or splits a URL that very many rows have."""
-    known = df.select(F.col(url).alias("_url")).filter("_url is not null").distinct()
-    known = known.select("_url", surt("_url").alias(out))
-    return df.join(known, df[url] == known["_url"], "left").drop("_url")
+    """``df`` with F4 of its column ``url`` as ``out``; no exchange."""
+    p = _prefix(df)
+    canonical = f"{p}canonical"
+    return _in_steps(df, [*_canonical_steps(F.col(url), canonical, p), *_surt_steps(F.col(canonical), out, p)], out, p)
 
 
 def surt_to_url(s) -> Column:

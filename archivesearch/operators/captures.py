@@ -62,10 +62,10 @@ def version_history(requests: DataFrame, captures: DataFrame) -> tuple[DataFrame
     the deepest slice of the batch as a constant bound, so a URL with very many captures is cut
     map-side before the shuffle.
     """
-    req = requests.select("req_id", U.surt("url").alias("surt"),
-                          cdx_bound(F.col("from"), "0").alias("lo"), cdx_bound(F.col("to"), "9").alias("hi"),
+    req = U.with_surt(requests, "url", "surt").select(
+                          "req_id", "surt", cdx_bound(F.col("from"), "0").alias("lo"), cdx_bound(F.col("to"), "9").alias("hi"),
                           F.coalesce("start", F.lit(0)).alias("start"), "limit")
-    caps = captures.withColumn("surt", U.surt("url"))
+    caps = U.with_surt(captures, "url", "surt")
     m = caps.join(req, "surt").filter(
         (F.col("lo").isNull() | (F.col("timestamp") >= F.col("lo")))
         & (F.col("hi").isNull() | (F.col("timestamp") <= F.col("hi"))))
@@ -88,8 +88,8 @@ def closest_capture(requests: DataFrame, captures: DataFrame) -> DataFrame:
     not a sort of all captures of a URL. Times are compared by their digit fields, so days that
     no calendar has (30 February, which canonical times may hold) count on from their month.
     """
-    req = requests.select("req_id", U.surt("url").alias("surt"), F.col("tstamp").alias("target"))
-    caps = captures.withColumn("surt", U.surt("url"))
+    req = U.with_surt(requests, "url", "surt").select("req_id", "surt", F.col("tstamp").alias("target"))
+    caps = U.with_surt(captures, "url", "surt")
     j = caps.join(req, "surt").withColumn("diff_seconds", F.abs(seconds("target") - seconds("timestamp")))
     best = F.min(F.struct("diff_seconds", "timestamp", "digest", "url"))
     return (j.filter("diff_seconds is not null").groupBy("req_id").agg(best.alias("b"))

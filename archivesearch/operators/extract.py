@@ -74,12 +74,12 @@ def disposition(df: DataFrame, cfg: ExtractConfig = ExtractConfig(), url: str =
                 content_type: str = "content_type") -> Column:
     """P5: ``accepted`` / ``discarded`` / ``error`` per record, in the reference's order; a record
     that could not be read (column ``error``) is an error whatever else it has."""
-    canon = U.canonical_url(url)
+    web = F.col(url).rlike(U.WEB_RE)  # the canonical URL begins with http
     unread = F.col("error").isNotNull() if "error" in df.columns else F.lit(False)
     return (F.when(unread, F.lit("error"))
             .when(~record_type_ok(record_type, cfg), F.lit("discarded"))
             .when(F.col(url).isNull(), F.lit("discarded"))
-            .when(~F.coalesce(canon.startswith("http"), F.lit(False)), F.lit("error"))
+            .when(~web, F.lit("error"))
             .when(F.col(status).isNull(), F.lit("error"))
             .when(~status_ok(status, cfg), F.lit("discarded"))
             .when(mime_parse_fails(content_type), F.lit("error"))

@@ -37,12 +37,12 @@ def register(name: str, sql: str | None = None):
 
 @register("canonical_url", f"SELECT page_id, canon AS canonical_url FROM ({O.lay("SELECT page_id, url FROM pages", O.canonical('url', 'canon', 'c'))})")
 def q_canonical_url(spark: SparkSession, d: str) -> DataFrame:
-    return TB.read_table(spark, d, "pages").select("page_id", U.canonical_url("url").alias("canonical_url"))
+    return U.with_canonical(TB.read_table(spark, d, "pages").select("page_id", "url"), "url", "canonical_url").drop("url")
 
 
 @register("surt_key", f"SELECT page_id, s AS surt FROM ({O.lay("SELECT page_id, url FROM pages", O.surt('url', 's', 'k'))})")
 def q_surt_key(spark, d):
-    return TB.read_table(spark, d, "pages").select("page_id", U.surt("url").alias("surt"))
+    return U.with_surt(TB.read_table(spark, d, "pages").select("page_id", "url"), "url", "surt").drop("url")
 
 
 @register("surt_to_url", f"""SELECT page_id, s AS surt, u AS url_back FROM ({O.lay("SELECT page_id, url FROM pages", O.surt('url', 's', 'k'), O.surt_to_url('s', 'u', 'b'))})""")
@@ -198,7 +198,7 @@ def q_inlink_counts(spark, d):
 _HOST_SQL = "lower(nullif(regexp_extract(from_url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^@/?#]*@)?([^:/?#]*)', 1), ''))"
 
 
-@register("pages_with_inlinks", f"""WITH inl AS (
+_PAGES_WITH_INLINKS = f"""WITH inl AS (
   SELECT DISTINCT s AS surt, from_url, anchor FROM ({O.lay("SELECT from_url, anchor, to_url FROM (" + O.EDGES + ")", O.surt('to_url', 's', 'k'))})),
 cnt AS (SELECT surt, count(*) AS inlinks FROM inl GROUP BY surt),
 anc AS (SELECT surt, string_agg(anchor, ' ' ORDER BY anchor, host) || ' ' AS anchor FROM (
@@ -206,13 +206,30 @@ anc AS (SELECT surt, string_agg(anchor, ' ' ORDER BY anchor, host) || ' ' AS anc
 pp AS (SELECT p_partkey AS page_key, p_name AS title, s AS surt FROM (
   {O.lay("SELECT p_partkey, p_name, 'http://example.com/p/' || CAST(p_partkey AS VARCHAR) AS url FROM part", O.surt('url', 's', 'p'))}))
 SELECT pp.page_key, pp.surt, pp.title, coalesce(anc.anchor, '') AS anchor, CAST(coalesce(cnt.inlinks, 0) AS INTEGER) AS inlinks
-FROM pp LEFT JOIN cnt ON cnt.surt = pp.surt LEFT JOIN anc ON anc.surt = pp.surt""")
+FROM pp LEFT JOIN cnt ON cnt.surt = pp.surt LEFT JOIN anc ON anc.surt = pp.surt"""
+
+
+@register("pages_with_inlinks", _PAGES_WITH_INLINKS)
 def q_pages_with_inlinks(spark, d):
     pages = TB.part_pages(spark, d).withColumnRenamed("surt", "surt_url")
     j = join_inlinks(pages, L.invert_links(TB.link_edges(spark, d), "none"), "none")
     return j.select("page_key", "surt", "title", "anchor", "inlinks")
 
 
+@register("bucketed_links", _PAGES_WITH_INLINKS)
+def q_bucketed_links(spark, d):
+    """The same from co-partitioned tables, to which two crawls that share pages were appended."""
+    from archivesearch.operators.linkstore import LinkStore
+    from archivesearch.session import shared_path
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    store = LinkStore.create(spark, shared_path(spark, "linkstore"), "none", buckets, hot_edges=100_000)
+    store.add_pages(TB.part_pages(spark, d).withColumnRenamed("surt", "surt_url"))
+    edges = TB.link_edges(spark, d).withColumn("o", F.regexp_extract("from_url", "([0-9]+)$", 1).cast("long"))
+    for crawl in ("o % 4 < 3", "o % 4 > 0"):
+        store.add_edges(edges.filter(crawl).drop("o"))
+    return store.pages_with_inlinks().select("page_key", "surt", "title", "anchor", "inlinks")
+
+
 @register("latest_page_per_key", f"""SELECT surt, time_slice, arg_max(tstamp, tstamp || '|' || warc_name || '|' || lpad(CAST(warc_offset AS VARCHAR), 20, '0')) AS tstamp,
   arg_max(warc_name, tstamp || '|' || warc_name || '|' || lpad(CAST(warc_offset AS VARCHAR), 20, '0')) AS warc_name,
   arg_max(warc_offset, tstamp || '|' || warc_name || '|' || lpad(CAST(warc_offset AS VARCHAR), 20, '0')) AS warc_offset,
@@ -387,18 +404,21 @@ def _workload(spark, d, **params) -> DataFrame:
     return b.select(F.col("item_id").alias("qid"), *[v.alias(k) for k, v in cols.items()])
 
 
+PAIRS = 1_000_000_000  # more than a text has tokens: a qid is an item and a place in it
+
+
 def _pairs(spark, d, distinct: bool, query) -> DataFrame:
     """One request per adjacent pair of tokens (all, or distinct ones) of each ``benchmark`` text."""
     toks = F.array_distinct(T.tokens("text")) if distinct else T.tokens("text")
     b = TB.read_table(spark, d, "benchmark").select("item_id", toks.alias("t")).filter("size(t) > 1")
     rest = F.size("t") - 1
     p = b.select("item_id", F.posexplode(F.arrays_zip(F.slice("t", F.lit(1), rest).alias("a"), F.slice("t", F.lit(2), rest).alias("b"))))
-    return p.select((F.col("item_id") * 100000 + F.col("pos") + 1).alias("qid"),
+    return p.select((F.col("item_id") * PAIRS + F.col("pos") + 1).alias("qid"),
                     query(F.col("col")["a"], F.col("col")["b"]).alias("q"))
 
 
 def _pairs_sql(toks: str) -> tuple[str, str]:
-    return ("w2", f"""SELECT item_id * 100000 + i AS qid, t[i] AS t1, t[i + 1] AS t2
+    return ("w2", f"""SELECT item_id * {PAIRS} + i AS qid, t[i] AS t1, t[i + 1] AS t2
 FROM (SELECT item_id, t, unnest(range(1, len(t))) AS i FROM ({toks}))""")
 
 
@@ -707,7 +727,7 @@ def q_closest_capture(spark, d):
 def doc_cdx(spark, d) -> DataFrame:
     """Capture rows of the captured documents (so text hits and captures can meet)."""
     c = TB.document_captures(spark, d)
-    n = TB.read_table(spark, d, "documents").select("doc_id", "n_chars").filter("doc_id % 7 <> 0")
+    n = TB.read_table(spark, d, "documents").select("doc_id", "n_chars")
     c = c.join(n, "doc_id")
     return c.select(
         "url", F.col("tstamp").alias("timestamp"), "digest", F.col("type").alias("mime"), F.lit("200").alias("status"),
@@ -718,8 +738,9 @@ def doc_cdx(spark, d) -> DataFrame:
 
 
 def _meta_requests(spark, d) -> DataFrame:
-    dc = TB.document_captures(spark, d).select(F.col("doc_id").alias("req_id"),
-                                               F.concat_ws("/", "url", "tstamp").alias("id"))
+    # Of seven requests one asks for another time.
+    time = F.when(F.col("doc_id") % 7 == 0, F.lit("19990101000000")).otherwise(F.col("tstamp"))
+    dc = TB.document_captures(spark, d).select(F.col("doc_id").alias("req_id"), F.concat_ws("/", "url", time).alias("id"))
     ev = TB.read_table(spark, d, "events").select(
         (F.lit(-1) - F.col("event_id")).alias("req_id"),
         F.concat(F.lit("http://www.site"), (F.col("user_id") % 7).cast("string"), F.lit(".example.pt/u/"),
@@ -730,7 +751,7 @@ def _meta_requests(spark, d) -> DataFrame:
 
 _META_SQL = O.with_ctes(O.CORPUS[0], ("vdocs", O.VERSION_DOCS), ("doc_cdx", O.DOC_CDX), ("ev_cdx", O.CDX),
                         ("all_cdx", "SELECT * FROM doc_cdx UNION ALL SELECT * FROM ev_cdx"),
-                        ("req", f"""SELECT doc_id AS req_id, url, tstamp AS ts FROM doc_captures
+                        ("req", f"""SELECT doc_id AS req_id, url, CASE WHEN doc_id % 7 = 0 THEN '19990101000000' ELSE tstamp END AS ts FROM doc_captures
   UNION ALL SELECT -1 - event_id AS req_id,
     'http://www.site' || CAST(user_id % 7 AS VARCHAR) || '.example.pt/u/' || CAST(user_id AS VARCHAR) AS url,
     CASE WHEN event_id % 11 = 0 THEN '19990101000000' ELSE {O.ts14('ts')} END AS ts FROM events"""),
