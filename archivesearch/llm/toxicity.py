@@ -43,6 +43,7 @@ COLUMNS = ("score", "predicted", "spans")
 _RESULT = "score double, predicted int, spans array<struct<start: int, end: int, p: double>>"
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
+_ASCII_LETTERS = "".join(chr(b) if chr(b).isalpha() else " " for b in range(128))
 _FIT_ROWS = 2048  # segments whose sums are held at a time while fitting
 
 
@@ -64,6 +65,11 @@ class Settings:
     l2: float = 1.0
 
 
+def words_of(low: str) -> list[str]:
+    """Runs of letters of a lower-cased text."""
+    return low.translate(_ASCII_LETTERS).split() if low.isascii() else _WORD.findall(low)
+
+
 def features_of(word: str, prefixes: tuple) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in prefixes if len(word) > k)]
 
@@ -115,7 +121,7 @@ class Model:
             low = (text or "").lower()
             if len(low) != len(text or ""):
                 low = text.translate({c: c + 32 for c in range(65, 91)})
-            known = self.known(set(_WORD.findall(low)))
+            known = self.known(set(words_of(low)))
             if known:
                 runs += [(number, tokens, [self._words.get(w, 0.0) for w, _, _ in tokens])
                          for tokens in segments(low, self.settings.segment, known)]
@@ -158,7 +164,7 @@ def segments(low: str, size: int, known: set[str] | None = None) -> Iterator[lis
     """Runs of (word, start, end) that end with a sentence, a line or after ``size`` words; with
     ``known`` only those that hold one of its words (sentences without are passed over whole)."""
     for sentence in _SENTENCE.finditer(low):
-        if known is not None and known.isdisjoint(_WORD.findall(sentence.group())):
+        if known is not None and known.isdisjoint(words_of(sentence.group())):
             continue
         run = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low, sentence.start(), sentence.end())]
         for at in range(0, len(run), size):
@@ -172,31 +178,40 @@ def _sums(emissions: np.ndarray, moves: np.ndarray, sizes: np.ndarray, labels: n
     """Marginals of label 1 of padded rows; with ``labels`` also the log-likelihood and the observed
     less the expected moves, each row ``counts`` times (once, if there are none)."""
     n, width = emissions.shape
-    inside = np.arange(width) < sizes[:, None]
-    score = np.zeros((n, width, 2))
-    score[:, :, 1] = emissions
-    move = moves.reshape(2, 2)
-    ahead, behind = np.zeros((n, width, 2)), np.zeros((n, width, 2))
-    ahead[:, 0] = score[:, 0]
+    inside = (np.arange(width) < sizes[:, None]).T
+    # Probabilities instead of logarithms, a token's two scaled to sum 1 and each step of the sums scaled by ``scale``, so that nothing
+    # overflows; tokens come first in all arrays.
+    one = 1 / (1 + np.exp(-np.clip(emissions.T, -500, 500)))
+    zero = 1 - one
+    shift = moves.max()
+    (m00, m01), (m10, m11) = np.exp(moves - shift).reshape(2, 2)
+    ahead0, ahead1, scale = zero.copy(), one.copy(), np.ones((width, n))
     for t in range(1, width):
-        ahead[:, t] = np.logaddexp(ahead[:, t - 1, 0, None] + move[0], ahead[:, t - 1, 1, None] + move[1]) + score[:, t]
+        a0, a1 = ahead0[t - 1], ahead1[t - 1]
+        ahead0[t] *= a0 * m00 + a1 * m10
+        ahead1[t] *= a0 * m01 + a1 * m11
+        scale[t] = ahead0[t] + ahead1[t]
+        ahead0[t] /= scale[t]
+        ahead1[t] /= scale[t]
+    behind0, behind1 = np.ones((width, n)), np.ones((width, n))
     for t in range(width - 2, -1, -1):
-        step = behind[:, t + 1] + score[:, t + 1]
-        into = np.logaddexp(step[:, 0, None] + move[:, 0], step[:, 1, None] + move[:, 1])
-        behind[:, t] = np.where(inside[:, t + 1, None], into, 0.0)
-    last = ahead[np.arange(n), sizes - 1]
-    total = np.logaddexp(last[:, 0], last[:, 1])
-    p = np.where(inside, np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]), 0.0)
+        b0, b1 = zero[t + 1] * behind0[t + 1] / scale[t + 1], one[t + 1] * behind1[t + 1] / scale[t + 1]
+        behind0[t] = np.where(inside[t + 1], m00 * b0 + m01 * b1, 1.0)
+        behind1[t] = np.where(inside[t + 1], m10 * b0 + m11 * b1, 1.0)
+    p = np.where(inside, ahead1 * behind1, 0.0)
     if labels is None:
-        return p, None, None
+        return p.T, None, None
     counts = np.ones(n) if counts is None else counts
-    pair = (ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :]) - total[:, None, None, None]
-    both = inside[:, 1:]
-    expected = np.where(both[:, :, None, None], np.exp(pair), 0.0).sum(axis=1)
+    both = inside[1:]
+    times = np.where(both, counts / scale[1:], 0.0)
+    into0, into1 = zero[1:] * behind0[1:] * times, one[1:] * behind1[1:] * times
+    expected = np.array([m00 * (ahead0[:-1] * into0).sum(), m01 * (ahead0[:-1] * into1).sum(),
+                         m10 * (ahead1[:-1] * into0).sum(), m11 * (ahead1[:-1] * into1).sum()])
     index = labels[:, :-1] * 2 + labels[:, 1:]
-    observed = np.bincount(index[both], np.repeat(counts, sizes - 1), minlength=4)
-    likely = (counts * ((emissions * labels * inside).sum(axis=1) - total)).sum() + float(observed @ moves)
-    return p, likely, observed - (expected * counts[:, None, None]).sum(axis=0).reshape(-1)
+    observed = np.bincount(index[both.T], np.repeat(counts, sizes - 1), minlength=4)
+    total = np.where(inside, np.log(scale) + np.logaddexp(0, emissions.T), 0.0).sum(axis=0) + shift * (sizes - 1)
+    likely = float((counts * ((emissions * labels).T * inside).sum(axis=0) - counts * total).sum() + observed @ moves)
+    return p.T, likely, observed - expected
 
 
 def _lists(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +284,7 @@ def climb(total, params: np.ndarray, l2: float, steps: int) -> np.ndarray:
         gain, params, value, slope = value - new, params + moved, new, new_slope
         if float(moved @ change) > 1e-16:
             past = [*past, (moved, change, 1 / float(moved @ change))][-10:]
-        if gain < 1e-7 * max(abs(value), 1e-3) or np.abs(slope).max() < 1e-7:
+        if gain < 1e-6 * abs(value) or np.abs(slope).max() < 1e-7:
             break
     return params
 
@@ -339,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
         for rows in batches:
             for text, mark in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                words = set(_WORD.findall(text.lower()))
+                words = set(words_of(text.lower()))
                 (toxic if mark else clean).update({f for w in words for f in features_of(w, prefixes)})
                 n[bool(mark)] += 1
                 if len(toxic) + len(clean) > 1_000_000:
