@@ -27,6 +27,7 @@ from pyspark.sql import types as TT
 from archivesearch.functions import present as PR
 from archivesearch.functions import text as T
 from archivesearch.functions import urls as U
+from archivesearch.operators import fields as FD
 from archivesearch.operators import filters as FL
 from archivesearch.operators.docs import oldest_version
 from archivesearch.operators.index import Index
@@ -60,6 +61,7 @@ class SearchConfig:
     snippet_context: int = 20
     snippet_length: int = 80
     escape_snippets: bool = False
+    snippet_strategy: str = "first"   # "first" or "best" windows
     endpoints: PR.Endpoints = PR.Endpoints()
 
 
@@ -98,7 +100,7 @@ def normalize_queries(queries: DataFrame, cfg: SearchConfig = SearchConfig()) ->
         "dedup_field": F.coalesce(F.col("dedup_field"), F.when(by_site, F.lit(SITE_SEARCH_DEDUP_FIELD))
                                   .otherwise(F.lit(DEFAULT_DEDUP_FIELD))),
     })
-    for name in ("site", "type", "collection"):  # an empty list is no filter
+    for name in ("site", "type", "collection", *FD.used(q)):  # an empty list is no filter
         q = q.withColumn(name, F.when(F.size(name) > 0, F.col(name)))
     rejected = F.col("q").isNotNull() & F.col("q").rlike(URL_QUERY_RE)
     missing = F.col("q").isNull() & F.lit(cfg.require_query)
@@ -121,6 +123,7 @@ def analyze_queries(queries: DataFrame) -> DataFrame:
         "lo": FL.canonical_bound("from") if "from" in queries.columns else F.lit(None).cast("string"),
         "hi": FL.canonical_bound("to") if "to" in queries.columns else F.lit(None).cast("string"),
         "prefixes": FL.site_prefixes("site") if "site" in queries.columns else F.lit(None).cast("array<string>"),
+        "n_fields": FD.asked_fields(queries),
     })
 
 
@@ -245,7 +248,7 @@ def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None =
 
 HAS_TERMS = "(size(terms) > 0 or size(phrases) > 0)"
 HAS_FILTER = ("(prefixes is not null or collection is not null or type is not null or title_search is not null"
-              " or lo is not null or hi is not null)")
+              " or lo is not null or hi is not null or n_fields > 0)")
 
 
 def batch_shape(aq: DataFrame) -> Row:
@@ -260,7 +263,7 @@ def batch_shape(aq: DataFrame) -> Row:
         any_of("prefixes is not null").alias("site"), any_of("collection is not null").alias("collection"),
         any_of(f"not {HAS_TERMS} and {HAS_FILTER}").alias("filter_only"),
         any_of(f"not {HAS_TERMS} and not {HAS_FILTER}").alias("match_all"),
-        any_of("size(excludes) > 0 and not " + HAS_TERMS).alias("exclude_only"),
+        any_of("size(excludes) > 0 and not " + HAS_TERMS).alias("exclude_only"), any_of("n_fields > 0").alias("by_fields"),
         any_of("fields is null or exists(fields, f -> lower(f) = 'snippet')").alias("snippet"),
         names.alias("keys"),  # at most the columns of DEDUP_KEYS
         F.coalesce(F.max("dedup_value"), F.lit(1)).alias("dedup"),
@@ -271,9 +274,10 @@ PARAMS = ["offset", "max_items", "dedup_value", "dedup_field", "lo", "hi", "type
 
 
 def candidates(aq: DataFrame, docs: DataFrame, versions: DataFrame, index: Index,
-               cfg: SearchConfig = SearchConfig(), shape: Row | None = None) -> DataFrame:
+               cfg: SearchConfig = SearchConfig(), shape: Row | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """``(qid, doc_id, score)``: matched, phrase-checked, exclusion-filtered, and with score 0
-    the documents of filter-only queries, found by their most selective filter."""
+    the documents of filter-only queries, found by their most selective filter: field filters (their
+    versions in ``allowed``) before the others."""
     aq = aq.filter("status = 'ok'") if "status" in aq.columns else aq
     shape = shape or Row(terms=True, phrases=True, filter_only=False, exclude_only=False)
     parts = []
@@ -283,7 +287,10 @@ def candidates(aq: DataFrame, docs: DataFrame, versions: DataFrame, index: Index
         phrased = aq.filter("size(phrases) > 0")
         parts.append(match_terms(phrased, index, cfg, within=match_phrases(phrased, index, cfg.match_fields)))
     if shape.filter_only:
-        found = FL.filter_only_hits(aq.filter(f"not {HAS_TERMS} and {HAS_FILTER}"), docs, versions)
+        alone = aq.filter(f"not {HAS_TERMS} and {HAS_FILTER}")
+        found = FL.filter_only_hits(alone.filter("n_fields = 0"), docs, versions)
+        if allowed is not None:
+            found = found.unionByName(allowed.join(alone.select("qid"), "qid").select("qid", "doc_id").distinct())
         found = found.withColumn("score", F.lit(0.0))
         if shape.exclude_only:
             found = found.join(_excluded(aq, index), ["qid", "doc_id"], "left_anti")
@@ -306,14 +313,17 @@ SUMMARY_COLS = ["titleString", "type", "tstampOldest", "tstampLatest", "surtOlde
 
 
 def apply_filters(hits: DataFrame, docs: DataFrame, versions: DataFrame, aq: DataFrame,
-                  shape: Row | None = None) -> DataFrame:
-    """Hits joined with the document summary (``d_`` columns) and their query's
+                  shape: Row | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Hits joined with the document summary (``d_`` columns) and their query's
     parameters (``q_``), less those that a filter of the query refuses."""
     d = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"d_{c}") for c in SUMMARY_COLS if c in docs.columns])
     params = aq.select("qid", *[F.col(c).alias("q_" + c) for c in PARAMS],
                        F.col("prefixes").isNotNull().alias("q_by_site"),
-                       F.col("collection").isNotNull().alias("q_by_collection"))
+                       F.col("collection").isNotNull().alias("q_by_collection"), (F.col("n_fields") > 0).alias("q_by_fields"))
     j = hits.join(d, "doc_id").join(params, "qid")
+    if allowed is not None:
+        found = allowed.select("qid", "doc_id").distinct().withColumn("in_fields", F.lit(True))
+        j = j.join(found, ["qid", "doc_id"], "left").filter("not q_by_fields or in_fields").drop("in_fields")
     for name, wanted, rows in (("site", shape is None or shape.site, FL.site_hits),
                                ("collection", shape is None or shape.collection, FL.collection_hits)):
         if wanted:
@@ -321,7 +331,7 @@ def apply_filters(hits: DataFrame, docs: DataFrame, versions: DataFrame, aq: Dat
                  .filter(F.expr(f"not q_by_{name} or in_{name}")).drop("in_" + name))
     return j.filter(
         FL.time_overlap("d_tstampOldest", "d_tstampLatest", "q_lo", "q_hi")
-        & FL.title_filter("d_titleString", "q_title_search") & FL.type_filter("d_type", "q_type")).drop("q_by_site", "q_by_collection")
+        & FL.title_filter("d_titleString", "q_title_search") & FL.type_filter("d_type", "q_type")).drop("q_by_site", "q_by_collection", "q_by_fields")
 
 
 def group_key(hits: DataFrame, off_value: int = -1) -> Column:
@@ -411,13 +421,16 @@ def page_summary(counts: DataFrame, aq: DataFrame) -> DataFrame:
         "status", "message")
 
 
-def version_filtered(rows: DataFrame, versions: DataFrame, aq: DataFrame) -> DataFrame:
+def version_filtered(rows: DataFrame, versions: DataFrame, aq: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
     """P10 + P11 + A7: rows ``(qid, doc_id, ...)`` with the ``oldest`` of the document's versions
-    that pass the query's exact filters; rows left without a version go."""
-    params = aq.select("qid", "lo", "hi", F.col("collection").alias("wanted"), "prefixes")
+    that pass the query's exact filters (field filters: those in ``allowed``); rows left without a version go."""
+    params = aq.select("qid", "lo", "hi", F.col("collection").alias("wanted"), "prefixes", "n_fields")
     keys = rows.select("qid", "doc_id").distinct()
     kept = (keys.join(params, "qid").join(versions, "doc_id")
             .filter(FL.version_keeps("tstamp", "surt", "collection", "lo", "hi", "prefixes", "wanted")))
+    if allowed is not None:
+        kept = (kept.withColumn("version", FD.version_key()).join(allowed.withColumn("passes", F.lit(True)), ["qid", "doc_id", "version"], "left")
+                .filter("n_fields = 0 or passes"))
     return rows.join(oldest_version(kept, ["qid", "doc_id"]), ["qid", "doc_id"])
 
 
@@ -426,12 +439,12 @@ ROW_KEYS = ["qid", "rank", "group_rank", "doc_id", "score"]
 
 
 def present_results(page: DataFrame, docs: DataFrame, versions: DataFrame, aq: DataFrame,
-                    cfg: SearchConfig = SearchConfig(), with_snippet: bool = True) -> DataFrame:
+                    cfg: SearchConfig = SearchConfig(), with_snippet: bool = True, allowed: DataFrame | None = None) -> DataFrame:
     """Reply fields of each surviving hit (oldest version -> URL, time, links);
     fields that its query did not ask for are null."""
     from archivesearch.operators.snippets import snippets
 
-    r = version_filtered(page, versions, aq)
+    r = version_filtered(page, versions, aq, allowed)
     r = r.join(docs.select(F.col("id").alias("doc_id"), "titleString", "type"), "doc_id")
     r = r.withColumns({
         "originalURL": U.surt_to_url(F.col("oldest.surt")),
@@ -462,8 +475,8 @@ def present_results(page: DataFrame, docs: DataFrame, versions: DataFrame, aq: D
 
 
 def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index: Index,
-                cfg: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame]:
-    """A batch of text searches -> ``(results, summary)``.
+                cfg: SearchConfig = SearchConfig(), keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A batch of text searches -> ``(results, summary)``. ``keys``: the stored keys of field filters, for batches that use some.
 
     Order as in the reference: analyse -> match -> exclude -> score -> coarse filters ->
     collapse -> count -> page -> exact version filter -> oldest version -> snippet/links.
@@ -471,10 +484,15 @@ def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index:
     """
     aq = stored(analyze_queries(normalize_queries(queries, cfg)), "queries")
     shape = batch_shape(aq)
-    hits = candidates(aq, docs, versions, index, cfg, shape)
-    filtered = apply_filters(hits, docs, versions, aq, shape)
+    allowed = None
+    if shape.by_fields:
+        if keys is None:
+            raise ValueError(f"the batch uses the field filters {FD.used(aq)}, but no keys are given")
+        allowed = stored(FD.matching_versions(aq.filter("status = 'ok'"), keys), "allowed")
+    hits = candidates(aq, docs, versions, index, cfg, shape, allowed)
+    filtered = apply_filters(hits, docs, versions, aq, shape, allowed)
     if cfg.strict:
-        filtered = version_filtered(filtered, versions, aq).drop("oldest")
+        filtered = version_filtered(filtered, versions, aq, allowed).drop("oldest")
     keyed = filtered.withColumn("group_key", group_key(filtered, cfg.off_value))
     collapsed = stored(collapse_hits(keyed, shape.dedup).select(
         "qid", "doc_id", "score", "group_key", "group_rank", "q_offset", "q_max_items"), "collapsed")
@@ -483,5 +501,5 @@ def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index:
     if shape.match_all:
         more, more_counts = match_all_groups(aq, docs, index, shape, cfg)
         page, counts = page.unionByName(more), counts.unionByName(more_counts)
-    results = present_results(page, docs, versions, aq, cfg, cfg.with_snippet and shape.snippet)
+    results = present_results(page, docs, versions, aq, cfg, cfg.with_snippet and shape.snippet, allowed)
     return results, page_summary(counts, aq)

@@ -6,9 +6,11 @@ import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
 from archivesearch.operators.docs import document_versions, version_docs
+from archivesearch.operators.fields import write_field_keys
 from archivesearch.operators.index import Index, build_index
 from archivesearch.session import ensure_checkpoint_dir, path_exists, stored
 from archivesearch.sources import tables as TB
@@ -19,6 +21,7 @@ class Corpus:
     docs: DataFrame       # one row per distinct content
     versions: DataFrame   # doc_id, collection, tstamp, surt
     index: Index
+    keys: DataFrame | None = None  # keys of field filters
 
 
 def corpus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +38,16 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str) -> None:
     """Documents, versions and the index over them as Parquet tables; documents are tokenized
     once, statistics come from the stored tables. The index is written last."""
     stored(corpus_versions(spark, sf_dir), "versions", f"{path}/versions")
+    named = F.concat(F.lit("DOC-"), "collection", F.lit(".warc.gz"))
+    write_field_keys(TB.document_captures(spark, sf_dir).withColumn("warc_name", named), f"{path}/keys")
     docs = stored(corpus_docs(spark, sf_dir), "docs", f"{path}/docs")
     build_index(docs, f"{path}/index")
 
 
 def read_corpus(spark: SparkSession, path: str) -> Corpus:
     read = spark.read.parquet
-    return Corpus(read(f"{path}/docs"), read(f"{path}/versions"), Index.read(spark, f"{path}/index"))
+    keys = read(f"{path}/keys") if path_exists(spark, f"{path}/keys/_SUCCESS") else None
+    return Corpus(read(f"{path}/docs"), read(f"{path}/versions"), Index.read(spark, f"{path}/index"), keys)
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:

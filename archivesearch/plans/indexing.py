@@ -6,7 +6,8 @@ three chained jobs; the page table is written once because both later steps read
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from archivesearch.operators import extract as X
 from archivesearch.operators import links as L
@@ -28,6 +29,18 @@ def page_documents_of(pages: DataFrame, inlinks: DataFrame, policy: str, keep: s
     return page_documents(join_inlinks(chosen, inlinks, policy))
 
 
+def observed_documents(docs: DataFrame, observation: Observation) -> DataFrame:
+    """A4: page documents, counted while they are written: ``docs_written``, those with inlinks, and the inlinks of all."""
+    return docs.observe(observation, F.count(F.lit(1)).alias("docs_written"), F.count(F.when(F.col("inlinks") > 0, 1)).alias("docs_matched"),
+                        F.coalesce(F.sum("inlinks"), F.lit(0)).alias("matched_inlinks"))
+
+
+def write_counters(spark: SparkSession, observation: Observation, path: str) -> None:
+    """The counters of a finished job as one line of JSON."""
+    row = observation.get
+    spark.createDataFrame([tuple(int(v) for v in row.values())], ", ".join(f"{k} long" for k in row)).coalesce(1).write.mode("overwrite").json(path)
+
+
 def run_indexing(spark: SparkSession, records: DataFrame, out: str, policy: str = "none",
                  collection: str | None = None, cfg: X.ExtractConfig = X.ExtractConfig(), keep: str = "latest") -> None:
     """``pages`` -> ``links`` -> ``docs``: page table and inlinks as Parquet, docs as JSON lines."""

@@ -307,7 +307,7 @@ def _filtered(spark, d, requests: DataFrame) -> DataFrame:
     """Filter-only requests through the page search: the page and the number of all results."""
     c = corpus(spark, d)
     off = requests.withColumns({"dedup_value": F.lit(-1), "fields": F.array(F.lit("id"))})
-    res, summ = S.page_search(off, c.docs, c.versions, c.index)
+    res, summ = S.page_search(off, c.docs, c.versions, c.index, keys=c.keys)
     return res.join(summ.select("qid", "estimated_results"), "qid").select(
         "qid", F.col("rank").cast("int").alias("rank"), "doc_id", "estimated_results")
 
@@ -361,6 +361,28 @@ def q_time_overlap(spark, d):
     return _filtered(spark, d, _request(spark, d, **{"from": frm, "to": F.concat(year, F.lit("12"))}))
 
 
+@register("fielded_search", _page_of("""SELECT DISTINCT t.doc_id AS qid, c.digest AS doc_id
+FROM (SELECT d.* FROM doc_captures d JOIN req ON req.qid = d.doc_id) t JOIN doc_captures c ON CASE t.doc_id % 7
+  WHEN 0 THEN c.url = t.url WHEN 1 THEN c.url = t.url WHEN 2 THEN c.collection = t.collection AND c.site = t.site WHEN 3 THEN c.site = t.site
+  WHEN 4 THEN substr(c.tstamp, 1, 6) = substr(t.tstamp, 1, 6) WHEN 5 THEN substr(c.tstamp, 1, 4) = substr(t.tstamp, 1, 4) AND c.collection = t.collection
+  ELSE c.lang = t.lang AND c.site = t.site AND c.collection = t.collection END"""))
+def q_fielded_search(spark, d):
+    """A batch that mixes all field filters, alone and together, with values taken from captures."""
+    items = TB.read_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"))
+    t = TB.document_captures(spark, d).join(items, "doc_id")
+    arc = F.concat(F.lit("DOC-"), "collection", F.lit(".warc.gz"))
+    domain = F.concat("site", F.lit(".example.org"))
+
+    def value(column, *kinds):
+        return F.when((F.col("doc_id") % 7).isin(*kinds), F.array(column))
+
+    return _filtered(spark, d, t.select(
+        F.col("doc_id").alias("qid"), value(F.col("url"), 0).alias("exacturl"),
+        value(F.regexp_replace("url", "^http:", "https:"), 1).alias("exacturlexpand"), value(arc, 2, 5, 6).alias("arcname"),
+        value(domain, 2, 3, 6).alias("domain"), F.when(F.col("doc_id") % 7 == 4, F.array(F.substring("tstamp", 1, 6))).when(
+            F.col("doc_id") % 7 == 5, F.array(F.substring("tstamp", 1, 4))).alias("date"), value(F.upper("lang"), 6).alias("lang")))
+
+
 @register("title_filter", _page_of("""SELECT c.doc_id AS qid, v.id AS doc_id FROM doc_captures c JOIN vdocs v ON v.titleString = c.title"""))
 def q_title_filter(spark, d):
     return _filtered(spark, d, TB.document_captures(spark, d).select(
@@ -617,6 +639,49 @@ def q_snippet(spark, d):
     return res.select("qid", "rank", "group_rank", "doc_id", "snippet")
 
 
+def _snippet_sql(max_items: int) -> str:
+    """Best windows by brute SQL: every hit begins a window of 40 words; two are chosen, the second wholly outside the first."""
+    base = _search_sql("d.titleString", "2", "false", "0", str(max_items))
+    head, _, _ = base.rpartition("\nSELECT qid, CAST(rank")
+    lead = "(40 - (last - pos + 1)) // 2"
+    low = f"greatest(1, least(pos - {lead}, n_words - 39))"
+
+    def pick(name: str, source: str) -> str:
+        return f"""{name} AS (SELECT qid, doc_id, n_words, {low} AS lo, least({low} + 39, n_words) AS hi FROM (
+  SELECT s.*, t.n_words, row_number() OVER (PARTITION BY s.qid, s.doc_id ORDER BY terms DESC, n DESC, pos) AS r
+  FROM {source} s JOIN texts t USING (qid, doc_id)) WHERE r = 1)"""
+
+    return head + f""",
+texts AS (SELECT DISTINCT r.qid, r.doc_id, content, words, len(words) AS n_words FROM res r JOIN (
+  SELECT id, content, string_split_regex(trim(coalesce(content, '')), '[ \t\n\x0B\f\r]+') AS words FROM vdocs) d ON d.id = r.doc_id),
+places AS (SELECT qid, doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM texts),
+found AS (SELECT DISTINCT p.qid, p.doc_id, p.pos, p.term FROM (SELECT qid, doc_id, pos, unnest({O.tokens('word')}) AS term FROM places) p
+  JOIN qterms t ON t.qid = p.qid AND t.term = p.term),
+scanned AS (SELECT DISTINCT a.qid, a.doc_id, a.pos, b.terms, b.n, b.last FROM found a JOIN (
+  SELECT x.qid, x.doc_id, x.pos, count(DISTINCT y.term) AS terms, count(*) AS n, max(y.pos) AS last
+  FROM (SELECT DISTINCT qid, doc_id, pos FROM found) x JOIN found y ON y.qid = x.qid AND y.doc_id = x.doc_id AND y.pos BETWEEN x.pos AND x.pos + 39
+  GROUP BY ALL) b USING (qid, doc_id, pos)),
+{pick('one', 'scanned')},
+rest AS (SELECT s.* FROM scanned s JOIN one USING (qid, doc_id) WHERE s.pos > one.hi OR s.last < one.lo),
+{pick('two', 'rest')},
+pieces AS (SELECT qid, doc_id, greatest(lo, coalesce(lag(hi) OVER (PARTITION BY qid, doc_id ORDER BY lo, hi) + 1, lo)) AS lo, hi
+           FROM (SELECT * FROM one UNION ALL SELECT * FROM two)),
+written AS (SELECT qid, doc_id, string_agg(piece, '' ORDER BY lo) AS snippet FROM (
+  SELECT c.qid, c.doc_id, c.lo, string_agg(CASE WHEN f.pos IS NULL THEN p.word ELSE '<em>' || p.word || '</em>' END, ' ' ORDER BY p.pos) || {O.q(PR.ELLIPSIS)} AS piece
+  FROM pieces c JOIN places p ON p.qid = c.qid AND p.doc_id = c.doc_id AND p.pos BETWEEN c.lo AND c.hi
+  LEFT JOIN (SELECT DISTINCT qid, doc_id, pos FROM found) f ON f.qid = p.qid AND f.doc_id = p.doc_id AND f.pos = p.pos GROUP BY ALL) GROUP BY ALL)
+SELECT r.qid, CAST(r.rank AS INTEGER) AS rank, CAST(r.group_rank AS INTEGER) AS group_rank, r.doc_id,
+  coalesce(w.snippet, CASE WHEN length(coalesce(t.content, '')) <= 500 THEN coalesce(t.content, '') ELSE substr(t.content, 1, 500) || {O.q(PR.ELLIPSIS)} END) AS snippet
+FROM res r JOIN texts t USING (qid, doc_id) LEFT JOIN written w USING (qid, doc_id)"""
+
+
+@register("snippet_best", _snippet_sql(10))
+def q_snippet_best(spark, d):
+    """Snippets by the best windows, of titles and contents matched by any term."""
+    res, _ = _search(spark, d, S.SearchConfig(operator="or", snippet_strategy="best"), max_items=F.lit(10))
+    return res.select("qid", F.col("rank").cast("int").alias("rank"), F.col("group_rank").cast("int").alias("group_rank"), "doc_id", "snippet")
+
+
 _ANALYSIS_SQL = f"""SELECT qid, '"' || t1 || ' ' || t2 || '" ' || t1 || ' -' || t2 || ' "unclosed' AS q,
   array_to_string(list_distinct_ordered, ' ') AS terms, t1 || ' ' || t2 AS phrases, t2 AS excludes, 'ok' AS status
 FROM (SELECT *, CASE WHEN t1 = 'unclosed' THEN [t1] ELSE [t1, 'unclosed'] END AS list_distinct_ordered FROM w2)"""
