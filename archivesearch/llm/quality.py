@@ -57,7 +57,7 @@ class Limits:
     chunk_slack: float = 0.04
     max_bad_share: float = 0.5
     level: int = 3
-    spread: float = 6.0
+    spread: float = 10.0
     least_deviation: float = 0.005
     least: int = 100
     upper: dict = field(default_factory=dict)
