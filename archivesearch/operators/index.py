@@ -6,6 +6,11 @@ partitioned by ``doc_id`` first, so that grouping needs no second shuffle of the
 (much larger) token rows. Postings are range-partitioned by ``(term, doc_id)``: rows of a
 term lie together for pruning, and a term that a third of all documents hold is several
 files. The statistics are aggregates over the stored postings.
+
+With ``common_share`` the index also holds postings of pairs: where two terms that more than this share of the
+documents of a field hold stand side by side, the pair is a term of its own (X7). A phrase then
+reads the list of the pair instead of the two very long lists. There are few common terms: at most the average number of
+distinct terms of a document, divided by the share.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivesearch.functions import text as T
+from archivesearch.session import path_exists
 
 # Fields indexed by default and the document column holding each.
 DEFAULT_FIELDS = {"title": "titleString", "content": "content"}
@@ -28,10 +34,15 @@ class Index:
     postings: DataFrame     # term, field, doc_id, tf, positions, field_len
     term_stats: DataFrame   # term, field, df
     field_stats: DataFrame  # field, n_docs, avg_len
+    pairs: DataFrame | None = None    # pairs of common terms: term ("a b"), field, doc_id, positions
+    common: DataFrame | None = None   # term, field
 
     @staticmethod
     def read(spark, path: str) -> "Index":
-        return Index(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "term_stats", "field_stats")))
+        names = ["postings", "term_stats", "field_stats"]
+        if path_exists(spark, f"{path}/pairs/_SUCCESS"):
+            names += ["pairs", "common"]
+        return Index(*(spark.read.parquet(f"{path}/{n}") for n in names))
 
 
 def field_tokens(docs: DataFrame, fields: dict[str, str] | None = None,
@@ -52,8 +63,10 @@ def field_tokens(docs: DataFrame, fields: dict[str, str] | None = None,
 
 
 def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None,
-                url_stop_terms: tuple[str, ...] | None = None, partitions: int | None = None) -> Index:
-    """Write postings with positions and the term and field statistics under ``path``."""
+                url_stop_terms: tuple[str, ...] | None = None, partitions: int | None = None,
+                common_share: float | None = None) -> Index:
+    """Write postings with positions and the term and field statistics under ``path``; with ``common_share`` pairs
+    of common terms too."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # posexplode_outer: a field without tokens keeps a row, so that it counts as a document.
@@ -72,4 +85,23 @@ def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None
     per_doc = kept.groupBy("doc_id", "field").agg(F.max("field_len").alias("field_len"))
     (per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len"))
      .write.mode("overwrite").parquet(f"{path}/field_stats"))
+    if common_share is not None:
+        _write_pairs(ft, path, common_share, n)
     return Index.read(spark, path)
+
+
+def _write_pairs(ft: DataFrame, path: str, share: float, partitions: int) -> None:
+    """Postings of neighbouring common terms. The tokens of a document are shifted against themselves, so neighbours meet in its own row."""
+    spark = ft.sparkSession
+    stats = spark.read.parquet(f"{path}/term_stats").join(F.broadcast(spark.read.parquet(f"{path}/field_stats")), "field")  # a row per field
+    stats.filter(F.col("df") > share * F.col("n_docs")).select("term", "field").write.mode("overwrite").parquet(f"{path}/common")
+    common = spark.read.parquet(f"{path}/common")
+    rest = F.size("toks") - 1
+    both = ft.filter("size(toks) > 1").select("doc_id", "field", F.posexplode(F.arrays_zip(
+        F.slice("toks", F.lit(1), rest).alias("a"), F.slice("toks", F.lit(2), rest).alias("b"))).alias("pos", "w"))
+    both = both.select("doc_id", "field", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
+    for side in ("a", "b"):
+        both = both.join(common.withColumnRenamed("term", side), [side, "field"], "left_semi")
+    pairs = (both.groupBy("doc_id", "field", F.concat_ws(" ", "a", "b").alias("term"))
+             .agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "field", "doc_id", "positions"))
+    (pairs.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/pairs"))

@@ -206,6 +206,23 @@ def _rarest_term_docs(aq: DataFrame, index: Index, cfg: SearchConfig) -> DataFra
     return postings.select("term", "doc_id").join(rarest, "term").select("qid", "doc_id").distinct()
 
 
+def phrase_terms(words: DataFrame, index: Index, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """What is looked up of the words ``(phrase, place, term)`` of phrases: a pair where two neighbours are common in
+    every field searched, and the words that no pair covers."""
+    searched = index.field_stats.select("field")
+    if fields:
+        searched = searched.filter(F.col("field").isin(*fields))
+    common = (index.common.join(F.broadcast(searched), "field").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+              .filter(F.col("n") == searched.count()).select("term", F.lit(True).alias("common")))
+    w = Window.partitionBy("phrase").orderBy("place")  # the words of one phrase
+    marked = words.join(common, "term", "left").withColumn("common", F.coalesce("common", F.lit(False)))
+    near = marked.select("phrase", "place", "term", "common", F.lead("term").over(w).alias("next"),
+                         F.coalesce(F.lead("common").over(w), F.lit(False)).alias("next_common"),
+                         F.coalesce(F.lag("common").over(w), F.lit(False)).alias("last_common"))
+    pairs = near.filter("common and next_common").select("phrase", "place", F.concat_ws(" ", "term", "next").alias("term"))
+    return near.filter("not common or not (next_common or last_common)").select("phrase", "place", "term").unionByName(pairs)
+
+
 def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents holding every phrase of the query.
 
@@ -216,9 +233,14 @@ def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None =
     asked = aq.select("qid", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.array_join(p, " ")))).alias("phrase"))
     words = (asked.select("phrase").distinct()
              .select("phrase", F.posexplode(F.split("phrase", " ")).alias("place", "term")))
-    rarest = (words.join(_document_frequencies(index, fields), "term").groupBy("phrase")
+    postings, frequencies = index.postings.select("term", "field", "doc_id", "positions"), _document_frequencies(index, fields)
+    if index.pairs is not None:
+        words = phrase_terms(words, index, fields)
+        postings = postings.unionByName(index.pairs)
+        own = index.pairs.join(words.select("term").distinct(), "term", "left_semi")
+        frequencies = frequencies.unionByName(own.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    rarest = (words.join(frequencies, "term").groupBy("phrase")
               .agg(F.min(F.struct("df", "place", "term")).alias("r")).select("phrase", "r.place", "r.term"))
-    postings = index.postings.select("term", "field", "doc_id", "positions")
     if fields:
         postings = postings.filter(F.col("field").isin(*fields))
 

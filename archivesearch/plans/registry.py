@@ -480,6 +480,21 @@ def q_bm25_topk(spark, d):
 _TP = ("tp", "SELECT doc_id, field, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM field_tokens")
 
 
+_PHRASE_SQL = O.with_ctes(*O.CORPUS, _TP, _ALL_PAIRS, body="""
+SELECT DISTINCT w.qid, a.doc_id FROM w2 w JOIN tp a ON a.term = w.t1
+JOIN tp b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = w.t2""")
+
+
+@register("phrase_common", _PHRASE_SQL)
+def q_phrase_common(spark, d):
+    """The same phrases from an index with postings of pairs of common terms."""
+    from archivesearch.operators.index import build_index
+    from archivesearch.session import shared_path
+    index = build_index(corpus(spark, d).docs, shared_path(spark, "pair-index"), common_share=0.02)
+    quoted = _pairs(spark, d, False, lambda a, b: F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
+    return S.match_phrases(_analyzed(quoted), index)
+
+
 @register("phrase_match", O.with_ctes(*O.CORPUS, _TP, _ALL_PAIRS, body="""
 SELECT DISTINCT w.qid, a.doc_id FROM w2 w JOIN tp a ON a.term = w.t1
 JOIN tp b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = w.t2"""))

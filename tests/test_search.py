@@ -184,3 +184,23 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
+
+
+def test_common_pairs_answer_phrases_alike(spark, store):
+    """Equal results with pairs of common terms, whose own lists are not asked for."""
+    from archivesearch.operators.index import build_index
+    from archivesearch.session import shared_path
+    docs = spark.createDataFrame([(str(i), "of the", t) for i, t in enumerate(
+        ["to be or not to be", "the of the of the", "be the one of the few", "of of the the", "not the the of", "", None, "one of the few"])],
+        "id string, titleString string, content string")
+    plain = build_index(docs, shared_path(spark, "plain"))
+    paired = build_index(docs, shared_path(spark, "paired"), {"title": "titleString", "content": "content"}, common_share=0.3)
+    phrases = ["of the", "the of the", "of the few", "one of the few", "to be or not to be", "not the", "the the of", "of", "few of", "be the one of the"]
+    aq = S.analyze_queries(S.normalize_queries(spark.createDataFrame([(i, f'"{p}"') for i, p in enumerate(phrases)], "qid long, q string")))
+    for fields in (None, ("content",), ("title",)):
+        want, got = (sorted(map(tuple, S.match_phrases(aq, x, fields).collect())) for x in (plain, paired))
+        assert want == got and (want or fields == ("title",)), fields
+    assert {r.term for r in paired.common.filter("field = 'content'").collect()} == {"of", "the"}
+    words = spark.createDataFrame([("p", i, w) for i, w in enumerate("one of the few of x the".split())], "phrase string, place int, term string")
+    asked = {(r.place, r.term) for r in S.phrase_terms(words, paired, ("content",)).collect()}
+    assert asked == {(0, "one"), (1, "of the"), (3, "few"), (4, "of"), (5, "x"), (6, "the")}
