@@ -148,6 +148,7 @@ def fit_limits(docs: DataFrame, limits: Limits = Limits()) -> Limits:
                 raw = text.as_buffer() if text.is_valid else b""
                 if (size := len(raw)) and band_of(size, limits.bands):
                     seen[length_class(size), int(1000 * len(compress(raw)) / size)] += 1
+        pa.default_memory_pool().release_unused()  # the worker lives on
         rows = [(*key, n) for key, n in seen.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.int64()))],
                                          names=["class", "ratio", "n"])
@@ -180,7 +181,10 @@ def _udf(limits: Limits):
         compress = zstandard.ZstdCompressor(level=limits.level).compress
         names = [part.split()[0] for part in _RESULT.split(", ")]
         for texts in batches:
-            yield pd.DataFrame([measure(t or "", compress, limits) for t in texts], columns=names)
+            found = pd.DataFrame([measure(t or "", compress, limits) for t in texts], columns=names)
+            del texts
+            pa.default_memory_pool().release_unused()  # the next batch, or another task, may be a large one
+            yield found
 
     return quality.asNondeterministic()  # else a filter on its result would run it twice
 
