@@ -1,11 +1,10 @@
 """Inverted index over version documents (X1, X7), stored as Parquet tables.
 
-``postings(term, field, doc_id, tf, positions, field_len)`` is built by exploding each
-field's tokens and grouping per ``(doc_id, field, term)``. The documents are hash
-partitioned by ``doc_id`` first, so that grouping needs no second shuffle of the
-(much larger) token rows. Postings are range-partitioned by ``(term, doc_id)``: rows of a
-term lie together for pruning, and a term that a third of all documents hold is several
-files. The statistics are aggregates over the stored postings.
+``postings(term, field, doc_id, tf, positions, field_len)`` is built within the row of each
+document: its tokens are sorted there and cut into one entry for each distinct term, so neither texts
+nor token rows are shuffled. The index is divided by documents, as search engines do: a file holds
+all postings of its documents, in order of ``(term, doc_id)`` for pruning, and no file grows
+with a frequent term. The statistics are aggregates over the stored postings.
 
 With ``common_share`` the index also holds postings of pairs: where two terms that more than this share of the
 documents of a field hold stand side by side, the pair is a term of its own (X7). A phrase then
@@ -17,10 +16,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivesearch.functions import text as T
+from archivesearch.functions._util import let
 from archivesearch.session import path_exists
 
 # Fields indexed by default and the document column holding each.
@@ -62,22 +62,40 @@ def field_tokens(docs: DataFrame, fields: dict[str, str] | None = None,
     return out
 
 
+def _one_row_per_field(docs: DataFrame, fields: dict[str, str] | None, url_stop_terms: tuple[str, ...] | None) -> DataFrame:
+    """``(doc_id, field, toks, at)``: the tokens of a field and their places; rows that share an id are one document."""
+    ft = field_tokens(docs, fields, url_stop_terms).withColumn("at", F.transform("toks", lambda t, i: i))
+    if docs.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return ft
+    return ft.groupBy("doc_id", "field").agg(F.flatten(F.collect_list("toks")).alias("toks"), F.flatten(F.collect_list("at")).alias("at"))
+
+
+def _entries(toks: Column, at: Column) -> Column:
+    """The distinct terms of a field's tokens with their sorted places, found in the row."""
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (F.element_at(s, k)["term"] != F.element_at(s, F.greatest(k - 1, F.lit(1)))["term"]))
+        return let(begins, lambda b: F.transform(b, lambda k, j: F.struct(
+            F.element_at(s, k)["term"].alias("term"),
+            F.slice(s, k, F.coalesce(F.get(b, j + 1), F.size(s) + 1) - k)["pos"].alias("positions"))))
+
+    pairs = F.array_sort(F.transform(F.arrays_zip(toks.alias("term"), at.alias("pos")), lambda z: F.struct(z["term"].alias("term"), z["pos"].alias("pos"))))
+    return F.when(F.size(toks) > 0, let(pairs, runs))
+
+
 def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None,
                 url_stop_terms: tuple[str, ...] | None = None, partitions: int | None = None,
                 common_share: float | None = None) -> Index:
     """Write postings with positions and the term and field statistics under ``path``; with ``common_share`` pairs
     of common terms too."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # posexplode_outer: a field without tokens keeps a row, so that it counts as a document.
-    ft = field_tokens(docs.repartition(n, "id"), fields, url_stop_terms)
-    rows = ft.select("doc_id", "field", F.size("toks").alias("field_len"), F.posexplode_outer("toks").alias("pos", "term"))
-    postings = (rows.groupBy("doc_id", "field", "term")
-                .agg(F.count("pos").cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"),
-                     F.first("field_len").alias("field_len"))
-                .select("term", "field", "doc_id", "tf", "positions", "field_len"))
-    (postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id")
-     .write.mode("overwrite").parquet(f"{path}/postings"))
+    # A document without tokens in a field keeps a row (term null), so that it counts as a document.
+    ft = _one_row_per_field(docs, fields, url_stop_terms)
+    if partitions:
+        ft = ft.repartition(partitions, "doc_id")
+    rows = ft.select("doc_id", "field", F.size("toks").alias("field_len"), F.explode_outer(_entries(F.col("toks"), F.col("at"))).alias("e"))
+    postings = rows.select("e.term", "field", "doc_id", F.coalesce(F.size("e.positions"), F.lit(0)).alias("tf"),
+                           F.coalesce("e.positions", F.array().cast("array<int>")).alias("positions"), "field_len")
+    postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     kept = spark.read.parquet(f"{path}/postings")
     (kept.filter("term is not null").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
      .write.mode("overwrite").parquet(f"{path}/term_stats"))
@@ -86,11 +104,11 @@ def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None
     (per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len"))
      .write.mode("overwrite").parquet(f"{path}/field_stats"))
     if common_share is not None:
-        _write_pairs(ft, path, common_share, n)
+        _write_pairs(ft, path, common_share)
     return Index.read(spark, path)
 
 
-def _write_pairs(ft: DataFrame, path: str, share: float, partitions: int) -> None:
+def _write_pairs(ft: DataFrame, path: str, share: float) -> None:
     """Postings of neighbouring common terms. The tokens of a document are shifted against themselves, so neighbours meet in its own row."""
     spark = ft.sparkSession
     stats = spark.read.parquet(f"{path}/term_stats").join(F.broadcast(spark.read.parquet(f"{path}/field_stats")), "field")  # a row per field
@@ -104,4 +122,4 @@ def _write_pairs(ft: DataFrame, path: str, share: float, partitions: int) -> Non
         both = both.join(common.withColumnRenamed("term", side), [side, "field"], "left_semi")
     pairs = (both.groupBy("doc_id", "field", F.concat_ws(" ", "a", "b").alias("term"))
              .agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "field", "doc_id", "positions"))
-    (pairs.repartitionByRange(partitions, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/pairs"))
+    pairs.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/pairs")
