@@ -9,8 +9,8 @@ A *batch* of queries is a DataFrame (one row per query); one plan answers it:
   selective filter by equi-join; without any filter it reads only the heads that its page can
   show (P14), computed once per dedup field, never all documents for each query;
 * collapse: one window pass over ``(qid, group_key)`` with the batch's constant limit, so Spark
-  cuts hot groups map-side (``WindowGroupLimit``). The collapsed hits are stored once; page and
-  summary read them.
+  cuts hot groups map-side (``WindowGroupLimit``). A batch of plain terms is matched, scored and collapsed where the
+  documents of a group lie together (``search_groups``). Only the page is stored, never all hits.
 
 Branches that no query of the batch needs (phrases, sites, snippets, ...) are not planned: one
 aggregate over the analysed batch says which.
@@ -19,6 +19,7 @@ aggregate over the analysed batch says which.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -164,46 +165,52 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
     """J7 + X2 + X4 + P13: ``(qid, doc_id, score)`` of the documents that hold the query terms
     and no excluded term, with BM25 scores.
 
-    ``operator="or"``: any term; the postings of all terms are read. ``"and"``: every plain term
-    must occur in some field, so only documents of each query's rarest term are looked at, by
-    ``(term, doc_id)``. ``within`` gives the documents to look at instead.
+    ``operator="or"``: any term. ``"and"``: every plain term must occur in some field. The postings
+    of the batch's terms, each once, are dealt out by document; there they meet the batch's terms (a small
+    table) and are summed up, so the pairs of queries and documents are never shuffled. ``within`` gives
+    the few pairs to look at instead.
     """
     if cfg.operator not in ("and", "or"):
         raise ValueError("operator must be 'and' or 'or'")
-    terms = _batch_terms(aq, index, cfg)
-    postings = index.postings.select("term", "field", "doc_id", "tf", "field_len")
-    if within is None and cfg.operator == "and":
-        within = _rarest_term_docs(aq, index, cfg)
+    terms = stored(_batch_terms(aq, index, cfg), "terms")
+    asked = _asked_postings(index.postings.select("term", "field", "doc_id", "tf", "field_len"), terms)
     if within is None:
-        hits = postings.join(terms, ["term", "field"])
+        hits = asked.repartition(_tasks(terms, index), "doc_id").join(terms, ["term", "field"])
     else:
-        asked = postings.join(terms.select("term", "field").distinct(), ["term", "field"], "left_semi")
         hits = asked.join(within.join(terms, "qid"), ["term", "field", "doc_id"])
-    norm = F.col("tf") * (cfg.k1 + 1) / (
-        F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("field_len") / F.col("avg_len")))
-    aggs = [F.sum(F.when(F.col("scores"), F.col("weight") * norm)).alias("raw_score"),
-            F.max("excluded").alias("excluded")]
+    out = _scored(hits, cfg, ["qid", "doc_id"])
     if cfg.operator == "and":
-        aggs.append(F.count_distinct(F.when(F.col("required"), F.col("term"))).alias("matched"))
-    out = hits.groupBy("qid", "doc_id").agg(*aggs).filter(~F.col("excluded") & F.col("raw_score").isNotNull())
-    if cfg.operator == "and":
-        needed = aq.select("qid", F.size("terms").alias("n_required"))
+        needed = stored(aq.select("qid", F.size("terms").alias("n_required")), "needed")
         out = out.join(needed, "qid").filter(F.col("matched") == F.col("n_required"))
+        if within is None:
+            out = out.filter("n_required > 0")
     return out.select("qid", "doc_id", F.round("raw_score", cfg.round_digits).alias("score"))
 
 
-def _document_frequencies(index: Index, fields: tuple[str, ...] | None) -> DataFrame:
-    stats = index.term_stats.filter(F.col("field").isin(*fields)) if fields else index.term_stats
-    return stats.groupBy("term").agg(F.sum("df").alias("df"))
+#: Pairs of a query term and a posting that one task meets.
+HITS_PER_TASK = 4_000_000
+
+
+def _asked_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of a batch's terms, each once."""
+    return postings.join(terms.select("term", "field").distinct(), ["term", "field"], "left_semi")
+
 
+def _tasks(terms: DataFrame, index: Index) -> int:
+    """In how many parts documents are searched: by the number of hits, from the statistics."""
+    hits = terms.join(index.term_stats, ["term", "field"]).agg(F.sum("df")).first()[0] or 0
+    return max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits // HITS_PER_TASK))
 
-def _rarest_term_docs(aq: DataFrame, index: Index, cfg: SearchConfig) -> DataFrame:
-    """``(qid, doc_id)``: the documents of each query's rarest plain term."""
-    terms = aq.select("qid", F.explode("terms").alias("term"))
-    rarest = (terms.join(_document_frequencies(index, cfg.match_fields), "term").groupBy("qid")
-              .agg(F.min(F.struct("df", "term")).alias("r")).select("qid", "r.term"))
-    postings = index.postings.filter(F.col("field").isin(*cfg.match_fields)) if cfg.match_fields else index.postings
-    return postings.select("term", "doc_id").join(rarest, "term").select("qid", "doc_id").distinct()
+
+def _scored(hits: DataFrame, cfg: SearchConfig, by: list[str]) -> DataFrame:
+    """BM25 sum (``raw_score``) and, for conjunctions, number of plain terms (``matched``) of each group; excluded ones left out."""
+    norm = F.col("tf") * (cfg.k1 + 1) / (
+        F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("field_len") / F.col("avg_len")))
+    aggs = [F.sum(F.when(F.col("scores"), F.col("weight") * norm)).alias("raw_score"),
+            F.max("excluded").alias("excluded")]
+    if cfg.operator == "and":
+        aggs.append(F.count_distinct(F.when(F.col("required"), F.col("term"))).alias("matched"))
+    return hits.groupBy(*by).agg(*aggs).filter(~F.col("excluded") & F.col("raw_score").isNotNull())
 
 
 def phrase_terms(words: DataFrame, index: Index, fields: tuple[str, ...] | None = None) -> DataFrame:
@@ -226,46 +233,65 @@ def phrase_terms(words: DataFrame, index: Index, fields: tuple[str, ...] | None
 def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None = None) -> DataFrame:
     """``(qid, doc_id)`` of documents holding every phrase of the query.
 
-    Each distinct phrase is searched once, from the postings of its rarest term; the other terms
-    are looked up by ``(term, doc_id, field)``. Their position lists (one per term, so a group is
-    bounded by the phrase length) are shifted by the term's place and intersected.
+    Each distinct phrase is searched once, by its links: pairs of neighbouring words. The links of a
+    document are found in its own row, from the places of the batch's words; a link of common words is read
+    from its list instead. A phrase begins where all its links lie at their places.
     """
     asked = aq.select("qid", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.array_join(p, " ")))).alias("phrase"))
-    words = (asked.select("phrase").distinct()
-             .select("phrase", F.posexplode(F.split("phrase", " ")).alias("place", "term")))
-    postings, frequencies = index.postings.select("term", "field", "doc_id", "positions"), _document_frequencies(index, fields)
-    if index.pairs is not None:
-        words = phrase_terms(words, index, fields)
-        postings = postings.unionByName(index.pairs)
-        own = index.pairs.join(words.select("term").distinct(), "term", "left_semi")
-        frequencies = frequencies.unionByName(own.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    rarest = (words.join(frequencies, "term").groupBy("phrase")
-              .agg(F.min(F.struct("df", "place", "term")).alias("r")).select("phrase", "r.place", "r.term"))
+    phrases = asked.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
+    rest = F.size("words") - 1
+    links = stored(phrases.filter("size(words) > 1").select("phrase", rest.alias("n"), F.posexplode(F.transform(
+        F.sequence(F.lit(1), rest), lambda i: F.array_join(F.slice("words", i, 2), " "))).alias("place", "link")), "links")
+    single = stored(phrases.filter("size(words) = 1").select("phrase", F.col("phrase").alias("term")), "words")
+    postings, pairs = index.postings.select("term", "field", "doc_id", "positions"), index.pairs
     if fields:
         postings = postings.filter(F.col("field").isin(*fields))
-
-    def starts(place):
-        return F.transform("positions", lambda p: p - F.col(place))
-
-    first = postings.join(rarest, "term").select("phrase", "place", "doc_id", "field", starts("place").alias("starts"))
-    others = words.join(rarest.select("phrase", F.col("place").alias("done")), "phrase").filter("place <> done")
-    others = others.groupBy("phrase").agg(F.collect_list(F.struct("place", "term")).alias("others"))  # its own words
-    first = first.join(others, "phrase", "left")
-    single = first.filter("others is null").select("phrase", "doc_id")
-    looked = first.select("phrase", "doc_id", "field", "starts", F.size("others").alias("n"), F.explode("others").alias("o"))
-    looked = looked.select("phrase", "doc_id", "field", "starts", "n", F.col("o.place").alias("place"), F.col("o.term").alias("term"))
-    known = postings.join(words.select("term").distinct(), "term", "left_semi")
-    met = (known.join(looked, ["term", "doc_id", "field"])
-           .select("phrase", "doc_id", "field", "n", F.array_intersect("starts", starts("place")).alias("both"))
-           .groupBy("phrase", "doc_id", "field", "n").agg(F.collect_list("both").alias("lists")))
-    common = F.aggregate(F.slice("lists", 2, F.size("lists")), F.col("lists")[0], lambda acc, x: F.array_intersect(acc, x))
-    several = met.filter((F.size("lists") == F.col("n")) & (F.size(common) > 0)).select("phrase", "doc_id")
-    found = single.unionByName(several).distinct()
+        pairs = pairs.filter(F.col("field").isin(*fields)) if pairs is not None else None
+    found = [postings.join(single, "term").select("phrase", "doc_id")] if not single.isEmpty() else []
+    sizes = links.agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
+    if sizes["a"] == 1:  # two words: any place of the link
+        found.append(_places(postings, pairs, links.filter("n = 1"), index, fields, False).select("phrase", "doc_id"))
+    if (sizes["b"] or 0) > 1:
+        met = _places(postings, pairs, links.filter("n > 1"), index, fields, True)
+        begun = met.groupBy("phrase", "n", "doc_id", "field", (F.col("pos") - F.col("place")).alias("start")).agg(F.count(F.lit(1)).alias("found"))
+        found.append(begun.filter("found = n").select("phrase", "doc_id"))
+    if not found:
+        return postings.select(F.lit(0).cast(aq.schema["qid"].dataType).alias("qid"), "doc_id").limit(0)
+    found = reduce(DataFrame.unionByName, found)
     needed = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed"))
-    return (found.join(asked, "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return (found.distinct().join(asked, "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
             .join(needed, "qid").filter("n = needed").select("qid", "doc_id"))
 
 
+def _places(postings: DataFrame, pairs: DataFrame | None, links: DataFrame, index: Index, fields: tuple[str, ...] | None, spread: bool) -> DataFrame:
+    """Where links stand, those of common words by their lists: a row for each place, or (not ``spread``) also one for each list."""
+    words = links.select("link").distinct().select(F.col("link").alias("phrase"), F.posexplode(F.split("link", " ")).alias("place", "term"))
+    if pairs is None:
+        return _links_met(postings, links, words)
+    looked = stored(phrase_terms(words, index, fields), "looked")
+    listed = looked.filter("phrase = term").select(F.col("term").alias("link"))
+    own = pairs.withColumnRenamed("term", "link").join(links.join(listed, "link", "left_semi"), "link")
+    own = own.withColumn("pos", F.explode("positions") if spread else F.lit(None).cast("int"))
+    return (_links_met(postings, links, looked.filter("phrase <> term"))
+            .unionByName(own.select("phrase", "n", "doc_id", "field", "place", "pos")))
+
+
+def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame) -> DataFrame:
+    """Where the links ``(phrase, n, place, link)`` stand that ``words (phrase, place, term)`` spell, by document and field."""
+    known = stored(words, "link-words")
+    wanted = links.join(known.select(F.col("phrase").alias("link")).distinct(), "link", "left_semi")
+    rows = (postings.join(known.select("term").distinct(), "term", "left_semi").repartition("doc_id").groupBy("doc_id", "field")
+            .agg(F.collect_list(F.struct("term", "positions")).alias("e")))  # one field of one document
+    places = F.array_sort(F.flatten(F.transform("e", lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["term"].alias("term"))))))
+    rows = rows.select("doc_id", "field", places.alias("s"))
+    rest = F.size("s") - 1
+    near = F.filter(F.arrays_zip(F.slice("s", F.lit(1), rest).alias("a"), F.slice("s", F.lit(2), rest).alias("b")),
+                    lambda z: z["b"]["pos"] == z["a"]["pos"] + 1)
+    near = rows.filter("size(s) > 1").select("doc_id", "field", F.explode(F.transform(near, lambda z: F.struct(
+        z["a"]["pos"].alias("pos"), F.concat_ws(" ", z["a"]["term"], z["b"]["term"]).alias("link")))).alias("l"))
+    return (near.select("doc_id", "field", "l.pos", "l.link").join(wanted, "link").select("phrase", "n", "doc_id", "field", "place", "pos"))
+
+
 # ------------------------------------------------------------------ the batch
 
 HAS_TERMS = "(size(terms) > 0 or size(phrases) > 0)"
@@ -273,7 +299,7 @@ HAS_FILTER = ("(prefixes is not null or collection is not null or type is not nu
               " or lo is not null or hi is not null or n_fields > 0)")
 
 
-def batch_shape(aq: DataFrame) -> Row:
+def batch_shape(aq: DataFrame, off_value: int = -1) -> Row:
     """One row about the whole (accepted) batch: which branches it needs, its deepest page and
     largest group. Aggregates only, whatever the number of queries."""
     def any_of(condition):
@@ -285,10 +311,11 @@ def batch_shape(aq: DataFrame) -> Row:
         any_of("prefixes is not null").alias("site"), any_of("collection is not null").alias("collection"),
         any_of(f"not {HAS_TERMS} and {HAS_FILTER}").alias("filter_only"),
         any_of(f"not {HAS_TERMS} and not {HAS_FILTER}").alias("match_all"),
+        any_of("type is not null or title_search is not null or lo is not null or hi is not null").alias("limited"),
         any_of("size(excludes) > 0 and not " + HAS_TERMS).alias("exclude_only"), any_of("n_fields > 0").alias("by_fields"),
         any_of("fields is null or exists(fields, f -> lower(f) = 'snippet')").alias("snippet"),
-        names.alias("keys"),  # at most the columns of DEDUP_KEYS
-        F.coalesce(F.max("dedup_value"), F.lit(1)).alias("dedup"),
+        (F.count("qid") > F.count_distinct("qid")).alias("repeated"), names.alias("keys"),  # at most the columns of DEDUP_KEYS
+        F.coalesce(F.max("dedup_value"), F.lit(1)).alias("dedup"), F.coalesce(F.max(F.col("dedup_value") > off_value), F.lit(False)).alias("collapses"),
         F.coalesce(F.max(F.col("offset").cast("long") + F.col("max_items")), F.lit(0)).alias("depth")).first()
 
 
@@ -331,6 +358,7 @@ def _excluded(aq: DataFrame, index: Index) -> DataFrame:
     return held.join(ex, "term").select("qid", "doc_id").distinct()
 
 
+_FILTERED = ["titleString", "type", "tstampOldest", "tstampLatest"]  # columns that cheap filters read
 SUMMARY_COLS = ["titleString", "type", "tstampOldest", "tstampLatest", "surtOldest", "collection", "site"]
 
 
@@ -356,34 +384,98 @@ def apply_filters(hits: DataFrame, docs: DataFrame, versions: DataFrame, aq: Dat
         & FL.title_filter("d_titleString", "q_title_search") & FL.type_filter("d_type", "q_type")).drop("q_by_site", "q_by_collection", "q_by_fields")
 
 
-def group_key(hits: DataFrame, off_value: int = -1) -> Column:
-    """The collapse key of each hit (W2; W3 for legacy), the document's own key while collapsing
-    is off for its query. Legacy: the field as given, ``title`` means ``site``; a field that no
-    document has does not collapse."""
-    known = [c for c in SUMMARY_COLS if f"d_{c}" in hits.columns]
+def group_column(known: list[str], off_value: int = -1) -> Column:
+    """The document column that a query (``q_`` columns) collapses by (W2; W3 for legacy); '' while collapsing is off for it, null for a
+    column that documents lack. Legacy: the field as given, ``title`` means ``site``; a field that no document has does not collapse."""
     if off_value == 0:
         name = F.when(F.lower("q_dedup_field") == "title", F.lit("site")).otherwise(F.col("q_dedup_field"))
     else:
         name = dedup_key("q_dedup_field")
     off = (F.col("q_dedup_value") < off_value) | (F.col("q_dedup_value") == off_value)
-    own = F.concat(F.lit(_OFF), F.col("doc_id"))
-    key = own if off_value == 0 else F.lit(None).cast("string")
+    other = F.lit("") if off_value == 0 else F.lit(None).cast("string")
+    return F.when(off, F.lit("")).when(name.isin(*known), name).otherwise(other)
+
+
+def group_key(hits: DataFrame, off_value: int = -1) -> Column:
+    """The collapse key of each hit by its query's ``group_column``, the document's own key while collapsing is off."""
+    known = [c for c in SUMMARY_COLS if f"d_{c}" in hits.columns]
+    by = group_column(known, off_value)
+    key = F.when(by == "", F.concat(F.lit(_OFF), F.col("doc_id")))
     for c in known:
-        key = F.when(name == c, F.col(f"d_{c}").cast("string")).otherwise(key)
-    return F.when(off, own).otherwise(key)
+        key = key.when(by == c, F.col(f"d_{c}").cast("string"))
+    return key
 
 
-def collapse_hits(keyed: DataFrame, max_keep: int) -> DataFrame:
-    """The best hits of each ``(qid, group_key)`` group with their ``group_rank``: the
+def collapse_hits(keyed: DataFrame, max_keep: int, by: tuple[str, ...] = ("qid", "group_key")) -> DataFrame:
+    """The best hits of each ``(qid, group_key)`` group with their ``group_rank`` and the group's head: the
     head and ``N - 1`` more (0 and 1 keep the head). Hits without a key are dropped.
-    ``max_keep``, the batch's largest N, is a constant limit that Spark applies before the
-    shuffle. Uncollapsed hits are groups of one."""
-    w = Window.partitionBy("qid", "group_key").orderBy(F.desc("score"), F.asc("doc_id"))
-    ranked = keyed.filter(F.col("group_key").isNotNull()).withColumn("group_rank", F.row_number().over(w))
+    ``max_keep``, the batch's largest N, is a constant limit that Spark applies before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("doc_id"))
+    ranked = keyed.filter(F.col("group_key").isNotNull()).withColumns({
+        "group_rank": F.row_number().over(w), "head_score": F.first("score").over(w), "head_doc": F.first("doc_id").over(w)})
     return (ranked.filter(F.col("group_rank") <= F.lit(max(1, max_keep)))
             .filter(F.col("group_rank") <= F.greatest("q_dedup_value", F.lit(1))))
 
 
+COLLAPSED = ["qid", "doc_id", "score", "group_rank", "head_score", "head_doc", "q_offset", "q_max_items"]
+
+
+def alone(keyed: DataFrame) -> DataFrame:
+    """Uncollapsed hits, each its own group."""
+    return keyed.withColumns({"group_rank": F.lit(1), "head_score": F.col("score"), "head_doc": F.col("doc_id")})
+
+
+#: Documents of one group from which on they are dealt out further, and over how many parts.
+LARGE_GROUP, GROUP_PARTS = 10_000, 64
+
+
+def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg: SearchConfig) -> DataFrame:
+    """Match, score, filter and collapse a batch of term queries (any term) without shuffling its hits.
+
+    What is dealt out are the postings of the batch's terms, each once for each dedup field in use, so that a group of documents
+    lies in one part; hits are made, summed and ranked there. Large groups are dealt out further and
+    their best hits ranked again. A document without terms of the batch goes nowhere.
+    """
+    aq = aq.filter("status = 'ok' and size(terms) > 0")
+    own = F.concat(F.lit(_OFF), F.col("id"))
+    known = [c for c in SUMMARY_COLS if c in docs.columns]
+    params = stored(aq.select("qid", *[F.col(c).alias("q_" + c) for c in PARAMS]).withColumn("by", group_column(known, cfg.off_value)), "params")
+    kinds = [r["by"] for r in params.select("by").distinct().collect() if r["by"] is not None]  # at most the summary columns
+    if not kinds:
+        return docs.sparkSession.createDataFrame([], "qid long, doc_id string, score double, group_rank int, head_score double, head_doc string, q_offset int, q_max_items int")
+    terms = stored(_batch_terms(aq, index, cfg).join(params.select("qid", "by").distinct(), "qid"), "terms")
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("by"), (F.col(k).cast("string") if k else own).alias("group_key")) for k in kinds])).alias("k")
+    units = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"d_{c}") for c in _FILTERED], keys)
+    units = units.select("doc_id", *[f"d_{c}" for c in _FILTERED], "k.by", "k.group_key").filter("group_key is not null")
+    large = units.filter("by <> ''").groupBy("by", "group_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_GROUP)
+    large = stored(large.select("by", "group_key", F.lit(True).alias("large")), "large")
+    some = not large.isEmpty()
+    place = ["group_key"]
+    if some:
+        place = ["group_key", "part"]
+        part = F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(GROUP_PARTS)) + 1).otherwise(0)
+        units = units.join(large, ["by", "group_key"], "left").withColumn("part", part).drop("large")
+    asked = _asked_postings(index.postings.select("term", "field", "doc_id", "tf", "field_len"), terms).join(units, "doc_id")
+    hits = asked.repartition(_tasks(terms, index), *place).join(terms, ["term", "field", "by"])
+    limits = params.drop("by")
+    if shape.limited:
+        hits = hits.join(limits.distinct(), "qid").filter(
+            FL.time_overlap("d_tstampOldest", "d_tstampLatest", "q_lo", "q_hi")
+            & FL.title_filter("d_titleString", "q_title_search") & FL.type_filter("d_type", "q_type"))
+    scored = _scored(hits, cfg, ["qid", "by", *place, "doc_id"])
+    scored = scored.withColumn("score", F.round("raw_score", cfg.round_digits)).join(limits, "qid")
+    found = []
+    single = "by = ''" if not shape.repeated else "false"
+    if "" in kinds and not shape.repeated:
+        found.append(alone(scored.filter(single)))
+    if kinds != [""] or shape.repeated:
+        near = collapse_hits(scored.filter(f"not ({single})"), shape.dedup, ("qid", *place))
+        found.append(near.filter("part = 0") if some else near)
+        if some:
+            found.append(collapse_hits(near.filter("part > 0").drop("group_rank", "head_score", "head_doc"), shape.dedup))
+    return reduce(DataFrame.unionByName, [f.select(*COLLAPSED) for f in found])
+
+
 def match_all_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg: SearchConfig) -> tuple[DataFrame, DataFrame]:
     """Page rows and group counts of queries without terms and filters.
 
@@ -414,13 +506,11 @@ def match_all_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, c
 
 
 def page_hits(collapsed: DataFrame, depth: int) -> DataFrame:
-    """T2 + W4: heads ranked ``offset+1 .. offset+max_items`` per query by (score desc, doc_id),
-    and their group members with the head's rank. ``depth`` bounds the batch's pages."""
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
-    heads = (collapsed.filter("group_rank = 1").withColumn("rank", F.row_number().over(w))
-             .filter(F.col("rank") <= F.lit(depth))
-             .filter("rank > q_offset and rank <= q_offset + q_max_items").select("qid", "group_key", "rank"))
-    return collapsed.join(heads, ["qid", "group_key"])
+    """T2 + W4: the groups whose heads rank ``offset+1 .. offset+max_items`` in their query by (score desc, doc_id), members
+    with the head's rank. ``depth``, the batch's deepest page, is a constant limit that Spark applies before the shuffle."""
+    w = Window.partitionBy("qid").orderBy(F.desc("head_score"), F.asc("head_doc"))
+    return (collapsed.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= F.lit(depth))
+            .filter("rank > q_offset and rank <= q_offset + q_max_items"))
 
 
 def group_counts(collapsed: DataFrame) -> DataFrame:
@@ -505,23 +595,30 @@ def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index:
     With ``cfg.strict`` the exact version filter runs before the collapse.
     """
     aq = stored(analyze_queries(normalize_queries(queries, cfg)), "queries")
-    shape = batch_shape(aq)
+    shape = batch_shape(aq, cfg.off_value)
     allowed = None
     if shape.by_fields:
         if keys is None:
             raise ValueError(f"the batch uses the field filters {FD.used(aq)}, but no keys are given")
         allowed = stored(FD.matching_versions(aq.filter("status = 'ok'"), keys), "allowed")
-    hits = candidates(aq, docs, versions, index, cfg, shape, allowed)
-    filtered = apply_filters(hits, docs, versions, aq, shape, allowed)
-    if cfg.strict:
-        filtered = version_filtered(filtered, versions, aq, allowed).drop("oldest")
-    keyed = filtered.withColumn("group_key", group_key(filtered, cfg.off_value))
-    collapsed = stored(collapse_hits(keyed, shape.dedup).select(
-        "qid", "doc_id", "score", "group_key", "group_rank", "q_offset", "q_max_items"), "collapsed")
+    if (shape.terms and cfg.operator == "or" and not cfg.strict
+            and not (shape.phrases or shape.filter_only or shape.site or shape.collection or shape.by_fields)):
+        collapsed = search_groups(aq, docs, index, shape, cfg)
+    else:
+        hits = candidates(aq, docs, versions, index, cfg, shape, allowed)
+        filtered = apply_filters(hits, docs, versions, aq, shape, allowed)
+        if cfg.strict:
+            filtered = version_filtered(filtered, versions, aq, allowed).drop("oldest")
+        keyed = filtered.withColumn("group_key", group_key(filtered, cfg.off_value))
+        off = F.col("group_key").startswith(_OFF) & F.lit(not shape.repeated)
+        collapsed = alone(keyed.filter(off)).select(*COLLAPSED)
+        if shape.collapses or shape.repeated:
+            collapsed = collapsed.unionByName(collapse_hits(keyed.filter(~off), shape.dedup).select(*COLLAPSED))
     page = page_hits(collapsed, shape.depth).select("qid", "doc_id", "score", "rank", "group_rank")
     counts = group_counts(collapsed)
     if shape.match_all:
         more, more_counts = match_all_groups(aq, docs, index, shape, cfg)
         page, counts = page.unionByName(more), counts.unionByName(more_counts)
+    page = stored(page, "page")
     results = present_results(page, docs, versions, aq, cfg, cfg.with_snippet and shape.snippet, allowed)
     return results, page_summary(counts, aq)
