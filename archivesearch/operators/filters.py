@@ -7,6 +7,8 @@ year); a query never meets all documents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def site_hits(aq: DataFrame, versions: DataFrame) -> DataFrame:
     n = F.size(labels) - 1  # the last part, behind the last comma, is empty
     hosts = F.transform(F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")),
                         lambda i: F.concat(F.array_join(F.slice(labels, F.lit(1), i), ","), F.lit(",")))
-    own = versions.select("doc_id", "surt").distinct().withColumn("host", F.explode(hosts))
+    own = versions.select("doc_id", "surt").repartition("doc_id").distinct().withColumn("host", F.explode(hosts))
     return (own.join(asked, "host").filter(F.col("surt").startswith(F.col("prefix")))
             .select("qid", "doc_id").distinct())
 
@@ -86,7 +88,7 @@ def site_hits(aq: DataFrame, versions: DataFrame) -> DataFrame:
 def collection_hits(aq: DataFrame, versions: DataFrame) -> DataFrame:
     """``(qid, doc_id)`` of documents with a version in a collection of the query."""
     asked = aq.select("qid", F.explode("collection").alias("collection")).distinct()
-    return versions.select("doc_id", "collection").distinct().join(asked, "collection").select("qid", "doc_id").distinct()
+    return versions.select("doc_id", "collection").repartition("doc_id").distinct().join(asked, "collection").select("qid", "doc_id").distinct()
 
 
 def type_hits(aq: DataFrame, docs: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def type_hits(aq: DataFrame, docs: DataFrame) -> DataFrame:
         F.map_keys(_alias_map()), lambda a: F.array_contains(_alias_map()[a], F.col("type"))))
     words = types.filter(size > 0).select("type", F.explode(F.array_distinct(known)).alias("word"))
     chosen = words.join(asked, "word").select("qid", "type").distinct()
-    return docs.select(F.col("id").alias("doc_id"), "type").join(chosen, "type").select("qid", "doc_id")
+    return docs.select(F.col("id").alias("doc_id"), "type").repartition("doc_id").join(chosen, "type").select("qid", "doc_id")
 
 
 def title_hits(aq: DataFrame, docs: DataFrame) -> DataFrame:
@@ -121,24 +123,23 @@ def time_hits(aq: DataFrame, docs: DataFrame) -> DataFrame:
     asked = aq.select("qid", "lo", "hi", F.greatest(F.coalesce(year("lo"), F.lit(first)), F.lit(first)).alias("y1"),
                       F.least(F.coalesce(year("hi"), F.lit(last)), F.lit(last)).alias("y2")).filter("y1 <= y2")
     asked = asked.select("qid", "lo", "hi", F.explode(F.sequence("y1", "y2")).alias("year"))
-    own = known.withColumn("year", F.explode(F.sequence(year("tstampOldest"), year("tstampLatest"))))
+    own = known.repartition("doc_id").withColumn("year", F.explode(F.sequence(year("tstampOldest"), year("tstampLatest"))))
     return (own.join(asked, "year").filter(time_overlap("tstampOldest", "tstampLatest", "lo", "hi"))
             .select("qid", "doc_id").distinct())
 
 
 def filter_only_hits(aq: DataFrame, docs: DataFrame, versions: DataFrame) -> DataFrame:
     """Documents of queries without terms, from one filter each (the first it has of site, title,
-    collection, type, time); the others are applied to the hits like to any."""
+    collection, type, time); the others are applied to the hits like to any. Documents are dealt out by
+    doc_id before they meet the queries (a small table), so that their pairs need no shuffle; filters that no query
+    starts from are not planned."""
     site, title = F.col("prefixes").isNotNull(), F.col("title_search").isNotNull()
     coll, kind = F.col("collection").isNotNull(), F.col("type").isNotNull()
-    parts = [site_hits(aq.filter(site), versions), title_hits(aq.filter(~site & title), docs),
-             collection_hits(aq.filter(~site & ~title & coll), versions),
-             type_hits(aq.filter(~site & ~title & ~coll & kind), docs),
-             time_hits(aq.filter(~site & ~title & ~coll & ~kind), docs)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    ways = [(site, site_hits, versions), (~site & title, title_hits, docs), (~site & ~title & coll, collection_hits, versions),
+            (~site & ~title & ~coll & kind, type_hits, docs), (~site & ~title & ~coll & ~kind, time_hits, docs)]
+    asked = aq.agg(*[F.coalesce(F.max(of), F.lit(False)) for of, _, _ in ways]).first()
+    parts = [hits(aq.filter(of), rows) for (of, hits, rows), some in zip(ways, asked) if some]
+    return reduce(DataFrame.unionByName, parts) if parts else title_hits(aq, docs)
 
 
 def title_filter(title_string, wanted) -> Column:

@@ -308,7 +308,9 @@ def batch_shape(aq: DataFrame, off_value: int = -1) -> Row:
     names = F.collect_set(F.when(F.expr(f"not {HAS_TERMS} and not {HAS_FILTER}"), dedup_key("dedup_field")))
     return aq.filter("status = 'ok'").agg(
         any_of("size(terms) > 0 and size(phrases) = 0").alias("terms"), any_of("size(phrases) > 0").alias("phrases"),
-        any_of("prefixes is not null").alias("site"), any_of("collection is not null").alias("collection"),
+        # Filters that hits must be checked for; hits of queries without terms come from their first one (``FL.filter_only_hits``).
+        any_of(f"prefixes is not null and ({HAS_TERMS} or n_fields > 0)").alias("site"),
+        any_of(f"collection is not null and ({HAS_TERMS} or n_fields > 0 or prefixes is not null or title_search is not null)").alias("collection"),
         any_of(f"not {HAS_TERMS} and {HAS_FILTER}").alias("filter_only"),
         any_of(f"not {HAS_TERMS} and not {HAS_FILTER}").alias("match_all"),
         any_of("type is not null or title_search is not null or lo is not null or hi is not null").alias("limited"),

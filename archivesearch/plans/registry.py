@@ -530,11 +530,11 @@ SELECT CAST({_CODE} AS BIGINT) AS qid, CAST(p_partkey AS VARCHAR) AS doc_id FROM
 def q_anchor_match(spark, d):
     """Pages found by the text of the links to them, an indexed field of its own."""
     from archivesearch.operators.index import build_index
-    from archivesearch.session import shared_path
+    from archivesearch.session import shared_path, stored
     edges = TB.link_edges(spark, d)
     pages = join_inlinks(TB.part_pages(spark, d).withColumnRenamed("surt", "surt_url"), L.invert_links(edges, "none"), "none")
     docs = pages.select(F.col("page_key").cast("string").alias("id"), F.col("title").alias("titleString"), "anchor")
-    index = build_index(docs, shared_path(spark, "anchor-index"), {"title": "titleString", "anchor": "anchor"})
+    index = build_index(stored(docs, "anchor-docs"), shared_path(spark, "anchor-index"), {"title": "titleString", "anchor": "anchor"})
     words = edges.filter("anchor <> ''").select("anchor").distinct()
     requests = words.select(F.expr(_CODE).cast("long").alias("qid"), F.col("anchor").alias("q"))
     return S.match_terms(_analyzed(requests), index, S.SearchConfig(match_fields=("anchor",))).select("qid", "doc_id")
