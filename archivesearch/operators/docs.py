@@ -24,11 +24,12 @@ VERSION_ORDER = ["tstamp", "collection", "surt"]
 
 
 def latest_per_key(pages: DataFrame, policy: str = "none", keep: str = "latest",
-                   surt_col: str = "surt_url") -> DataFrame:
+                   surt_col: str = "surt_url", captures: str | None = None) -> DataFrame:
     """One page per ``(surt, time_slice)``: the max ``(tstamp, warc_name, warc_offset)``.
 
     The aggregate carries only that key (partial on the map side); the one page is joined
-    back by it, on all key columns, so a URL captured very many times spreads.
+    back by it, on all key columns, so a URL captured very many times spreads. Pages without any other
+    column are the aggregate itself. ``captures`` names a column for the number of pages of a key, counted by the way.
     ``keep="all"`` returns every page with its key.
     """
     keyed = pages.withColumn("surt", F.col(surt_col)).withColumn("time_slice", time_slice("tstamp", policy))
@@ -36,10 +37,18 @@ def latest_per_key(pages: DataFrame, policy: str = "none", keep: str = "latest",
         return keyed
     if keep != "latest":
         raise ValueError("keep must be 'latest' or 'all'")
-    best = keyed.groupBy(*EDGE_KEY).agg(F.max(F.struct(*PAGE_ORDER)).alias("k")).select(*EDGE_KEY, "k.*")
     on = EDGE_KEY + PAGE_ORDER
-    matches = [keyed[c].eqNullSafe(best[c]) for c in on]
-    return keyed.join(best, matches, "left_semi").dropDuplicates(on)
+    count = [F.count(F.lit(1)).alias(captures)] if captures else []
+    best = keyed.groupBy(*EDGE_KEY).agg(F.max(F.struct(*PAGE_ORDER)).alias("k"), *count)
+    best = best.select(*EDGE_KEY, "k.*", *[captures] * len(count))
+    if set(keyed.columns) <= {surt_col, *on}:
+        return best.withColumn(surt_col, F.col("surt")).select(*keyed.columns, *[captures] * len(count))
+    if not captures:
+        matches = [keyed[c].eqNullSafe(best[c]) for c in on]
+        return keyed.join(best, matches, "left_semi").dropDuplicates(on)
+    best = best.select(*[F.col(c).alias(f"best_{i}") for i, c in enumerate(on)], captures)
+    matches = [F.col(c).eqNullSafe(F.col(f"best_{i}")) for i, c in enumerate(on)]
+    return keyed.join(best, matches).drop(*[f"best_{i}" for i in range(len(on))]).dropDuplicates(on)
 
 
 def join_inlinks(pages: DataFrame, inlinks: DataFrame, policy: str = "none",

@@ -239,12 +239,9 @@ FROM (SELECT s AS surt, substr(tstamp, 1, 4) AS time_slice, tstamp, warc_name, w
 GROUP BY surt, time_slice""")
 def q_latest_page_per_key(spark, d):
     e = TB.link_edges(spark, d).select(F.col("from_url").alias("url"), "tstamp", "warc_name", "warc_offset")
-    pages = U.with_surt(e, "url", "surt_url")
-    counts = pages.withColumn("time_slice", TS.time_slice("tstamp", "year")).groupBy(
-        F.col("surt_url").alias("surt"), "time_slice").agg(F.count(F.lit(1)).alias("captures"))
-    latest = latest_per_key(pages, "year")
-    return latest.join(counts, ["surt", "time_slice"]).select(
-        "surt", "time_slice", "tstamp", "warc_name", "warc_offset", "captures")
+    pages = U.with_surt(e, "url", "surt_url").drop("url")
+    latest = latest_per_key(pages, "year", captures="captures").filter("surt is not null and time_slice is not null")
+    return latest.select("surt", "time_slice", "tstamp", "warc_name", "warc_offset", "captures")
 
 
 @register("merge_edges", f"""SELECT DISTINCT s AS surt, substr(tstamp, 1, 4) AS time_slice, from_url, anchor FROM (

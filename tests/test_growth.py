@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
+from archivesearch.operators.docs import latest_per_key
 
 
 def plan(df):
@@ -19,3 +20,19 @@ def test_plain_urls_are_taken_apart_by_one_pattern(spark):
     assert [r.url for r in got if r.fast != r.slow] == [] and [r.fast is None for r in got] == [r.slow is None for r in got]
     taken = rows.filter(F.col("url").rlike(U._PLAIN_RE)).collect()
     assert {r.url for r in taken if r.i < len(plain)} == set(plain) and len([r for r in taken if r.i >= len(plain)]) == 2
+
+
+def test_latest_page_and_its_count_in_one_aggregate(spark):
+    rows = [("(pt,a,)", f"201{i % 3}0101000000", f"w{i % 2}", i % 4, f"t{i % 4}") for i in range(12)] + [(None, "20100101000000", "w", 1, "n"), ("(pt,b,)", None, None, None, "m")]
+    pages = spark.createDataFrame(rows, "surt_url string, tstamp string, warc_name string, warc_offset long, title string")
+    bare = pages.drop("title")
+    for policy in ("none", "year"):
+        whole = latest_per_key(pages, policy)
+        want = sorted(map(str, whole.drop("title").collect()))
+        one = latest_per_key(bare, policy)
+        assert "Join" not in plan(one) and sorted(map(str, one.select(whole.drop("title").columns).collect())) == want
+        for p in (pages, bare):
+            counted = latest_per_key(p, policy, captures="captures")
+            assert counted.columns == [*p.columns, "surt", "time_slice", "captures"]
+            assert sorted(map(str, counted.select(whole.drop("title").columns).collect())) == want
+            assert counted.agg(F.sum("captures")).first()[0] == len(rows)
