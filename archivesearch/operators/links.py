@@ -7,7 +7,7 @@ before its rows meet in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
@@ -53,16 +53,23 @@ def anchor_text(inlinks: DataFrame) -> DataFrame:
     export asks for it, everything else works on ``anchors``.
     """
     listed = anchors(inlinks).groupBy(*EDGE_KEY).agg(F.array_sort(F.collect_list(F.struct("anchor", "host"))).alias("pairs"))
-    return listed.select(
-        *EDGE_KEY, F.concat(F.array_join("pairs.anchor", " "), F.lit(" ")).alias("anchor"),
-        F.size("pairs").alias("anchor_count"))
+    return listed.select(*EDGE_KEY, _anchor_string("pairs").alias("anchor"), F.size("pairs").alias("anchor_count"))
+
+
+def _anchor_string(pairs: str) -> Column:
+    return F.concat(F.array_join(f"{pairs}.anchor", " "), F.lit(" "))
 
 
 def inlink_summary(inlinks: DataFrame) -> DataFrame:
-    """A2 + A3 per key: ``(surt, time_slice, anchor, inlinks)``; keys without anchors get ``''``."""
-    counts = inlink_counts(inlinks)
-    return (counts.join(anchor_text(inlinks).drop("anchor_count"), EDGE_KEY, "left")
-            .select(*EDGE_KEY, F.coalesce("anchor", F.lit("")).alias("anchor"), "inlinks"))
+    """A2 + A3 per key: ``(surt, time_slice, anchor, inlinks)``; keys without anchors get ``''``.
+
+    One aggregate reads the edges once; a task sends on the count and the distinct anchors of a key, whatever its edges.
+    """
+    pair = F.struct("anchor", U.url_host("from_url").alias("host"))
+    both = inlinks.groupBy(*EDGE_KEY).agg(
+        F.count(F.lit(1)).cast("int").alias("inlinks"), F.collect_set(F.when(F.col("anchor") != "", pair)).alias("pairs"))
+    both = both.withColumn("pairs", F.array_sort(F.array_distinct("pairs")))
+    return both.select(*EDGE_KEY, F.when(F.size("pairs") > 0, _anchor_string("pairs")).otherwise(F.lit("")).alias("anchor"), "inlinks")
 
 
 def merge_edges(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
+from archivesearch.operators import links as L
 from archivesearch.operators.docs import latest_per_key
 
 
@@ -36,3 +37,12 @@ def test_latest_page_and_its_count_in_one_aggregate(spark):
             assert counted.columns == [*p.columns, "surt", "time_slice", "captures"]
             assert sorted(map(str, counted.select(whole.drop("title").columns).collect())) == want
             assert counted.agg(F.sum("captures")).first()[0] == len(rows)
+
+
+def test_inlinks_are_summed_up_in_one_pass(spark):
+    rows = [("(pt,a,)", "", f"http://h{i % 3}.pt/{i}", ("", "b", "a")[i % 3 if i % 2 else 0]) for i in range(40)] + [("(pt,b,)", "", "http://h.pt/", ""), ("(pt,c,)", "", "no host", "x")]
+    inlinks = spark.createDataFrame(rows, "surt string, time_slice string, from_url string, anchor string")
+    out = L.inlink_summary(inlinks)
+    assert "Join" not in plan(out)
+    want = L.inlink_counts(inlinks).join(L.anchor_text(inlinks).drop("anchor_count"), L.EDGE_KEY, "left").select(*L.EDGE_KEY, F.coalesce("anchor", F.lit("")), "inlinks")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
