@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
 from archivesearch.functions.text import tokens
+from archivesearch.session import stored
 
 # Lengths of timestamp prefixes that a date can name: year, month, day, hour, minute, second.
 DATE_LENGTHS = (4, 6, 8, 10, 12, 14)
@@ -73,17 +74,21 @@ def version_key() -> Column:
 def field_keys(captures: DataFrame) -> DataFrame:
     """``(field, key, doc_id, version)`` of captures (columns digest, collection, tstamp, surt and those that filters read;
     filters of columns that are not there have no keys)."""
+    return _key_rows(captures).distinct()
+
+
+def _key_rows(captures: DataFrame) -> DataFrame:
     known = [f for f in FILTERS.values() if f.column in captures.columns]
     per_field = [F.struct(F.lit(f.name).alias("field"), f.has(F.col(f.column)).alias("keys")) for f in known]
     rows = captures.select(F.col("digest").alias("doc_id"), version_key().alias("version"), F.explode(F.array(*per_field)).alias("f"))
     rows = rows.select(F.col("f.field").alias("field"), F.explode("f.keys").alias("key"), "doc_id", "version")
-    return rows.filter("key is not null and key <> '' and doc_id is not null").distinct()
+    return rows.filter("key is not null and key <> '' and doc_id is not null")
 
 
 def write_field_keys(captures: DataFrame, path: str) -> None:
     """Stored in order of (field, key), a key that very many versions have over several files."""
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (field_keys(captures).repartitionByRange(n, "field", "key", "doc_id").sortWithinPartitions("field", "key")
+    (_key_rows(captures).repartitionByRange(n, "field", "key", "doc_id").distinct().sortWithinPartitions("field", "key")
      .write.mode("overwrite").parquet(path))
 
 
@@ -102,7 +107,11 @@ def asked_fields(requests: DataFrame) -> Column:
 
 
 def matching_versions(aq: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(qid, doc_id, version)``: versions that pass all field filters of a query."""
+    """``(qid, doc_id, version)``: versions that pass all field filters of a query.
+
+    A version with the keys that the batch asks for is one row, which meets a query by the keys of one field and is checked for the others
+    there: pairs of queries and versions are neither held nor shuffled.
+    """
     none = F.array().cast("array<struct<field:string,keys:array<string>>>")
 
     def values(f: FieldFilter) -> Column:
@@ -112,6 +121,22 @@ def matching_versions(aq: DataFrame, keys: DataFrame) -> DataFrame:
     per_field = [values(FILTERS[name]) for name in used(aq)]
     asked = (aq.filter("n_fields > 0").select("qid", "n_fields", F.explode(F.concat(*per_field)).alias("f"))
              .select("qid", "n_fields", F.col("f.field").alias("field"), F.explode("f.keys").alias("key")).distinct())
-    met = keys.join(asked, ["field", "key"]).select("qid", "n_fields", "field", "doc_id", "version").distinct()
-    return (met.groupBy("qid", "doc_id", "version").agg(F.count(F.lit(1)).alias("n"), F.first("n_fields").alias("n_fields"))
-            .filter("n = n_fields").select("qid", "doc_id", "version"))
+    wanted = asked.groupBy("qid", "n_fields", "field").agg(F.collect_list("key").alias("keys"))
+    wanted = wanted.groupBy("qid", "n_fields").agg(F.array_sort(F.collect_list(F.struct("field", "keys"))).alias("wanted"))
+    # Queries by the keys of their first field; a field whose values mean no key leaves its query out.
+    wanted = wanted.filter(F.size("wanted") == F.col("n_fields")).select(
+        "qid", F.col("wanted")[0]["field"].alias("field"), F.col("wanted")[0]["keys"].alias("firsts"),
+        F.slice("wanted", F.lit(2), F.size("wanted")).alias("rest"))
+    starts = stored(wanted.withColumn("key", F.explode("firsts")), "starts")
+    # Keys that some query asks for, dealt out by document: a row for each version with all of them.
+    own = (keys.join(asked.select("field", "key").distinct(), ["field", "key"], "left_semi").groupBy("doc_id", "version")
+           .agg(F.collect_set(F.struct("field", "key")).alias("own")))
+    met = own.select("doc_id", "version", "own", F.explode("own").alias("k")).select("doc_id", "version", "own", "k.field", "k.key")
+    met = met.join(starts, ["field", "key"])
+
+    def has(field: Column, key: Column) -> Column:
+        return F.array_contains("own", F.struct(field.alias("field"), key.alias("key")))
+
+    # A version that has several keys of the first field meets its query at the first of them only.
+    first = F.filter("firsts", lambda k: has(F.col("field"), k))[0] == F.col("key")
+    return met.filter(first & F.forall("rest", lambda w: F.exists(w["keys"], lambda k: has(w["field"], k)))).select("qid", "doc_id", "version")
