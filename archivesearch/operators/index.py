@@ -14,7 +14,7 @@ distinct terms of a document, divided by the share.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -104,14 +104,22 @@ def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None
     (per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len"))
      .write.mode("overwrite").parquet(f"{path}/field_stats"))
     if common_share is not None:
-        _write_pairs(ft, path, common_share)
+        _write_pairs(ft, Index.read(spark, path), path, common_share)
     return Index.read(spark, path)
 
 
-def _write_pairs(ft: DataFrame, path: str, share: float) -> None:
+def add_pairs(docs: DataFrame, index: Index, path: str, common_share: float, fields: dict[str, str] | None = None,
+              url_stop_terms: tuple[str, ...] | None = None) -> Index:
+    """The index of ``docs`` with pairs of common terms, written under ``path``; its postings and statistics stay where they are."""
+    _write_pairs(_one_row_per_field(docs, fields, url_stop_terms), index, path, common_share)
+    read = docs.sparkSession.read.parquet
+    return replace(index, pairs=read(f"{path}/pairs"), common=read(f"{path}/common"))
+
+
+def _write_pairs(ft: DataFrame, index: Index, path: str, share: float) -> None:
     """Postings of neighbouring common terms. The tokens of a document are shifted against themselves, so neighbours meet in its own row."""
     spark = ft.sparkSession
-    stats = spark.read.parquet(f"{path}/term_stats").join(F.broadcast(spark.read.parquet(f"{path}/field_stats")), "field")  # a row per field
+    stats = index.term_stats.join(F.broadcast(index.field_stats), "field")  # a row per field
     stats.filter(F.col("df") > share * F.col("n_docs")).select("term", "field").write.mode("overwrite").parquet(f"{path}/common")
     common = spark.read.parquet(f"{path}/common")
     rest = F.size("toks") - 1
@@ -120,6 +128,8 @@ def _write_pairs(ft: DataFrame, path: str, share: float) -> None:
     both = both.select("doc_id", "field", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     for side in ("a", "b"):
         both = both.join(common.withColumnRenamed("term", side), [side, "field"], "left_semi")
-    pairs = (both.groupBy("doc_id", "field", F.concat_ws(" ", "a", "b").alias("term"))
-             .agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "field", "doc_id", "positions"))
+    # The pairs of a document are one row before they are shuffled.
+    near = both.groupBy("doc_id", "field").agg(F.collect_list(F.struct(F.concat_ws(" ", "a", "b").alias("term"), "pos")).alias("w"))
+    pairs = near.select("field", "doc_id", F.explode(_entries(F.col("w.term"), F.col("w.pos"))).alias("e"))
+    pairs = pairs.select("e.term", "field", "doc_id", "e.positions")
     pairs.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/pairs")

@@ -166,17 +166,18 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
     and no excluded term, with BM25 scores.
 
     ``operator="or"``: any term. ``"and"``: every plain term must occur in some field. The postings
-    of the batch's terms, each once, are dealt out by document; there they meet the batch's terms (a small
+    of the batch's terms, each once and with a number for its term, are dealt out by document; there they meet the batch's terms (a small
     table) and are summed up, so the pairs of queries and documents are never shuffled. ``within`` gives
     the few pairs to look at instead.
     """
     if cfg.operator not in ("and", "or"):
         raise ValueError("operator must be 'and' or 'or'")
     terms = stored(_batch_terms(aq, index, cfg), "terms")
-    asked = _asked_postings(index.postings.select("term", "field", "doc_id", "tf", "field_len"), terms)
     if within is None:
-        hits = asked.repartition(_tasks(terms, index), "doc_id").join(terms, ["term", "field"])
+        asked, numbered = _numbered(index, terms)
+        hits = asked.repartition(_tasks(terms, index), "doc_id").join(numbered, "no")
     else:
+        asked = _asked_postings(index.postings.select("term", "field", "doc_id", "tf", "field_len"), terms)
         hits = asked.join(within.join(terms, "qid"), ["term", "field", "doc_id"])
     out = _scored(hits, cfg, ["qid", "doc_id"])
     if cfg.operator == "and":
@@ -196,6 +197,13 @@ def _asked_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return postings.join(terms.select("term", "field").distinct(), ["term", "field"], "left_semi")
 
 
+def _numbered(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings of a batch's terms, each once, and the batch's terms, both with a number (``no``) in place of term and field."""
+    words = stored(terms.select("term", "field").distinct().withColumn("no", F.monotonically_increasing_id()), "words")
+    postings = index.postings.select("term", "field", "doc_id", "tf", "field_len").join(words, ["term", "field"])
+    return postings.select("doc_id", "no", "tf", "field_len"), stored(terms.join(words, ["term", "field"]), "numbered")
+
+
 def _tasks(terms: DataFrame, index: Index) -> int:
     """In how many parts documents are searched: by the number of hits, from the statistics."""
     hits = terms.join(index.term_stats, ["term", "field"]).agg(F.sum("df")).first()[0] or 0
@@ -434,7 +442,7 @@ LARGE_GROUP, GROUP_PARTS = 10_000, 64
 def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg: SearchConfig) -> DataFrame:
     """Match, score, filter and collapse a batch of term queries (any term) without shuffling its hits.
 
-    What is dealt out are the postings of the batch's terms, each once for each dedup field in use, so that a group of documents
+    What is dealt out are documents with their postings of the batch's terms, a row for each dedup field in use, so that a group of documents
     lies in one part; hits are made, summed and ranked there. Large groups are dealt out further and
     their best hits ranked again. A document without terms of the batch goes nowhere.
     """
@@ -447,8 +455,9 @@ def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg:
         return docs.sparkSession.createDataFrame([], "qid long, doc_id string, score double, group_rank int, head_score double, head_doc string, q_offset int, q_max_items int")
     terms = stored(_batch_terms(aq, index, cfg).join(params.select("qid", "by").distinct(), "qid"), "terms")
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("by"), (F.col(k).cast("string") if k else own).alias("group_key")) for k in kinds])).alias("k")
-    units = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"d_{c}") for c in _FILTERED], keys)
-    units = units.select("doc_id", *[f"d_{c}" for c in _FILTERED], "k.by", "k.group_key").filter("group_key is not null")
+    read = _FILTERED if shape.limited else []
+    units = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"d_{c}") for c in read], keys)
+    units = units.select("doc_id", *[f"d_{c}" for c in read], "k.by", "k.group_key").filter("group_key is not null")
     large = units.filter("by <> ''").groupBy("by", "group_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LARGE_GROUP)
     large = stored(large.select("by", "group_key", F.lit(True).alias("large")), "large")
     some = not large.isEmpty()
@@ -457,8 +466,11 @@ def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg:
         place = ["group_key", "part"]
         part = F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(GROUP_PARTS)) + 1).otherwise(0)
         units = units.join(large, ["by", "group_key"], "left").withColumn("part", part).drop("large")
-    asked = _asked_postings(index.postings.select("term", "field", "doc_id", "tf", "field_len"), terms).join(units, "doc_id")
-    hits = asked.repartition(_tasks(terms, index), *place).join(terms, ["term", "field", "by"])
+    asked, numbered = _numbered(index, terms)
+    # A document lies in one file of the index, so its postings become one row before anything is shuffled.
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("no", "tf", "field_len")).alias("asked"))
+    dealt = asked.join(units, "doc_id").repartition(_tasks(terms, index), *place)
+    hits = dealt.withColumn("a", F.explode("asked")).select(*units.columns, "a.*").join(numbered, ["no", "by"])
     limits = params.drop("by")
     if shape.limited:
         hits = hits.join(limits.distinct(), "qid").filter(

@@ -15,6 +15,7 @@ from archivesearch.functions import text as T
 from archivesearch.functions import timestamps as TS
 from archivesearch.functions import urls as U
 from archivesearch.operators import extract as X
+from archivesearch.operators import fields as FD
 from archivesearch.operators import filters as FL
 from archivesearch.operators import links as L
 from archivesearch.operators import search as S
@@ -302,7 +303,7 @@ def _request(spark, d, **params) -> DataFrame:
 
 def _filtered(spark, d, requests: DataFrame) -> DataFrame:
     """Filter-only requests through the page search: the page and the number of all results."""
-    c = corpus(spark, d)
+    c = corpus(spark, d, keys=bool(FD.used(requests)))
     off = requests.withColumns({"dedup_value": F.lit(-1), "fields": F.array(F.lit("id"))})
     res, summ = S.page_search(off, c.docs, c.versions, c.index, keys=c.keys)
     return res.join(summ.select("qid", "estimated_results"), "qid").select(
@@ -398,7 +399,7 @@ SELECT r.qid, CAST(h.rank AS INTEGER) AS rank, CAST(r.group_rank AS INTEGER) AS
 FROM ranked r JOIN heads h ON h.qid = r.qid AND h.k = r.k
 WHERE h.rank > r.off AND h.rank <= r.off + 3 AND r.group_rank <= greatest(r.n, 1)""").replace("\n, req AS", ",\nreq AS"))
 def q_match_all(spark, d):
-    c = corpus(spark, d)
+    c = corpus(spark, d, keys=False)
     names = F.array(*[F.lit(x) for x in ("title", "type", "collection", "site")])
     req = _request(spark, d, dedup_field=F.element_at(names, (F.col("qid") % 4 + 1).cast("int")),
                    offset=(F.col("qid") % 3).cast("int"), dedup_value=(F.col("qid") % 4).cast("int"), max_items=F.lit(3))
@@ -453,7 +454,7 @@ def _analyzed(queries: DataFrame) -> DataFrame:
 @register("term_match", O.with_ctes(*_SEARCH_CTES, body="""
 SELECT DISTINCT t.qid, p.doc_id FROM qterms t JOIN postings p ON p.term = t.term"""))
 def q_term_match(spark, d):
-    return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, ANY).select("qid", "doc_id")
+    return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d, keys=False).index, ANY).select("qid", "doc_id")
 
 
 @register("all_terms_match", O.with_ctes(*O.CORPUS, _DISTINCT_PAIRS, body="""
@@ -461,14 +462,14 @@ SELECT DISTINCT w.qid, p.doc_id FROM w2 w JOIN postings p ON p.term = w.t1
 JOIN postings x ON x.term = w.t2 AND x.doc_id = p.doc_id"""))
 def q_all_terms_match(spark, d):
     aq = _analyzed(_pairs(spark, d, True, lambda a, b: F.concat(a, F.lit(" "), b)))
-    return S.match_terms(aq, corpus(spark, d).index).select("qid", "doc_id")
+    return S.match_terms(aq, corpus(spark, d, keys=False).index).select("qid", "doc_id")
 
 
 @register("bm25_topk", O.with_ctes(*_SEARCH_CTES, ("scored", O.bm25_scores("qterms")), body="""
 SELECT qid, doc_id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10"""))
 def q_bm25_topk(spark, d):
-    m = S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, ANY)
+    m = S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d, keys=False).index, ANY)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("doc_id"))
     return m.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= 10).select(
         "qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -485,9 +486,10 @@ JOIN tp b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 AND
 @register("phrase_common", _PHRASE_SQL)
 def q_phrase_common(spark, d):
     """The same phrases from an index with postings of pairs of common terms."""
-    from archivesearch.operators.index import build_index
+    from archivesearch.operators.index import add_pairs
     from archivesearch.session import shared_path
-    index = build_index(corpus(spark, d).docs, shared_path(spark, "pair-index"), common_share=0.02)
+    c = corpus(spark, d, keys=False)
+    index = add_pairs(c.docs, c.index, shared_path(spark, "pair-index"), common_share=0.02)
     quoted = _pairs(spark, d, False, lambda a, b: F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"')))
     return S.match_phrases(_analyzed(quoted), index)
 
@@ -496,7 +498,7 @@ def q_phrase_common(spark, d):
 SELECT DISTINCT w.qid, a.doc_id FROM w2 w JOIN tp a ON a.term = w.t1
 JOIN tp b ON b.doc_id = a.doc_id AND b.field = a.field AND b.pos = a.pos + 1 AND b.term = w.t2"""))
 def q_phrase_match(spark, d):
-    c = corpus(spark, d)
+    c = corpus(spark, d, keys=False)
     aq = _analyzed(_pairs(spark, d, False, lambda a, b: F.concat(F.lit('"'), a, F.lit(" "), b, F.lit('"'))))
     return S.candidates(aq, c.docs, c.versions, c.index).select("qid", "doc_id")
 
@@ -506,14 +508,14 @@ SELECT DISTINCT w.qid, p.doc_id FROM w2 w JOIN postings p ON p.term = w.t1
 WHERE NOT EXISTS (SELECT 1 FROM postings x WHERE x.doc_id = p.doc_id AND x.term = w.t2)"""))
 def q_exclude_terms(spark, d):
     aq = _analyzed(_pairs(spark, d, True, lambda a, b: F.concat(a, F.lit(" -"), b)))
-    return S.match_terms(aq, corpus(spark, d).index).select("qid", "doc_id")
+    return S.match_terms(aq, corpus(spark, d, keys=False).index).select("qid", "doc_id")
 
 
 @register("field_match", O.with_ctes(*_SEARCH_CTES, body="""
 SELECT DISTINCT t.qid, p.doc_id FROM qterms t JOIN postings p ON p.term = t.term AND p.field = 'title'"""))
 def q_field_match(spark, d):
     cfg = S.SearchConfig(operator="or", match_fields=("title",))
-    return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d).index, cfg).select("qid", "doc_id")
+    return S.match_terms(_analyzed(_workload(spark, d)), corpus(spark, d, keys=False).index, cfg).select("qid", "doc_id")
 
 
 _CODE = "ascii(anchor) * 256 + ascii(substr(anchor, 2, 1))"
@@ -554,7 +556,7 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, CAST(group_rank AS INTEGER) AS group_
 
 
 def _search(spark, d, cfg: S.SearchConfig = ANY, **params):
-    c = corpus(spark, d)
+    c = corpus(spark, d, keys=False)
     return S.page_search(_workload(spark, d, **params), c.docs, c.versions, c.index, cfg)
 
 

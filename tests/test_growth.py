@@ -1,10 +1,17 @@
 """What grows with the input: plans that hold, shuffle or store no more than they need, with equal rows."""
+import tempfile
 
 from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
+from archivesearch.operators import fields as FD
 from archivesearch.operators import links as L
+from archivesearch.operators import search as S
 from archivesearch.operators.docs import latest_per_key
+from archivesearch.operators.index import add_pairs, build_index
+from archivesearch.plans import corpus as CP
+
+REQUEST = "qid long, q string, dedup_field string, type array<string>"
 
 
 def plan(df):
@@ -46,3 +53,56 @@ def test_inlinks_are_summed_up_in_one_pass(spark):
     assert "Join" not in plan(out)
     want = L.inlink_counts(inlinks).join(L.anchor_text(inlinks).drop("anchor_count"), L.EDGE_KEY, "left").select(*L.EDGE_KEY, F.coalesce("anchor", F.lit("")), "inlinks")
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_versions_meet_field_filters_in_their_rows(spark):
+    captures = spark.createDataFrame(
+        [(f"d{i % 30}", f"col{i % 3}", f"20{10 + i % 5}0101000000", f"(pt,a{i},)", f"http://a{i % 4}.b.pt/{i}", f"col{i % 3}.warc.gz", ("pt", "en")[i % 2]) for i in range(60)],
+        "digest string, collection string, tstamp string, surt string, url string, warc_name string, lang string")
+    keys = FD.field_keys(captures)
+    rows = [(1, ["col1.warc.gz", "col2.warc.gz", None], None, None), (2, ["col0.warc.gz"], ["b.pt", "a1.b.pt"], None), (3, None, ["a1.b.pt", "pt", "b.pt"], ["PT"]),
+            (4, [None], ["pt"], None), (5, None, ["nowhere"], ["pt"]), (6, ["col0.warc.gz"], ["a2.b.pt"], ["pt", "en"])]
+    aq = spark.createDataFrame(rows, "qid long, arcname array<string>, domain array<string>, lang array<string>").withColumn("n_fields", FD.asked_fields(
+        spark.createDataFrame(rows, "qid long, arcname array<string>, domain array<string>, lang array<string>")))
+    out = FD.matching_versions(aq, keys)
+    assert "keys=[qid" not in plan(out) and "hashpartitioning(qid" not in plan(out)
+    got, want = sorted((r.qid, r.doc_id, r.version) for r in out.collect()), set()
+    for c in captures.withColumn("v", FD.version_key()).collect():
+        host = c.url.split("/")[2]
+        for qid, arc, domain, lang in rows:
+            if ((arc is None or c.warc_name in arc) and (domain is None or any(x and (host == x or host.endswith("." + x)) for x in domain))
+                    and (lang is None or c.lang in [x.lower() for x in lang])):
+                want.add((qid, c.digest, c.v))
+    assert got == sorted(want) and {q for q, *_ in got} == {1, 2, 3, 6}
+
+
+def test_searches_shuffle_documents_without_their_texts(spark, sf):
+    c = CP.corpus(spark, sf)
+    aq = S.analyze_queries(S.normalize_queries(spark.createDataFrame([(1, "the of", "title", None), (2, "and", "type", None)], REQUEST)))
+    shape = S.batch_shape(aq)
+    by_group = plan(S.search_groups(aq, c.docs, c.index, shape, S.SearchConfig(operator="or")))
+    assert "collect_list" in by_group and "d_titleString" not in by_group
+    limited = S.analyze_queries(S.normalize_queries(spark.createDataFrame([(1, "the of", "type", ["html"])], REQUEST)))
+    assert "d_type" in plan(S.search_groups(limited, c.docs, c.index, S.batch_shape(limited), S.SearchConfig(operator="or")))
+    dealt = [x for x in plan(S.match_terms(aq, c.index, S.SearchConfig(operator="or"))).splitlines() if "REPARTITION_BY_NUM" in x]
+    assert dealt and not any("term#" in x for x in dealt)
+
+
+def test_a_corpus_holds_keys_of_fields_when_they_are_asked_for(spark, sf, monkeypatch):
+    path = tempfile.mkdtemp(prefix="run-")
+    monkeypatch.setattr(CP, "ensure_checkpoint_dir", lambda spark: path)
+    assert CP.corpus(spark, sf, keys=False).keys is None
+    later = CP.corpus(spark, sf)
+    rows = FD.field_keys(CP.named_captures(spark, sf))
+    assert later.keys.exceptAll(rows).isEmpty() and rows.exceptAll(later.keys).isEmpty()
+    assert CP.corpus(spark, sf, keys=False).keys is not None
+
+
+def test_pairs_are_added_to_an_index(spark):
+    docs = spark.createDataFrame([("a", "x y x", "y x y x y"), ("b", "", "x y z x y"), ("c", None, "z"), ("b", "y x", "x x")], "id string, titleString string, content string")
+    path = tempfile.mkdtemp(prefix="run-")
+    whole = build_index(docs, f"{path}/whole", common_share=0.1)
+    added = add_pairs(docs, build_index(docs, f"{path}/plain"), f"{path}/pairs", 0.1)
+    assert sorted(map(str, whole.pairs.collect())) == sorted(map(str, added.pairs.collect())) and whole.common.exceptAll(added.common).isEmpty()
+    got = {(r.term, r.field, r.doc_id): r.positions for r in added.pairs.collect()}
+    assert got["y x", "content", "a"] == [0, 2] and got["x y", "title", "a"] == [0]
