@@ -560,6 +560,30 @@ def version_filtered(rows: DataFrame, versions: DataFrame, aq: DataFrame, allowe
     return rows.join(oldest_version(kept, ["qid", "doc_id"]), ["qid", "doc_id"])
 
 
+def distinct_requests(aq: DataFrame, off_value: int = -1) -> tuple[DataFrame, DataFrame | None]:
+    """Queries that ask for the same are searched once: the queries to search, and ``(asked, qid, copies)``, whose answer each query gets
+    how often (null if no two are equal). The hits of a batch then do not grow with the square of the queries that share a request.
+
+    A qid in several rows keeps them as they are, unless they are equal and not collapsed (rows of a group are ranked with
+    their copies)."""
+    names = [f.name for f in QUERY_SCHEMA.fields if f.name != "qid"] + FD.used(aq)
+    request = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
+    keyed = aq.filter("status = 'ok' and qid is not null").withColumn("request", request)
+    seen = keyed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("request").alias("k")).first()
+    if seen["n"] == seen["k"]:
+        return aq, None
+    plain = F.max((F.col("dedup_value") <= off_value) & F.expr(f"{HAS_TERMS} or {HAS_FILTER}"))
+    own = keyed.groupBy("qid").agg(F.min("request").alias("request"), F.count(F.lit(1)).alias("rows"), F.count_distinct("request").alias("k"), plain.alias("plain"))
+    own = stored(own.select("qid", "request", F.col("rows").cast("int").alias("copies"), F.expr("k = 1 and (rows = 1 or plain)").alias("shared")), "requests")
+    first = own.filter("shared").groupBy("request").agg(F.min("qid").alias("asked"))
+    turns = own.filter("shared").join(first, "request").select("asked", "qid", "copies")
+    turns = stored(turns.unionByName(own.filter("not shared").select(F.col("qid").alias("asked"), "qid", F.lit(1).alias("copies"))), "turns")
+    chosen = own.join(turns.filter("asked = qid").select("qid"), "qid", "left_semi").select("qid", "shared")
+    kept = aq.filter("status = 'ok'").join(chosen, "qid")
+    kept = kept.filter("shared").dropDuplicates(["qid"]).unionByName(kept.filter("not shared")).select(*aq.columns)
+    return stored(kept, "asked"), turns
+
+
 # Reply fields that ``fields`` of a query selects (P16); the keys of a row are always there.
 ROW_KEYS = ["qid", "rank", "group_rank", "doc_id", "score"]
 
@@ -608,8 +632,9 @@ def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index:
     collapse -> count -> page -> exact version filter -> oldest version -> snippet/links.
     With ``cfg.strict`` the exact version filter runs before the collapse.
     """
-    aq = stored(analyze_queries(normalize_queries(queries, cfg)), "queries")
-    shape = batch_shape(aq, cfg.off_value)
+    batch = stored(analyze_queries(normalize_queries(queries, cfg)), "queries")
+    shape = batch_shape(batch, cfg.off_value)
+    aq, turns = distinct_requests(batch, cfg.off_value)
     allowed = None
     if shape.by_fields:
         if keys is None:
@@ -635,4 +660,8 @@ def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index:
         page, counts = page.unionByName(more), counts.unionByName(more_counts)
     page = stored(page, "page")
     results = present_results(page, docs, versions, aq, cfg, cfg.with_snippet and shape.snippet, allowed)
-    return results, page_summary(counts, aq)
+    if turns is not None:
+        counts = counts.withColumnRenamed("qid", "asked").join(turns, "asked").select("qid", "estimated_results")
+        results = (results.withColumnRenamed("qid", "asked").join(turns, "asked")
+                   .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*results.columns))
+    return results, page_summary(counts, batch)

@@ -106,3 +106,32 @@ def test_pairs_are_added_to_an_index(spark):
     assert sorted(map(str, whole.pairs.collect())) == sorted(map(str, added.pairs.collect())) and whole.common.exceptAll(added.common).isEmpty()
     got = {(r.term, r.field, r.doc_id): r.positions for r in added.pairs.collect()}
     assert got["y x", "content", "a"] == [0, 2] and got["x y", "title", "a"] == [0]
+
+
+def test_equal_requests_are_searched_once(spark, sf):
+    c = CP.corpus(spark, sf)
+    titles = [r[0] for r in c.docs.groupBy("titleString").count().orderBy(F.desc("count"), "titleString").limit(2).select("titleString").collect()]
+    rows = [(i, None, titles[i % 2], -1, 3 + (i > 8)) for i in range(12)] + [(20, "the", None, 2, 3), (21, "the", None, 2, 3), (22, "of", None, 2, 3), (None, "the", None, 2, 3)]
+    rows += [(30, None, titles[0], -1, 3)] * 2 + [(31, None, titles[1], -1, 3), (31, "the", None, -1, 3)] + [(32, "the", None, 2, 3)] * 2 + [(40, "http://a.pt/", None, 2, 3)]
+    batch = spark.createDataFrame(rows, "qid long, q string, title_search string, dedup_value int, max_items int")
+    aq = S.analyze_queries(S.normalize_queries(batch))
+    asked, turns = S.distinct_requests(aq)
+    assert sorted((r.qid, r.asked, r.copies) for r in turns.collect()) == sorted(
+        [(i, i % 2 if i <= 8 else 9 + (i - 9) % 2, 1) for i in range(12)] + [(20, 20, 1), (21, 20, 1), (22, 22, 1), (30, 0, 2), (31, 31, 1), (32, 32, 1)])
+    assert sorted(r.qid for r in asked.collect()) == [0, 1, 9, 10, 20, 22, 31, 31, 32, 32]
+    assert S.distinct_requests(aq.filter("qid in (0, 1, 22)"))[1] is None
+
+    cfg = S.SearchConfig(operator="or", with_snippet=False)
+    res, summ = S.page_search(batch, c.docs, c.versions, c.index, cfg)
+    cols = ["rank", "group_rank", "doc_id", "score"]
+    got, counts = {}, {}
+    for r in res.collect():
+        got.setdefault(r.qid, []).append(tuple(r[x] for x in cols))
+    for r in summ.collect():
+        counts.setdefault(r.qid, []).append((r.estimated_results, r.number_results, r.status))
+    for qid in (0, 1, 9, 10, 20, 21, 22):  # as when each is alone in its batch
+        alone, total = S.page_search(batch.filter(F.col("qid") == qid), c.docs, c.versions, c.index, cfg)
+        assert sorted(got[qid]) == sorted(tuple(r[x] for x in cols) for r in alone.collect()) and got[qid]
+        assert counts[qid] == [(r.estimated_results, r.number_results, r.status) for r in total.collect()]
+    assert all(sorted(got[i]) == sorted(got[i % 2]) for i in range(9)) and sorted(got[30]) == sorted(got[0] * 2) and len(counts[30]) == 2
+    assert None not in got and counts[None][0][0] == 0 and counts[40][0][2] == "rejected_url"
