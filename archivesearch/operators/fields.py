@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
 from archivesearch.functions.text import tokens
-from archivesearch.session import stored
+from archivesearch.session import stored, write_table
 
 # Lengths of timestamp prefixes that a date can name: year, month, day, hour, minute, second.
 DATE_LENGTHS = (4, 6, 8, 10, 12, 14)
@@ -88,8 +88,7 @@ def _key_rows(captures: DataFrame) -> DataFrame:
 def write_field_keys(captures: DataFrame, path: str) -> None:
     """Stored in order of (field, key), a key that very many versions have over several files."""
     n = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (_key_rows(captures).repartitionByRange(n, "field", "key", "doc_id").distinct().sortWithinPartitions("field", "key")
-     .write.mode("overwrite").parquet(path))
+    write_table(_key_rows(captures).repartitionByRange(n, "field", "key", "doc_id").distinct().sortWithinPartitions("field", "key"), path)
 
 
 def used(requests: DataFrame) -> list[str]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from archivesearch.functions import text as T
 from archivesearch.functions._util import let
-from archivesearch.session import path_exists
+from archivesearch.session import PACKED, path_exists, write_table
 
 # Fields indexed by default and the document column holding each.
 DEFAULT_FIELDS = {"title": "titleString", "content": "content"}
@@ -95,14 +95,12 @@ def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None
     rows = ft.select("doc_id", "field", F.size("toks").alias("field_len"), F.explode_outer(_entries(F.col("toks"), F.col("at"))).alias("e"))
     postings = rows.select("e.term", "field", "doc_id", F.coalesce(F.size("e.positions"), F.lit(0)).alias("tf"),
                            F.coalesce("e.positions", F.array().cast("array<int>")).alias("positions"), "field_len")
-    postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+    write_table(postings.sortWithinPartitions("term", "doc_id"), f"{path}/postings", **PACKED)
     kept = spark.read.parquet(f"{path}/postings")
-    (kept.filter("term is not null").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))
-     .write.mode("overwrite").parquet(f"{path}/term_stats"))
+    write_table(kept.filter("term is not null").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")), f"{path}/term_stats", **PACKED)
     # Every token of a document's field lies in one of its postings.
     per_doc = kept.groupBy("doc_id", "field").agg(F.max("field_len").alias("field_len"))
-    (per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len"))
-     .write.mode("overwrite").parquet(f"{path}/field_stats"))
+    write_table(per_doc.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("field_len").alias("avg_len")), f"{path}/field_stats")
     if common_share is not None:
         _write_pairs(ft, Index.read(spark, path), path, common_share)
     return Index.read(spark, path)
@@ -120,7 +118,7 @@ def _write_pairs(ft: DataFrame, index: Index, path: str, share: float) -> None:
     """Postings of neighbouring common terms. The tokens of a document are shifted against themselves, so neighbours meet in its own row."""
     spark = ft.sparkSession
     stats = index.term_stats.join(F.broadcast(index.field_stats), "field")  # a row per field
-    stats.filter(F.col("df") > share * F.col("n_docs")).select("term", "field").write.mode("overwrite").parquet(f"{path}/common")
+    write_table(stats.filter(F.col("df") > share * F.col("n_docs")).select("term", "field"), f"{path}/common")
     common = spark.read.parquet(f"{path}/common")
     rest = F.size("toks") - 1
     both = ft.filter("size(toks) > 1").select("doc_id", "field", F.posexplode(F.arrays_zip(
@@ -132,4 +130,4 @@ def _write_pairs(ft: DataFrame, index: Index, path: str, share: float) -> None:
     near = both.groupBy("doc_id", "field").agg(F.collect_list(F.struct(F.concat_ws(" ", "a", "b").alias("term"), "pos")).alias("w"))
     pairs = near.select("field", "doc_id", F.explode(_entries(F.col("w.term"), F.col("w.pos"))).alias("e"))
     pairs = pairs.select("e.term", "field", "doc_id", "e.positions")
-    pairs.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/pairs")
+    write_table(pairs.sortWithinPartitions("term", "doc_id"), f"{path}/pairs", **PACKED)

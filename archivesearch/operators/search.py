@@ -32,7 +32,7 @@ from archivesearch.operators import fields as FD
 from archivesearch.operators import filters as FL
 from archivesearch.operators.docs import oldest_version
 from archivesearch.operators.index import Index
-from archivesearch.session import stored
+from archivesearch.session import PACKED, stored
 
 # Fixed values of the query model.
 DEFAULT_MAX_ITEMS = 50
@@ -173,13 +173,15 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
     if cfg.operator not in ("and", "or"):
         raise ValueError("operator must be 'and' or 'or'")
     terms = stored(_batch_terms(aq, index, cfg), "terms")
+    asked, numbered = _numbered(index, terms)
     if within is None:
-        asked, numbered = _numbered(index, terms)
-        hits = asked.repartition(_tasks(terms, index), "doc_id").join(numbered, "no")
+        hits = _spread(stored(_by_document(asked), "asked", **PACKED).repartition(_tasks(terms, index), "doc_id"), "doc_id").join(numbered, "no")
     else:
-        asked = _asked_postings(index.postings.select("term", "field", "doc_id", "tf", "field_len"), terms)
-        hits = asked.join(within.join(terms, "qid"), ["term", "field", "doc_id"])
-    out = _scored(hits, cfg, ["qid", "doc_id"])
+        wanted = within.join(stored(numbered.groupBy("qid").agg(F.collect_list("no").alias("nos")), "query-terms"), "qid")
+        pairs = _by_document(asked).join(wanted, "doc_id").withColumn("no", F.explode("nos")).withColumn("at", F.array_position("a_no", F.col("no")).cast("int"))
+        found = pairs.filter("at > 0").select("qid", "doc_id", "no", F.element_at("a_tf", F.col("at")).alias("tf"), F.element_at("a_field_len", F.col("at")).alias("field_len"))
+        hits = found.join(numbered, ["qid", "no"])
+    out = _scored(hits, cfg, ["qid", "doc_id"], _bits(numbered) if cfg.operator == "and" else 0)
     if cfg.operator == "and":
         needed = stored(aq.select("qid", F.size("terms").alias("n_required")), "needed")
         out = out.join(needed, "qid").filter(F.col("matched") == F.col("n_required"))
@@ -192,16 +194,33 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
 HITS_PER_TASK = 4_000_000
 
 
-def _asked_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
-    """The postings of a batch's terms, each once."""
-    return postings.join(terms.select("term", "field").distinct(), ["term", "field"], "left_semi")
-
-
 def _numbered(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The postings of a batch's terms, each once, and the batch's terms, both with a number (``no``) in place of term and field."""
+    """The postings of a batch's terms, each once, and the batch's terms, both with a number (``no``) in place of term and field. ``bit``
+    is the place of a plain term among those of its query, the same in all fields."""
     words = stored(terms.select("term", "field").distinct().withColumn("no", F.monotonically_increasing_id()), "words")
     postings = index.postings.select("term", "field", "doc_id", "tf", "field_len").join(words, ["term", "field"])
-    return postings.select("doc_id", "no", "tf", "field_len"), stored(terms.join(words, ["term", "field"]), "numbered")
+    own = Window.partitionBy("qid").orderBy("term")  # the terms of one query
+    plain = terms.filter("required").select("qid", "term").distinct().withColumn("bit", F.row_number().over(own) - 1)
+    numbered = terms.join(words, ["term", "field"]).join(plain, ["qid", "term"], "left")
+    kept = [c for c in terms.columns if c not in ("term", "field")]
+    return postings.select("doc_id", "no", "tf", "field_len"), stored(numbered.select(*kept, "no", "bit"), "numbered")
+
+
+def _by_document(asked: DataFrame) -> DataFrame:
+    """The asked postings of a document as one row, three lists in the same order. A document lies in one file of the index, so this happens before
+    anything is shuffled."""
+    return asked.groupBy("doc_id").agg(*[F.collect_list(c).alias(f"a_{c}") for c in ("no", "tf", "field_len")])
+
+
+def _spread(documents: DataFrame, *keep: str) -> DataFrame:
+    """The postings in rows of documents (``_by_document``), a row for each, with the columns ``keep``."""
+    a = F.arrays_zip(*[F.col(f"a_{c}").alias(c) for c in ("no", "tf", "field_len")])
+    return documents.withColumn("a", F.explode(a)).select(*keep, "a.*")
+
+
+def _bits(numbered: DataFrame) -> int:
+    """How many plain terms the longest query has."""
+    return (numbered.agg(F.max("bit")).first()[0] or 0) + 1
 
 
 def _tasks(terms: DataFrame, index: Index) -> int:
@@ -210,14 +229,27 @@ def _tasks(terms: DataFrame, index: Index) -> int:
     return max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits // HITS_PER_TASK))
 
 
-def _scored(hits: DataFrame, cfg: SearchConfig, by: list[str]) -> DataFrame:
+#: Plain terms of a query up to which those found are kept as bits of long integers; more are counted as distinct numbers.
+MOST_BITS = 512
+
+
+def _matched(bits: int) -> Column:
+    """How many different plain terms were found: a bit for each, so that a group has a few numbers and not a row for each term."""
+    if bits > MOST_BITS:
+        return F.count_distinct(F.when(F.col("required"), F.col("bit")))
+    one = F.expr("shiftleft(1L, bit % 64)")
+    held = [F.bit_count(F.coalesce(F.bit_or(F.when(F.col("required") & (F.floor(F.col("bit") / 64) == i), one)), F.lit(0))) for i in range(-(-bits // 64))]
+    return reduce(lambda a, b: a + b, held).cast("long")
+
+
+def _scored(hits: DataFrame, cfg: SearchConfig, by: list[str], bits: int = 0) -> DataFrame:
     """BM25 sum (``raw_score``) and, for conjunctions, number of plain terms (``matched``) of each group; excluded ones left out."""
     norm = F.col("tf") * (cfg.k1 + 1) / (
         F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("field_len") / F.col("avg_len")))
     aggs = [F.sum(F.when(F.col("scores"), F.col("weight") * norm)).alias("raw_score"),
             F.max("excluded").alias("excluded")]
     if cfg.operator == "and":
-        aggs.append(F.count_distinct(F.when(F.col("required"), F.col("term"))).alias("matched"))
+        aggs.append(_matched(bits).alias("matched"))
     return hits.groupBy(*by).agg(*aggs).filter(~F.col("excluded") & F.col("raw_score").isNotNull())
 
 
@@ -275,29 +307,36 @@ def _places(postings: DataFrame, pairs: DataFrame | None, links: DataFrame, inde
     """Where links stand, those of common words by their lists: a row for each place, or (not ``spread``) also one for each list."""
     words = links.select("link").distinct().select(F.col("link").alias("phrase"), F.posexplode(F.split("link", " ")).alias("place", "term"))
     if pairs is None:
-        return _links_met(postings, links, words)
+        return _links_met(postings, links, words, spread)
     looked = stored(phrase_terms(words, index, fields), "looked")
     listed = looked.filter("phrase = term").select(F.col("term").alias("link"))
     own = pairs.withColumnRenamed("term", "link").join(links.join(listed, "link", "left_semi"), "link")
     own = own.withColumn("pos", F.explode("positions") if spread else F.lit(None).cast("int"))
-    return (_links_met(postings, links, looked.filter("phrase <> term"))
+    return (_links_met(postings, links, looked.filter("phrase <> term"), spread)
             .unionByName(own.select("phrase", "n", "doc_id", "field", "place", "pos")))
 
 
-def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame) -> DataFrame:
-    """Where the links ``(phrase, n, place, link)`` stand that ``words (phrase, place, term)`` spell, by document and field."""
+def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame, spread: bool = True) -> DataFrame:
+    """Where the links ``(phrase, n, place, link)`` stand that ``words (phrase, place, term)`` spell, by document and field; not ``spread``: which
+    links stand there, without places.
+
+    Words and links are numbers on the way. The places of a document's field are two lists, made in its file of the index before they are shuffled.
+    """
     known = stored(words, "link-words")
     wanted = links.join(known.select(F.col("phrase").alias("link")).distinct(), "link", "left_semi")
-    rows = (postings.join(known.select("term").distinct(), "term", "left_semi").repartition("doc_id").groupBy("doc_id", "field")
-            .agg(F.collect_list(F.struct("term", "positions")).alias("e")))  # one field of one document
-    places = F.array_sort(F.flatten(F.transform("e", lambda e: F.transform(e["positions"], lambda p: F.struct(p.alias("pos"), e["term"].alias("term"))))))
-    rows = rows.select("doc_id", "field", places.alias("s"))
+    numbers = stored(known.select("term").distinct().orderBy("term").withColumn("no", F.monotonically_increasing_id()), "link-numbers")
+    for i, side in enumerate("ab"):
+        wanted = wanted.withColumn("term", F.split("link", " ")[i]).join(numbers.withColumnRenamed("no", side), "term").drop("term")
+    wanted = stored(wanted.select("phrase", "n", "place", "a", "b"), "wanted-links")
+    rows = (postings.join(numbers, "term").select("doc_id", "field", "no", F.explode("positions").alias("pos")).groupBy("doc_id", "field")
+            .agg(F.collect_list("pos").alias("pos"), F.collect_list("no").alias("no")))  # one field of one document
+    rows = rows.select("doc_id", "field", F.array_sort(F.arrays_zip("pos", "no")).alias("s"))
     rest = F.size("s") - 1
-    near = F.filter(F.arrays_zip(F.slice("s", F.lit(1), rest).alias("a"), F.slice("s", F.lit(2), rest).alias("b")),
-                    lambda z: z["b"]["pos"] == z["a"]["pos"] + 1)
-    near = rows.filter("size(s) > 1").select("doc_id", "field", F.explode(F.transform(near, lambda z: F.struct(
-        z["a"]["pos"].alias("pos"), F.concat_ws(" ", z["a"]["term"], z["b"]["term"]).alias("link")))).alias("l"))
-    return (near.select("doc_id", "field", "l.pos", "l.link").join(wanted, "link").select("phrase", "n", "doc_id", "field", "place", "pos"))
+    near = F.filter(F.arrays_zip(F.slice("s", F.lit(1), rest).alias("x"), F.slice("s", F.lit(2), rest).alias("y")),
+                    lambda z: z["y"]["pos"] == z["x"]["pos"] + 1)
+    found = F.transform(near, lambda z: F.struct((z["x"]["pos"] if spread else F.lit(None).cast("int")).alias("pos"), z["x"]["no"].alias("a"), z["y"]["no"].alias("b")))
+    near = rows.filter("size(s) > 1").select("doc_id", "field", F.explode(found if spread else F.array_distinct(found)).alias("l"))
+    return near.select("doc_id", "field", "l.*").join(wanted, ["a", "b"]).select("phrase", "n", "doc_id", "field", "place", "pos")
 
 
 # ------------------------------------------------------------------ the batch
@@ -344,7 +383,7 @@ def candidates(aq: DataFrame, docs: DataFrame, versions: DataFrame, index: Index
         parts.append(match_terms(aq.filter("size(terms) > 0 and size(phrases) = 0"), index, cfg))
     if shape.phrases:
         phrased = aq.filter("size(phrases) > 0")
-        parts.append(match_terms(phrased, index, cfg, within=match_phrases(phrased, index, cfg.match_fields)))
+        parts.append(match_terms(phrased, index, cfg, within=stored(match_phrases(phrased, index, cfg.match_fields), "phrased", **PACKED)))
     if shape.filter_only:
         alone = aq.filter(f"not {HAS_TERMS} and {HAS_FILTER}")
         found = FL.filter_only_hits(alone.filter("n_fields = 0"), docs, versions)
@@ -417,12 +456,13 @@ def group_key(hits: DataFrame, off_value: int = -1) -> Column:
 
 
 def collapse_hits(keyed: DataFrame, max_keep: int, by: tuple[str, ...] = ("qid", "group_key")) -> DataFrame:
-    """The best hits of each ``(qid, group_key)`` group with their ``group_rank`` and the group's head: the
-    head and ``N - 1`` more (0 and 1 keep the head). Hits without a key are dropped.
+    """The best hits of each ``(qid, group_key)`` group with their ``group_rank`` and the group's head (``head_doc`` is null for
+    itself): the head and ``N - 1`` more (0 and 1 keep the head). Hits without a key are dropped.
     ``max_keep``, the batch's largest N, is a constant limit that Spark applies before the shuffle."""
     w = Window.partitionBy(*by).orderBy(F.desc("score"), F.asc("doc_id"))
     ranked = keyed.filter(F.col("group_key").isNotNull()).withColumns({
         "group_rank": F.row_number().over(w), "head_score": F.first("score").over(w), "head_doc": F.first("doc_id").over(w)})
+    ranked = ranked.withColumn("head_doc", F.when(F.col("group_rank") > 1, F.col("head_doc")))
     return (ranked.filter(F.col("group_rank") <= F.lit(max(1, max_keep)))
             .filter(F.col("group_rank") <= F.greatest("q_dedup_value", F.lit(1))))
 
@@ -432,7 +472,7 @@ COLLAPSED = ["qid", "doc_id", "score", "group_rank", "head_score", "head_doc", "
 
 def alone(keyed: DataFrame) -> DataFrame:
     """Uncollapsed hits, each its own group."""
-    return keyed.withColumns({"group_rank": F.lit(1), "head_score": F.col("score"), "head_doc": F.col("doc_id")})
+    return keyed.withColumns({"group_rank": F.lit(1), "head_score": F.col("score"), "head_doc": F.lit(None).cast("string")})
 
 
 #: Documents of one group from which on they are dealt out further, and over how many parts.
@@ -467,10 +507,8 @@ def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg:
         part = F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(GROUP_PARTS)) + 1).otherwise(0)
         units = units.join(large, ["by", "group_key"], "left").withColumn("part", part).drop("large")
     asked, numbered = _numbered(index, terms)
-    # A document lies in one file of the index, so its postings become one row before anything is shuffled.
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("no", "tf", "field_len")).alias("asked"))
-    dealt = asked.join(units, "doc_id").repartition(_tasks(terms, index), *place)
-    hits = dealt.withColumn("a", F.explode("asked")).select(*units.columns, "a.*").join(numbered, ["no", "by"])
+    dealt = _by_document(asked).join(units, "doc_id").repartition(_tasks(terms, index), *place)
+    hits = _spread(dealt, *units.columns).join(numbered, ["no", "by"])
     limits = params.drop("by")
     if shape.limited:
         hits = hits.join(limits.distinct(), "qid").filter(
@@ -522,7 +560,7 @@ def match_all_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, c
 def page_hits(collapsed: DataFrame, depth: int) -> DataFrame:
     """T2 + W4: the groups whose heads rank ``offset+1 .. offset+max_items`` in their query by (score desc, doc_id), members
     with the head's rank. ``depth``, the batch's deepest page, is a constant limit that Spark applies before the shuffle."""
-    w = Window.partitionBy("qid").orderBy(F.desc("head_score"), F.asc("head_doc"))
+    w = Window.partitionBy("qid").orderBy(F.desc("head_score"), F.asc(F.coalesce("head_doc", "doc_id")))
     return (collapsed.withColumn("rank", F.dense_rank().over(w)).filter(F.col("rank") <= F.lit(depth))
             .filter("rank > q_offset and rank <= q_offset + q_max_items"))
 

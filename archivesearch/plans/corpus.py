@@ -12,7 +12,7 @@ from archivesearch.functions import urls as U
 from archivesearch.operators.docs import document_versions, version_docs
 from archivesearch.operators.fields import write_field_keys
 from archivesearch.operators.index import Index, build_index
-from archivesearch.session import ensure_checkpoint_dir, path_exists, stored
+from archivesearch.session import PACKED, ensure_checkpoint_dir, path_exists, stored
 from archivesearch.sources import tables as TB
 
 
@@ -40,7 +40,7 @@ def write_corpus(spark: SparkSession, sf_dir: str, path: str, keys: bool = True)
     stored(corpus_versions(spark, sf_dir), "versions", f"{path}/versions")
     if keys:
         write_field_keys(named_captures(spark, sf_dir), f"{path}/keys")
-    docs = stored(corpus_docs(spark, sf_dir), "docs", f"{path}/docs")
+    docs = stored(corpus_docs(spark, sf_dir), "docs", f"{path}/docs", **PACKED)
     build_index(docs, f"{path}/index")
 
 

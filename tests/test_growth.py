@@ -135,3 +135,43 @@ def test_equal_requests_are_searched_once(spark, sf):
         assert counts[qid] == [(r.estimated_results, r.number_results, r.status) for r in total.collect()]
     assert all(sorted(got[i]) == sorted(got[i % 2]) for i in range(9)) and sorted(got[30]) == sorted(got[0] * 2) and len(counts[30]) == 2
     assert None not in got and counts[None][0][0] == 0 and counts[40][0][2] == "rejected_url"
+
+
+def test_conjunctions_of_many_terms_count_each_once(spark):
+    words = [f"w{i}" for i in range(600)]
+    docs = spark.createDataFrame([("all", "w0 w1 w599", " ".join(words)), ("title", "w0 w1", "w0"), ("most", "w599", " ".join(words[:599])), ("less", "w0", " ".join(words[:70]))],
+                                 "id string, titleString string, content string")
+    index = build_index(docs, f"{tempfile.mkdtemp(prefix='run-')}/index")
+    batch = spark.createDataFrame([(1, "w0 w1"), (2, " ".join(words[:70])), (3, " ".join(words[:600])), (4, "w0 w0 w599"), (5, "w2 -w599")], "qid long, q string")
+    for some in ("qid <> 3", "qid > 0"):  # bits, and more terms than bits are kept for
+        aq = S.analyze_queries(S.normalize_queries(batch.filter(some)))
+        got = sorted((r.qid, r.doc_id) for r in S.match_terms(aq, index).select("qid", "doc_id").collect())
+        want = [(1, "all"), (1, "less"), (1, "most"), (1, "title"), (2, "all"), (2, "less"), (2, "most"), (3, "all"), (3, "most"), (4, "all"), (4, "most"), (5, "less")]
+        assert got == [w for w in want if some == "qid > 0" or w[0] != 3]
+        assert ("Expand" in plan(S.match_terms(aq, index))) is False
+
+
+def test_postings_are_dealt_out_in_lists_of_documents(spark, sf):
+    c = CP.corpus(spark, sf)
+    aq = S.analyze_queries(S.normalize_queries(spark.createDataFrame([(1, "the of", None, None), (2, '"of the"', None, None)], REQUEST)))
+    for operator in ("and", "or"):
+        p = plan(S.match_terms(aq, c.index, S.SearchConfig(operator=operator)))
+        assert "a_no#" in p and "count(distinct" not in p
+    by_group = plan(S.search_groups(aq.filter("size(terms) > 0"), c.docs, c.index, S.batch_shape(aq), S.SearchConfig(operator="or")))
+    assert "partial_collect_list(no" in by_group and "partial_collect_list(struct" not in by_group
+    phrases = plan(S.match_phrases(aq.filter("size(phrases) > 0"), c.index))
+    assert "partial_collect_list(pos" in phrases and "REPARTITION_BY_COL" not in phrases
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    from archivesearch.session import CLEANUP, PACKED, stored
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum(f.getName().startswith("shuffle_") for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+
+    before = shuffled()
+    rows = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t", **PACKED)
+    assert shuffled() <= before and rows.count() == 7
+    assert spark.conf.get(CLEANUP, None) in (None, "false")
+    assert any(f.endswith(".zstd.parquet") for f in rows.inputFiles())
