@@ -175,3 +175,18 @@ def test_stored_tables_leave_no_shuffle_files(spark):
     assert shuffled() <= before and rows.count() == 7
     assert spark.conf.get(CLEANUP, None) in (None, "false")
     assert any(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+
+
+def test_only_texts_of_the_page_are_shuffled(spark, sf):
+    """The texts meet the keys of the stored page before any exchange."""
+    c = CP.corpus(spark, sf)
+    queries = spark.createDataFrame([(1, "the of", "title", None)], REQUEST).withColumn("max_items", F.lit(2))
+    for strategy in ("first", "best"):
+        res, _ = S.page_search(queries, c.docs, c.versions, c.index, S.SearchConfig(operator="or", snippet_strategy=strategy))
+        lines, reads = plan(res.select("qid", "doc_id", "snippet")).splitlines(), 0
+        for i, line in enumerate(lines):
+            if "FileScan" in line and "content#" in line:
+                above = next(x for x in reversed(lines[:i]) if "Join" in x or "Exchange" in x)
+                reads += 1
+                assert "LeftSemi" in above
+        assert reads and all(r.snippet for r in res.collect())
