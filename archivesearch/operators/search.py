@@ -178,7 +178,9 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
         hits = _spread(stored(_by_document(asked), "asked", **PACKED).repartition(_tasks(terms, index), "doc_id"), "doc_id").join(numbered, "no")
     else:
         wanted = within.join(stored(numbered.groupBy("qid").agg(F.collect_list("no").alias("nos")), "query-terms"), "qid")
-        pairs = _by_document(asked).join(wanted, "doc_id").withColumn("no", F.explode("nos")).withColumn("at", F.array_position("a_no", F.col("no")).cast("int"))
+        wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("qid", "nos")).alias("w"))  # queries that have a phrase in one document
+        pairs = _by_document(asked).join(wanted, "doc_id").withColumn("w", F.explode("w")).withColumns({"qid": F.col("w.qid"), "no": F.explode("w.nos")})
+        pairs = pairs.withColumn("at", F.array_position("a_no", F.col("no")).cast("int"))
         found = pairs.filter("at > 0").select("qid", "doc_id", "no", F.element_at("a_tf", F.col("at")).alias("tf"), F.element_at("a_field_len", F.col("at")).alias("field_len"))
         hits = found.join(numbered, ["qid", "no"])
     out = _scored(hits, cfg, ["qid", "doc_id"], _bits(numbered) if cfg.operator == "and" else 0)
@@ -277,7 +279,7 @@ def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None =
     document are found in its own row, from the places of the batch's words; a link of common words is read
     from its list instead. A phrase begins where all its links lie at their places.
     """
-    asked = aq.select("qid", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.array_join(p, " ")))).alias("phrase"))
+    asked = stored(aq.select("qid", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.array_join(p, " ")))).alias("phrase")), "asked-phrases")
     phrases = asked.select("phrase").distinct().withColumn("words", F.split("phrase", " "))
     rest = F.size("words") - 1
     links = stored(phrases.filter("size(words) > 1").select("phrase", rest.alias("n"), F.posexplode(F.transform(
@@ -297,9 +299,12 @@ def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None =
         found.append(begun.filter("found = n").select("phrase", "doc_id"))
     if not found:
         return postings.select(F.lit(0).cast(aq.schema["qid"].dataType).alias("qid"), "doc_id").limit(0)
-    found = reduce(DataFrame.unionByName, found)
+    whole = len(found) == 1 and pairs is None
+    found = reduce(DataFrame.unionByName, found).distinct()
+    if not whole:  # parts that do not lie by document: their shuffled rows go before the next ones are
+        found = stored(found, "found", **PACKED)
     needed = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed"))
-    return (found.distinct().join(asked, "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return (found.join(asked, "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
             .join(needed, "qid").filter("n = needed").select("qid", "doc_id"))
 
 
@@ -307,36 +312,38 @@ def _places(postings: DataFrame, pairs: DataFrame | None, links: DataFrame, inde
     """Where links stand, those of common words by their lists: a row for each place, or (not ``spread``) also one for each list."""
     words = links.select("link").distinct().select(F.col("link").alias("phrase"), F.posexplode(F.split("link", " ")).alias("place", "term"))
     if pairs is None:
-        return _links_met(postings, links, words, spread)
+        return _links_met(postings, links, words, index, spread)
     looked = stored(phrase_terms(words, index, fields), "looked")
     listed = looked.filter("phrase = term").select(F.col("term").alias("link"))
     own = pairs.withColumnRenamed("term", "link").join(links.join(listed, "link", "left_semi"), "link")
     own = own.withColumn("pos", F.explode("positions") if spread else F.lit(None).cast("int"))
-    return (_links_met(postings, links, looked.filter("phrase <> term"), spread)
+    return (_links_met(postings, links, looked.filter("phrase <> term"), index, spread)
             .unionByName(own.select("phrase", "n", "doc_id", "field", "place", "pos")))
 
 
-def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame, spread: bool = True) -> DataFrame:
+def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame, index: Index, spread: bool = True) -> DataFrame:
     """Where the links ``(phrase, n, place, link)`` stand that ``words (phrase, place, term)`` spell, by document and field; not ``spread``: which
     links stand there, without places.
 
-    Words and links are numbers on the way. The places of a document's field are two lists, made in its file of the index before they are shuffled.
+    Words, fields and links are numbers on the way. The places of a document are lists, made in its file of the index before they are shuffled;
+    what is found stays where the document is.
     """
+    fields = F.array(*[F.lit(r["field"]) for r in index.field_stats.select("field").orderBy("field").collect()]).cast("array<string>")  # a row per field
     known = stored(words, "link-words")
     wanted = links.join(known.select(F.col("phrase").alias("link")).distinct(), "link", "left_semi")
     numbers = stored(known.select("term").distinct().orderBy("term").withColumn("no", F.monotonically_increasing_id()), "link-numbers")
     for i, side in enumerate("ab"):
         wanted = wanted.withColumn("term", F.split("link", " ")[i]).join(numbers.withColumnRenamed("no", side), "term").drop("term")
     wanted = stored(wanted.select("phrase", "n", "place", "a", "b"), "wanted-links")
-    rows = (postings.join(numbers, "term").select("doc_id", "field", "no", F.explode("positions").alias("pos")).groupBy("doc_id", "field")
-            .agg(F.collect_list("pos").alias("pos"), F.collect_list("no").alias("no")))  # one field of one document
-    rows = rows.select("doc_id", "field", F.array_sort(F.arrays_zip("pos", "no")).alias("s"))
+    rows = (postings.join(numbers, "term").select("doc_id", F.array_position(fields, F.col("field")).cast("int").alias("f"), "no", F.explode("positions").alias("pos"))
+            .groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("f", "pos", "no")]))  # the asked words of one document
+    rows = rows.select("doc_id", F.array_sort(F.arrays_zip("f", "pos", "no")).alias("s"))
     rest = F.size("s") - 1
     near = F.filter(F.arrays_zip(F.slice("s", F.lit(1), rest).alias("x"), F.slice("s", F.lit(2), rest).alias("y")),
-                    lambda z: z["y"]["pos"] == z["x"]["pos"] + 1)
-    found = F.transform(near, lambda z: F.struct((z["x"]["pos"] if spread else F.lit(None).cast("int")).alias("pos"), z["x"]["no"].alias("a"), z["y"]["no"].alias("b")))
-    near = rows.filter("size(s) > 1").select("doc_id", "field", F.explode(found if spread else F.array_distinct(found)).alias("l"))
-    return near.select("doc_id", "field", "l.*").join(wanted, ["a", "b"]).select("phrase", "n", "doc_id", "field", "place", "pos")
+                    lambda z: (z["y"]["f"] == z["x"]["f"]) & (z["y"]["pos"] == z["x"]["pos"] + 1))
+    found = F.transform(near, lambda z: F.struct(z["x"]["f"].alias("f"), (z["x"]["pos"] if spread else F.lit(None).cast("int")).alias("pos"), z["x"]["no"].alias("a"), z["y"]["no"].alias("b")))
+    near = rows.filter("size(s) > 1").select("doc_id", F.explode(found if spread else F.array_distinct(found)).alias("l")).select("doc_id", "l.*")
+    return near.join(wanted, ["a", "b"]).select("phrase", "n", "doc_id", F.element_at(fields, F.col("f")).alias("field"), "place", "pos")
 
 
 # ------------------------------------------------------------------ the batch

@@ -161,6 +161,19 @@ def test_postings_are_dealt_out_in_lists_of_documents(spark, sf):
     assert "partial_collect_list(no" in by_group and "partial_collect_list(struct" not in by_group
     phrases = plan(S.match_phrases(aq.filter("size(phrases) > 0"), c.index))
     assert "partial_collect_list(pos" in phrases and "REPARTITION_BY_COL" not in phrases
+    assert not [x for x in phrases.splitlines() if "hashpartitioning(" in x and "doc_id" in x and "hashpartitioning(doc_id" not in x]  # what is found stays with its document
+
+
+def test_phrases_do_not_reach_from_field_to_field(spark):
+    docs = spark.createDataFrame([("a", "x y", "z x y z"), ("b", "z", "x"), ("c", None, "y z"), ("d", "x y z", None)], "id string, titleString string, content string")
+    index = build_index(docs, f"{tempfile.mkdtemp(prefix='run-')}/index")
+    batch = spark.createDataFrame([(1, '"x y"'), (2, '"y z"'), (3, '"x y z"'), (4, '"z x"'), (5, '"x y" "y z"'), (6, '"y"'), (7, '"x nowhere"')], "qid long, q string")
+    aq = S.analyze_queries(S.normalize_queries(batch))
+    want = [(1, "a"), (1, "d"), (2, "a"), (2, "c"), (2, "d"), (3, "a"), (3, "d"), (4, "a"), (5, "a"), (5, "d"), (6, "a"), (6, "c"), (6, "d")]
+    assert sorted(map(tuple, S.match_phrases(aq, index).collect())) == want
+    assert sorted(map(tuple, S.match_phrases(aq, index, ("title",)).collect())) == [(1, "a"), (1, "d"), (2, "d"), (3, "d"), (5, "d"), (6, "a"), (6, "d")]
+    scored = S.match_terms(aq, index, within=S.match_phrases(aq, index))
+    assert sorted((r.qid, r.doc_id) for r in scored.collect()) == want and all(r.score > 0 for r in scored.collect())
 
 
 def test_stored_tables_leave_no_shuffle_files(spark):
