@@ -205,7 +205,7 @@ def _numbered(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = terms.filter("required").select("qid", "term").distinct().withColumn("bit", F.row_number().over(own) - 1)
     numbered = terms.join(words, ["term", "field"]).join(plain, ["qid", "term"], "left")
     kept = [c for c in terms.columns if c not in ("term", "field")]
-    return postings.select("doc_id", "no", "tf", "field_len"), stored(numbered.select(*kept, "no", "bit"), "numbered")
+    return postings.select("doc_id", "no", "tf", "field_len"), stored(numbered.select(*kept, "no", "bit").sort("no", "qid"), "numbered", **PACKED)
 
 
 def _by_document(asked: DataFrame) -> DataFrame:
