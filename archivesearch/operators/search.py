@@ -32,7 +32,7 @@ from archivesearch.operators import fields as FD
 from archivesearch.operators import filters as FL
 from archivesearch.operators.docs import oldest_version
 from archivesearch.operators.index import Index
-from archivesearch.session import PACKED, stored
+from archivesearch.session import PACKED, small, stored
 
 # Fixed values of the query model.
 DEFAULT_MAX_ITEMS = 50
@@ -175,32 +175,33 @@ def match_terms(aq: DataFrame, index: Index, cfg: SearchConfig = SearchConfig(),
     terms = stored(_batch_terms(aq, index, cfg), "terms")
     asked, numbered = _numbered(index, terms)
     if within is None:
-        hits = _spread(stored(_by_document(asked), "asked", **PACKED).repartition(_tasks(terms, index), "doc_id"), "doc_id").join(numbered, "no")
+        hits = _spread(stored(_by_document(asked), "asked", **PACKED).repartition(_tasks(terms, index), "doc_id"), "doc_id").join(small(numbered), "no")
     else:
-        wanted = within.join(stored(numbered.groupBy("qid").agg(F.collect_list("no").alias("nos")), "query-terms"), "qid")
+        wanted = within.join(small(stored(numbered.groupBy("qid").agg(F.collect_list("no").alias("nos")), "query-terms")), "qid")
         wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("qid", "nos")).alias("w"))  # queries that have a phrase in one document
         pairs = _by_document(asked).join(wanted, "doc_id").withColumn("w", F.explode("w")).withColumns({"qid": F.col("w.qid"), "no": F.explode("w.nos")})
         pairs = pairs.withColumn("at", F.array_position("a_no", F.col("no")).cast("int"))
         found = pairs.filter("at > 0").select("qid", "doc_id", "no", F.element_at("a_tf", F.col("at")).alias("tf"), F.element_at("a_field_len", F.col("at")).alias("field_len"))
-        hits = found.join(numbered, ["qid", "no"])
+        hits = found.join(small(numbered), ["qid", "no"])
     out = _scored(hits, cfg, ["qid", "doc_id"], _bits(numbered) if cfg.operator == "and" else 0)
     if cfg.operator == "and":
         needed = stored(aq.select("qid", F.size("terms").alias("n_required")), "needed")
-        out = out.join(needed, "qid").filter(F.col("matched") == F.col("n_required"))
+        out = out.join(small(needed), "qid").filter(F.col("matched") == F.col("n_required"))
         if within is None:
             out = out.filter("n_required > 0")
     return out.select("qid", "doc_id", F.round("raw_score", cfg.round_digits).alias("score"))
 
 
-#: Pairs of a query term and a posting that one task meets.
-HITS_PER_TASK = 4_000_000
+#: Pairs of a query term and a posting that one task meets: their groups, held twice while they are summed up, then fit in its memory
+#: (110 bytes each). Where groups are ranked too, a group has more pairs, and each task sends the best of every query.
+HITS_PER_TASK, RANKED_PER_TASK = 1_000_000, 2_000_000
 
 
 def _numbered(index: Index, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The postings of a batch's terms, each once, and the batch's terms, both with a number (``no``) in place of term and field. ``bit``
-    is the place of a plain term among those of its query, the same in all fields."""
+    is the place of a plain term among those of its query, the same in all fields. Both meet postings as broadcasts while the batch is small (``small``)."""
     words = stored(terms.select("term", "field").distinct().withColumn("no", F.monotonically_increasing_id()), "words")
-    postings = index.postings.select("term", "field", "doc_id", "tf", "field_len").join(words, ["term", "field"])
+    postings = index.postings.select("term", "field", "doc_id", "tf", "field_len").join(small(words), ["term", "field"])
     own = Window.partitionBy("qid").orderBy("term")  # the terms of one query
     plain = terms.filter("required").select("qid", "term").distinct().withColumn("bit", F.row_number().over(own) - 1)
     numbered = terms.join(words, ["term", "field"]).join(plain, ["qid", "term"], "left")
@@ -225,10 +226,10 @@ def _bits(numbered: DataFrame) -> int:
     return (numbered.agg(F.max("bit")).first()[0] or 0) + 1
 
 
-def _tasks(terms: DataFrame, index: Index) -> int:
+def _tasks(terms: DataFrame, index: Index, most: int = HITS_PER_TASK) -> int:
     """In how many parts documents are searched: by the number of hits, from the statistics."""
     hits = terms.join(index.term_stats, ["term", "field"]).agg(F.sum("df")).first()[0] or 0
-    return max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits // HITS_PER_TASK))
+    return max(int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-hits // most))
 
 
 #: Plain terms of a query up to which those found are kept as bits of long integers; more are counted as distinct numbers.
@@ -289,7 +290,7 @@ def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None =
     if fields:
         postings = postings.filter(F.col("field").isin(*fields))
         pairs = pairs.filter(F.col("field").isin(*fields)) if pairs is not None else None
-    found = [postings.join(single, "term").select("phrase", "doc_id")] if not single.isEmpty() else []
+    found = [postings.join(small(single), "term").select("phrase", "doc_id")] if not single.isEmpty() else []
     sizes = links.agg(F.min("n").alias("a"), F.max("n").alias("b")).first()
     if sizes["a"] == 1:  # two words: any place of the link
         found.append(_places(postings, pairs, links.filter("n = 1"), index, fields, False).select("phrase", "doc_id"))
@@ -303,9 +304,9 @@ def match_phrases(aq: DataFrame, index: Index, fields: tuple[str, ...] | None =
     found = reduce(DataFrame.unionByName, found).distinct()
     if not whole:  # parts that do not lie by document: their shuffled rows go before the next ones are
         found = stored(found, "found", **PACKED)
-    needed = asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed"))
-    return (found.join(asked, "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-            .join(needed, "qid").filter("n = needed").select("qid", "doc_id"))
+    needed = stored(asked.groupBy("qid").agg(F.count(F.lit(1)).alias("needed")), "needed-phrases")
+    return (found.join(small(asked), "phrase").groupBy("qid", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+            .join(small(needed), "qid").filter("n = needed").select("qid", "doc_id"))
 
 
 def _places(postings: DataFrame, pairs: DataFrame | None, links: DataFrame, index: Index, fields: tuple[str, ...] | None, spread: bool) -> DataFrame:
@@ -315,7 +316,7 @@ def _places(postings: DataFrame, pairs: DataFrame | None, links: DataFrame, inde
         return _links_met(postings, links, words, index, spread)
     looked = stored(phrase_terms(words, index, fields), "looked")
     listed = looked.filter("phrase = term").select(F.col("term").alias("link"))
-    own = pairs.withColumnRenamed("term", "link").join(links.join(listed, "link", "left_semi"), "link")
+    own = pairs.withColumnRenamed("term", "link").join(small(stored(links.join(listed, "link", "left_semi"), "listed")), "link")
     own = own.withColumn("pos", F.explode("positions") if spread else F.lit(None).cast("int"))
     return (_links_met(postings, links, looked.filter("phrase <> term"), index, spread)
             .unionByName(own.select("phrase", "n", "doc_id", "field", "place", "pos")))
@@ -335,7 +336,7 @@ def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame, index: I
     for i, side in enumerate("ab"):
         wanted = wanted.withColumn("term", F.split("link", " ")[i]).join(numbers.withColumnRenamed("no", side), "term").drop("term")
     wanted = stored(wanted.select("phrase", "n", "place", "a", "b"), "wanted-links")
-    rows = (postings.join(numbers, "term").select("doc_id", F.array_position(fields, F.col("field")).cast("int").alias("f"), "no", F.explode("positions").alias("pos"))
+    rows = (postings.join(small(numbers), "term").select("doc_id", F.array_position(fields, F.col("field")).cast("int").alias("f"), "no", F.explode("positions").alias("pos"))
             .groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("f", "pos", "no")]))  # the asked words of one document
     rows = rows.select("doc_id", F.array_sort(F.arrays_zip("f", "pos", "no")).alias("s"))
     rest = F.size("s") - 1
@@ -343,7 +344,7 @@ def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame, index: I
                     lambda z: (z["y"]["f"] == z["x"]["f"]) & (z["y"]["pos"] == z["x"]["pos"] + 1))
     found = F.transform(near, lambda z: F.struct(z["x"]["f"].alias("f"), (z["x"]["pos"] if spread else F.lit(None).cast("int")).alias("pos"), z["x"]["no"].alias("a"), z["y"]["no"].alias("b")))
     near = rows.filter("size(s) > 1").select("doc_id", F.explode(found if spread else F.array_distinct(found)).alias("l")).select("doc_id", "l.*")
-    return near.join(wanted, ["a", "b"]).select("phrase", "n", "doc_id", F.element_at(fields, F.col("f")).alias("field"), "place", "pos")
+    return near.join(small(wanted), ["a", "b"]).select("phrase", "n", "doc_id", F.element_at(fields, F.col("f")).alias("field"), "place", "pos")
 
 
 # ------------------------------------------------------------------ the batch
@@ -426,7 +427,7 @@ def apply_filters(hits: DataFrame, docs: DataFrame, versions: DataFrame, aq: Dat
     params = aq.select("qid", *[F.col(c).alias("q_" + c) for c in PARAMS],
                        F.col("prefixes").isNotNull().alias("q_by_site"),
                        F.col("collection").isNotNull().alias("q_by_collection"), (F.col("n_fields") > 0).alias("q_by_fields"))
-    j = hits.join(d, "doc_id").join(params, "qid")
+    j = hits.join(d, "doc_id").join(small(params), "qid")
     if allowed is not None:
         found = allowed.select("qid", "doc_id").distinct().withColumn("in_fields", F.lit(True))
         j = j.join(found, ["qid", "doc_id"], "left").filter("not q_by_fields or in_fields").drop("in_fields")
@@ -462,6 +463,11 @@ def group_key(hits: DataFrame, off_value: int = -1) -> Column:
     return key
 
 
+def short_key(key: Column) -> Column:
+    """A key as it is or, where it is longer, by its digest: hits carry it, and a title may be a whole text."""
+    return F.when(F.octet_length(key) > 45, F.concat(F.lit("\u0001"), F.base64(F.unhex(F.sha2(key, 256))))).otherwise(key)
+
+
 def collapse_hits(keyed: DataFrame, max_keep: int, by: tuple[str, ...] = ("qid", "group_key")) -> DataFrame:
     """The best hits of each ``(qid, group_key)`` group with their ``group_rank`` and the group's head (``head_doc`` is null for
     itself): the head and ``N - 1`` more (0 and 1 keep the head). Hits without a key are dropped.
@@ -501,7 +507,7 @@ def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg:
     if not kinds:
         return docs.sparkSession.createDataFrame([], "qid long, doc_id string, score double, group_rank int, head_score double, head_doc string, q_offset int, q_max_items int")
     terms = stored(_batch_terms(aq, index, cfg).join(params.select("qid", "by").distinct(), "qid"), "terms")
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("by"), (F.col(k).cast("string") if k else own).alias("group_key")) for k in kinds])).alias("k")
+    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("by"), (short_key(F.col(k).cast("string")) if k else own).alias("group_key")) for k in kinds])).alias("k")
     read = _FILTERED if shape.limited else []
     units = docs.select(F.col("id").alias("doc_id"), *[F.col(c).alias(f"d_{c}") for c in read], keys)
     units = units.select("doc_id", *[f"d_{c}" for c in read], "k.by", "k.group_key").filter("group_key is not null")
@@ -512,13 +518,13 @@ def search_groups(aq: DataFrame, docs: DataFrame, index: Index, shape: Row, cfg:
     if some:
         place = ["group_key", "part"]
         part = F.when(F.col("large"), F.pmod(F.xxhash64("doc_id"), F.lit(GROUP_PARTS)) + 1).otherwise(0)
-        units = units.join(large, ["by", "group_key"], "left").withColumn("part", part).drop("large")
+        units = units.join(small(large), ["by", "group_key"], "left").withColumn("part", part).drop("large")
     asked, numbered = _numbered(index, terms)
-    dealt = _by_document(asked).join(units, "doc_id").repartition(_tasks(terms, index), *place)
-    hits = _spread(dealt, *units.columns).join(numbered, ["no", "by"])
-    limits = params.drop("by")
+    dealt = _by_document(asked).join(units, "doc_id").repartition(_tasks(terms, index, RANKED_PER_TASK), *place)
+    hits = _spread(dealt, *units.columns).join(small(numbered), ["no", "by"])
+    limits = small(params.drop("by"))
     if shape.limited:
-        hits = hits.join(limits.distinct(), "qid").filter(
+        hits = hits.join(small(params.drop("by").distinct()), "qid").filter(
             FL.time_overlap("d_tstampOldest", "d_tstampLatest", "q_lo", "q_hi")
             & FL.title_filter("d_titleString", "q_title_search") & FL.type_filter("d_type", "q_type"))
     scored = _scored(hits, cfg, ["qid", "by", *place, "doc_id"])
@@ -639,8 +645,9 @@ def present_results(page: DataFrame, docs: DataFrame, versions: DataFrame, aq: D
     fields that its query did not ask for are null. Of documents and versions only those on the ``page`` (a stored table) are shuffled."""
     from archivesearch.operators.snippets import snippets
 
-    docs = docs.join(page.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    versions = versions.join(page.select("doc_id"), "doc_id", "left_semi")
+    shown = small(page.select("doc_id"))
+    docs = docs.join(shown.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    versions = versions.join(shown, "doc_id", "left_semi")
     r = version_filtered(page, versions, aq, allowed)
     r = r.join(docs.select(F.col("id").alias("doc_id"), "titleString", "type"), "doc_id")
     r = r.withColumns({
@@ -666,9 +673,9 @@ def present_results(page: DataFrame, docs: DataFrame, versions: DataFrame, aq: D
     out = out.join(terms, "qid")
     if with_snippet:
         out = snippets(out, docs, cfg)
-    shown = [c for c in out.columns if c not in (*ROW_KEYS, "hl_terms", "q_fields")]
+    replies = [c for c in out.columns if c not in (*ROW_KEYS, "hl_terms", "q_fields")]
     return out.select(*ROW_KEYS, *[
-        F.when(F.col("q_fields").isNull() | F.array_contains("q_fields", c.lower()), F.col(c)).alias(c) for c in shown])
+        F.when(F.col("q_fields").isNull() | F.array_contains("q_fields", c.lower()), F.col(c)).alias(c) for c in replies])
 
 
 def page_search(queries: DataFrame, docs: DataFrame, versions: DataFrame, index: Index,

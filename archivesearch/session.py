@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, app: str = "archivesearch",
@@ -86,6 +87,17 @@ def stored(df: DataFrame, name: str, path: str | None = None, **options: str) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes, written as JSON, up to which the rows of a table go to all tasks.
+SMALL_BYTES = 32 << 20
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of a batch, marked for broadcast if its rows are few. Its files say little about that: their size grows with
+    their number, and a large table that meets one over the broadcast threshold is shuffled whole. Larger tables are left to Spark's choice."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*table.columns))))).first()[0] or 0
+    return F.broadcast(table) if size <= SMALL_BYTES else table
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

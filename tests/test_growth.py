@@ -1,5 +1,6 @@
 """What grows with the input: plans that hold, shuffle or store no more than they need, with equal rows."""
 import tempfile
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -203,3 +204,50 @@ def test_only_texts_of_the_page_are_shuffled(spark, sf):
                 reads += 1
                 assert "LeftSemi" in above
         assert reads and all(r.snippet for r in res.collect())
+
+
+def test_hits_are_not_shuffled_whatever_the_files_of_the_batch_take_up(spark, sf):
+    """A threshold that no file of the batch's tables keeps: postings and hits still meet them as broadcasts; rows are the same without."""
+    c = CP.corpus(spark, sf)
+    rows = [(1, "the of", "title", None), (2, "and the", "type", None), (3, "of -the", "collection", None), (4, '"of the"', "title", None)]
+    batch = spark.createDataFrame(rows, REQUEST)
+    aq = S.analyze_queries(S.normalize_queries(batch))
+    plain, phrased = aq.filter("size(terms) > 0"), aq.filter("size(phrases) > 0")
+
+    def searches():
+        return [S.match_terms(plain, c.index), S.search_groups(plain, c.docs, c.index, S.batch_shape(plain), S.SearchConfig(operator="or")),
+                S.match_terms(phrased, c.index, within=S.match_phrases(phrased, c.index))]
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    wide = [sorted(map(str, df.collect())) for df in searches()]
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+        tight = searches()
+        assert [sorted(map(str, df.collect())) for df in tight] == wide and all(wide)
+        for df in tight[:2]:
+            joins = [x for x in plan(df).splitlines() if "SortMergeJoin" in x or "ShuffledHashJoin" in x]
+            assert not [x for x in joins if "[no#" in x or "[term#" in x or "[qid#" in x], joins
+        res, _ = S.page_search(batch.filter("qid <= 2"), c.docs, c.versions, c.index, S.SearchConfig(operator="or"))
+        texts = plan(res.select("qid", "snippet")).splitlines()
+        for i, line in enumerate(texts):
+            if "FileScan" in line and "content#" in line:
+                assert "LeftSemi" in next(x for x in reversed(texts[:i]) if "Join" in x or "Exchange" in x)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tasks_hold_few_hits_and_short_keys(spark):
+    """The hits of a task are bounded by what its memory sums up without spilling; long titles are not carried by hits, equal ones still collapse."""
+    long, other = "t" * 5_000, "t" * 5_000 + "u"
+    docs = spark.createDataFrame([(f"d{i}", (long, other, "t", None)[i % 4], "x y", "text", "c0", "h", f"(pt,d{i},)", "20100101000000", "20100101000000") for i in range(12)],
+                                 "id string, titleString string, content string, type string, collection string, site string, surtOldest string, tstampOldest string, tstampLatest string")
+    index = build_index(docs, f"{tempfile.mkdtemp(prefix='run-')}/index")
+    aq = S.analyze_queries(S.normalize_queries(spark.createDataFrame([(1, "x y", "title", None)], REQUEST)))
+    assert S._tasks(S._batch_terms(aq, index, S.SearchConfig()), replace(index, term_stats=index.term_stats.withColumn("df", F.lit(50_000_000)))) >= 100
+    found = S.search_groups(aq, docs, index, S.batch_shape(aq), S.SearchConfig(operator="or"))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.head_doc or r.doc_id, []).append(r.doc_id)
+    assert sorted(map(sorted, got.values())) == [["d0", "d4"], ["d1", "d5"], ["d10", "d2"]]
+    keys = spark.createDataFrame([(long,), (other,), ("t",), ("t" * 45,), (None,)], "k string").select(S.short_key(F.col("k")).alias("s")).collect()
+    assert len({r.s for r in keys}) == 5 and max(len(r.s or "") for r in keys) == 45
