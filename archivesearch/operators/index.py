@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivesearch.functions import text as T
-from archivesearch.functions._util import let
-from archivesearch.session import PACKED, path_exists, write_table
+from archivesearch.session import PACKED, path_exists, stored, write_table
 
 # Fields indexed by default and the document column holding each.
 DEFAULT_FIELDS = {"title": "titleString", "content": "content"}
 # Optional stop-terms for the url field (X7): very common URL n-grams are not indexed.
 URL_STOP_TERMS = ("http", "https", "www", "com", "org", "net", "html", "htm", "index", "php")
+#: Bits of a place in a field (an int) where it is packed with other numbers into one long integer.
+PLACE_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -70,16 +71,20 @@ def _one_row_per_field(docs: DataFrame, fields: dict[str, str] | None, url_stop_
     return ft.groupBy("doc_id", "field").agg(F.flatten(F.collect_list("toks")).alias("toks"), F.flatten(F.collect_list("at")).alias("at"))
 
 
-def _entries(toks: Column, at: Column) -> Column:
-    """The distinct terms of a field's tokens with their sorted places, found in the row."""
-    def runs(s: Column) -> Column:
-        begins = F.filter(F.sequence(F.lit(1), F.size(s)), lambda k: (k == 1) | (F.element_at(s, k)["term"] != F.element_at(s, F.greatest(k - 1, F.lit(1)))["term"]))
-        return let(begins, lambda b: F.transform(b, lambda k, j: F.struct(
-            F.element_at(s, k)["term"].alias("term"),
-            F.slice(s, k, F.coalesce(F.get(b, j + 1), F.size(s) + 1) - k)["pos"].alias("positions"))))
+def _entries(rows: DataFrame, toks: Column, at: Column, *keep: Column | str) -> DataFrame:
+    """A row for each distinct term of the tokens ``toks`` at the places ``at``: ``term`` and its sorted ``positions``, beside the columns ``keep``. Rows
+    without tokens stay, as a null term without places. The tokens are sorted and cut within their row. ``sort_array``, not ``array_sort``: that one
+    calls an interpreted function for each comparison."""
+    def begins(s: Column) -> Column:
+        term = lambda k: F.get(s, k)["term"]
+        return F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (term(k) != term(k - 1))))
 
-    pairs = F.array_sort(F.transform(F.arrays_zip(toks.alias("term"), at.alias("pos")), lambda z: F.struct(z["term"].alias("term"), z["pos"].alias("pos"))))
-    return F.when(F.size(toks) > 0, let(pairs, runs))
+    rows = rows.select(*keep, F.sort_array(F.arrays_zip(toks.alias("term"), at.alias("pos"))).alias("s"))
+    kept = rows.columns[:-1]
+    rows = rows.select(*kept, "s", begins(F.col("s")).alias("b"))
+    rows = rows.select(*kept, "s", "b", F.posexplode_outer("b").alias("j", "k"))  # the place of a term among the distinct ones, and where it begins
+    places = F.slice("s", F.col("k") + 1, F.coalesce(F.get("b", F.col("j") + 1), F.size("s")) - F.col("k"))["pos"]
+    return rows.select(*kept, F.get("s", F.col("k"))["term"].alias("term"), F.coalesce(places, F.array().cast("array<int>")).alias("positions"))
 
 
 def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None,
@@ -92,9 +97,8 @@ def build_index(docs: DataFrame, path: str, fields: dict[str, str] | None = None
     ft = _one_row_per_field(docs, fields, url_stop_terms)
     if partitions:
         ft = ft.repartition(partitions, "doc_id")
-    rows = ft.select("doc_id", "field", F.size("toks").alias("field_len"), F.explode_outer(_entries(F.col("toks"), F.col("at"))).alias("e"))
-    postings = rows.select("e.term", "field", "doc_id", F.coalesce(F.size("e.positions"), F.lit(0)).alias("tf"),
-                           F.coalesce("e.positions", F.array().cast("array<int>")).alias("positions"), "field_len")
+    rows = _entries(ft, F.col("toks"), F.col("at"), "doc_id", "field", F.size("toks").alias("field_len"))
+    postings = rows.select("term", "field", "doc_id", F.size("positions").alias("tf"), "positions", "field_len")
     write_table(postings.sortWithinPartitions("term", "doc_id"), f"{path}/postings", **PACKED)
     kept = spark.read.parquet(f"{path}/postings")
     write_table(kept.filter("term is not null").groupBy("term", "field").agg(F.count(F.lit(1)).alias("df")), f"{path}/term_stats", **PACKED)
@@ -114,6 +118,16 @@ def add_pairs(docs: DataFrame, index: Index, path: str, common_share: float, fie
     return replace(index, pairs=read(f"{path}/pairs"), common=read(f"{path}/common"))
 
 
+def short_numbers(words: DataFrame) -> tuple[DataFrame, int]:
+    """``words (term)`` with a number (``no``) in their order, and how many bits the numbers take. Spark's own numbers begin anew at a multiple
+    of 2^33 in each part; here all parts count as long as the longest."""
+    kept = stored(words.orderBy("term").withColumn("id", F.monotonically_increasing_id()), "numbers")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    last = kept.agg(F.max(part).alias("part"), F.max(place).alias("place")).first()
+    longest = (last["place"] or 0) + 1
+    return kept.select("term", (part * longest + place).alias("no")), max(1, (((last["part"] or 0) + 1) * longest - 1).bit_length())
+
+
 def _write_pairs(ft: DataFrame, index: Index, path: str, share: float) -> None:
     """Postings of neighbouring common terms. The tokens of a document are shifted against themselves, so neighbours meet in its own row."""
     spark = ft.sparkSession
@@ -128,6 +142,5 @@ def _write_pairs(ft: DataFrame, index: Index, path: str, share: float) -> None:
         both = both.join(common.withColumnRenamed("term", side), [side, "field"], "left_semi")
     # The pairs of a document are one row before they are shuffled.
     near = both.groupBy("doc_id", "field").agg(F.collect_list(F.struct(F.concat_ws(" ", "a", "b").alias("term"), "pos")).alias("w"))
-    pairs = near.select("field", "doc_id", F.explode(_entries(F.col("w.term"), F.col("w.pos"))).alias("e"))
-    pairs = pairs.select("e.term", "field", "doc_id", "e.positions")
+    pairs = _entries(near, F.col("w.term"), F.col("w.pos"), "field", "doc_id").select("term", "field", "doc_id", "positions")
     write_table(pairs.sortWithinPartitions("term", "doc_id"), f"{path}/pairs", **PACKED)

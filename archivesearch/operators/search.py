@@ -31,7 +31,7 @@ from archivesearch.functions import urls as U
 from archivesearch.operators import fields as FD
 from archivesearch.operators import filters as FL
 from archivesearch.operators.docs import oldest_version
-from archivesearch.operators.index import Index
+from archivesearch.operators.index import PLACE_BITS, Index, short_numbers
 from archivesearch.session import PACKED, small, stored
 
 # Fixed values of the query model.
@@ -326,25 +326,30 @@ def _links_met(postings: DataFrame, links: DataFrame, words: DataFrame, index: I
     """Where the links ``(phrase, n, place, link)`` stand that ``words (phrase, place, term)`` spell, by document and field; not ``spread``: which
     links stand there, without places.
 
-    Words, fields and links are numbers on the way. The places of a document are lists, made in its file of the index before they are shuffled;
-    what is found stays where the document is.
+    Field, place and word are one long integer on the way, a link another. The places of a document are a list, made in its file of the index before
+    they are shuffled; sorted, words that stand side by side in a field are neighbours in it. What is found stays where the document is.
     """
-    fields = F.array(*[F.lit(r["field"]) for r in index.field_stats.select("field").orderBy("field").collect()]).cast("array<string>")  # a row per field
+    names = [r["field"] for r in index.field_stats.select("field").orderBy("field").collect()]  # a row per field
+    fields = F.array(*[F.lit(f) for f in names]).cast("array<string>")
     known = stored(words, "link-words")
     wanted = links.join(known.select(F.col("phrase").alias("link")).distinct(), "link", "left_semi")
-    numbers = stored(known.select("term").distinct().orderBy("term").withColumn("no", F.monotonically_increasing_id()), "link-numbers")
+    numbers, bits = short_numbers(known.select("term").distinct())
+    if len(names).bit_length() + PLACE_BITS + bits > 63:  # over 10^8 distinct words in one batch
+        raise ValueError(f"words of a batch and fields of the index are too many: {bits} bits and {len(names)} fields")
     for i, side in enumerate("ab"):
         wanted = wanted.withColumn("term", F.split("link", " ")[i]).join(numbers.withColumnRenamed("no", side), "term").drop("term")
-    wanted = stored(wanted.select("phrase", "n", "place", "a", "b"), "wanted-links")
-    rows = (postings.join(small(numbers), "term").select("doc_id", F.array_position(fields, F.col("field")).cast("int").alias("f"), "no", F.explode("positions").alias("pos"))
-            .groupBy("doc_id").agg(*[F.collect_list(c).alias(c) for c in ("f", "pos", "no")]))  # the asked words of one document
-    rows = rows.select("doc_id", F.array_sort(F.arrays_zip("f", "pos", "no")).alias("s"))
-    rest = F.size("s") - 1
-    near = F.filter(F.arrays_zip(F.slice("s", F.lit(1), rest).alias("x"), F.slice("s", F.lit(2), rest).alias("y")),
-                    lambda z: (z["y"]["f"] == z["x"]["f"]) & (z["y"]["pos"] == z["x"]["pos"] + 1))
-    found = F.transform(near, lambda z: F.struct(z["x"]["f"].alias("f"), (z["x"]["pos"] if spread else F.lit(None).cast("int")).alias("pos"), z["x"]["no"].alias("a"), z["y"]["no"].alias("b")))
-    near = rows.filter("size(s) > 1").select("doc_id", F.explode(found if spread else F.array_distinct(found)).alias("l")).select("doc_id", "l.*")
-    return near.join(small(wanted), ["a", "b"]).select("phrase", "n", "doc_id", F.element_at(fields, F.col("f")).alias("field"), "place", "pos")
+    wanted = stored(wanted.select("phrase", "n", "place", F.shiftleft("a", bits).bitwiseOR(F.col("b")).alias("ab")), "wanted-links")
+    at = F.shiftleft(F.array_position(fields, F.col("field")), PLACE_BITS)
+    rows = postings.join(small(numbers), "term").select("doc_id", at.alias("f"), "no", F.explode("positions").alias("pos"))
+    rows = rows.select("doc_id", F.shiftleft(F.col("f").bitwiseOR(F.col("pos").cast("long")), bits).bitwiseOR(F.col("no")).alias("pos_no"))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos_no")).alias("s"))  # the asked words of one document
+    near = rows.select("doc_id", "s", F.posexplode("s").alias("i", "x")).select("doc_id", "x", F.get("s", F.col("i") + 1).alias("y"))
+    near = near.filter(F.shiftright("y", bits) == F.shiftright("x", bits) + 1)
+    word = (1 << bits) - 1
+    near = near.select("doc_id", F.shiftright("x", bits).alias("at"), F.shiftleft(F.col("x").bitwiseAND(word), bits).bitwiseOR(F.col("y").bitwiseAND(word)).alias("ab"))
+    pos = F.col("at").bitwiseAND((1 << PLACE_BITS) - 1).cast("int") if spread else F.lit(None).cast("int")
+    return near.join(small(wanted), "ab").select(
+        "phrase", "n", "doc_id", F.element_at(fields, F.shiftright("at", PLACE_BITS).cast("int")).alias("field"), "place", pos.alias("pos"))
 
 
 # ------------------------------------------------------------------ the batch

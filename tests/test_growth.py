@@ -1,4 +1,5 @@
 """What grows with the input: plans that hold, shuffle or store no more than they need, with equal rows."""
+import random
 import tempfile
 from dataclasses import replace
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archivesearch.functions import urls as U
 from archivesearch.operators import fields as FD
+from archivesearch.operators import index as I
 from archivesearch.operators import links as L
 from archivesearch.operators import search as S
 from archivesearch.operators.docs import latest_per_key
@@ -251,3 +253,44 @@ def test_tasks_hold_few_hits_and_short_keys(spark):
     assert sorted(map(sorted, got.values())) == [["d0", "d4"], ["d1", "d5"], ["d10", "d2"]]
     keys = spark.createDataFrame([(long,), (other,), ("t",), ("t" * 45,), (None,)], "k string").select(S.short_key(F.col("k")).alias("s")).collect()
     assert len({r.s for r in keys}) == 5 and max(len(r.s or "") for r in keys) == 45
+
+
+def _phrase_case(spark, share):
+    """An index of random words, the phrases of a batch, and what they meet by hand."""
+    rng = random.Random(4)
+    words = ["a", "b", "c", "ab", "été", "z9"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(f"d{i}", text(rng.randrange(4)), text(rng.choice((0, 1, 2, 30)))) for i in range(40)] + [("none", None, None)]
+    asked = [(i, text(rng.randrange(1, 5))) for i in range(60)]
+    want = sorted((q, d) for q, p in asked for d, *fields in docs if any(f" {p} " in f" {f} " for f in fields if f))
+    index = build_index(spark.createDataFrame(docs, "id string, titleString string, content string").repartition(3), f"{tempfile.mkdtemp(prefix='run-')}/index", common_share=share)
+    return index, S.analyze_queries(S.normalize_queries(spark.createDataFrame([(q, f'"{p}"') for q, p in asked], "qid long, q string"))), want
+
+
+def test_places_of_phrases_are_sorted_as_numbers(spark):
+    """Words of a document and their places are long integers: an interpreted comparison of structures took most of the time of phrases."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    for share, enabled in ((None, "true"), (0.3, "false")):
+        spark.conf.set("spark.sql.adaptive.enabled", enabled)  # without it, the numbers of words come from several parts
+        try:
+            index, aq, want = _phrase_case(spark, share)
+            assert sorted(map(tuple, S.match_phrases(aq, index).collect())) == want
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        assert share or "lambdafunction" not in plan(S.match_phrases(aq.filter("size(phrases[0]) = 2"), index))
+
+
+def test_an_index_is_sorted_without_interpreted_comparisons(spark, monkeypatch):
+    written = {}
+    write = I.write_table
+    monkeypatch.setattr(I, "write_table", lambda df, path, **options: (written.update({path.rsplit("/", 1)[1]: plan(df)}), write(df, path, **options)))
+    index, _, _ = _phrase_case(spark, 0.3)
+    assert "array_sort(" not in written["postings"] + written["pairs"]
+    rows = index.postings.filter("term is not null").collect()
+    assert all(r.tf == len(r.positions) and r.positions == sorted(set(r.positions)) for r in rows)
+    held = {}
+    for r in rows:
+        held.setdefault((r.doc_id, r.field, r.field_len), []).extend(r.positions)
+    assert all(sorted(p) == list(range(n)) for (_, _, n), p in held.items())
+    assert {(r.tf, tuple(r.positions), r.field_len) for r in index.postings.filter("term is null").collect()} == {(0, (), 0)}
+    assert index.postings.filter("doc_id = 'none'").count() == 2
