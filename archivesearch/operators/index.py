@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivesearch.functions import text as T
-from archivesearch.session import PACKED, path_exists, stored, write_table
+from archivesearch.session import PACKED, path_exists, small, stored, write_table
 
 # Fields indexed by default and the document column holding each.
 DEFAULT_FIELDS = {"title": "titleString", "content": "content"}
@@ -129,18 +129,25 @@ def short_numbers(words: DataFrame) -> tuple[DataFrame, int]:
 
 
 def _write_pairs(ft: DataFrame, index: Index, path: str, share: float) -> None:
-    """Postings of neighbouring common terms. The tokens of a document are shifted against themselves, so neighbours meet in its own row."""
+    """Postings of neighbouring common terms. A common word of a document and its place are one long integer on the way; the words of a document are one
+    row, in which neighbours meet."""
     spark = ft.sparkSession
     stats = index.term_stats.join(F.broadcast(index.field_stats), "field")  # a row per field
     write_table(stats.filter(F.col("df") > share * F.col("n_docs")).select("term", "field"), f"{path}/common")
     common = spark.read.parquet(f"{path}/common")
-    rest = F.size("toks") - 1
-    both = ft.filter("size(toks) > 1").select("doc_id", "field", F.posexplode(F.arrays_zip(
-        F.slice("toks", F.lit(1), rest).alias("a"), F.slice("toks", F.lit(2), rest).alias("b"))).alias("pos", "w"))
-    both = both.select("doc_id", "field", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b"))
-    for side in ("a", "b"):
-        both = both.join(common.withColumnRenamed("term", side), [side, "field"], "left_semi")
-    # The pairs of a document are one row before they are shuffled.
-    near = both.groupBy("doc_id", "field").agg(F.collect_list(F.struct(F.concat_ws(" ", "a", "b").alias("term"), "pos")).alias("w"))
-    pairs = _entries(near, F.col("w.term"), F.col("w.pos"), "field", "doc_id").select("term", "field", "doc_id", "positions")
+    numbers, bits = short_numbers(common.select("term").distinct())
+    numbered = stored(common.join(numbers, "term"), "common-numbers")
+    words = ft.filter("size(toks) > 1").select("doc_id", "field", F.posexplode("toks").alias("pos", "term")).join(small(numbered), ["term", "field"])
+    words = words.select("doc_id", "field", F.shiftleft(F.col("pos").cast("long"), bits).bitwiseOR(F.col("no")).alias("pos_no"))
+    rows = words.groupBy("doc_id", "field").agg(F.sort_array(F.collect_list("pos_no")).alias("s"))
+    place, no = (lambda k: F.shiftright(F.get("s", k), bits)), (lambda k: F.get("s", k).bitwiseAND((1 << bits) - 1))
+    near = rows.filter("size(s) > 1").select("doc_id", "field", "s", F.filter(
+        F.sequence(F.lit(0), F.size("s") - 2), lambda k: place(k + 1) == place(k) + 1).alias("at"))
+    near = near.filter("size(at) > 0").select("doc_id", "field", F.transform("at", lambda k: F.shiftleft(no(k), bits).bitwiseOR(no(k + 1))).alias("ab"),
+                                              F.transform("at", lambda k: place(k).cast("int")).alias("pos"))
+    pairs = _entries(near, F.col("ab"), F.col("pos"), "field", "doc_id").withColumns({
+        "a": F.shiftright("term", bits), "b": F.col("term").bitwiseAND((1 << bits) - 1)})
+    for side in "ab":
+        pairs = pairs.join(small(numbers.select(F.col("no").alias(side), F.col("term").alias(f"word_{side}"))), side)
+    pairs = pairs.select(F.concat_ws(" ", "word_a", "word_b").alias("term"), "field", "doc_id", "positions")
     write_table(pairs.sortWithinPartitions("term", "doc_id"), f"{path}/pairs", **PACKED)
